@@ -37,7 +37,7 @@ class Metric:
 
 
 #: In thousandths, but for the mean word length in hundredths of a character.
-METRICS = (Metric("symbols", 30), Metric("word_length", 150, True), Metric("repeats", 300), Metric("dup_lines", 300))
+METRICS = (Metric("symbols", 30), Metric("word_length", 150, True), Metric("repeats", 300), Metric("dup_lines", 600))
 #: The grid's last cell: the mean word length stops there.
 LAST_CELL = 3000
 

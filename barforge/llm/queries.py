@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import quality, sharding, tokens, warc
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -24,10 +25,25 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary``: path of the vocabulary file; by default that of the installed public tokenizers."""
+    count = tokens.token_counter(spark, vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count(F.col("text")).alias("n_tokens")
+    )
+    return docs.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = warc.read_archives(spark, path, payload=False).where(F.col("reason").isNull())
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = quality.quality_features(read(spark, sf_dir, "documents")).drop("text", "n_chars")
     out = quality.quality_filter(materialize(features, "quality"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_external_shuffle, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_external_shuffle, op7_token_counts, op9_warc, op10_quality_rules)}
