@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, tokens, warc
+from . import html_text, mixing, quality, sharding, tokens, warc
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.external_shuffle(docs, shards=40)
@@ -34,6 +38,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return docs.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.taken_words(placed, mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     found = warc.read_archives(spark, path, payload=False).where(F.col("reason").isNull())
@@ -46,4 +55,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_external_shuffle, op7_token_counts, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_main_text, op4_external_shuffle, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
