@@ -6,11 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, quality, sharding, tokens, warc
+from . import decontaminate, html_text, mixing, quality, sharding, tokens, urls, warc
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
+#: The rules that op5 is given.
+URL_RULES = [
+    urls.Rule("net", "/", "block"),
+    urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"),
+    urls.Rule("org", "/fr/", "allow"),
+]
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents."""
+    return decontaminate.contaminated_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -29,6 +43,13 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document with its number; bad: low quality or toxic."""
+    bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad)
+    return urls.filter_urls(read(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """``vocabulary``: path of the vocabulary file; by default that of the installed public tokenizers."""
     count = tokens.token_counter(spark, vocabulary or public_tokenizers.path("word_bpe_49k.json"))
@@ -55,4 +76,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_main_text, op4_external_shuffle, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_main_text, op4_external_shuffle, op5_url_filter, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
