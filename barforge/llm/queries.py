@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, quality, sharding, tokens, urls, warc
+from . import decontaminate, html_text, mixing, pii, quality, sharding, tokens, urls, warc
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -25,6 +25,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    number = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(number, pii.KINDS), F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -76,4 +84,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_main_text, op4_external_shuffle, op5_url_filter, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_main_text, op4_external_shuffle, op5_url_filter, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
