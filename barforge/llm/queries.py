@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, pii, quality, sharding, tokens, urls, warc
+from . import decontaminate, html_text, jaccard, mixing, pii, quality, sharding, tokens, urls, warc
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """``vocabulary``: path of the vocabulary file; by default that of the installed public tokenizers."""
     count = tokens.token_counter(spark, vocabulary or public_tokenizers.path("word_bpe_49k.json"))
@@ -84,4 +88,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_main_text, op4_external_shuffle, op5_url_filter, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_main_text, op4_external_shuffle, op5_url_filter, op6_jaccard_join, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
