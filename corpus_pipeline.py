@@ -1,34 +1,60 @@
-"""From raw documents to training shards: quality rules, near duplicates, decontamination, source mix, shards."""
+"""From raw documents to training shards: quality rules, near duplicates, decontamination, source mix, shards.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next stage reads it. All but
+the last return the columns of ``documents``; what a stage rejects is gone for the stages after it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barforge.llm import quality, sharding
-from barforge.llm._common import materialize
+from barforge.llm import decontaminate, jaccard, mixing, quality, sharding
+from barforge.llm._common import materialize, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(*COLUMNS)
+    return quality.quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingles of five words and a similarity of 0.8 or more link."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often (up to twice) as the mix uses the block in which it begins."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
-    return sharding.external_shuffle(docs)
+    return sharding.external_shuffle(docs.select(*COLUMNS), shards=40)
 
 
-STAGES = [("quality", keep_good), ("sharding", to_shards)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix_sources),
+    ("sharding", to_shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``; each result is written before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Seeded permutations and hashes have no counterpart in SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
