@@ -155,7 +155,8 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 100_000, seed
     begin = F.greatest(F.col("block") * size, F.col("offset")) - F.col("offset")
     end = F.least((F.col("block") + 1) * size, F.col("offset") + F.col("size")) - F.col("offset")
     pieces = pieces.select("source_id", "offset", "block", begin.alias("begin"), end.alias("end"))
-    return placed, slots.join(pieces, ["source_id", "block"]).select("shard", "slot", "source_id", "block", "offset", "begin", "end")
+    # Both sides grow with the corpus, but the planner takes exploded slots for as small as the table of runs.
+    return placed, slots.join(pieces.hint("merge"), ["source_id", "block"]).select("shard", "slot", "source_id", "block", "offset", "begin", "end")
 
 
 def taken_words(placed: DataFrame, mixed: DataFrame) -> DataFrame:
