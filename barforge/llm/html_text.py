@@ -142,7 +142,11 @@ def extract(page: str | None, weights: Weights) -> str:
 
 def labelled_pages(pages: DataFrame, sample: int, sample_bytes: int) -> list[str]:
     usable = pages.where(F.octet_length("html").between(1, sample_bytes) & F.lower("html").rlike(r"<(article|main)\b"))
-    return [r[0] for r in usable.select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample).collect()]
+    hashed = usable.select("html", F.xxhash64("html").alias("h"))
+    rows = usable.count()
+    if rows > 4 * sample:  # only hashes below a bound that lets through twice the sample; else every task would send its own
+        hashed = hashed.where(F.col("h") < int(2**64 * 2 * sample / rows) - 2**63)
+    return [r[0] for r in hashed.orderBy("h", "html").limit(sample).collect()]
 
 
 def main_text(weights: Weights):
