@@ -67,3 +67,14 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """Whole rows as ``row`` beside the columns an operator reads: no name of theirs can clash with its own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(F.col(c) for c in needed))
+
+
+def unpacked(df: DataFrame, columns: list[str], *results: str) -> DataFrame:
+    """``columns`` of the packed rows with ``results`` added; a column that has the name of a result is replaced by it."""
+    new = {r.lower() for r in results}
+    return df.select(*(F.col("row")[c].alias(c) for c in columns if c.lower() not in new), *results)

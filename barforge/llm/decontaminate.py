@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import let, materialize, maybe_broadcast, text_of
+from ._common import fresh, let, materialize, maybe_broadcast, text_of
 
 #: Units of measure (fixed values).
 UNITS = (
@@ -122,5 +122,6 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents, those with a null id among them."""
-    bad = maybe_broadcast(materialize(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated"), 500_000)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    (name,) = fresh(docs, "_bad")
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(maybe_broadcast(materialize(bad, "contaminated"), 500_000), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

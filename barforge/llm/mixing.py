@@ -171,20 +171,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document without words begins no block of its own and is left out, as the mix takes nothing of it.
     """
-    tag = "_row"
-    while tag in docs.columns:
-        tag = f"_{tag}"
-    numbered = docs.withColumn(tag, F.xxhash64(*docs.columns))
-    placed, mixed = mix(numbered, **options)
+    rows = docs.select(F.xxhash64(*docs.columns).alias("_row"), F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    placed, mixed = mix(rows.select("_row", "doc_id", "source", "text"), **options)
     block = options.get("block_words", 64)
     first = mixed.where((F.col("begin") == 0) & (F.expr(f"offset div {block}") == F.col("block")))
     uses = first.groupBy(F.col("source_id").alias("_i"), F.col("offset").alias("_o")).agg(F.count("*").alias("_uses"))
     times = placed.join(uses, (F.col("source_id") == F.col("_i")) & (F.col("offset") == F.col("_o")) & (F.col("size") > 0))
     # Rows that are equal in every column take places of their own; together they appear as often as these places are used.
-    times = times.groupBy(F.col(tag).alias("_t")).agg(F.sum("_uses").alias("_n"))
-    same = docs.withColumn(tag, F.xxhash64(*docs.columns))
-    joined = same.join(times, F.col(tag) == F.col("_t"))
-    rank = F.row_number().over(Window.partitionBy(tag).orderBy(F.lit(0)))
+    times = times.groupBy(F.col("_row").alias("_t")).agg(F.sum("_uses").alias("_n"))
+    joined = rows.select("_row", "row").join(times, F.col("_row") == F.col("_t"))
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
     share = F.expr("_n div _rows + if(_rank <= _n % _rows, 1, 0)")
-    whole = joined.withColumns({"_rank": rank, "_rows": F.count("*").over(Window.partitionBy(tag))}).withColumn("_share", share.cast("int")).where("_share > 0")
-    return whole.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_share"))).alias("_again")).select(*docs.columns)
+    whole = joined.withColumns({"_rank": rank, "_rows": F.count("*").over(Window.partitionBy("_row"))}).withColumn("_share", share.cast("int")).where("_share > 0")
+    return whole.select("row", F.explode(F.sequence(F.lit(1), F.col("_share"))).alias("_again")).select("row.*")

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import let, materialize, maybe_broadcast, text_of, words_of
+from ._common import let, materialize, maybe_broadcast, packed, text_of, unpacked, words_of
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
+#: Columns that quality_features() adds.
+FEATURES = ("word_chars", "n_symbols", "n_words", "n_repeat_words", "n_dup_lines", "n_lines", "base_failed")
 #: Code points of SPACE, for translate().
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -148,4 +150,5 @@ def quality_filter(features: DataFrame, least_docs: int = 200) -> DataFrame:
 
 def quality_rules(docs: DataFrame, least_docs: int = 200) -> DataFrame:
     """All columns of ``docs``, its features and ``kept``."""
-    return quality_filter(materialize(quality_features(docs), "quality"), least_docs)
+    features = quality_features(packed(docs, "text", "lang", "source")).drop("text")
+    return unpacked(quality_filter(materialize(features, "quality"), least_docs), docs.columns, *FEATURES, "kept")

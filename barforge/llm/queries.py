@@ -27,9 +27,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    number = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *map(number, pii.KINDS), F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+        "doc_id", *map(number, pii.KINDS), F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
     )
 
 
@@ -83,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = quality.quality_features(read(spark, sf_dir, "documents")).drop("text", "n_chars")
+    features = quality.quality_features(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
     out = quality.quality_filter(materialize(features, "quality"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -79,6 +79,7 @@ def records(pages: DataFrame, date: str) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z") -> str:
     """Write ``pages`` (page_id, url, html) as WARC files; returns their folder."""
+    pages = pages.select("page_id", "url", "html")
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     most = max(1, min(4096, FILE_BYTES // (largest + 1024)))
