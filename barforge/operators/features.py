@@ -119,9 +119,9 @@ def rolling_half_life(within: list[str], n: int, x: str = "_level", step: str =
 def half_life_ok(bars: DataFrame, within: list[str], n: int, least: float, most: float) -> DataFrame:
     """``bars`` with hl_ok: the half-life lies within bounds; false for the first ``n`` bars of a partition."""
     step, before = _steps(within, "close")
-    wide = bars.withColumns({"_step": step, "_level": before, "_row": F.row_number().over(by_time(within))})
-    fits = (F.col("_row") > n) & rolling_half_life(within, n).between(least, most)
-    return wide.withColumn("hl_ok", F.coalesce(fits, F.lit(False))).drop("_step", "_level", "_row")
+    wide = bars.withColumns({"_step": step, "_level": before, "_nth": F.row_number().over(by_time(within))})
+    fits = (F.col("_nth") > n) & rolling_half_life(within, n).between(least, most)
+    return wide.withColumn("hl_ok", F.coalesce(fits, F.lit(False))).drop("_step", "_level", "_nth")
 
 
 def atr_memory(length: int, tolerance: float = 1e-3) -> int:
