@@ -40,13 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders that materialize() has written and discard() has not removed.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of materialize() once nothing reads them any more."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in paths:
+        if path in _written:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+            _written.remove(path)
+
+
 def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast a small materialized table; beyond ``most_rows`` leave the join to the planner."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
