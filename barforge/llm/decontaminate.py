@@ -9,7 +9,7 @@ questions satisfy and chance meetings of templates do not. A document is contami
 alignments cover at least ``coverage`` of the item's windows and at least two of them (all of a shorter item's).
 
 The index holds the benchmark's windows only; it is broadcast when it has at most ``most_windows`` rows and joined by
-shuffle otherwise. Documents are read whole; nothing of them is shuffled but matching windows.
+shuffle otherwise. A first pass joins bare hashes; aligning starts from the documents that it finds. Documents are read whole; nothing of them is shuffled but matching windows.
 
 Defined results: null texts have no tokens; items with fewer than ``width`` tokens have no window and match nothing;
 documents with the same id count as one; an empty table on either side gives an empty result.
@@ -34,27 +34,23 @@ NUMBER, NAME, UNIT = "#n", "#p", "#u"
 FIRST = "\u0002"
 
 
-def raw_tokens(text: Column) -> Column:
-    """Words and numbers of a text, those that begin a sentence behind FIRST."""
-    t = F.regexp_replace(text, r"\u0002", "")
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
-    t = F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})", " ")
-    t = F.regexp_replace(t, r"(^|[.!?:;\n])([^\p{L}\p{N}]*)(?=\p{Lu})", "$1 \u0002")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\u0002²]+", " ")
-    return F.filter(F.split(t, " ", -1), lambda w: (w != "") & (w != FIRST))
+def marked_text(text: Column) -> Column:
+    """Words and numbers of a text with one space between them, those that begin a sentence behind FIRST.
 
+    Each step is one pass over the whole text, and each pattern begins with a character that most positions rule out.
+    """
+    t = F.concat(F.lit("."), F.replace(text, F.lit(FIRST), F.lit("")))
+    t = F.regexp_replace(t, r"[.,](?<=[0-9].)(?=[0-9])", "")
+    t = F.regexp_replace(t, r"([0-9])(?=\p{L})", "$1 ")
+    t = F.regexp_replace(t, r"[.!?:;\n][^\p{L}\p{N}]*+(?=\p{Lu})", "$0 \u0002")
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}\u0002²]+", " "))
 
-def canonical_tokens(raw: Column) -> Column:
-    """The typed form of each token of ``raw`` (a lambda variable or plain column)."""
-    digit = lambda w: F.substring(w, 1, 1).between("0", "9")
 
-    def one(w: Column, i: Column) -> Column:
-        first, low = F.substring(w, 1, 1), F.lower(w)
-        word = F.when(first == FIRST, F.substring(low, 2, 1 << 30)).when(first != F.substring(low, 1, 1), F.lit(NAME)).otherwise(low)
-        unit = (F.length(w) <= 10) & low.isin(UNITS) & F.coalesce(digit(F.get(raw, i - 1)), F.lit(False))
-        return F.when(first.between("0", "9"), F.lit(NUMBER)).when(unit, F.lit(UNIT)).otherwise(word)
-
-    return F.transform(raw, one)
+def typed_text(marked: Column) -> Column:
+    """The canonical form, token by token, of a marked text."""
+    t = F.regexp_replace(F.concat(F.lit(" "), marked), r" \p{Lu}[^ ]*+", f" {NAME}")
+    t = F.lower(F.replace(F.regexp_replace(t, "[0-9]++", NUMBER), F.lit(FIRST), F.lit("")))
+    return F.ltrim(F.regexp_replace(t, rf"{NUMBER} (?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?= |$)", f"{NUMBER} {UNIT}"))
 
 
 def _windows(typed: Column, width: int) -> Column:
@@ -64,18 +60,19 @@ def _windows(typed: Column, width: int) -> Column:
 
 
 def tokenized(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with _raw, _typed and _windows (hashes by position) of ``text``."""
-    return (
-        rows.withColumn("_raw", raw_tokens(text_of()))
-        .withColumn("_typed", let(F.col("_raw"), canonical_tokens))
-        .withColumn("_windows", let(F.col("_typed"), lambda t: _windows(t, width)))
-    )
+    """``rows`` with _marked, _typed and _windows (hashes by position) of ``text``."""
+    out = rows.withColumn("_marked", marked_text(text_of())).withColumn("_typed", F.split(typed_text(F.col("_marked")), " ", -1))
+    return out.withColumn("_windows", let(F.col("_typed"), lambda t: _windows(t, width)))
+
+
+def raw_tokens() -> Column:
+    return F.split("_marked", " ", -1)
 
 
 def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
     """(hash, item_id, at, item_windows, item_slots, typed): the usable windows of each item."""
     items = tokenized(benchmark.select("item_id", "text"), width)
-    each = items.select("item_id", "_raw", "_typed", F.posexplode("_windows").alias("at", "hash"))
+    each = items.select("item_id", raw_tokens().alias("_raw"), "_typed", F.posexplode("_windows").alias("at", "hash"))
     typed = F.slice("_typed", F.col("at") + 1, width)
     holes = F.size(F.filter(typed, lambda w: w.isin(NUMBER, NAME, UNIT)))
     index = each.select("hash", "item_id", "at", typed.alias("typed"), F.slice("_raw", F.col("at") + 1, width).alias("item_raw")).where(2 * holes <= width)
@@ -86,8 +83,13 @@ def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
 def window_matches(docs: DataFrame, benchmark: DataFrame, width: int, most_windows: int) -> DataFrame:
     """(doc_id, item_id, item_windows, shift, at, slots) of every window that a document shares with an item."""
     index = maybe_broadcast(materialize(benchmark_index(benchmark, width), "benchmark-windows"), most_windows)
-    read = tokenized(docs.select("doc_id", "text"), width).select("doc_id", "_raw", "_typed", "_windows")
-    each = read.select("doc_id", "_raw", "_typed", F.posexplode("_windows").alias("pos", "_hash"))
+    # First only hashes become rows; the tokens of documents are carried along for the few that share a window at all.
+    hashes = tokenized(docs.select("doc_id", "text"), width).select("doc_id", F.explode("_windows").alias("_hash"))
+    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").select(F.col("doc_id").alias("_some")).distinct()
+    some = maybe_broadcast(materialize(some, "suspects"), 500_000)
+    suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")), "left_semi")
+    read = tokenized(suspects, width)
+    each = read.select("doc_id", raw_tokens().alias("_raw"), "_typed", F.posexplode("_windows").alias("pos", "_hash"))
     met = each.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", F.col("pos") + 1, width) == F.col("typed"))
     plain = lambda w: F.lower(F.translate(w, FIRST, ""))
     slots = F.transform(
