@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy would hold buffers outside the heap for each of many small files
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
