@@ -193,16 +193,17 @@ SQL: dict[str, str] = {
     "run_summary": f"""WITH {TRADES}, a AS (
       SELECT symbol, avg(returns) AS m, stddev_samp(returns) AS sd, stddev_samp(returns) FILTER (returns < 0) AS dd, min(drawdown) AS mdd, last(equity ORDER BY ts) / first(equity ORDER BY ts) - 1 AS total_return FROM book GROUP BY 1),
       t AS (SELECT symbol, count(*) AS trades, avg(CAST(trade_return > 0 AS DOUBLE)) AS win_rate, avg(trade_return) AS avg_trade, sum(trade_return) FILTER (trade_return > 0) / abs(sum(trade_return) FILTER (trade_return < 0)) AS profit_factor FROM trades GROUP BY 1)
-      SELECT symbol, {R('m / sd * sqrt(365.0)', 5, 'sharpe')}, {R('m / dd * sqrt(365.0)', 5, 'sortino')}, {R('m * 365.0 / abs(mdd)', 5, 'calmar')}, {R('mdd', 5, 'max_drawdown')}, {R('total_return', 5)},
-        trades, {R('win_rate', 5)}, {R('avg_trade', 5)}, {R('profit_factor', 5)} FROM a JOIN t USING (symbol)""",
+      SELECT symbol, {R('CASE WHEN sd < 1e-12 THEN 0.0 ELSE m / sd * sqrt(365.0) END', 5, 'sharpe')}, {R('CASE WHEN coalesce(dd, 0) < 1e-12 THEN 0.0 ELSE m / dd * sqrt(365.0) END', 5, 'sortino')},
+        {R('CASE WHEN abs(mdd) < 1e-12 THEN 0.0 ELSE m * 365.0 / abs(mdd) END', 5, 'calmar')}, {R('mdd', 5, 'max_drawdown')}, {R('total_return', 5)},
+        coalesce(trades, 0) AS trades, {R('coalesce(win_rate, 0)', 5, 'win_rate')}, {R('coalesce(avg_trade, 0)', 5, 'avg_trade')}, {R('profit_factor', 5)} FROM a LEFT JOIN t USING (symbol)""",
     "curve_metrics": f"""WITH {BOOK}, c AS (SELECT symbol, last(equity ORDER BY ts) - 1 AS total_return, (epoch(max(ts)) - epoch(min(ts))) / (365.25 * 86400) AS y, stddev_samp(returns) AS sd, avg(returns) AS m, min(drawdown) AS mdd FROM book GROUP BY 1)
-      SELECT symbol, {R('total_return', 5)}, {R('sd * sqrt(365.0)', 5, 'volatility')}, {R('mdd', 5, 'max_drawdown')}, {R('m / sd * sqrt(365.0)', 5, 'sharpe')}, {R('pow(1 + total_return, 1 / y) - 1', 5, 'cagr')} FROM c""",
+      SELECT symbol, {R('total_return', 5)}, {R('sd * sqrt(365.0)', 5, 'volatility')}, {R('mdd', 5, 'max_drawdown')}, {R('CASE WHEN sd < 1e-12 THEN 0.0 ELSE m / sd * sqrt(365.0) END', 5, 'sharpe')}, {R('pow(1 + total_return, 1 / y) - 1', 5, 'cagr')} FROM c""",
     "position_shares": f"WITH {BOOK} SELECT symbol, {R('avg(CAST(held > 0 AS DOUBLE))', 6, 'long_share')}, {R('avg(CAST(held < 0 AS DOUBLE))', 6, 'short_share')} FROM book GROUP BY 1",
     "entry_exit_counts": f"""WITH {BOOK}, e AS (SELECT *, held <> 0 AS on_, coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY ts), 0.0) <> 0 AS was FROM book)
       SELECT symbol, count(*) FILTER (on_ AND NOT was) AS entries, count(*) FILTER (was AND NOT on_) AS exits, count(*) AS bars FROM e WHERE ts <= TIMESTAMP '1998-12-31' GROUP BY 1""",
     "return_moments": f"""WITH {BOOK}, c AS (SELECT symbol, returns, avg(returns) OVER (PARTITION BY symbol) AS m FROM book),
       k AS (SELECT symbol, count(*) AS n, avg(returns) AS mean, stddev_samp(returns) AS sd, avg(pow(returns - m, 2)) AS m2, avg(pow(returns - m, 3)) AS m3, avg(pow(returns - m, 4)) AS m4 FROM c GROUP BY 1)
-      SELECT symbol, n, {R('mean', 5)}, {R('sd', 5)}, {R('m3 / pow(m2, 1.5)', 5, 'skew')}, {R('m4 / (m2 * m2)', 5, 'kurt')} FROM k""",
+      SELECT symbol, n, {R('mean', 5)}, {R('sd', 5)}, {R('m3 / nullif(pow(m2, 1.5), 0)', 5, 'skew')}, {R('m4 / nullif(m2 * m2, 0)', 5, 'kurt')} FROM k""",
     "harvest_book": f"""WITH {HOURLY + FUNDING + segments('funded', 'seg', 3600)}, h AS (
       SELECT *, coalesce(count(*) OVER w = 8 AND avg(funding_rate) OVER w > 0, false) AS on_ FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 7 PRECEDING)),
       g AS (SELECT *, lag(CASE WHEN on_ THEN 1.0::DOUBLE ELSE 0.0 END, 1, 0.0) OVER (PARTITION BY symbol ORDER BY ts) AS gross FROM h),

@@ -30,12 +30,12 @@ def bars_from_ticks(ticks: DataFrame, keys: list[str], step: int, order: list[st
     """Bars from (keys, ts, price, size): ``order`` is a total order, so first and last are the same on every run."""
     at = F.struct("ts", *order)
     return (
-        ticks.groupBy(*keys, bucket("ts", step).alias("_t"))
+        ticks.groupBy(*keys, F.window("ts", f"{step} seconds").alias("_w"))  # the window itself: on streams it carries the watermark
         .agg(
             F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
             F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("quote_volume"), F.count("*").cast("double").alias("trades"),
         )
-        .withColumnRenamed("_t", "ts")
+        .withColumn("ts", F.col("_w.start"))
         .withColumn("taker_buy_volume", F.lit(0.0))
         .select(*keys, "ts", *PRICES, *AMOUNTS)
     )
