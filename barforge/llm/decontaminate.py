@@ -83,13 +83,13 @@ def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
 def window_matches(docs: DataFrame, benchmark: DataFrame, width: int, most_windows: int) -> DataFrame:
     """(doc_id, item_id, item_windows, shift, at, slots) of every window that a document shares with an item."""
     index = maybe_broadcast(materialize(benchmark_index(benchmark, width), "benchmark-windows"), most_windows)
-    # First only hashes become rows; the tokens of documents are carried along for the few that share a window at all.
-    hashes = tokenized(docs.select("doc_id", "text"), width).select("doc_id", F.explode("_windows").alias("_hash"))
-    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").select(F.col("doc_id").alias("_some")).distinct()
-    some = maybe_broadcast(materialize(some, "suspects"), 500_000)
-    suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")), "left_semi")
+    # First only hashes become rows; the tokens of documents are carried along for the windows that match.
+    hashes = tokenized(docs.select("doc_id", "text"), width).select("doc_id", F.posexplode("_windows").alias("pos", "_hash"))
+    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some")).agg(F.collect_set("pos").alias("_at"))
+    some = maybe_broadcast(materialize(some, "suspects"), 100_000)
+    suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")))
     read = tokenized(suspects, width)
-    each = read.select("doc_id", raw_tokens().alias("_raw"), "_typed", F.posexplode("_windows").alias("pos", "_hash"))
+    each = read.select("doc_id", raw_tokens().alias("_raw"), "_typed", "_windows", F.explode("_at").alias("pos")).withColumn("_hash", F.get("_windows", F.col("pos")))
     met = each.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", F.col("pos") + 1, width) == F.col("typed"))
     plain = lambda w: F.lower(F.translate(w, FIRST, ""))
     slots = F.transform(
