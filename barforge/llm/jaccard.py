@@ -142,8 +142,8 @@ def ranges_of(n: int, percent: int) -> tuple[Range, ...]:
 
 def most_different(size: Range, percent: int) -> int:
     """The most shingles in which two linked sets, the larger in ``size``, differ."""
-    total = 2 * size.last
-    return total - 2 * need(percent, total)
+    total = 2 * size.last  # of even totals the largest allows most, of odd ones the largest as well, but rounding decides between the two
+    return max(t - 2 * need(percent, t) for t in (total, total - 1))
 
 
 def signatures(found: np.ndarray, percent: int) -> np.ndarray:

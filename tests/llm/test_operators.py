@@ -117,6 +117,30 @@ def test_near_duplicates(spark, width, percent):
     assert jaccard.jaccard_components(df.limit(0), width, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_cell_at_every_size(percent):
+    """Words appended and removed, from 1 shingle to 150, by the definition of a link alone."""
+    rng = np.random.default_rng(percent)
+    for n in range(1, 151):
+        size = jaccard.ranges_of(n, percent)[0]
+        links = [(more, less) for more in range(n + 1) for less in range(n) if 100 * (n - less) >= percent * (n + more) and n + more - less <= size.last]
+        assert jaccard.most_different(size, percent) >= max(more + less for more, less in links)
+        links = [(more, less) for more in range(n) for less in range(n) if 100 * (n - less) >= percent * (n + more) and more + less]
+        for more, less in links if len(links) < 30 else rng.permutation(links)[:30]:
+            for _ in range(4):
+                words = rng.integers(1, 2**63, size=n + more, dtype=np.uint64)
+                a, b = np.sort(words[:n]), np.sort(words[less:])
+                assert set(jaccard.signatures(a, percent).tolist()) & set(jaccard.signatures(b, percent).tolist()), (n, more, less)
+
+
+def test_a_word_appended_to_sixteen_links(spark):
+    words = [f"w{i}" for i in range(18)]
+    rows = [(2 * n + k, f"t{n} " + " ".join(words[: n - 1 + k])) for n in range(12, 18) for k in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    want = plain_components(rows, 3, 90)
+    assert got == {i: want[i] for i, _ in rows} and got[33] == 32
+
+
 def test_shingle_hashes_do_not_depend_on_pieces():
     rng = random.Random(1)
     data = " ".join("x" * rng.randrange(1, 40) + str(i) for i in range(500)).encode()
