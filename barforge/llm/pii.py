@@ -5,13 +5,13 @@ their check are dropped without another try. Each base span is a protected entit
 
 Method: a term (a run of at least three letters) near an entity reveals it by as much as its presence raises the
 entity's probability: the pointwise mutual information of term and entity over the entity's own information,
-``log(p(e|t) / p(e)) / -log p(e)``, from counts of distinct texts over the whole corpus. Terms that met the entity in at
-least ``support`` distinct texts are generalised from ``generalise`` on and removed from ``remove`` on, in the texts that
-hold the entity. Texts without an entity are left alone.
+``log(p(e|t) / p(e)) / -log p(e)``, from counts over the whole corpus. p(e|t) is smoothed towards p(e) by ``smooth`` texts,
+so that an entity of a single text is measured like any other, with less trust in terms seen once. Terms are generalised
+from ``generalise`` on and removed from ``remove`` on, in the texts that hold the entity. Texts without an entity are left alone.
 
 All texts are read whole, twice: for spans and their surroundings, and for the number of texts with each candidate term.
-Only surroundings of entities and counts are shuffled, never texts. Candidates are broadcast when they number at most
-``most_terms``; beyond that the counts of all terms are shuffled and joined instead.
+Only surroundings of entities and counts are shuffled, never texts. Terms too common to reveal any entity are put aside
+by their counts alone; the others are broadcast when they number at most ``most_terms``.
 
 Defined results: a null text is an empty one; equal texts have equal spans and count once in the statistics; no row is
 lost or repeated whatever its other columns are; an empty table gives an empty table.
@@ -154,27 +154,29 @@ def letters_runs(text: Column) -> Column:
     return F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " ", -1))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int, generalise: float, most_terms: int) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, smooth: float, generalise: float, most_terms: int) -> DataFrame:
     """(entity, term, disclosure) at or above ``generalise``. ``found``: base_spans() without text, materialized."""
     met = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_near").alias("n"))
     met = met.select("_key", F.col("n.entity").alias("entity"), F.explode("n.terms.term").alias("term")).distinct()
-    joint = met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    joint = materialize(joint, "joint")
+    joint = met.groupBy("entity", "term").agg(F.count("*").alias("both"))
     held = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_base").alias("b"))
     held = held.select("_key", F.concat_ws(":", "b.kind", "b.entity").alias("_e")).distinct().groupBy("_e").agg(F.count("*").alias("texts"))
-    wanted = maybe_broadcast(materialize(joint.select(F.col("term").alias("_w")).distinct(), "terms"), most_terms)
-    every = docs.select(F.explode(letters_runs(text_of())).alias("w"))
+    held = materialize(held, "held")
     # Repeated texts count as often as they occur here, so that a term's share of the entity's texts is never overstated.
-    seen = every.join(wanted, F.col("w") == F.col("_w"), "left_semi").groupBy(F.col("w").alias("_w")).agg(F.count("*").alias("with_term"))
-    rows = docs.agg(F.count("*").alias("rows"))
-    all_ = joint.join(held, F.col("entity") == F.col("_e")).join(seen, F.col("term") == F.col("_w")).join(F.broadcast(rows), F.lit(True))  # rows: a single row
-    copies = F.least(F.col("both") / F.col("with_term"), F.lit(1.0))
+    seen = docs.select(F.explode(letters_runs(text_of())).alias("_w")).where(F.length("_w") >= 3).groupBy("_w").agg(F.count("*").alias("with_term"))
+    rows = docs.agg(F.count("*").alias("rows")).join(held.agg(F.max("texts").alias("most")), F.lit(True))  # a single row
+    rows = F.broadcast(materialize(rows, "rows"))
+    # both <= texts, so a term of more texts than this is below ``generalise`` for every entity; one more against rounding.
+    can = F.pow("most", F.lit(generalise)) * F.pow(F.greatest(F.col("rows"), F.col("most") + 1), F.lit(1.0 - generalise)) + 1
+    seen = maybe_broadcast(materialize(seen.join(rows, F.col("with_term") <= can).select("_w", "with_term"), "terms"), most_terms)
+    all_ = joint.join(seen, F.col("term") == F.col("_w")).join(held, F.col("entity") == F.col("_e")).join(rows, F.lit(True))
     prior = F.col("texts") / F.greatest(F.col("rows"), F.col("texts") + 1)
-    measured = all_.withColumn("disclosure", F.log(copies / prior) / -F.log(prior))
+    given = F.least((F.col("both") + smooth * prior) / (F.col("with_term") + smooth), F.lit(1.0))
+    measured = all_.withColumn("disclosure", F.log(given / prior) / -F.log(prior))
     return measured.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def find_spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, most_terms: int = 100_000, keep_text: bool = True) -> DataFrame:
+def find_spans(docs: DataFrame, smooth: float = 0.5, generalise: float = 0.8, most_terms: int = 100_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with spans and base_spans: arrays of (kind, start, stop, entity, disclosure), with and without terms.
 
     Without ``keep_text`` the text is left out, so that only ids, spans and other columns are written on the way.
@@ -182,7 +184,7 @@ def find_spans(docs: DataFrame, support: int = 3, generalise: float = 0.8, most_
     columns = [c for c in docs.columns if keep_text or c != "text"]
     found = base_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text"))
     found = materialize(found.drop("text"), "spans")
-    terms = materialize(disclosing_terms(found, docs, support, generalise, most_terms), "disclosing")
+    terms = materialize(disclosing_terms(found, docs, smooth, generalise, most_terms), "disclosing")
     met = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_near").alias("n"))
     met = met.select("_key", F.col("n.entity").alias("_entity"), F.explode("n.terms").alias("t")).distinct()
     hit = met.join(terms, (F.col("_entity") == F.col("entity")) & (F.col("t.term") == F.col("term")))

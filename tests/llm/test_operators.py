@@ -214,6 +214,17 @@ def test_terms_that_reveal_are_found_and_removed(spark):
     assert {r["doc_id"]: r["spans"] for r in again} == {i: r["spans"] for i, r in out.items()}
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, f"{prose(rng, 20)} Zacharias wrote to z{i}@mail.org from the {prose(rng, 20)}") for i in range(1)]
+    rows += [(i, f"{prose(rng, 20)} the pseudonym of +49 151 5550 1234 and {prose(rng, 20)}") for i in (1, 2)] + [(10 + i, f"the {prose(rng, 40)}") for i in range(200)]
+    for most_terms in (0, 1000):
+        out = {r["doc_id"]: r["spans"] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), most_terms=most_terms).collect()}
+        terms = {i: {s["entity"] for s in out[i] if s["kind"] == "term"} for i in out}
+        assert "zacharias" in terms[0] and "pseudonym" in terms[1] & terms[2]
+        assert not {"the", "and", "apple", "house"} & (terms[0] | terms[1] | terms[2]) and not any(out[i] for i in out if i >= 10)
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>One <b>two</b>three\n four &lt;x&gt;.<br>five<p>{}</article><footer>&copy; site words</footer>'
 
 
