@@ -2,10 +2,12 @@
 
 Base rules are fixed. The method's verdict comes from thresholds that follow the corpus: for every language and
 source a mergeable quantile sketch (counts on a fixed integer grid: merging is adding, the answer does not depend on
-the order of merging, the error is at most one grid step) gives the median and the tenth and ninetieth percentile of
+the order of merging, the error is at most one grid step) gives the median, the upper quartile and the tenth and ninetieth percentile of
 each metric; sketches of sources are merged to one per language and to one of all, which stand in for groups with few
-documents. A document goes when a metric lies beyond its group's fence, which is drawn from the half of the
-distribution that junk does not reach, plus a minimum spread, so that a group without outliers loses nothing.
+documents. A document goes when a metric lies beyond its group's fence, which is drawn from the part of the
+distribution that junk does not reach, plus a minimum spread, so that a group without outliers loses nothing: for the
+mean word length the half on the other side of the median, for shares, whose median is often zero, the upper quartile as
+well. What a quarter of a group's documents or more carry is thus the group's own habit, not an outlier.
 
 Defined results: a null text has no words (and fails the base rules); null language or source is a group of its own;
 equal rows get equal verdicts; an empty table gives an empty table.
@@ -117,11 +119,12 @@ def adaptive_fences(sketches: DataFrame, least_docs: int = 200) -> DataFrame:
     marks = (
         merged.withColumns({"upto": F.sum("n").over(so_far), "all": F.sum("n").over(whole)})
         .groupBy("level", "lang", "source", "metric")
-        .agg(at(10).alias("p10"), at(50).alias("p50"), at(90).alias("p90"), F.max("all").alias("docs"))
+        .agg(at(10).alias("p10"), at(50).alias("p50"), at(75).alias("p75"), at(90).alias("p90"), F.max("all").alias("docs"))
     )
     spread = F.create_map(*(x for m in METRICS for x in (F.lit(m.name), F.lit(m.spread))))[F.col("metric")]
     two_sided = F.col("metric").isin([m.name for m in METRICS if m.two_sided])
-    high = F.col("p50") + 4 * (F.col("p50") - F.col("p10")) + spread
+    below, above = F.col("p50") + 4 * (F.col("p50") - F.col("p10")), F.col("p75") + 4 * (F.col("p75") - F.col("p50"))
+    high = F.when(two_sided, below).otherwise(F.greatest(below, above)) + spread
     low = F.when(two_sided, F.col("p50") - 4 * (F.col("p90") - F.col("p50")) - spread).otherwise(F.lit(-1))
     fences = marks.select("level", "lang", "source", "docs", F.struct("metric", low.alias("low"), high.alias("high")).alias("fence"))
     fences = fences.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), F.collect_list("fence").alias("fences"))  # one for each metric

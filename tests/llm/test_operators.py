@@ -54,6 +54,16 @@ def test_quality_features_and_verdicts(spark):
     assert not got[(67, rows[-1][1])]["kept"] and not got[(66, rows[-2][1])]["kept"] and got[(3, rows[3][1])]["kept"]
 
 
+def test_fences_follow_a_source_whose_median_is_zero(spark):
+    """Four in ten documents of one source carry symbols; elsewhere the same share of symbols is junk."""
+    plain = lambda k: " ".join(f"w{k + 100}x{j}" for j in range(60))
+    marked = lambda k, n: plain(k).replace(" ", "% ", n)
+    rows = [(i, marked(i, 16) if i % 5 < 2 else plain(i), "en", "prices") for i in range(250)] + [(1000 + i, plain(i), "en", "news") for i in range(250)]
+    rows += [(2000, marked(1, 16), "en", "news"), (2001, " ".join(f"%%%%%%w{j}" for j in range(60)), "en", "prices")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in kept if i < 2000) and not kept[2000] and not kept[2001]
+
+
 def test_sharding(spark):
     docs, rows = documents(spark)
     out = sharding.external_shuffle(docs, shards=5, bucket_bytes=4000).collect()
