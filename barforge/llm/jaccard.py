@@ -1,26 +1,27 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A text is the set of its word shingles (64-bit hashes). Texts with equal sets form a class; one member stands for it.
+A text is the set of its word shingles (64-bit hashes). Texts with equal sets form a class; the document with its smallest id stands for it.
 
-Meeting. Shingles are hashed into groups, more groups than two linked sets can differ in: sets whose sizes allow a link
-at ``percent`` differ in at most ``d`` shingles, so with more than ``d`` non-empty groups at least one group holds exactly
-the same shingles in both. The content of each non-empty group is hashed to a signature, and classes meet in the cells
-of equal signatures (sizes are cut into ranges; a set that reaches into the next range emits its signatures there too).
-No linked pair is missed, frequent shingles alone bring nobody together, and nothing is capped.
+Points. Shingles are hashed into groups; the counts in the groups are a set's point, and the summed coordinate minima of
+two points bound the overlap of their sets. Random texts of some length don't differ enough in their counts for a tree
+over the whole corpus to tell them apart, so points are indexed by cell: a cell is a shingle, and a set lies in the cells
+of its rarest shingles, as many as it takes for any two linked sets to have one in common (prefix_lengths()). What is
+rare follows from counts over all texts, so a passage that many documents share brings none of them together unless
+their sets consist of little else. No linked pair is missed whatever the counts are, and nothing is capped.
 
 Verifying. First every member of a cell is compared with the cell's first member: as many pairs as rows; those whose
-count vectors allow a link are verified on the full sets. Linked classes get a common label. What may be left are links inside cells whose members still have different labels: there the counts
-of shingles in 64 groups are points, packed into an R-tree whose boxes keep coordinate maxima. A box is passed over when
-the summed coordinate minima of query and box fall short of the overlap that a link needs, or when all of its points
-have the query's label. Surviving pairs are verified on the full sets. Cells with more members than ``block`` are joined
-block by block, so no task holds an unbounded group.
+points allow a link are verified on the full sets, and linked nodes get a common label. What may be left are links
+between members of different labels: there the points of a cell are packed into an R-tree whose boxes keep coordinate
+maxima. A box is passed over when the summed minima of query and box fall short of the overlap that a link needs, or
+when all of its points have the query's label. Surviving pairs are verified on the full sets. Many small cells share a
+task; cells with more members than ``block`` are joined block by block, so no task holds an unbounded group.
 
 Components come from contraction rounds over the links (each node to its smallest neighbour, pointers doubled); links
 and components stay distributed, and every round is written to the shared folder.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
-shingle has one shingle, the whole of it; rows with the same id count as one document; rows with a null id link nothing
-and get a null component; an empty table gives an empty table.
+shingle has one shingle, the whole of it; rows with the same id count as one document, which links the classes of all
+its texts; rows with a null id link nothing and get a null component; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import fresh, materialize, maybe_broadcast
+from ._common import discard, fresh, materialize, maybe_broadcast, written
 
 U = np.uint64
 #: Groups of the count vectors.
-GROUPS = 64
+GROUPS = 128
 #: Points in a leaf and boxes in a node of the R-tree.
 FANOUT = 16
 _SPACES = np.zeros(256, dtype=bool)
@@ -108,7 +109,7 @@ def digest(found: np.ndarray) -> tuple[int, int]:
 
 def count_vector(found: np.ndarray) -> bytes:
     """Shingles in each group: a byte for each where that is enough, else four."""
-    counts = np.bincount((mix(found, 23) >> U(58)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((mix(found, 23) >> U(57)).astype(np.int64), minlength=GROUPS)
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
@@ -121,72 +122,112 @@ def need(percent: int, total: np.ndarray | int):
     return -(-percent * total // (100 + percent))
 
 
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of its rarest shingles bring a set of ``n`` together with others: with sets up to its own size, and with larger ones.
+
+    Of two sets that share ``o`` shingles, the rarest ``n - o + 1`` of each have one in common. Linked sets share at least
+    ``percent`` of the larger one, and need() of twice the smaller one.
+    """
+    return n - -(-percent * n // 100) + 1, n - need(percent, 2 * n) + 1
+
+
 @dataclass(frozen=True)
-class Range:
-    number: int
-    first: int
-    last: int
-
-
-@lru_cache(maxsize=100_000)
-def ranges_of(n: int, percent: int) -> tuple[Range, ...]:
-    """The size ranges in which a set of ``n`` shingles meets others: its own, and the next if a linked set can lie there."""
-    number, first, last = 0, 1, 9
-    while last < n:
-        number, first = number + 1, last + 1
-        last = max(first, first * 3 // 2)
-    own = Range(number, first, last)
-    following = Range(number + 1, last + 1, max(last + 1, (last + 1) * 3 // 2))
-    return (own, following) if 100 * n >= percent * following.first else (own,)
-
-
-def most_different(size: Range, percent: int) -> int:
-    """The most shingles in which two linked sets, the larger in ``size``, differ."""
-    total = 2 * size.last  # of even totals the largest allows most, of odd ones the largest as well, but rounding decides between the two
-    return max(t - 2 * need(percent, t) for t in (total, total - 1))
-
-
-def signatures(found: np.ndarray, percent: int) -> np.ndarray:
-    out = []
-    for size in ranges_of(len(found), percent):
-        d = most_different(size, percent)
-        if d == 0:
-            continue  # only equal sets are linked
-        groups = d + 1 + d // 8
-        at = (mix(found, 31 + size.number) % U(groups)).astype(np.int64)
-        content = np.zeros(groups, U)
-        np.add.at(content, at, mix(found, 32))
-        full = np.bincount(at, minlength=groups) > 0
-        which = np.arange(groups, dtype=U) + U(size.number) * U(1 << 32)
-        if np.count_nonzero(full) <= d:  # too few for the argument above: meets its like in empty groups as well
-            out.append(mix(which[~full], 33))
-        out.append(mix(content[full] ^ mix(which[full], 34), 35))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-SKETCH = "doc_id long, n long, d1 long, d2 long, counts binary, cells array<bigint>"
-
-
-def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """For every row: size, digest and count vector of its shingle set and the signatures of its cells."""
+class Order:
+    """A total order of shingles: those not listed first, by hash; those listed as frequent last, by their count and hash."""
+
+    frequent: np.ndarray
+    counts: np.ndarray
+
+    def rarest(self, found: np.ndarray, most: int) -> np.ndarray:
+        if not len(self.frequent):
+            return found[:most]
+        at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
+        listed = self.frequent[at] == found
+        rare = found[~listed][:most]
+        if len(rare) == most:
+            return rare
+        again = np.flatnonzero(listed)
+        again = again[np.argsort(self.counts[at[again]], kind="stable")]
+        return np.concatenate([rare, found[again[: most - len(rare)]]])
+
+
+NOTHING = Order(np.zeros(0, U), np.zeros(0, np.int64))
+SKETCH = "doc_id long, n long, d1 long, d2 long, often array<bigint>, times array<bigint>"
+#: Shingles that a task holds at once while it counts, and the count from which it reports one.
+HELD, REPORTED = 1 << 21, 3
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """For every row: size and digest of its shingle set; some rows carry what the task has counted several times since the row before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+            at = 0
+            while at < batch.num_rows:
+                rows, sets, held, first = [], {}, 0, at
+                while at < batch.num_rows and held < HELD:
+                    found = shingle_set(texts[at].as_py(), width)
+                    rows.append((len(found), *digest(found)))
+                    if rows[-1] not in sets:  # copies count once
+                        sets[rows[-1]] = found
+                        held += len(found)
+                    at += 1
+                each, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                often = times >= REPORTED
+                blank = [None] * (len(rows) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids[first:at], *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)),
+                        pa.array([*blank, each[often].view(np.int64)], pa.list_(pa.int64())), pa.array([*blank, times[often]], pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n", "d1", "d2", "often", "times"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+
+
+def frequent_order(counted: DataFrame, most: int = 1 << 19) -> Order:
+    """The order in which the ``most`` most frequent (h, c) come last. Any order is exact; one that knows what is frequent meets less."""
+    octaves = dict(counted.groupBy(F.floor(F.log2("c")).alias("octave")).agg(F.count("*").alias("n")).collect())  # at most 63 rows
+    least, room = 64, most
+    for octave in sorted(octaves, reverse=True):
+        room -= octaves[octave]
+        if room < 0:
+            break
+        least = octave
+    rows = counted.where(F.floor(F.log2("c")) >= least).collect()  # at most ``most``
+    frequent, counts = np.array([r["h"] for r in rows], np.int64).view(U), np.array([r["c"] for r in rows], np.int64)
+    order = np.argsort(frequent)
+    return Order(frequent[order], counts[order])
+
+
+def meeting_points(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
+    """(node, counts, inner, cells) of every row with words: its count vector and its rarest shingles, of which ``inner`` meet larger sets as well."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
             for at in range(0, batch.num_rows, 500):
-                rows = []
-                for text in texts[at : at + 500]:
+                rows, kept = [], []
+                for i, text in enumerate(texts[at : at + 500]):
                     found = shingle_set(text.as_py(), width)
-                    rows.append((len(found), *digest(found), count_vector(found), signatures(found, percent) if len(found) else np.zeros(0, np.int64)))
-                n, d1, d2, counts, cells = zip(*rows, strict=True)
-                ends = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells), pa.int64()))
+                    if len(found):
+                        outer, inner = prefix_lengths(len(found), percent)
+                        rows.append((ids[at + i].as_py(), count_vector(found), inner))
+                        kept.append(known.rarest(found, outer))
+                if not rows:
+                    continue
+                nodes, counts, inner = zip(*rows, strict=True)
+                ends = np.concatenate([[0], np.cumsum([len(c) for c in kept])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + 500].cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(counts, pa.binary()), lists],
-                    names=["doc_id", "n", "d1", "d2", "counts", "cells"],
+                    [pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(inner, pa.int32()), lists], names=["node", "counts", "inner", "cells"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, counts binary, inner int, cells array<bigint>")
 
 
 def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -207,11 +248,12 @@ def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, width: int, percent: int) -> DataFrame:
     """The linked pairs among ``pairs`` (a, b), by their full sets."""
+    before = set(written())
     pairs = materialize(pairs, "pairs")
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     sets = materialize(class_sets(docs, maybe_broadcast(nodes, 500_000), repeated, width), "sets")
     end = lambda side, c: sets.select(F.col("node").alias(f"_{side}"), F.col("found").alias(c))
-    both = pairs.join(end("a", "x"), F.col("a") == F.col("_a")).join(end("b", "y"), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+    both = pairs.join(end("b", "y"), F.col("b") == F.col("_b")).join(end("a", "x"), F.col("a") == F.col("_a")).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +264,9 @@ def verified(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, widt
                 keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "links")
+    links = materialize(both.mapInArrow(run, "a long, b long"), "links")
+    discard(docs.sparkSession, [p for p in written()[:-1] if p not in before])
+    return links
 
 
 class CountTree:
@@ -252,18 +296,50 @@ class CountTree:
         return self.levels[0][0][at]
 
 
-def tree_join(left: pd.DataFrame, right: pd.DataFrame, percent: int, first: int) -> pd.DataFrame:
-    """Pairs (a < b) across two blocks of a cell with different labels that the bound lets through; none with ``first``, which is done."""
-    points = [np.stack([counts_of(c) for c in side["counts"]]) for side in (left, right)]
-    tree = CountTree(points[1], right["label"].to_numpy())
-    nodes, out = right["node"].to_numpy(), []
-    for node, label, point in zip(left["node"], left["label"], points[0], strict=True):
-        if node == first:
-            continue
-        for other in nodes[tree.search(point, label, percent)]:
-            if other not in (node, first):
-                out.append((min(node, other), max(node, other)))
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+def tree_join(cell: pd.DataFrame, points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Positions of pairs across two parts of a cell with different labels that the bound lets through, one of them ``inner``."""
+    labels, inner = cell["label"].to_numpy(), cell["inner"].to_numpy()
+    tree = CountTree(points[right], labels[right])
+    for k in left:
+        at = right[tree.search(points[k], labels[k], percent)]
+        yield from ((k, other) for other in (at if inner[k] else at[inner[at]]))
+
+
+def leaf_join(rows: pd.DataFrame, points: np.ndarray, starts: np.ndarray, size: int, percent: int, held: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for cells of ``size`` members each that begin at ``starts``: a tree of one leaf, many of them at a time."""
+    labels, inner, total = rows["label"].to_numpy(), rows["inner"].to_numpy(), points.sum(axis=1)
+    one, other = np.triu_indices(size, 1)
+    step = max(1, held // len(one))
+    for at in range(0, len(starts), step):
+        a, b = ((starts[at : at + step, None] + x).ravel() for x in (one, other))
+        open_ = (labels[a] != labels[b]) & (inner[a] | inner[b])
+        a, b = a[open_], b[open_]
+        open_ = np.minimum(points[a], points[b]).sum(axis=1) >= need(percent, total[a] + total[b])
+        yield a[open_], b[open_]
+
+
+def bucket_join(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs (a < b) of all cells among ``rows``; none with a cell's first member, which is done."""
+    rows = rows[rows["node"] != rows["first"]].sort_values("cell", ignore_index=True)
+    if not len(rows):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    points, nodes, cell = np.stack([counts_of(c) for c in rows["counts"]]), rows["node"].to_numpy(), rows["cell"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.concatenate([start, [len(rows)]]))
+    whole = rows["i"].to_numpy()[start] < 0
+    found = []
+    for n in np.unique(size[(size <= FANOUT) & whole]):
+        found += leaf_join(rows, points, start[(size == n) & whole], int(n), percent)
+    for first, n in zip(start[~((size <= FANOUT) & whole)], size[~((size <= FANOUT) & whole)], strict=True):
+        all_ = np.arange(first, first + n)
+        i, j, own = (rows[c].to_numpy() for c in ("i", "j", "own"))
+        left, right = (all_, all_) if i[first] < 0 else (all_[own[all_] == i[first]], all_[own[all_] == j[first]])
+        if len(left) and len(right):
+            found += (np.array(p)[:, None] for p in tree_join(rows, points, left, right, percent))
+    pairs = np.concatenate([np.stack(p, axis=1).reshape(-1, 2) if isinstance(p, tuple) else p.reshape(1, 2) for p in found]) if found else np.zeros((0, 2), int)
+    a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+    out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]}).astype("int64")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,13 +360,13 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def one_row(rows: DataFrame, key: str, repeated: DataFrame | None) -> DataFrame:
-    """One row for each id. Only ids known to be ``repeated`` are brought together for that."""
+def once(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Each (doc_id, text) once. Only ids known to be ``repeated`` are brought together for that."""
     if repeated is None:
         return rows
     again = repeated.select(F.col("id").alias("_id"))
-    once = rows.join(again, F.col(key) == F.col("_id"), "left_anti")
-    return once.unionByName(rows.join(again, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key]))
+    single = rows.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
+    return single.unionByName(rows.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def class_sets(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, width: int) -> DataFrame:
@@ -304,66 +380,71 @@ def class_sets(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, wi
                 yield pa.RecordBatch.from_arrays([ids[at : at + 500].cast(pa.int64()), pa.array(sets, pa.binary())], names=["node", "found"])
 
     some = docs.join(nodes.select(F.col("node").alias("_n")), F.col("doc_id") == F.col("_n"), "left_semi")
-    return one_row(some.select(F.col("doc_id").cast("long"), "text"), "doc_id", repeated).mapInArrow(run, "node long, found binary")
+    return once(some.select(F.col("doc_id").cast("long"), "text"), repeated).mapInArrow(run, "node long, found binary")
 
 
-def shared_cells(reps: DataFrame) -> DataFrame:
-    """(cell, node, first) of every cell with two classes or more."""
-    each = reps.select("node", F.explode("cells").alias("cell"))
+def shared_cells(points: DataFrame) -> DataFrame:
+    """(cell, node, inner, first) of every cell with two nodes or more, one of them inner; ``first`` is the smallest inner one."""
+    each = points.select("node", "inner", F.posexplode("cells").alias("at", "cell")).select("cell", "node", (F.col("at") < F.col("inner")).alias("inner"))
     whole = Window.partitionBy("cell")
-    both = each.withColumns({"first": F.min("node").over(whole), "last": F.max("node").over(whole)})
-    return both.where("first <> last").select("cell", "node", "first")
+    marked = {"first": F.min(F.when(F.col("inner"), F.col("node"))).over(whole), "low": F.min("node").over(whole), "high": F.max("node").over(whole)}
+    return each.withColumns(marked).where("low <> high and first is not null").select("cell", "node", "inner", "first")
 
 
 def residual_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs inside cells whose members have different labels that the tree's bound lets through; none with a cell's first member."""
     label = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    named = cells.join(label, F.col("node") == F.col("_n"), "left").select("cell", "node", "first", F.coalesce("_r", "node").alias("label"))
+    named = cells.join(label, F.col("node") == F.col("_n"), "left").select("cell", "node", "inner", "first", F.coalesce("_r", "node").alias("label"))
     other = F.col("node") != F.col("first")
     marks = named.groupBy("cell").agg(
-        F.min(F.when(other, F.col("label"))).alias("low"), F.max(F.when(other, F.col("label"))).alias("high"),
-        F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"),
+        F.min(F.when(other, F.col("label"))).alias("low"), F.max(F.when(other, F.col("label"))).alias("high"), F.max(other & F.col("inner")).alias("any"),
+        F.count("*").alias("size"), F.sum(F.xxhash64("node", "inner").cast("decimal(38,0)")).alias("content"),
     )
-    marks = marks.where("low <> high").groupBy("size", "content").agg(F.min("cell").alias("_cell"))  # cells with the same members are joined once
-    parts = F.ceil(F.col("size") / block).cast("int")
+    marks = marks.where("low <> high and any").groupBy("size", "content").agg(F.min("cell").alias("_cell"))  # cells with the same members are joined once
+    parts = F.when(F.col("size") > block, F.ceil(F.col("size") / block).cast("int")).otherwise(0)
     rows = named.join(marks.select("_cell", parts.alias("parts")), F.col("cell") == F.col("_cell"))
     rows = rows.join(points.select(F.col("node").alias("_n"), "counts"), F.col("node") == F.col("_n"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    rows = rows.select("cell", "first", "node", "label", "counts", own.alias("own"), F.explode(pairs).alias("p"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left, right = group[group["own"] == i], group[group["own"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        return tree_join(left, right, percent, int(group["first"].iloc[0]))
-
-    rows = rows.select("cell", "first", "node", "label", "counts", "own", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-    return rows.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    # Cells of up to ``block`` members are dealt whole to buckets; of larger ones every two parts meet in a bucket of their own.
+    own = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(-1).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    pairs = F.when(F.col("parts") > 0, both).otherwise(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))))
+    rows = rows.select("cell", "first", "node", "inner", "label", "counts", own.alias("own"), F.explode(pairs).alias("p"))
+    rows = materialize(rows.select("cell", "first", "node", "inner", "label", "counts", "own", F.col("p.i").alias("i"), F.col("p.j").alias("j")), "residual")
+    buckets = rows.count() // block + 1
+    bucket = F.when(F.col("i") < 0, F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "i", "j"))
+    return rows.groupBy(bucket.alias("bucket")).applyInPandas(lambda group: bucket_join(group, percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): the smallest id reachable over links."""
-    docs = docs.select("doc_id", "text")
-    sketch = materialize(sketches(docs, width, percent), "sketches")
-    full = sketch.where("n > 0 and doc_id is not null")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    sketch = materialize(sketches(docs, width), "sketches")
+    counted = sketch.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("o")).groupBy(F.col("o.often").alias("h"))
+    order = frequent_order(materialize(counted.agg(F.sum("o.times").alias("c")), "frequent"))
+    full = sketch.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
     classes = materialize(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    repeated = materialize(full.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id"), "repeated")
+    repeated = materialize(sketch.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k")).where("k > 1").select("id"), "repeated")
     repeated = None if repeated.isEmpty() else repeated
     named = classes.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "node")
     same = (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2"))
-    copies = full.select("doc_id", "d1", "d2").join(named, same).where("doc_id <> node").select(F.col("doc_id").alias("_copy"))
-    copies = maybe_broadcast(materialize(copies, "copies"), 500_000)  # so that signatures need not be shuffled where it is small
-    reps = full.where(F.size("cells") > 0).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
-    reps = one_row(reps.select(F.col("doc_id").alias("node"), "counts", "cells"), "node", repeated)
-    cells = materialize(shared_cells(reps.select("node", "cells")), "cells")
-    met = maybe_broadcast(materialize(cells.select(F.col("node").alias("_n")).distinct(), "met"), 500_000)
-    points = materialize(reps.select("node", "counts").join(met, F.col("node") == F.col("_n"), "left_semi"), "points")
+    copies = full.join(named, same).where("doc_id <> node")
+    joined = None
+    if repeated is not None:  # every text of such an id is a point; the id links them with the classes of its texts
+        joined = copies.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+        joined = materialize(joined, "joined")
+        copies = copies.join(repeated, F.col("doc_id") == F.col("id"), "left_anti")
+    copies = maybe_broadcast(materialize(copies.select(F.col("doc_id").alias("_copy")), "copies"), 500_000)
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    points = materialize(meeting_points(once(own, repeated), width, percent, order), "points")
+    cells = materialize(shared_cells(points), "cells")
+    points = points.select("node", "counts")
     stars = materialize(cells.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(plausible(stars, points, percent), docs, repeated, width, percent)
+    if joined is not None:
+        links = links.unionByName(joined)
     labels = components(links)
-    rest = residual_pairs(cells, labels, points, percent, block).join(stars, ["a", "b"], "left_anti")
+    star = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = residual_pairs(cells, labels, points, percent, block).join(star, ["a", "b"], "left_anti")
     more = verified(rest, docs, repeated, width, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -371,7 +452,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     ids = ids.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("root", "node").alias("_c"))
     out = sketch.join(ids, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if repeated is None:
+        return out
+    least = out.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"))
+    out = out.join(least, F.col("doc_id") == F.col("_id"), "left")  # a wordless row of an id that has words elsewhere
+    return out.select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -129,18 +129,37 @@ def test_near_duplicates(spark, width, percent):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_cell_at_every_size(percent):
-    """Words appended and removed, from 1 shingle to 150, by the definition of a link alone."""
+    """Words appended and removed, from 1 shingle to 150, by the definition of a link alone, whatever counts as frequent."""
     rng = np.random.default_rng(percent)
     for n in range(1, 151):
-        size = jaccard.ranges_of(n, percent)[0]
-        links = [(more, less) for more in range(n + 1) for less in range(n) if 100 * (n - less) >= percent * (n + more) and n + more - less <= size.last]
-        assert jaccard.most_different(size, percent) >= max(more + less for more, less in links)
         links = [(more, less) for more in range(n) for less in range(n) if 100 * (n - less) >= percent * (n + more) and more + less]
         for more, less in links if len(links) < 30 else rng.permutation(links)[:30]:
-            for _ in range(4):
+            for share in (0.0, 0.5, 0.95, 1.0):
                 words = rng.integers(1, 2**63, size=n + more, dtype=np.uint64)
-                a, b = np.sort(words[:n]), np.sort(words[less:])
-                assert set(jaccard.signatures(a, percent).tolist()) & set(jaccard.signatures(b, percent).tolist()), (n, more, less)
+                listed = np.sort(words[rng.random(len(words)) < share])
+                order = jaccard.Order(listed, rng.integers(1, 9, len(listed)))
+                sets = sorted((np.sort(words[:n]), np.sort(words[less:])), key=len)
+                (_, inner), (outer, _) = (jaccard.prefix_lengths(len(s), percent) for s in sets)
+                assert set(order.rarest(sets[0], inner).tolist()) & set(order.rarest(sets[1], outer).tolist()), (n, more, less, share)
+
+
+def test_a_document_with_two_texts_links_their_classes(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    rows = [(1, a), (5, b), (5, a), (9, b), (5, b), (7, a + " more"), (11, None), (5, None), (12, "alone")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 1), (11, 11), (12, 12)}
+
+
+def test_hot_passages_of_many_documents(spark):
+    """Documents that are mostly one passage, with rests of their own: some linked, all in large cells."""
+    rng = random.Random(8)
+    shared = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join(shared + [f"q{rng.randrange(8) if k % 3 else k}_{i}" for i in range(rng.randrange(4, 20))])) for k in range(150)]
+    want = plain_components(rows, 3, 90)
+    for block in (4096, 7):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, block=block).collect()}
+        assert got == want
+    assert 1 < len(set(want.values())) < 150
 
 
 def test_a_word_appended_to_sixteen_links(spark):
@@ -161,7 +180,7 @@ def test_shingle_hashes_do_not_depend_on_pieces():
 
 def test_the_tree_bounds_and_finds(spark):
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 9, (300, 64))
+    points = rng.integers(0, 9, (300, jaccard.GROUPS))
     tree = jaccard.CountTree(points, np.arange(300))
     for i in range(0, 300, 37):
         want = [j for j in range(300) if j != i and np.minimum(points[i], points[j]).sum() >= jaccard.need(60, points[i].sum() + points[j].sum())]
