@@ -247,21 +247,24 @@ def portfolio_mean(spark, sf_dir):
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returns of eight lagged threshold rules on one symbol: a long matrix of configurations."""
-    found = tables.smooth_bars(spark, sf_dir).where("symbol = 'N'")
-    ret = found.select("ts", ledger.price_return(KEYS).alias("r"), *(F.coalesce(F.signum(F.lag("close", 1).over(by_time(KEYS)) - F.lag("close", k).over(by_time(KEYS))), F.lit(0.0)).alias(f"s{k}") for k in range(2, 10)))
+    """Returns of eight lagged threshold rules on each symbol: long matrices of configurations."""
+    ret = tables.smooth_bars(spark, sf_dir).select(*KEYS, "ts", ledger.price_return(KEYS).alias("r"), *(F.coalesce(F.signum(F.lag("close", 1).over(by_time(KEYS)) - F.lag("close", k).over(by_time(KEYS))), F.lit(0.0)).alias(f"s{k}") for k in range(2, 10)))
     each = F.explode(F.array(*(F.struct(F.lit(f"k{k}").alias("config_id"), (F.round(F.col("r") * F.col(f"s{k}"), 6)).alias("ret")) for k in range(2, 10)))).alias("e")
-    return ret.select("ts", each).select("e.config_id", "ts", "e.ret")
+    return ret.select(*KEYS, "ts", each).select(*KEYS, "e.config_id", "ts", "e.ret")
 
 
 @query
 def overfitting_probability(spark, sf_dir):
-    return rounded(significance.overfitting(matrix(spark, sf_dir), 6), 6)
+    return rounded(significance.overfitting(matrix(spark, sf_dir), 6, KEYS), 6)
 
 
 @query
 def matrix_faults(spark, sf_dir):
-    return align.check_returns_matrix(matrix(spark, sf_dir))
+    """Planted: a copy of one configuration, one that lacks the last times and one with holes."""
+    found = matrix(spark, sf_dir)
+    copied = found.where("config_id in ('k2', 'k3', 'k4')").replace({"k2": "copy", "k3": "short", "k4": "holes"}, subset=["config_id"])
+    copied = copied.where("config_id <> 'short' or ts < timestamp_ntz'1998-01-01'").withColumn("ret", F.expr("if(config_id = 'holes' and ts > timestamp_ntz'1998-01-01', null, ret)"))
+    return align.check_returns_matrix(found.unionByName(copied), KEYS)
 
 
 @query
@@ -335,7 +338,7 @@ def deflated_sharpe(spark, sf_dir):
 @query
 def run_verdicts(spark, sf_dir):
     found = book(spark, sf_dir)
-    out = verdict.verdicts(found, ledger.trade_returns(found, KEYS), KEYS, 10, 365.0, significance.overfitting(matrix(spark, sf_dir)), {"n_permutations": 100})
+    out = verdict.verdicts(found, ledger.trade_returns(found, KEYS), KEYS, 10, 365.0, significance.overfitting(matrix(spark, sf_dir), keys=KEYS))
     return out.withColumn("status", verdict.status())
 
 
@@ -355,11 +358,30 @@ def bracket_trade_list(spark, sf_dir):
     return kernels.bracket_trades(strategies.run_segmented(strategy, found, KEYS), [*KEYS, "segment"], 2.0, 3.0, 20)
 
 
+class NextBar(strategies.Parametrised):
+    """Looks one bar ahead: what the causality harness must find."""
+
+    name = "next_bar"
+
+    def generate(self, bars: DataFrame, within: list[str]) -> DataFrame:
+        return bars.withColumn("target", F.coalesce(F.signum(F.lead("close").over(by_time(within)) - F.col("close")), F.lit(0.0)))
+
+
+@query
+def causality_honest(spark, sf_dir):
+    """No rows: the threshold strategy does not look ahead, on any series."""
+    return causality.leaks(strategies.make("threshold"), tables.smooth_bars(spark, sf_dir), KEYS)
+
+
 @query
 def causality_leaks(spark, sf_dir):
-    """No rows: the strategy does not look ahead."""
-    found = tables.smooth_bars(spark, sf_dir).where("symbol = 'N'").where("ts < timestamp_ntz'1996-01-01'")
-    return causality.leaks(strategies.make("threshold"), found, KEYS)
+    """A planted leak: a strategy that follows the next bar, on every series and all its times."""
+    return causality.leaks(NextBar(), tables.smooth_bars(spark, sf_dir), KEYS)
+
+
+@query
+def hurst_exponent(spark, sf_dir):
+    return rounded(kernels.hurst_exponent(tables.smooth_bars(spark, sf_dir), KEYS), 6)
 
 
 @query

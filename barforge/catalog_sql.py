@@ -125,6 +125,10 @@ tr AS (
 )"""
 )
 
+#: Returns of eight lagged rules on each symbol, long: x (symbol, ts, c, v).
+MATRIX = f"""p AS (
+      SELECT symbol, ts, coalesce(close / lag(close) OVER w - 1, 0.0) AS r, {', '.join(f"coalesce(sign(lag(close, 1) OVER w - lag(close, {k}) OVER w), 0) AS s{k}" for k in range(2, 10))} FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      x AS (SELECT symbol, ts, u.c, u.v FROM (SELECT symbol, ts, unnest([{', '.join(f"{{'c': 'k{k}', 'v': round(r * s{k}, 6)}}" for k in range(2, 10))}]) AS u FROM p))"""
 SQL: dict[str, str] = {
     "resample_hourly": f"WITH {HOURLY} SELECT symbol, ts, {', '.join(R(c, 4) for c in ('open', 'high', 'low', 'close', 'volume', 'quote_volume', 'trades'))} FROM hourly",
     "resample_daily": f"WITH {DAILY} SELECT symbol, ts, {', '.join(R(c, 2) for c in ('open', 'high', 'low', 'close', 'volume', 'quote_volume', 'trades'))} FROM daily",
@@ -217,16 +221,29 @@ SQL: dict[str, str] = {
     "portfolio_mean": f"""WITH {BOOK}, m AS (
       SELECT ts, CASE WHEN count(*) = (SELECT count(DISTINCT symbol) FROM book) THEN avg(returns) END AS returns, count(*) FILTER (held <> 0) AS in_book, count(*) FILTER (cap_hit) AS cap_hits FROM book GROUP BY ts)
       SELECT ts, {R('returns', 7)}, in_book, cap_hits, CASE WHEN returns IS NOT NULL THEN round(product(1 + returns) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 5) + 0.0 END AS equity FROM m""",
-    "matrix_faults": "SELECT CAST(NULL AS VARCHAR) AS fault, CAST(NULL AS VARCHAR) AS config_id WHERE false",
-    "overfitting_probability": f"""WITH {SMOOTH}, p AS (
-      SELECT ts, coalesce(close / lag(close) OVER w - 1, 0.0) AS r, {', '.join(f"coalesce(sign(lag(close, 1) OVER w - lag(close, {k}) OVER w), 0) AS s{k}" for k in range(2, 10))} FROM smooth WHERE symbol = 'N' WINDOW w AS (ORDER BY ts)),
-      x AS (SELECT ts, u.c, u.v FROM (SELECT ts, unnest([{', '.join(f"{{'c': 'k{k}', 'v': round(r * s{k}, 6)}}" for k in range(2, 10))}]) AS u FROM p)),
-      n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY c) // 6 AS size FROM x),
-      b AS (SELECT c, i // size AS blk, v FROM n WHERE i < 6 * size),
+    "matrix_faults": f"""WITH {SMOOTH}, {MATRIX},
+      m AS (SELECT * FROM x UNION ALL SELECT symbol, ts, 'copy', v FROM x WHERE c = 'k2' UNION ALL SELECT symbol, ts, 'short', v FROM x WHERE c = 'k3' AND ts < TIMESTAMP '1998-01-01'
+        UNION ALL SELECT symbol, ts, 'holes', CASE WHEN ts > TIMESTAMP '1998-01-01' THEN NULL ELSE v END FROM x WHERE c = 'k4'),
+      e AS (SELECT symbol, c, list(ts ORDER BY ts) AS times, list(v ORDER BY ts) AS content, count(*) FILTER (v IS NULL) AS bad FROM m GROUP BY 1, 2),
+      u AS (SELECT symbol, arg_max(times, k) AS usual FROM (SELECT symbol, times, count(*) AS k FROM e GROUP BY 1, 2) GROUP BY 1)
+      SELECT symbol, 'other times' AS fault, c AS config_id FROM e JOIN u USING (symbol) WHERE times <> usual
+      UNION ALL SELECT symbol, 'value not finite', c FROM e WHERE bad > 0
+      UNION ALL SELECT symbol, 'equal to another', c FROM (SELECT *, count(*) OVER (PARTITION BY symbol, times, content) AS k FROM e) WHERE k > 1""",
+    "hurst_exponent": f"""WITH {SMOOTH}, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM smooth),
+      d AS (SELECT a.symbol, k, stddev_pop(b.close - a.close) AS sd FROM n a CROSS JOIN range(2, 100) t(k) JOIN n b ON a.symbol = b.symbol AND b.i = a.i + k WHERE a.n >= 400 GROUP BY 1, 2),
+      h AS (SELECT symbol, CASE WHEN count(*) >= 4 THEN regr_slope(ln(sd), ln(k)) END AS h FROM d WHERE sd > 1e-12 GROUP BY 1)
+      SELECT symbol, {R('h', 6, 'hurst')} FROM (SELECT DISTINCT symbol FROM n) LEFT JOIN h USING (symbol)""",
+    "causality_honest": "SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS INT) AS cut, CAST(NULL AS TIMESTAMP) AS first_ts, CAST(NULL AS INT) AS n_cuts WHERE false",
+    "causality_leaks": f"""WITH {SMOOTH}, n AS (SELECT symbol, ts, close, row_number() OVER w AS i, lead(close) OVER w AS following, count(*) OVER (PARTITION BY symbol) AS n FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      c AS (SELECT symbol, list_distinct(CASE WHEN n <= 600 THEN range(1, n) ELSE list_concat(range(1, n, n // 200), [n // 4, n // 2, 3 * n // 4]) END) AS cuts FROM (SELECT DISTINCT symbol, n FROM n))
+      SELECT symbol, CAST(i AS INT) AS cut, ts AS first_ts, CAST(len(cuts) AS INT) AS n_cuts FROM n JOIN c USING (symbol) WHERE list_contains(cuts, i) AND following <> close""",
+    "overfitting_probability": f"""WITH {SMOOTH}, {MATRIX},
+      n AS (SELECT *, row_number() OVER (PARTITION BY symbol, c ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, c) // 6 AS size FROM x),
+      b AS (SELECT symbol, c, i // size AS blk, v FROM n WHERE i < 6 * size),
       k AS (SELECT m FROM range(0, 64) t(m) WHERE bit_count(m::INT) = 3),
-      s AS (SELECT m, c, avg(v) FILTER ((m >> blk) & 1 = 1) / stddev_samp(v) FILTER ((m >> blk) & 1 = 1) AS a, avg(v) FILTER ((m >> blk) & 1 = 0) / stddev_samp(v) FILTER ((m >> blk) & 1 = 0) AS z FROM b, k GROUP BY m, c),
-      r AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY a DESC, c) AS place, rank() OVER (PARTITION BY m ORDER BY z) + (count(*) OVER (PARTITION BY m, z) - 1) / 2 AS rk FROM s)
-      SELECT {R('avg(CAST(rk / 9.0 < 0.5 AS DOUBLE))', 6, 'pbo')} FROM r WHERE place = 1""",
+      s AS (SELECT symbol, m, c, avg(v) FILTER ((m >> blk) & 1 = 1) / stddev_samp(v) FILTER ((m >> blk) & 1 = 1) AS a, avg(v) FILTER ((m >> blk) & 1 = 0) / stddev_samp(v) FILTER ((m >> blk) & 1 = 0) AS z FROM b, k GROUP BY symbol, m, c),
+      r AS (SELECT *, row_number() OVER (PARTITION BY symbol, m ORDER BY a DESC, c) AS place, rank() OVER (PARTITION BY symbol, m ORDER BY z) + (count(*) OVER (PARTITION BY symbol, m, z) - 1) / 2 AS rk FROM s)
+      SELECT symbol, {R('avg(CAST(rk / 9.0 < 0.5 AS DOUBLE))', 6, 'pbo')} FROM r WHERE place = 1 GROUP BY symbol""",
     "purged_folds": f"""WITH {SMOOTH}, n AS (SELECT symbol, ts, row_number() OVER w - 1 AS i, ntile(5) OVER w - 1 AS own FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
       b AS (SELECT symbol, own AS fold, min(i) AS lo, max(i) AS hi FROM n GROUP BY 1, 2),
       j AS (SELECT n.symbol, n.ts, b.fold, CASE WHEN n.own = b.fold THEN 'test' WHEN n.i < b.lo - 10 OR n.i > b.hi + 20 THEN 'train' END AS role FROM n JOIN b USING (symbol))

@@ -57,30 +57,30 @@ def matched_events(bars: DataFrame, funding: DataFrame, keys: list[str], step: i
     return bars.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("_m", F.lit(0)).alias("matched"))
 
 
-def check_returns_matrix(returns: DataFrame) -> DataFrame:
-    """Faults of a long returns matrix (config_id, ts, ret) as rows (fault, config_id); none when it is usable.
+def check_returns_matrix(returns: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Faults of a long returns matrix (config_id, ts, ret), one for each of ``keys``, as rows (keys, fault, config_id); none when it is usable.
 
-    Checked: two configurations or more, equal times, finite values, no two equal columns. Equal columns are found by
-    the hash of their ordered values, so no pair of configurations is compared as such.
+    Checked: two configurations or more, equal times, finite values, no two equal columns. Times and columns are compared by
+    two independent hashes of their rows, so no pair of configurations is compared as such.
     """
-    each = returns.groupBy("config_id").agg(
+    keys = keys or []
+    total = lambda *c: F.struct(*(F.sum(F.xxhash64(F.lit(s), *c).cast("decimal(38,0)")) for s in (1, 2)))
+    each = returns.groupBy(*keys, "config_id").agg(
         F.count("*").alias("n"),
-        F.sum(F.xxhash64("ts").cast("decimal(38,0)")).alias("times"),
+        total("ts").alias("times"),
         F.count_if(F.col("ret").isNull() | F.isnan("ret") | (F.abs("ret") == float("inf"))).alias("bad"),
-        F.sum(F.xxhash64("ts", "ret").cast("decimal(38,0)")).alias("content"),
-    )
-    usual = each.groupBy("n", "times").count().orderBy(F.desc("count"), "n", "times").limit(1).select(F.col("n").alias("_n"), F.col("times").alias("_t"))
-    odd = each.join(F.broadcast(usual), (F.col("n") == F.col("_n")) & (F.col("times") == F.col("_t")), "left_anti")  # a single row
-    twins = Window.partitionBy("content")
-    same = each.withColumn("_c", F.count("*").over(twins)).where("_c > 1")
-    alone = each.agg(F.count("*").alias("c"), F.min("config_id").alias("config_id")).where("c < 2")
-    fault = lambda df, what: df.select(F.lit(what).alias("fault"), "config_id")
-    return (
-        fault(odd, "other times")
-        .unionByName(fault(each.where("bad > 0"), "value not finite"))
-        .unionByName(fault(same, "equal to another"))
-        .unionByName(fault(alone, "fewer than two configurations"))
+        total("ts", "ret").alias("content"),
     )
+    matrix = Window.partitionBy(*keys)
+    alike = each.withColumn("_same", F.count("*").over(Window.partitionBy(*keys, "n", "times")))
+    usual = F.max(F.struct("_same", "n", "times")).over(matrix)
+    marked = alike.withColumns({"_usual": usual, "_twins": F.count("*").over(Window.partitionBy(*keys, "content")), "_all": F.count("*").over(matrix)})
+    faults = (
+        ("other times", (F.col("n") != F.col("_usual.n")) | (F.col("times") != F.col("_usual.times"))), ("value not finite", F.col("bad") > 0),
+        ("equal to another", F.col("_twins") > 1), ("fewer than two configurations", F.col("_all") < 2),
+    )
+    found = F.array_compact(F.array(*(F.when(wrong, F.lit(what)) for what, wrong in faults)))
+    return marked.select(*keys, F.explode(found).alias("fault"), "config_id")
 
 
 def union_of_times(series: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import by_time
 from .strategies import Strategy
@@ -18,25 +19,32 @@ def cuts(n: int, dense: int = 600, sampled: int = 200) -> list[int]:
     return sorted({*range(1, n, n // sampled), n // 4, n // 2, 3 * n // 4} - {0})
 
 
+def cuts_of(n: Column, dense: int = 600, sampled: int = 200) -> Column:
+    """cuts() of each series by its own length."""
+    every = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int"))
+    quarters = F.array(F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(3 * n / 4).cast("int"))
+    strided = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int"), F.greatest(F.floor(n / sampled), F.lit(1)).cast("int"))
+    some = F.array_sort(F.array_distinct(F.concat(strided, quarters)))
+    return F.when(n < 2, F.array().cast("array<int>")).when(n <= dense, every).otherwise(some)
+
+
 def leaks(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """(keys, cut, first_ts, n_cuts): the cuts at which some target differs, none for a causal strategy.
 
     All cuts run as one plan: bars are repeated for each cut that holds them and the cut joins the strategy's partitioning.
     """
     within = within or keys
-    length = bars.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    chosen = cuts(length)
     legs = ("net", "gross", "carry") if strategy.legs else ("target",)
-    numbered = bars.withColumn("_row", F.row_number().over(by_time(keys)))
-    at = F.filter(F.array(*map(F.lit, chosen)).cast("array<int>"), lambda k: k >= F.col("_row"))
+    numbered = bars.withColumns({"_row": F.row_number().over(by_time(keys)), "_bars": F.count("*").over(Window.partitionBy(*keys))})
+    at = F.filter(cuts_of(F.col("_bars")), lambda k: k >= F.col("_row"))
     short = strategy.generate(numbered.withColumn("_cut", F.explode(at)), [*within, "_cut"])
     whole = strategy.generate(bars, within).select(*keys, "ts", *(F.col(c).alias(f"_{c}") for c in legs))
-    both = short.select(*keys, "ts", "_cut", *legs).join(whole, [*keys, "ts"])
+    both = short.select(*keys, "ts", "_cut", "_bars", *legs).join(whole, [*keys, "ts"])
     same = F.lit(True)
     for c in legs:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = both.where(~same).groupBy(*keys, F.col("_cut").alias("cut")).agg(F.min("ts").alias("first_ts"))
-    return found.withColumn("n_cuts", F.lit(len(chosen)))
+    found = both.where(~same).groupBy(*keys, F.col("_cut").alias("cut")).agg(F.min("ts").alias("first_ts"), F.first("_bars").alias("_bars"))
+    return found.select(*keys, "cut", "first_ts", F.size(cuts_of(F.col("_bars"))).alias("n_cuts"))
 
 
 def looks_ahead(df: DataFrame) -> list[str]:

@@ -1,14 +1,16 @@
 """A grid of configurations as a few Spark jobs.
 
 Bars of a time frame are prepared once and written; each batch of configurations is one plan, the union of its
-strategies' targets, followed by one ledger and one verdict over (config_id, symbol). A batch that fails is run again
-one by one, so that a faulty configuration becomes an error row and spoils no other.
+strategies' targets, followed by one ledger over (config_id, symbol). A batch that fails is run again one by one, so that
+a faulty configuration becomes an error row and spoils no other. Verdicts follow when all ledgers of a group are there.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..operators.resample import resample
 from ..schema import periods_per_year, step_seconds
 from ..sources import runs_store
 from ..sources.experiment import Cell, canonical
-from . import ledger as books
+from . import ledger as books_module
 from . import strategies, verdict
 
 KEYS = ["config_id", "symbol"]
@@ -49,26 +51,41 @@ def targets(prepared: DataFrame, cell: Cell) -> DataFrame:
 
 def ledgers(prepared: DataFrame, cells: list[Cell]) -> DataFrame:
     """The ledgers of cells with equal costs as one plan. A single leg trades its signed position, two legs their gross."""
-    costs = books.Costs.from_config(cells[0].experiment.costs)
+    costs = books_module.Costs.from_config(cells[0].experiment.costs)
     every = [targets(prepared, c) for c in cells]
     rows = every[0]
     for more in every[1:]:
         rows = rows.unionByName(more)
-    return books.ledger(rows, KEYS, costs, legs=True)
+    return books_module.ledger(rows, KEYS, costs, legs=True)
 
 
-def judged(book: DataFrame, timeframe: str, n_trials: int, validation: dict, screening: bool, matrix: bool) -> DataFrame:
-    pbo = significance.overfitting(book.select(F.concat_ws("|", *KEYS).alias("config_id"), "ts", F.col("returns").alias("ret"))) if matrix else None
-    return verdict.verdicts(book, books.trade_returns(book, KEYS), KEYS, n_trials, float(periods_per_year(timeframe)), pbo, validation, screening)
-
-
-def _groups(cells: list[Cell]) -> list[list[Cell]]:
-    """Cells that share bars, range, costs and gates, in batches."""
-    by: dict[str, list[Cell]] = {}
+def _groups(cells: list[Cell]) -> list[list[list[Cell]]]:
+    """Cells that share a symbol's bars, each group cut into batches of equal costs and gates: a batch is a matter of execution only."""
+    by: dict[str, dict[str, list[Cell]]] = {}
     for c in cells:
         e = c.experiment
-        by.setdefault(canonical([c.symbol, e.timeframe, e.start, e.end, e.costs, e.validation]), []).append(c)
-    return [group[i : i + BATCH] for group in by.values() for i in range(0, len(group), BATCH)]
+        by.setdefault(canonical([c.symbol, e.timeframe, e.start, e.end]), {}).setdefault(canonical([e.costs, e.validation]), []).append(c)
+    return [[own[i : i + BATCH] for own in group.values() for i in range(0, len(own), BATCH)] for group in by.values()]
+
+
+def group_matrix(books: list[DataFrame]) -> DataFrame:
+    """The long returns matrix of all of a group's ledgers."""
+    rows = [b.select(F.concat_ws("|", *KEYS).alias("config_id"), "ts", F.col("returns").alias("ret")) for b in books]
+    for more in rows[1:]:
+        rows[0] = rows[0].unionByName(more)
+    return rows[0]
+
+
+def group_overfitting(books: list[DataFrame], configurations: int) -> tuple[DataFrame | None, str | None]:
+    """One row (pbo) over the whole group, or None and the reason why its matrix is no use."""
+    if configurations < 2:
+        return None, verdict.NO_PBO
+    matrix = group_matrix(books)
+    faults = align.check_returns_matrix(matrix).orderBy("fault", "config_id").limit(4).collect()
+    if faults:
+        return None, "overfitting not judged: the group's matrix is unfit: " + "; ".join(f"{f['config_id']} {f['fault']}" for f in faults)
+    pbo = significance.overfitting(matrix).first()["pbo"]
+    return matrix.sparkSession.createDataFrame([(pbo,)], "pbo double"), None
 
 
 def _rows(found: DataFrame, cells: list[Cell], data_version: str, seconds: float) -> DataFrame:
@@ -95,33 +112,56 @@ def _failed(spark, cell: Cell, data_version: str, error: Exception) -> DataFrame
 def sweep(
     cells: list[Cell], load: Callable[[str, str, str, str | None], DataFrame], store: str, spark, data_version: str, prior_trials: int = 0, screening: bool = False, force: bool = False,
 ) -> dict[str, int]:
-    """Run what the store lacks. ``load`` gives prepared bars for (symbol, timeframe, start, end). A group's matrix holds the
-    configurations that this call runs, not those of earlier calls."""
+    """Run what the store lacks. ``load`` gives prepared bars for (symbol, timeframe, start, end).
+
+    A group's ledgers are written first, batch by batch; overfitting is then judged once over all that succeeded, and the
+    group's rows are stored together. A group's matrix holds the configurations that this call runs, not those of earlier calls.
+    """
     todo = cells
     if not force:
         done = {r[0] for r in runs_store.completed_ids(runs_store.read_runs(spark, store), data_version, screening).collect()}  # ids of one grid
         todo = [c for c in cells if c.config_id not in done]
     counts = {"cells": len(cells), "run": len(todo), "failed": 0}
     n_trials = max(1, prior_trials + len(todo))
-
-    def run(batch: list[Cell]) -> None:
-        start, e = time.time(), batch[0].experiment
-        prepared = load(batch[0].symbol, e.timeframe, e.start, e.end)
-        book = ledgers(prepared, batch).persist()
-        try:
-            found = judged(book, e.timeframe, n_trials, e.validation, screening, len(batch) > 1)
-            runs_store.write_runs(_rows(found, batch, data_version, 0.0).withColumn("duration_s", F.lit((time.time() - start) / len(batch))), store)
-        finally:
-            book.unpersist()
-
-    for batch in _groups(todo):
-        try:
-            run(batch)
-        except Exception:
-            for cell in batch:
-                try:
-                    run([cell])
-                except Exception as error:
-                    counts["failed"] += 1
-                    runs_store.write_runs(_failed(spark, cell, data_version, error), store)
+    scratch = f"{store}.scratch-{uuid.uuid4().hex}"
+
+    def fail(cell: Cell, error: Exception) -> DataFrame:
+        counts["failed"] += 1
+        return runs_store.normalize_runs(_failed(spark, cell, data_version, error))
+
+    def written(batch: list[Cell]) -> DataFrame:
+        e = batch[0].experiment
+        path = f"{scratch}/{uuid.uuid4().hex}"
+        ledgers(load(batch[0].symbol, e.timeframe, e.start, e.end), batch).write.parquet(path)
+        return spark.read.parquet(path)
+
+    def books_of(batches: list[list[Cell]], failed: list[DataFrame]) -> list[tuple[list[Cell], DataFrame, float]]:
+        out = []
+        for batch in batches:
+            start = time.time()
+            try:
+                out.append((batch, written(batch), (time.time() - start) / len(batch)))
+            except Exception:
+                for cell in batch:
+                    start = time.time()
+                    try:
+                        out.append(([cell], written([cell]), time.time() - start))
+                    except Exception as error:
+                        failed.append(fail(cell, error))
+        return out
+
+    try:
+        for batches in _groups(todo):
+            rows: list[DataFrame] = []
+            books = books_of(batches, rows)
+            pbo, unjudged = group_overfitting([b for _, b, _ in books], sum(len(c) for c, _, _ in books)) if books else (None, None)
+            for batch, book, seconds in books:
+                e = batch[0].experiment
+                found = verdict.verdicts(book, books_module.trade_returns(book, KEYS), KEYS, n_trials, float(periods_per_year(e.timeframe)), pbo, e.validation, screening, unjudged)
+                rows.append(runs_store.normalize_runs(_rows(found, batch, data_version, seconds)))
+            if rows:
+                runs_store.write_runs(reduce(DataFrame.unionByName, rows), store)
+    finally:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     return counts

@@ -20,12 +20,12 @@ NO_DIRECTION = "min_trades not applicable: no directional trades"
 
 def verdicts(
     book: DataFrame, trades: DataFrame, keys: list[str], n_trials: int, periods: float, pbo: DataFrame | None = None,
-    thresholds: Mapping | None = None, screening: bool = False,
+    thresholds: Mapping | None = None, screening: bool = False, unjudged: str | None = None,
 ) -> DataFrame:
-    """A row for each run. ``book``: its ledger; ``trades``: its trade returns; ``pbo``: one row (pbo) of the sweep's matrix.
+    """A row for each run. ``book``: its ledger; ``trades``: its trade returns; ``pbo``: one row (pbo) of the sweep's matrix, or a row for each of some keys.
 
     reasons say why a run fails, warnings what was not judged, inapplicable which gates mean nothing for its book. A run is
-    alive without reasons and inapplicable gates, unless it is only screened.
+    alive without reasons and inapplicable gates, unless it is only screened. ``unjudged``: why there is no ``pbo``.
     """
     if not 0 < periods < float("inf"):
         raise ValueError("periods must be positive and finite")
@@ -34,7 +34,11 @@ def verdicts(
     base = metrics.summary(book, trades, keys, periods)
     seen = book.groupBy(*keys).agg(F.max(F.abs("held")).alias("_exposed"), F.max(F.abs("returns")).alias("_moved"), (F.sum("fee") + F.sum("slippage") + F.sum("funding")).alias("cost_total"))
     rows = base.join(seen, keys).join(significance.deflated_sharpe(book, keys, n_trials), keys).join(significance.permutation_test(book, keys, n), keys)
-    rows = rows.crossJoin(F.broadcast(pbo)) if pbo is not None else rows.withColumn("pbo", F.lit(None).cast("double"))  # a single row
+    if pbo is None:
+        rows = rows.withColumn("pbo", F.lit(None).cast("double"))
+    else:
+        on = [c for c in pbo.columns if c != "pbo"]
+        rows = rows.join(pbo, on, "left") if on else rows.crossJoin(F.broadcast(pbo))  # a single row
     idle, off = F.col("_exposed") == 0, (F.col("_exposed") == 0) & (F.col("_moved") > 0)
     number = lambda c: F.format_string("%.3f", F.col(c))
     few = F.when((F.col("trades") < t["min_trades"]) & ~off, F.concat(F.lit("too few trades: "), F.col("trades").cast("string"), F.lit(f" < {t['min_trades']}")))
@@ -44,7 +48,7 @@ def verdicts(
         fit = F.lit(None).cast("string")
     else:
         fit = F.when(F.col("pbo").isNull(), "PBO can't be computed").when(F.col("pbo") >= t["max_pbo"], F.concat(F.lit("PBO "), number("pbo"), F.lit(f" >= {t['max_pbo']}")))
-    warnings = ([SCREENING] if screening else []) + ([NO_PBO] if pbo is None else [])
+    warnings = ([SCREENING] if screening else []) + ([unjudged or NO_PBO] if pbo is None else [])
     rows = rows.withColumns(
         {
             "reasons": F.array_compact(F.array(few, dsr, p, fit)),

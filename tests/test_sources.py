@@ -178,6 +178,28 @@ def test_sweep_resumes_and_isolates_faults(spark, tmp_path):
     assert sweep.sweep(cells, load, store, spark, "v2")["run"] == 4
 
 
+def test_a_group_is_judged_as_one_matrix(spark, tmp_path):
+    """Twenty configurations in batches of eight; a faulty one changes nothing for the others, equal ones are a warning."""
+    from barforge.functions import significance
+
+    prepared = sweep.prepare(helpers.bars(spark, helpers.ou(260, theta=0.1)), "1h", "1h").persist()
+    (tmp_path / "g.yaml").write_text(GRID.replace("mean_reversion", "threshold").replace("[10, 20], tp_atr: [2.0, 3.0]", f"{list(range(5, 24))}").replace("[A, B]", "[A]").replace("params: {k: 1.5}", "params: {k: 0.5}"))
+    cells = experiment.load_grid(str(tmp_path / "g.yaml"))
+    bad = experiment.expand(cells[0].experiment, ["A"], ["1h"], {"typo": [1]})
+    before, sweep.BATCH = sweep.BATCH, 8
+    try:
+        assert sweep.sweep(cells + bad, lambda *_: prepared, str(tmp_path / "runs"), spark, "v1")["failed"] == 1
+        twins = experiment.expand(cells[0].experiment, ["A"], ["1h"], {"k": [40.0, 50.0]})  # neither ever enters
+        sweep.sweep(twins, lambda *_: prepared, str(tmp_path / "twins"), spark, "v1")
+    finally:
+        sweep.BATCH = before
+    want = significance.overfitting(sweep.group_matrix([sweep.ledgers(prepared, cells)])).first()["pbo"]
+    rows = [r for r in runs_store.read_runs(spark, str(tmp_path / "runs")).collect() if not r["error"]]
+    assert len(rows) == 19 and want is not None and all(r["pbo"] == pytest.approx(want) for r in rows)
+    assert all(r["pbo"] is None and "equal to another" in r["warnings"] for r in runs_store.read_runs(spark, str(tmp_path / "twins")).collect())
+    assert not [p for p in tmp_path.iterdir() if "scratch" in p.name]
+
+
 def test_command_line(spark, tmp_path, capsys):
     rows = ["{},{},{},{},{},10,0,100000000,5,6,60,0".format(1704067200000 + 3600000 * i, c, c + 1, c - 1, c) for i, c in enumerate(helpers.ou(400, theta=0.1))]
     (tmp_path / "in").mkdir()
