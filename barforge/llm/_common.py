@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -30,13 +31,17 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where the session names none."""
+    """The cluster's checkpoint folder. A local session, where all tasks share one machine, gets one of its own if it names none."""
     context = spark.sparkContext
     chosen = context._jsc.sc().getCheckpointDir()
     if chosen.isDefined():
         return chosen.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or "/tmp/checkpoints")
+    if not named and context.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 

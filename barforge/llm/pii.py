@@ -3,15 +3,16 @@
 Base spans: emails, IP addresses, card and phone numbers, leftmost and non-overlapping for each kind; matches that fail
 their check are dropped without another try. Each base span is a protected entity.
 
-Method: a term (a run of at least three letters) near an entity reveals it by as much as its presence raises the
-entity's probability: the pointwise mutual information of term and entity over the entity's own information,
-``log(p(e|t) / p(e)) / -log p(e)``, from counts over the whole corpus. p(e|t) is smoothed towards p(e) by ``smooth`` texts,
-so that an entity of a single text is measured like any other, with less trust in terms seen once. Terms are generalised
-from ``generalise`` on and removed from ``remove`` on, in the texts that hold the entity. Texts without an entity are left alone.
+Method: a term (a run of at least three letters outside of base spans) of a text that holds an entity reveals it by as
+much as its presence raises the entity's probability: the pointwise mutual information of term and entity over the
+entity's own information, ``log(p(e|t) / p(e)) / -log p(e)``, from counts of distinct texts over the whole corpus. p(e|t) is
+smoothed towards p(e) by ``smooth`` texts, so that an entity of a single text is measured like any other, with less trust
+in terms seen once. Terms are generalised from ``generalise`` on and removed from ``remove`` on, in the texts that hold the
+entity. Texts without an entity are left alone.
 
-All texts are read whole, twice: for spans and their surroundings, and for the number of texts with each candidate term.
-Only surroundings of entities and counts are shuffled, never texts. Terms too common to reveal any entity are put aside
-by their counts alone; the others are broadcast when they number at most ``most_terms``.
+All texts are read whole, twice: for spans and the terms around them, and for the number of texts with each term. Only
+texts with an entity are kept on the way, and only keys, terms and counts are shuffled. Terms too common to reveal any
+entity are put aside by their counts before they meet an entity; the others are broadcast when they number at most ``most_terms``.
 
 Defined results: a null text is an empty one; equal texts have equal spans and count once in the statistics; no row is
 lost or repeated whatever its other columns are; an empty table gives an empty table.
@@ -41,8 +42,7 @@ GATES = {
     "phone": lambda t: t.contains("+"),
 }
 SPAN = "struct<kind:string,start:int,stop:int,entity:string>"
-#: Code points on each side of an entity that count as its surroundings.
-NEAR = 80
+TERM = r"\p{L}{3,}+"
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,24 +67,46 @@ def _valid(kind: str, match: Column) -> Column:
     return F.when(F.length(digits).between(14, 19), let(digits, _luhn)).otherwise(False)
 
 
-def _spans_of(kind: str, text: Column) -> Column:
-    """Spans of a kind: places come from the lengths of what lies between the matches."""
-    pattern = PATTERNS[kind]
-    between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
+def placed(text: Column, pattern: str) -> Column:
+    """(match, start, stop) of every match, in order. Places come from the lengths of what lies between the matches,
+    summed in about sqrt(n) blocks of sqrt(n) matches, so that no growing array is copied for each of n matches."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
+    nothing = F.array().cast("array<struct<match:string,start:int,stop:int>>")
+
+    def place(state: Column, p: Column) -> Column:
+        begin = state["at"] + p["gap"]
+        stop = begin + F.length(p["match"])
+        one = F.struct(p["match"].alias("match"), begin.alias("start"), stop.alias("stop"))
+        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    def whole(pairs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / size).cast("int")), lambda b: F.slice(pairs, b * size + 1, size))
+        lengths = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["match"]))
+        one = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), nothing.alias("out")), place)["out"]
+
+        def joined(blocks: Column) -> Column:
+            begins = let(
+                F.transform(blocks, lengths), lambda n: F.transform(n, lambda _, k: F.aggregate(F.slice(n, F.lit(1), k), F.lit(0), lambda x, y: x + y))
+            )
+            return F.flatten(F.zip_with(blocks, begins, one))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin, match = state["at"] + pair["gap"], pair["match"]
-        stop = begin + F.length(match)
-        entity = match if kind in ("email", "ip") else F.regexp_replace(match, "[^0-9]", "")
+        return let(blocks, joined)
+
+    return let(pairs, lambda p: F.when(F.size(p) == 0, nothing).otherwise(whole(p)))
+
+
+def _spans_of(kind: str, text: Column) -> Column:
+    """Spans of a kind whose matches pass its check."""
+
+    def span(m: Column) -> Column:
+        entity = m["match"] if kind in ("email", "ip") else F.regexp_replace(m["match"], "[^0-9]", "")
         entity = F.lower(entity) if kind == "email" else entity
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), stop.alias("stop"), entity.alias("entity")).cast(SPAN)
-        found = F.when(_valid(kind, match), F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
+        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), entity.alias("entity")).cast(SPAN)
 
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    found = F.aggregate(pairs, start, step)["found"]
+    found = F.transform(F.filter(placed(text, PATTERNS[kind]), lambda m: _valid(kind, m["match"])), span)
     return F.when(GATES[kind](text), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -100,52 +122,18 @@ def ordered(spans: Column) -> Column:
     return F.transform(keyed, lambda k: k["s"])
 
 
-def _terms_near(text: Column, span: Column) -> Column:
-    """(term, start, stop) of the whole runs of letters within NEAR code points of a span."""
-    first = F.greatest(span["start"] - NEAR, F.lit(0))
-    sides = F.array(
-        F.struct(first.alias("at"), F.substring(text, first + 1, span["start"] - first).alias("s"), (first > 0).alias("cut"), F.lit(False).alias("open")),
-        F.struct(span["stop"].alias("at"), F.substring(text, span["stop"] + 1, F.lit(NEAR)).alias("s"), F.lit(False).alias("cut"), F.lit(True).alias("open")),
-    )
-
-    def side(x: Column) -> Column:
-        """Terms of one side. A run at the far edge may go on outside and is left out."""
-        gaps = F.transform(F.split(x["s"], r"\p{L}+", -1), lambda s: F.length(s))
-        runs = F.regexp_extract_all(x["s"], F.lit(r"\p{L}+"), F.lit(0))
-        start = F.struct(x["at"].cast("int").alias("at"), F.array().cast("array<struct<term:string,start:int,stop:int>>").alias("out"))
-
-        def step(state: Column, p: Column) -> Column:
-            begin = state["at"] + p["gap"]
-            stop = begin + F.length(p["run"])
-            one = F.struct(F.lower(p["run"]).alias("term"), begin.alias("start"), stop.alias("stop"))
-            edge = (x["cut"] & (begin == x["at"])) | (x["open"] & (stop == x["at"] + F.length(x["s"])) & (F.length(x["s"]) == NEAR))
-            return F.struct(stop.alias("at"), F.when((F.length(p["run"]) >= 3) & ~edge, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
-
-        pairs = F.filter(F.arrays_zip(gaps.alias("gap"), runs.alias("run")), lambda p: p["run"].isNotNull())
-        return F.aggregate(pairs, start, step)["out"]
-
-    return F.flatten(F.transform(sides, side))
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with _base (ordered spans) and, where there are any, _key (two hashes of the text) and _near (terms by entity)."""
+    """``docs`` with _base (ordered spans), _key (two hashes of the text) and, where there are spans, _terms (term, start, stop) and _text."""
     text = text_of()
     found = docs.withColumn("_base", F.concat(*(_spans_of(k, text) for k in KINDS)))
     found = found.withColumn("_base", F.when(F.size("_base") > 1, ordered(F.col("_base"))).otherwise(F.col("_base")))
     some = F.size("_base") > 0
-
-    def near(span: Column) -> Column:
-        def free(t: Column) -> Column:
-            return ~F.exists(F.col("_base"), lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"]))
-
-        terms = F.filter(_terms_near(text, span), free)
-        return F.struct(F.concat_ws(":", span["kind"], span["entity"]).alias("entity"), terms.alias("terms"))
-
+    # Of the kinds only emails have letters: they are blanked out, so that terms lie outside of all spans.
+    pieces = F.arrays_zip(F.split(text, PATTERNS["email"], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("match"))
+    blanked = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.repeat(F.lit("0"), F.coalesce(F.length(p["match"]), F.lit(0))))), "")
+    terms = F.transform(placed(blanked, TERM), lambda m: F.struct(F.lower(m["match"]).alias("term"), m["start"].alias("start"), m["stop"].alias("stop")))
     return found.withColumns(
-        {
-            "_key": F.when(some, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))),
-            "_near": F.when(some, F.transform("_base", near)),
-        }
+        {"_key": F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")), "_terms": F.when(some, terms), "_text": F.when(some, text)}
     )
 
 
@@ -155,62 +143,91 @@ def letters_runs(text: Column) -> Column:
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, smooth: float, generalise: float, most_terms: int) -> DataFrame:
-    """(entity, term, disclosure) at or above ``generalise``. ``found``: base_spans() without text, materialized."""
-    met = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_near").alias("n"))
-    met = met.select("_key", F.col("n.entity").alias("entity"), F.explode("n.terms.term").alias("term")).distinct()
-    joint = met.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    held = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_base").alias("b"))
-    held = held.select("_key", F.concat_ws(":", "b.kind", "b.entity").alias("_e")).distinct().groupBy("_e").agg(F.count("*").alias("texts"))
-    held = materialize(held, "held")
-    # Repeated texts count as often as they occur here, so that a term's share of the entity's texts is never overstated.
-    seen = docs.select(F.explode(letters_runs(text_of())).alias("_w")).where(F.length("_w") >= 3).groupBy("_w").agg(F.count("*").alias("with_term"))
-    rows = docs.agg(F.count("*").alias("rows")).join(held.agg(F.max("texts").alias("most")), F.lit(True))  # a single row
-    rows = F.broadcast(materialize(rows, "rows"))
+    """(_key, term, disclosure) at or above ``generalise``, the greatest over the text's entities. ``found``: base_spans(), materialized."""
+    copies = materialize(found.groupBy("_key").agg(F.count("*").alias("_n")), "texts")
+    whole = copies.agg(F.count("*").alias("rows"))
+    repeated = maybe_broadcast(materialize(copies.where("_n > 1").select("_key.*", "_n"), "repeated"), 500_000)
+    each = found.where(F.size("_base") > 0).groupBy("_key").agg(
+        F.first(F.array_distinct(F.transform("_base", lambda b: F.concat_ws(":", b["kind"], b["entity"])))).alias("entities"),
+        F.first(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("terms"),
+    )  # rows of equal texts are equal
+    each = materialize(each, "holders")
+    held = materialize(each.select(F.explode("entities").alias("_e")).groupBy("_e").agg(F.count("*").alias("texts")), "held")
+    # A text of n copies adds 1 / n for each of them: sums are numbers of distinct texts.
+    hashed = docs.select(text_of().alias("t")).select("t", F.xxhash64("t").alias("_a"), F.xxhash64(F.lit(7), "t").alias("_b"))
+    weighed = hashed.join(repeated, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select("t", (1 / F.coalesce("_n", F.lit(1))).alias("w"))
+    seen = weighed.select(F.explode(letters_runs(F.col("t"))).alias("_w"), "w").where(F.length("_w") >= 3)
+    seen = seen.groupBy("_w").agg(F.round(F.sum("w")).cast("long").alias("with_term"))
+    rows = F.broadcast(materialize(whole.join(held.agg(F.max("texts").alias("most")), F.lit(True)), "rows"))  # a single row
     # both <= texts, so a term of more texts than this is below ``generalise`` for every entity; one more against rounding.
     can = F.pow("most", F.lit(generalise)) * F.pow(F.greatest(F.col("rows"), F.col("most") + 1), F.lit(1.0 - generalise)) + 1
     seen = maybe_broadcast(materialize(seen.join(rows, F.col("with_term") <= can).select("_w", "with_term"), "terms"), most_terms)
-    all_ = joint.join(seen, F.col("term") == F.col("_w")).join(held, F.col("entity") == F.col("_e")).join(rows, F.lit(True))
+    met = each.select("_key", "entities", F.explode("terms").alias("term")).join(seen, F.col("term") == F.col("_w"))
+    met = materialize(met.select("_key", "term", "with_term", F.explode("entities").alias("entity")), "met")
+    joint = met.groupBy("entity", "term", "with_term").agg(F.count("*").alias("both"))
+    all_ = joint.join(held, F.col("entity") == F.col("_e")).join(rows, F.lit(True))
     prior = F.col("texts") / F.greatest(F.col("rows"), F.col("texts") + 1)
     given = F.least((F.col("both") + smooth * prior) / (F.col("with_term") + smooth), F.lit(1.0))
-    measured = all_.withColumn("disclosure", F.log(given / prior) / -F.log(prior))
-    return measured.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    measured = all_.withColumn("disclosure", F.log(given / prior) / -F.log(prior)).where(F.col("disclosure") >= generalise)
+    strong = measured.select(F.col("entity").alias("_e"), F.col("term").alias("_t"), "disclosure")
+    hit = met.join(strong, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t")))
+    return hit.groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find_spans(docs: DataFrame, smooth: float = 0.5, generalise: float = 0.8, most_terms: int = 100_000, keep_text: bool = True) -> DataFrame:
-    """``docs`` with spans and base_spans: arrays of (kind, start, stop, entity, disclosure), with and without terms.
+def find_spans(docs: DataFrame, smooth: float = 1.0, generalise: float = 0.8, remove: float = 0.95, most_terms: int = 100_000, keep_text: bool = True) -> DataFrame:
+    """``docs`` with spans and base_spans: arrays of (kind, start, stop, entity, disclosure), with and without terms; with
+    sanitised: entities replaced by their kind, terms generalised to [TERM] or, from ``remove`` on, left out (null for texts
+    without a span, which stay as they are); and with text_sha256, of the whole text as sanitised.
 
-    Without ``keep_text`` the text is left out, so that only ids, spans and other columns are written on the way.
+    Without ``keep_text`` the text is left out, so that only texts with spans, ids, spans and other columns are written on the way.
     """
     columns = [c for c in docs.columns if keep_text or c != "text"]
     found = base_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text"))
+    found = found.withColumn("_sha", F.when(F.col("_text").isNull(), F.sha2(text_of(), 256)))
     found = materialize(found.drop("text"), "spans")
-    terms = materialize(disclosing_terms(found, docs, smooth, generalise, most_terms), "disclosing")
-    met = found.where(F.col("_key").isNotNull()).select("_key", F.explode("_near").alias("n"))
-    met = met.select("_key", F.col("n.entity").alias("_entity"), F.explode("n.terms").alias("t")).distinct()
-    hit = met.join(terms, (F.col("_entity") == F.col("entity")) & (F.col("t.term") == F.col("term")))
-    hit = hit.groupBy("_key", "t").agg(F.max("disclosure").alias("d"))
-    each = F.struct(F.lit("term").alias("kind"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.term").alias("entity"), F.col("d").alias("disclosure"))
-    extra = hit.groupBy(F.col("_key").alias("_k")).agg(F.collect_set(each).alias("_terms"))  # a text's own spans
+    terms = disclosing_terms(found, docs, smooth, generalise, most_terms)
+    terms = terms.groupBy(F.col("_key").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_strong"))  # a text's own terms
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["entity"].alias("entity"), F.lit(1.0).alias("disclosure")))
-    bare = found.where(F.col("_key").isNull()).select("row", base.alias("spans"), base.alias("base_spans"))
-    some = found.where(F.col("_key").isNotNull()).join(extra, F.col("_key") == F.col("_k"), "left")
-    every = ordered(F.concat(base, F.coalesce("_terms", F.filter(base, lambda s: F.lit(False)))))
-    return unpacked(bare.unionByName(some.select("row", every.alias("spans"), base.alias("base_spans"))), columns, "spans", "base_spans")
+    bare = found.where(F.size("_base") == 0).select("row", "_sha", F.lit(None).cast("string").alias("sanitised"), base.alias("spans"), base.alias("base_spans"))
+    some = found.where(F.size("_base") > 0).join(terms, F.col("_key") == F.col("_k"), "left")
+    strong = F.transform(
+        F.filter("_terms", lambda t: F.map_contains_key("_strong", t["term"])),
+        lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["stop"].alias("stop"), t["term"].alias("entity"), F.element_at("_strong", t["term"]).alias("disclosure")),
+    )
+    every = ordered(F.concat(base, F.coalesce(strong, F.filter(base, lambda s: F.lit(False)))))
+    some = some.select("row", "_sha", "_text", every.alias("spans"), base.alias("base_spans"))
+    some = some.select("row", "_sha", _sanitised(F.col("_text"), remove).alias("sanitised"), "spans", "base_spans")
+    out = bare.unionByName(some).withColumn("text_sha256", F.coalesce("_sha", F.sha2("sanitised", 256)))
+    return unpacked(out, columns, "spans", "base_spans", "sanitised", "text_sha256")
 
 
-def sanitise(docs: DataFrame, remove: float = 0.95, **options) -> DataFrame:
-    """``docs`` with ``spans`` and ``sanitised``: entities by kind, terms generalised to [TERM] or, from ``remove`` on, left out."""
-    found = find_spans(docs, **options)
-    text = text_of()
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _tops(stops: Column) -> Column:
+    """For each of ``stops`` the greatest before it, 0 at first; in blocks like placed()."""
+    none = F.array().cast("array<int>")
 
-    def step(state: Column, s: Column) -> Column:
+    def whole(stops: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(stops))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(stops) - 1) / size).cast("int")), lambda b: F.slice(stops, b * size + 1, size))
+        step = lambda s, x: F.struct(F.greatest(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        one = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+        before = lambda tops: F.transform(tops, lambda _, k: F.coalesce(F.array_max(F.slice(tops, F.lit(1), k)), F.lit(0)))
+        return let(blocks, lambda x: F.flatten(F.zip_with(x, let(F.transform(x, lambda block: F.array_max(block)), before), one)))
+
+    return F.when(F.size(stops) == 0, none).otherwise(let(stops, whole))
+
+
+def _sanitised(text: Column, remove: float) -> Column:
+    def piece(s: Column, at: Column) -> Column:
         label = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["disclosure"] >= remove, "").otherwise("[TERM]")
-        passed = s["start"] < state["at"]  # lies in a span before it
-        piece = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"), F.when(passed, state["out"]).otherwise(F.concat(state["out"], piece, label)).alias("out")
-        )
-
-    done = let(F.aggregate("spans", start, step), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn("sanitised", F.when(F.size("spans") == 0, F.col("text")).otherwise(done)).drop("base_spans")
+        inside = s["start"] < at  # begins in a span before it
+        return F.when(inside, "").otherwise(F.concat(F.substring(text, at + 1, s["start"] - at), label))
+
+    stops = F.transform("spans", lambda s: s["stop"])
+    rest = F.substring(text, F.coalesce(F.array_max(stops), F.lit(0)) + 1, F.lit(2**31 - 1))
+    return F.concat(F.array_join(F.zip_with("spans", _tops(stops), piece), ""), rest)
+
+
+def sanitise(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``spans`` and ``sanitised``; a text without spans is its own sanitised text."""
+    found = find_spans(docs, **options)
+    return found.withColumn("sanitised", F.coalesce("sanitised", "text")).drop("base_spans", "text_sha256")

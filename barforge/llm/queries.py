@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +19,23 @@ URL_RULES = [
 ]
 
 
+#: Disclosure from which op2 removes a term instead of generalising it.
+REMOVE = 0.95
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents."""
     return decontaminate.contaminated_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"), remove=REMOVE, keep_text=False)
     number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    terms = lambda test: F.size(F.filter("spans", lambda s: (s["kind"] == "term") & test(s["disclosure"]))).cast("long")
     return found.select(
-        "doc_id", *map(number, pii.KINDS), F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
-    )
+        "doc_id", *map(number, pii.KINDS), F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+        terms(lambda d: d < REMOVE).alias("n_generalised"), terms(lambda d: d >= REMOVE).alias("n_removed"), F.col("text_sha256").alias("sanitised_sha256"),
+    )
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +69,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """``vocabulary``: path of the vocabulary file; by default that of the installed public tokenizers."""
+    import public_tokenizers
+
     count = tokens.token_counter(spark, vocabulary or public_tokenizers.path("word_bpe_49k.json"))
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count(F.col("text")).alias("n_tokens")
