@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import LAST_CELL, METRICS
+from .quality import METRICS
 
 OP10 = rf"""
 WITH d AS (
@@ -24,7 +24,7 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (r)
 ), m AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    n_symbols * 1000 // greatest(word_chars, 1) AS symbols, least(word_chars * 100 // greatest(n_words, 1), {LAST_CELL}) AS word_length,
+    n_symbols * 1000 // greatest(word_chars, 1) AS symbols, word_chars * 100 // greatest(n_words, 1) AS mean_length, CASE {" ".join(f"WHEN mean_length >= {10**k} THEN mean_length - mean_length % {10 ** (k - 2)}" for k in range(18, 2, -1))} ELSE mean_length END AS word_length,
     n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines
   FROM f
 ), cells AS (
@@ -35,10 +35,10 @@ WITH d AS (
   UNION ALL SELECT 1, lang, NULL, metric, cell FROM cells
   UNION ALL SELECT 0, NULL, NULL, metric, cell FROM cells
 ), marks AS (
-  SELECT lvl, lang, source, metric, count(*) AS docs, quantile_disc(cell, 0.1) AS p10, quantile_disc(cell, 0.5) AS p50, quantile_disc(cell, 0.9) AS p90
+  SELECT lvl, lang, source, metric, count(*) AS docs, quantile_disc(cell, 0.1) AS p10, quantile_disc(cell, 0.5) AS p50, quantile_disc(cell, 0.75) AS p75, quantile_disc(cell, 0.9) AS p90
   FROM levels GROUP BY ALL
 ), fences AS (
-  SELECT lvl, lang, source, metric, docs, p50 + 4 * (p50 - p10) + CASE metric {" ".join(f"WHEN '{m.name}' THEN {m.spread}" for m in METRICS)} END AS high,
+  SELECT lvl, lang, source, metric, docs, CASE WHEN metric IN ({", ".join(f"'{m.name}'" for m in METRICS if m.two_sided)}) THEN p50 + 4 * (p50 - p10) ELSE greatest(p50 + 4 * (p50 - p10), p75 + 4 * (p75 - p50)) END + CASE metric {" ".join(f"WHEN '{m.name}' THEN {m.spread}" for m in METRICS)} END AS high,
     CASE {" ".join(f"WHEN metric = '{m.name}' THEN p50 - 4 * (p90 - p50) - {m.spread}" for m in METRICS if m.two_sided)} ELSE -1 END AS low
   FROM marks
 ), chosen AS (

@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds.
 
 Base rules are fixed. The method's verdict comes from thresholds that follow the corpus: for every language and
-source a mergeable quantile sketch (counts on a fixed integer grid: merging is adding, the answer does not depend on
-the order of merging, the error is at most one grid step) gives the median, the upper quartile and the tenth and ninetieth percentile of
+source a mergeable quantile sketch (counts on a fixed grid: merging is adding, the answer does not depend on the order
+of merging, the error is at most one cell: a thousandth for shares, a hundredth of the value for the mean word length) gives the median, the upper quartile and the tenth and ninetieth percentile of
 each metric; sketches of sources are merged to one per language and to one of all, which stand in for groups with few
 documents. A document goes when a metric lies beyond its group's fence, which is drawn from the part of the
 distribution that junk does not reach, plus a minimum spread, so that a group without outliers loses nothing: for the
@@ -42,9 +42,6 @@ class Metric:
 
 #: In thousandths, but for the mean word length in hundredths of a character.
 METRICS = (Metric("symbols", 30), Metric("word_length", 150, True), Metric("repeats", 300), Metric("dup_lines", 600))
-#: The grid's last cell: the mean word length stops there.
-LAST_CELL = 3000
-
 
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of three words found twice or more."""
@@ -88,11 +85,19 @@ def quality_features(docs: DataFrame) -> DataFrame:
     return out.drop("_counts", "_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def three_digits(value: Column) -> Column:
+    """``value`` cut to its first three digits: a grid without an end, whose cells grow with the value."""
+    step = F.lit(1)
+    for k in range(3, 19):
+        step = F.when(value >= 10**k, 10 ** (k - 2)).otherwise(step)
+    return value - value % step
+
+
 def _cells() -> dict[str, Column]:
     part = lambda a, b, scale: F.expr(f"{a} * {scale} div greatest({b}, 1)")
     return {
         "symbols": part("n_symbols", "word_chars", 1000),
-        "word_length": F.least(part("word_chars", "n_words", 100), F.lit(LAST_CELL).cast("long")),
+        "word_length": three_digits(part("word_chars", "n_words", 100)),
         "repeats": part("n_repeat_words", "n_words", 1000),
         "dup_lines": part("n_dup_lines", "n_lines", 1000),
     }
@@ -100,7 +105,7 @@ def _cells() -> dict[str, Column]:
 
 def quantile_sketches(features: DataFrame) -> DataFrame:
     """(lang, source, metric, cell, n) of the documents that pass the base rules: one mergeable sketch per language and source."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("int").alias("cell")) for k, v in _cells().items()))).alias("m")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("long").alias("cell")) for k, v in _cells().items()))).alias("m")
     rows = features.where(~F.col("base_failed")).select("lang", "source", each)
     return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), F.col("m.cell").alias("cell")).agg(F.count("*").alias("n"))
 
@@ -146,7 +151,7 @@ def quality_filter(features: DataFrame, least_docs: int = 200) -> DataFrame:
     fences = maybe_broadcast(materialize(adaptive_fences(materialize(quantile_sketches(features), "sketches"), least_docs), "fences"), 100_000)
     fences = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fences").alias("_fences"))
     joined = features.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    values = F.create_map(*(x for k, v in _cells().items() for x in (F.lit(k), v.cast("int"))))
+    values = F.create_map(*(x for k, v in _cells().items() for x in (F.lit(k), v.cast("long"))))
     inside = F.forall(F.coalesce(F.col("_fences"), F.array()), lambda f: F.element_at(values, f["metric"]).between(f["low"], f["high"]))
     return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", "_fences")
 
