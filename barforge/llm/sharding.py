@@ -2,8 +2,9 @@
 
 First pass: each record is scattered by a seeded hash, first to a shard (highest random weight of its key, so one more
 shard takes rows only into itself), then to a bucket of that shard small enough for memory. Second pass: the records of
-a bucket are gathered, put in a fixed order and dealt out by a Fisher-Yates shuffle (Spark's ``shuffle``). A record's
-slot is its bucket's offset plus its place; offsets come from a count of the same hashes.
+a bucket are gathered, put in a fixed order and dealt out by a Fisher-Yates shuffle whose draws are seeded hashes, so a
+record's slot depends on seed and data alone, not on partitions. It is the bucket's offset plus the place; offsets come
+from a count of the same hashes.
 
 Buckets depend on key and text, so neither a hot source nor a group of copies meets in one of them.
 
@@ -33,20 +34,37 @@ def rendezvous_shard(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(weights)["s"].cast("int")
 
 
-def external_shuffle(docs: DataFrame, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with shard, grown_shard (with one more shard) and slot (gapless from 0 in each shard)."""
+def fisher_yates(n: Column, seed: Column) -> Column:
+    """The numbers below ``n`` as a Fisher-Yates shuffle leaves them. Its draws are hashes of ``seed`` and the step, so seed and size alone decide."""
+
+    def swap(dealt: Column, i: Column) -> Column:
+        j = F.pmod(F.xxhash64(seed, i), i + 1).cast("int")
+        return F.transform(dealt, lambda x, k: F.when(k == i, F.get(dealt, j)).when(k == j, F.get(dealt, i)).otherwise(x))
+
+    last = (n - 1).cast("int")
+    steps = F.when(last > 0, F.sequence(last, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.sequence(F.lit(0), last), swap)
+
+
+def external_shuffle(
+    docs: DataFrame, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 16 << 20, bucket_rows: int = 512, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All columns of ``docs`` with shard, grown_shard (with one more shard) and slot (gapless from 0 in each shard).
+
+    Buckets hold about ``bucket_bytes`` and ``bucket_rows`` at most, on average; a swap walks its bucket's numbers, so buckets are kept short.
+    """
     own = docs.columns
     shard, grown, bucket, slot, rows, first = fresh(docs, "shard", "grown_shard", "_bucket", "slot", "_rows", "_first")
     placed = docs.withColumns({shard: rendezvous_shard(F.col(key), shards, seed)})
-    most = placed.groupBy(shard).agg(F.sum(record_size(F.col(text))).alias("bytes")).agg(F.max("bytes")).first()[0] or 0
-    buckets = max(1, -(-most // bucket_bytes))
+    most = placed.groupBy(shard).agg(F.sum(record_size(F.col(text))).alias("bytes"), F.count("*").alias("n")).agg(F.max("bytes"), F.max("n")).first()
+    buckets = max(1, -(-(most[0] or 0) // bucket_bytes), -(-(most[1] or 0) // bucket_rows))
     placed = placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text)), F.lit(buckets)))
     before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(placed.groupBy(shard, bucket).agg(F.count("*").alias("n")), "offsets").select(
         F.col(shard).alias("_s"), F.col(bucket).alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first)
     )
     gathered = placed.groupBy(shard, bucket).agg(F.sort_array(F.collect_list(F.struct(*(F.col(c) for c in [key, *(c for c in own if c != key)])))).alias(rows))
-    dealt = gathered.withColumn(slot, F.shuffle(F.sequence(F.lit(0), F.size(rows) - 1), F.lit(seed)))
+    dealt = gathered.withColumn(slot, fisher_yates(F.size(rows), F.xxhash64(F.lit(seed + 2), F.col(shard), F.col(bucket))))
     joined = dealt.join(offsets, (F.col(shard) == F.col("_s")) & (F.col(bucket) == F.col("_b")))
     each = joined.select(shard, first, F.explode(F.arrays_zip(F.col(rows).alias("r"), F.col(slot).alias("k"))).alias("e"))
     return each.select(*(F.col("e.r")[c].alias(c) for c in own), F.col(shard), (F.col(first) + F.col("e.k")).cast("long").alias(slot)).withColumn(
