@@ -7,7 +7,8 @@ source's block indexes, beginning again after the last, so a block is used as of
 more; slots and blocks are then joined by index.
 
 Streams are laid out by prefix sums in two levels (seeded bucket, then document), so no source has to fit in one task.
-Per-source figures are held on the driver: sources must number at most ``most_sources``, which is checked.
+Per-source figures are held on the driver: sources must number at most ``most_sources``, which is checked. Shards are drawn
+in two levels, groups on the driver and shards in tasks, so their number is not bounded by it.
 
 Defined results: a document without words is never taken; a null source is a source, the last one; rows that are equal
 take a place each in the stream; an empty table gives an empty mix.
@@ -16,11 +17,12 @@ take a place each in the stream; an empty table gives an empty mix.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
@@ -74,12 +76,14 @@ def plan_sources(sized: DataFrame, block_words: int, most_sources: int = 100_000
     return [Source(r["source"], n, t, b, min(round(t / block_words), 2 * b)) for r, n, t, b in zip(rows, sizes, aims, blocks, strict=True)]
 
 
-def draw_shards(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources): multinomial draws of almost equal shards that add up to ``slots``."""
+def draw_shards(slots: list[int], shards: int, seed: int | list[int], each: list[int] | None = None) -> np.ndarray:
+    """(shards, sources): multinomial draws of almost equal shards, or of sizes as ``each``, that add up to ``slots``."""
     rng, left = np.random.default_rng(seed), np.array(slots, dtype=np.int64)
     out = np.zeros((shards, len(slots)), dtype=np.int64)
+    share = each or [1] * shards
+    ahead = np.cumsum(share[::-1])[::-1].tolist()
     for k in range(shards):
-        want = int(left.sum()) // (shards - k)
+        want = int(left.sum()) * share[k] // ahead[k]
         got = np.minimum(rng.multinomial(want, left / left.sum()), left) if want else np.zeros_like(left)
         while (short := want - int(got.sum())) > 0:  # draws beyond what a source has left go to the others
             spare = left - got
@@ -88,6 +92,33 @@ def draw_shards(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def shard_runs(spark: SparkSession, sources: list[Source], shards: int, seed: int, most_groups: int = 1024) -> DataFrame:
+    """(shard, source_id, n, first, slot0, blocks): how many slots of a source a shard has, from which on in the source and in the shard.
+
+    The driver draws for groups of shards only, ``most_groups`` at most; each group's task draws its own shards from what the group has.
+    """
+    groups = max(1, min(shards, most_groups, 2_000_000 // max(1, len(sources))))
+    each = [(g + 1) * shards // groups - g * shards // groups for g in range(groups)]
+    draws = draw_shards([s.slots for s in sources], groups, seed, each)
+    first = np.cumsum(draws, axis=0) - draws
+    start = np.cumsum([0, *each[:-1]])
+    rows = [(g, int(start[g]), each[g], draws[g].tolist(), first[g].tolist()) for g in range(groups)]
+    blocks = [s.blocks for s in sources]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = draw_shards(list(row.slots), row.shards, [seed, row.number])
+                k, i = np.nonzero(own)
+                yield pd.DataFrame(
+                    {"shard": k + row.start, "source_id": i, "n": own[k, i], "first": (np.cumsum(own, axis=0) - own + np.array(row.first))[k, i],
+                     "slot0": (np.cumsum(own, axis=1) - own)[k, i], "blocks": np.array(blocks, dtype=np.int64)[i]}
+                )
+
+    table = spark.createDataFrame(rows, "number int, start long, shards int, slots array<bigint>, first array<bigint>").repartition(groups, "number")
+    return table.mapInPandas(run, "shard int, source_id int, n long, first long, slot0 long, blocks long")
+
+
 def _mixed(x: np.ndarray, key: int, most: np.ndarray) -> np.ndarray:
     """A hash of ``x`` below ``most`` (the finalizer of splitmix64)."""
     z = x.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
@@ -113,40 +144,35 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
 
 
 def stream_offsets(sized: DataFrame, seed: int, bucket_docs: int = 20_000) -> DataFrame:
-    """``sized`` (with source and size) with ``offset``: where a document begins in its source's stream."""
+    """``sized`` (with source, size and a hash _x of the text) with ``offset``: where a document begins in its source's stream."""
     buckets = max(64, -(-sized.count() // bucket_docs))
-    placed = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    placed = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_x"))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     sums = materialize(placed.groupBy("source", "_b").agg(F.sum("size").alias("n")), "bucket-sums")
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("_b").alias("_sb"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "_x", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     joined = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
-    return joined.withColumn("offset", F.col("_first") + F.col("_within")).drop("_h", "_b", "_s", "_sb", "_first", "_within")
+    return joined.withColumn("offset", F.col("_first") + F.col("_within")).drop("_h", "_x", "_b", "_s", "_sb", "_first", "_within")
 
 
-def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 100_000, seed: int = 41) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 16_384, seed: int = 41) -> tuple[DataFrame, DataFrame]:
     """The documents with their place (all columns but text, size, source_size, target, source_id, offset), and the mix:
     (shard, slot, source_id, block, offset, begin, end), words begin to end of the document at ``offset`` in each slot's block."""
     spark = docs.sparkSession
-    sized = materialize(docs.withColumn("size", n_words(text_of())).drop("text"), "sizes")
+    sized = materialize(docs.withColumns({"size": n_words(text_of()), "_x": F.xxhash64(text_of())}).drop("text"), "sizes")
     sources = plan_sources(sized, block_words)
     schema = "source_id int, _name string, source_size long, target double, blocks long"
     table = spark.createDataFrame([(i, s.name, s.size, s.target, s.blocks) for i, s in enumerate(sources)], schema)
     placed = stream_offsets(sized, seed).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "blocks")  # at most most_sources rows
     placed = materialize(placed, "streams")
-    shards = max(1, math.ceil(sum(s.slots for s in sources) / shard_slots))
-    draws = draw_shards([s.slots for s in sources], shards, seed)
-    first = np.cumsum(draws, axis=0) - draws
-    within = np.cumsum(draws, axis=1) - draws
-    runs = [(k, i, int(draws[k, i]), int(first[k, i]), int(within[k, i]), s.blocks) for k in range(shards) for i, s in enumerate(sources) if draws[k, i]]
+    runs = shard_runs(spark, sources, max(1, math.ceil(sum(s.slots for s in sources) / shard_slots)), seed)
 
     @pandas_udf("long")
     def block_at(k: pd.Series, n: pd.Series, source: pd.Series) -> pd.Series:
         return pd.Series(permute((k % n).to_numpy(), n.to_numpy(), source.to_numpy() + seed * 1_000_003))
 
-    slots = spark.createDataFrame(runs, "shard int, source_id int, n long, first long, slot0 long, blocks long").repartition(min(len(runs) or 1, 200))
-    slots = slots.select("shard", "source_id", "first", "slot0", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    slots = runs.select("shard", "source_id", "first", "slot0", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     slots = slots.select("shard", "source_id", (F.col("slot0") + F.col("i")).alias("slot"), block_at(F.col("first") + F.col("i"), "blocks", "source_id").alias("block"))
     size = F.lit(block_words).cast("long")
     pieces = placed.where(F.col("size") > 0).select(
