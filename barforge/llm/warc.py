@@ -2,7 +2,7 @@
 
 Writing: every row becomes one record (response, or revisit of the response with an equal payload), and Spark's text
 writer puts the records of a partition into a file, so a lost executor leaves no half-written archive behind. Files
-are kept small by a bound on their number of records that follows the largest payload.
+are kept small by a bound on their number of records that follows the largest payload of their size class.
 
 Reading: a record is accepted when its version line, its header, its length, its end and its digests hold. Where a
 check fails, the reader searches for the next gzip member or version line from which a record is valid again, goes on
@@ -32,6 +32,9 @@ from ._common import materialize, maybe_broadcast, shared_dir
 LEAST_BYTES = 100
 #: Bytes that a file of the writer has at most, unless one record alone is larger.
 FILE_BYTES = 32 << 20
+#: Sizes above which a payload belongs to the next class.
+SMALL_BYTES = 64 << 10
+CLASSES = [SMALL_BYTES << 2 * k for k in range(8)]
 END = b"\r\n\r\n"
 
 
@@ -52,14 +55,14 @@ def _uri(url: Column) -> Column:
     return F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), url).otherwise(F.col("url"))
 
 
-def records(pages: DataFrame, date: str) -> DataFrame:
-    """One column: each row's WARC record without the blank lines that end it."""
+def records(built: DataFrame, date: str) -> DataFrame:
+    """One column: the WARC record of each row of revisits(), without the blank lines that end it."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     ref = F.col("_refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("_bytes")), F.lit("\r\n"))
     block = F.when(ref, http).otherwise(F.concat(http, F.coalesce(F.col("html"), F.lit(""))))
-    built = revisits(pages).withColumn("_block", block)
+    built = built.withColumn("_block", block)
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(ref, "revisit").otherwise("response")),
@@ -78,12 +81,22 @@ def records(pages: DataFrame, date: str) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Write ``pages`` (page_id, url, html) as WARC files; returns their folder."""
+    """Write ``pages`` (page_id, url, html) as WARC files; returns their folder.
+
+    Pages of a size class (up to SMALL_BYTES, then by powers of four) are written together, so one large page makes no
+    others' files small: a file has at most FILE_BYTES, or a single record, and a partition only its last file of a class below a quarter of that.
+    """
     pages = pages.select("page_id", "url", "html")
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    most = max(1, min(4096, FILE_BYTES // (largest + 1024)))
-    records(pages, date).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    grade = F.lit(0)
+    for k, least in enumerate(CLASSES, 1):
+        grade = F.when(size > least, k).otherwise(grade)
+    found = dict(pages.groupBy(grade.alias("grade")).agg(F.max(size)).collect()) or {0: 0}  # a row for each class
+    built = revisits(pages)
+    for k, largest in sorted(found.items()):
+        most = max(1, min(4096, FILE_BYTES // (largest + 1024)))
+        records(built.where(grade == k), date).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(f"{path}/class-{k}")
     return path
 
 
