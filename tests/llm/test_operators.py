@@ -54,6 +54,13 @@ def test_quality_features_and_verdicts(spark):
     assert not got[(67, rows[-1][1])]["kept"] and not got[(66, rows[-2][1])]["kept"] and got[(3, rows[3][1])]["kept"]
 
 
+def test_word_lengths_have_no_last_cell(spark):
+    """Texts without spaces: their own group's lengths decide, however long its words are."""
+    rows = [(i, " ".join("字" * (60 + (i * j) % 7) + str(j) for j in range(60)), "zh", "s") for i in range(240)] + [(999, " ".join("字" * 900 + str(j) for j in range(60)), "zh", "s")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame([(i, t + f" {i}", lang, s) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string")).where("not base_failed").collect()}
+    assert kept and all(kept[i] for i in kept if i < 999) and not kept.get(999, False)
+
+
 def test_fences_follow_a_source_whose_median_is_zero(spark):
     """Four in ten documents of one source carry symbols; elsewhere the same share of symbols is junk."""
     plain = lambda k: " ".join(f"w{k + 100}x{j}" for j in range(60))
@@ -76,6 +83,15 @@ def test_sharding(spark):
     assert one[0][0] == zlib.crc32("é€".encode()) and [r[1] for r in one] == [21, 16]
 
 
+def test_slots_depend_on_seed_and_data_alone(spark):
+    docs, _ = documents(spark)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), r["_shard"], r["slot"], r["grown_shard"])
+    a, b = (sorted(map(key, sharding.external_shuffle(docs.repartition(n), shards=5, bucket_rows=8).collect())) for n in (1, 7))
+    assert a == b
+    n = spark.range(6).select(sharding.fisher_yates(F.col("id").cast("int") * 3, F.lit(5))).collect()
+    assert all(sorted(r[0]) == list(range(3 * i)) for i, r in enumerate(n) if i) and n[5][0] != list(range(15))
+
+
 def shingles(text, width):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
@@ -317,6 +333,17 @@ def test_targets_and_permutations():
     assert draws.sum(axis=0).tolist() == [1000, 10, 0] and draws.min() >= 0
 
 
+def test_runs_of_shards_cover_every_slot_once(spark):
+    sources = [mixing.Source(str(i), 0, 0.0, 50, n) for i, n in enumerate([1000, 37, 0, 512])]
+    for groups in (1, 3, 100):
+        runs = mixing.shard_runs(spark, sources, 11, 5, most_groups=groups).toPandas()
+        assert sorted(runs["shard"].unique()) == list(range(11)) and runs.groupby("source_id")["n"].sum().to_dict() == {0: 1000, 1: 37, 3: 512}
+        for _, own in runs.sort_values("first").groupby("source_id"):
+            assert (own["first"] == own["n"].cumsum() - own["n"]).all()
+        for _, own in runs.sort_values("slot0").groupby("shard"):
+            assert (own["slot0"] == own["n"].cumsum() - own["n"]).all() and 130 <= own["n"].sum() <= 150
+
+
 def test_archives(spark):
     long = "long é " * 40
     rows = [(3, "http://a/ b\r\nX: y", long), (1, "u", long), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "WARC/1.1\r\nfake\r\n\r\n" * 10), (None, "u", long), (1, "u", long)]
@@ -331,6 +358,13 @@ def test_archives(spark):
     assert warc.read_archives(spark, warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_one_large_page_leaves_the_other_files_large(spark):
+    rows = [(i, "u", f"page {i} " * 20) for i in range(2000)] + [(5000, "u", "x" * (33 << 20))]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path").collect()]
+    assert len(files) <= 4 and warc.read_archives(spark, path, payload=False).where("reason is null").count() == 2001
+
+
 def test_salvage_covers_every_byte():
     import gzip
 
