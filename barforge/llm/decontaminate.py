@@ -2,16 +2,18 @@
 
 Texts and benchmark items become sequences of typed tokens: numbers, names (capitalised words that don't begin a
 sentence) and units (after a number) turn into placeholders, other words are lower-cased. Windows of ``width`` tokens
-are hash-joined; windows that hold more placeholders than words are left out of the index, as they fit any table.
-Matches of a document and an item at the same distance form an alignment. Its slots must be consistent: equal slots of
-the item stand for equal slots of the document and the other way round, which verbatim copies and re-parameterised
-questions satisfy and chance meetings of templates do not. A document is contaminated by an item when consistent
-alignments cover at least ``coverage`` of the item's windows and at least two of them (all of a shorter item's).
+are hash-joined; windows that hold more placeholders than words are left out of the index, as they fit any table. An item
+of ``least`` tokens or more, but fewer than ``width``, is one window, the whole of it.
+Matches of a document and an item at the same distance form an alignment. Its slots must be consistent: a slot of the
+item stands for one slot of the document, that of most of the alignment's windows (of equally many the last), and windows
+in which it stands for another are dropped. Verbatim copies, re-parameterised questions and copies with a slip keep
+enough windows; chance meetings of templates don't. A document is contaminated by an item when its consistent windows
+cover at least ``coverage`` of the item's windows and at least two of them (all of an item that has no more).
 
 The index holds the benchmark's windows only; it is broadcast when it has at most ``most_windows`` rows and joined by
 shuffle otherwise. A first pass joins bare hashes; aligning starts from the documents that it finds. Documents are read whole; nothing of them is shuffled but matching windows.
 
-Defined results: null texts have no tokens; items with fewer than ``width`` tokens have no window and match nothing;
+Defined results: null texts have no tokens; items with fewer than ``least`` tokens have no window and match nothing;
 documents with the same id count as one; an empty table on either side gives an empty result.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import fresh, let, materialize, maybe_broadcast, text_of
 
@@ -82,7 +85,7 @@ def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
 
 def window_matches(docs: DataFrame, benchmark: DataFrame, width: int, most_windows: int) -> DataFrame:
     """(doc_id, item_id, item_windows, shift, at, slots) of every window that a document shares with an item."""
-    index = maybe_broadcast(materialize(benchmark_index(benchmark, width), "benchmark-windows"), most_windows)
+    index = maybe_broadcast(materialize(benchmark_index(benchmark, width), f"benchmark-windows-{width}"), most_windows)
     # First only hashes become rows; the tokens of documents are carried along for the windows that match.
     hashes = tokenized(docs.select("doc_id", "text"), width).select("doc_id", F.posexplode("_windows").alias("pos", "_hash"))
     some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some")).agg(F.collect_set("pos").alias("_at"))
@@ -101,17 +104,25 @@ def window_matches(docs: DataFrame, benchmark: DataFrame, width: int, most_windo
     return met.select("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("at")).alias("shift"), "at", slots.alias("slots"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.3, most_windows: int = 100_000) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows): every document and item of which consistent alignments cover enough."""
-    met = window_matches(docs, benchmark, width, most_windows)
-    lines = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )  # bounded by the item's own windows and slots
-    item_side = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["item"]))))
-    doc_side = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["type"], s["doc"]))))
-    consistent = (F.size("slots") == item_side) & (F.size("slots") == doc_side)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("windows")
-    found = lines.where(consistent).groupBy("doc_id", "item_id", "item_windows").agg(covered)
+def consistent_windows(met: DataFrame) -> DataFrame:
+    """The windows of window_matches() in which each slot of the item stands for what it stands for in most of its alignment."""
+    line = ["doc_id", "item_id", "shift"]
+    each = met.select(*line, "item_windows", "at", F.explode_outer("slots").alias("s"))
+    votes = each.withColumn("_votes", F.count("*").over(Window.partitionBy(*line, "s.type", "s.item", "s.doc")))
+    most = F.max(F.struct("_votes", "s.doc")).over(Window.partitionBy(*line, "s.type", "s.item"))
+    other = votes.withColumn("_other", F.coalesce(F.col("s.doc") != most["doc"], F.lit(False)))
+    return other.groupBy(*line, "item_windows", "at").agg(F.max("_other").alias("_other")).where(~F.col("_other")).drop("_other")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage: float = 0.3, most_windows: int = 100_000, least: int = 3) -> DataFrame:
+    """(doc_id, item_id, windows, item_windows): every document and item of which consistent windows cover enough."""
+    items = materialize(benchmark.select("item_id", "text", F.size(F.split(typed_text(marked_text(text_of())), " ", -1)).alias("_n")), "items")
+    short = sorted(r[0] for r in items.where(F.col("_n").between(least, width - 1)).select("_n").distinct().collect())  # fewer than ``width``
+    met = window_matches(docs, items, width, most_windows)
+    for n in short:  # documents are read again for each length of short items; a benchmark without them costs nothing
+        met = met.unionByName(window_matches(docs, items.where(F.col("_n") == n), n, most_windows))
+    covered = F.countDistinct("at").alias("windows")
+    found = consistent_windows(met).groupBy("doc_id", "item_id", "item_windows").agg(covered)
     enough = (F.col("windows") >= F.least(F.lit(2), F.col("item_windows"))) & (F.col("windows") >= coverage * F.col("item_windows"))
     return found.where(enough).select("doc_id", "item_id", F.col("windows").cast("long"), F.col("item_windows").cast("long"))
 

@@ -222,6 +222,18 @@ def test_decontamination(spark):
     assert slots.count() > 0
 
 
+def test_slots_of_a_copy_and_of_another_text(spark):
+    """One altered number, two numbers that become equal, a short item; and a text of the same template whose numbers fit nowhere."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my".split()
+    item = " ".join(f"{w} 12" for w in words)
+    bench = spark.createDataFrame([(1, item), (2, "the train from Paris took 120 minutes and the bus 35 minutes to the sea"), (3, "What is 3 plus 4?"), (4, "of it")], "item_id long, text string")
+    docs = [(1, item.replace("my 12", "my 13")), (2, " ".join(f"{w} {20 + k}" for k, w in enumerate(words))), (3, "the train from Oslo took 8 minutes and the bus 8 minutes to the sea")]
+    docs += [(4, "He asked: what is 17 plus 5? Nobody knew."), (5, "What is it plus 4?"), (6, "of it and of it"), (7, "so what is the plus of 4?"), (8, "It was long. " * 3000 + item)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contaminated_documents(df, bench).collect()}
+    assert got == {1: [1], 3: [2], 4: [3], 8: [1]}
+
+
 def plain_spans(t):
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
