@@ -314,6 +314,17 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), labels, rules).count() == 0
 
 
+def test_a_bad_branch_among_thousands_of_slugs(spark):
+    """One frequent bad branch beside many segments seen once, and one below a branch that isn't bad as a whole."""
+    rows = [(i, f"http://big.org/casino/{'abc'[i % 3]}x{i}") for i in range(100)] + [(1000 + i, f"http://big.org/slug{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}/page") for i in range(600)]
+    rows += [(3000 + i, f"http://big.org/en/a/b/{'win' if i % 4 == 0 else 'news'}/{i}") for i in range(200)]
+    labels = [(i, 1) for i in range(0, 100, 2)] + [(1000 + i, 0) for i in range(0, 600, 3)] + [(3000 + i, int(i % 4 == 0)) for i in range(200)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), []).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {*range(100), *range(3000, 3200, 4)}
+    templates = {r["template"] for r in got}
+    assert any(t.startswith("/casino") for t in templates) and any("/win" in t for t in templates) and len(templates) < 12
+
+
 def test_mixing(spark):
     docs, rows = documents(spark)
     placed, mixed = mixing.mix(docs, block_words=16, shard_slots=50)
