@@ -3,7 +3,8 @@
 A page becomes a sequence of words and tags. Words score above zero; a tag's score is a weight learnt from labelled
 pages, the smoothed log-odds that this tag stands inside rather than outside the main content. One linear scan finds the
 contiguous region with the greatest sum. Within that region, elements that never belong to an article (menus, adverts,
-forms, comment threads and the like) are passed over, character references are decoded, and blocks are joined.
+forms, comment threads and the like) are passed over, character references are decoded, and blocks are joined. Inline
+elements and headings are never passed over for their names; an aside that is never closed ends with the element around it.
 
 Labels: pages that mark their content with ``<article>`` or ``<main>`` label themselves. Weights are fitted on at most
 ``sample`` such pages of at most ``sample_bytes`` bytes each, those with the smallest hash; every page is then read whole.
@@ -38,6 +39,10 @@ ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu nav navbar navigation "
     "newsletter notice pagination popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements that no name turns into an aside: they hold words of a text, or all of it.
+NEVER_ASIDE = INLINE | frozenset("h1 h2 h3 h4 h5 h6 html body main article".split())
+#: Elements whose end tags authors leave out (fixed values): such an end tag says nothing about what is around it.
+LOOSE = INLINE | frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[a-zA-Z/!?](?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+>|<[a-zA-Z/!?][^>]*>|[^<]+|<",
@@ -68,7 +73,7 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         tag, end = name[1].lower(), raw.startswith("</")
         called = {x for g in _NAMES.findall(raw) for x in re.split(r"[^a-z0-9]+", "".join(g).lower()) if x} if not end else set()
-        yield Token("", tag, f"/{tag}" if end else ".".join([tag, *sorted(called & ASIDE_NAMES)]), end, tag in ASIDE or bool(called & ASIDE_NAMES))
+        yield Token("", tag, f"/{tag}" if end else ".".join([tag, *sorted(called & ASIDE_NAMES)]), end, tag in ASIDE or (tag not in NEVER_ASIDE and bool(called & ASIDE_NAMES)))
 
 
 def inside(found: list[Token]) -> list[bool]:
@@ -119,14 +124,17 @@ def extract(page: str | None, weights: Weights) -> str:
     found = list(tokens(page))
     scores = [weights.tags.get(t.key, weights.unseen) if t.name else weights.word * len(t.text.split()) for t in found]
     first, last = best_region(scores)
-    blocks, line, skipped = [], [], []
+    blocks, line, skipped, around = [], [], [], []
     for t in found[first:last]:
         if skipped:
-            if t.name == skipped[-1] and t.end:
-                skipped.pop()
-            elif t.name in skipped and not t.end and t.name not in VOID:
-                skipped.append(t.name)
-            continue
+            if t.end and t.name in skipped:
+                del skipped[len(skipped) - 1 - skipped[::-1].index(t.name) :]
+                continue
+            if not (t.end and t.name in around):
+                if t.name and not t.end and t.name not in VOID:
+                    skipped.append(t.name)
+                continue
+            skipped.clear()  # the end of an element around it also ends an aside that was never closed
         if not t.name:
             line.append(t.text)
             continue
@@ -135,6 +143,10 @@ def extract(page: str | None, weights: Weights) -> str:
             line = []
         if t.aside and not t.end and t.name not in VOID:
             skipped.append(t.name)
+        elif t.end and t.name in around:
+            del around[len(around) - 1 - around[::-1].index(t.name) :]
+        elif not t.end and t.name not in VOID and t.name not in LOOSE:
+            around.append(t.name)
     blocks.append("".join(line))
     lines = (" ".join(entities.unescape(b).split()) for b in blocks)
     return " ".join(x for x in lines if x)

@@ -291,12 +291,21 @@ def test_main_text(spark):
     assert html_text.extract(PAGE.format("six&nbsp;seven"), weights) == "Head & line One twothree four <x>. five six seven"
     nested = PAGE.format('eight<aside>skip <aside>this</aside> too</aside> nine<div class="comments"><p>not me</p></div>')
     assert html_text.extract(nested, weights) == "Head & line One twothree four <x>. five eight nine"
+    names = PAGE.format('a <a class="related" href="#">linked</a> word<h2 id="search-results">Results</h2><section><div class="ad">buy<p>now</section>after')
+    assert html_text.extract(names, html_text.Weights(1.0, {}, 0.01)) == "Head & line One twothree four <x>. five a linked word Results after"
+    assert html_text.extract(PAGE.format("long " * 200_000), weights).count("long") == 200_000
     rows = [(i, "u", p) for i, p in enumerate(pages)] + [(90, None, None), (91, "u", ""), (92, "u", "plain < words"), (None, "u", pages[0]), (0, "u", pages[0])]
     out = html_text.extract_pages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert len(out) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in out)
     assert {r["page_id"]: r["text"] for r in out}[92] == "plain < words" and {r["page_id"]: r["text"] for r in out}[90] == ""
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert html_text.best_region([1, -5, 2, 3, -1, 2, -9, 6]) == (2, 6)
+    rng = random.Random(6)
+    for _ in range(300):  # the quadratic search: first start, then first end, of the greatest sum above zero
+        scores = [rng.randrange(-4, 5) for _ in range(rng.randrange(0, 14))]
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        i, j = html_text.best_region(scores)
+        assert sum(scores[i:j]) == max(best, 0) and (best > 0) == (j > i)
 
 
 def test_urls(spark):
