@@ -86,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Seeded permutations and hashes have no counterpart in SQL; tests hold the pipeline against a plain version.
+#: Seeded permutations and hashes have no counterpart in SQL. Each stage's operator is tested against a plain version; the
+#: pipeline's test checks every stage's columns and rows, and that run() gives what the stages give in turn.
 ORACLE_SQL = None
