@@ -87,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Seeded permutations and hashes have no counterpart in SQL. Each stage's operator is tested against a plain version; the
-#: pipeline's test checks every stage's columns and rows, and that run() gives what the stages give in turn.
+#: pipeline's test checks every stage's columns and texts, and that run() has as many rows as the stages in turn.
 ORACLE_SQL = None
