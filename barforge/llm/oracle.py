@@ -59,4 +59,40 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM m.lang AND wide.source IS NOT DISTINCT FROM m.source
 """
 
-ORACLE_SQL = {"op10_quality_rules": OP10}
+OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), k AS (
+  SELECT w, row_number() OVER () AS c FROM (SELECT DISTINCT w FROM d WHERE len(w) > 0)
+), g AS (
+  SELECT DISTINCT c, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS s FROM k
+), n AS (
+  SELECT c, count(*) AS n FROM g GROUP BY c
+), pair AS (
+  SELECT a.c, b.c AS o, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.c < b.c GROUP BY a.c, b.c
+), link AS (
+  SELECT pair.c, pair.o FROM pair JOIN n x ON x.c = pair.c JOIN n y ON y.c = pair.o WHERE 100 * pair.n >= 90 * (x.n + y.n - pair.n)
+), node AS (  -- a text's class and the ids that have it
+  SELECT c, doc_id FROM d JOIN k USING (w)
+), edge AS (
+  SELECT c, o FROM link UNION SELECT o, c FROM link UNION SELECT a.c, b.c FROM node a JOIN node b ON a.doc_id = b.doc_id AND a.c <> b.c
+), reach AS (
+  SELECT c, c AS o FROM k UNION SELECT reach.c, edge.o FROM reach JOIN edge ON edge.c = reach.o
+), least AS (
+  SELECT reach.c, min(node.doc_id) AS id FROM reach JOIN node ON node.c = reach.o GROUP BY reach.c
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least.id, d.doc_id) AS component_id
+FROM d LEFT JOIN k USING (w) LEFT JOIN n ON n.c = k.c LEFT JOIN least ON least.c = k.c
+"""
+
+OP9 = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to, url
+FROM (
+  SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS later
+  FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM (
+    SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages))
+)
+"""
+
+ORACLE_SQL = {"op6_jaccard_join": OP6, "op9_warc": OP9, "op10_quality_rules": OP10}
