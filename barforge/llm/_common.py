@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: White space that separates words: U+0020 and U+0009 to U+000D, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,9 +72,29 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
-def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
-    """Broadcast a small materialized table; beyond ``most_rows`` leave the join to the planner."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes that a broadcast table has at most, whatever its number of rows.
+BROADCAST_BYTES = 128 << 20
+
+
+def _width(value: Column, kind: DataType) -> Column:
+    """Bytes of a value, roughly: whole strings, 8 for a number."""
+    if isinstance(kind, (StringType, BinaryType)):
+        each = F.octet_length(value)
+    elif isinstance(kind, StructType):
+        each = sum((_width(value[f.name], f.dataType) for f in kind), F.lit(8))
+    elif isinstance(kind, ArrayType):
+        nested = isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType))
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + 8 + _width(x, kind.elementType)) if nested else 8 * F.size(value)
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(each, F.lit(0)).cast("long")
+
+
+def maybe_broadcast(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a materialized table of at most ``most_rows`` rows and ``most_bytes`` bytes; leave the join of others to the planner."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    rows, size = df.limit(most_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= most_bytes else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

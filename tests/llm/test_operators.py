@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barforge.llm._common import maybe_broadcast
 from barforge.llm import decontaminate, html_text, jaccard, mixing, pii, quality, sharding, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, _base int, shard int"
@@ -92,6 +93,28 @@ def test_slots_depend_on_seed_and_data_alone(spark):
     assert all(sorted(r[0]) == list(range(3 * i)) for i, r in enumerate(n) if i) and n[5][0] != list(range(15))
 
 
+def test_a_hot_repeated_row_fills_many_buckets(spark):
+    """A third of all rows are one row: they get a slot each, spread over the shard, the same whatever the partitions."""
+    rows = [(i, f"text {i}", i % 3) for i in range(200)] + [(7, "text 7", 1)] * 100 + [(None, None, None)] * 40 + [(None, "é" * 900, 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark long")
+    runs = [sharding.external_shuffle(docs.repartition(n), shards=3, bucket_rows=8, bucket_bytes=4000).collect() for n in (1, 5)]
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    assert sorted((r[0], r[1], r[2]) for r in runs[0] if r[0] is not None) == sorted(r for r in rows if r[0] is not None)
+    assert sum(r[0] is None and r[1] is None for r in runs[0]) == 40 and sum(r[1] == "é" * 900 for r in runs[0]) == 5
+    for s in range(3):
+        assert sorted(r["slot"] for r in runs[0] if r["shard"] == s) == list(range(sum(r["shard"] == s for r in runs[0])))
+    at = sorted(r["slot"] for r in runs[0] if r["doc_id"] == 7)
+    assert len(at) == 101 and sum(b - a > 1 for a, b in zip(at, at[1:], strict=False)) > 10
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, tmp_path):
+    spark.createDataFrame([(i, ["x" * 100] * 10, [1, 2], (None, "y")) for i in range(50)], "a long, b array<string>, c array<int>, d struct<e: string, f: string>").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    hinted = lambda found: "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
+    assert hinted(maybe_broadcast(df, 50)) and not hinted(maybe_broadcast(df, 49)) and not hinted(maybe_broadcast(df, 50, 50_000))
+    assert hinted(maybe_broadcast(df.where("a < 0"), 0, 0))
+
+
 def shingles(text, width):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
