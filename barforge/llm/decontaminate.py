@@ -56,16 +56,21 @@ def typed_text(marked: Column) -> Column:
     return F.ltrim(F.regexp_replace(t, rf"{NUMBER} (?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?= |$)", f"{NUMBER} {UNIT}"))
 
 
-def _windows(typed: Column, width: int) -> Column:
+def _windows(typed: Column, widths: list[int]) -> Column:
+    """For each width, the hashes of the windows of that many tokens, by position."""
     hashes = F.transform(typed, lambda w: F.xxhash64(w))
-    each = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width)))))
-    return F.when(F.size(typed) >= width, each).otherwise(F.array().cast("array<bigint>"))
 
+    def of(h: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
+        return F.when(F.size(h) >= n, each).otherwise(F.array().cast("array<bigint>"))
 
-def tokenized(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with _marked, _typed and _windows (hashes by position) of ``text``."""
+    return let(hashes, lambda h: F.array(*(of(h, n) for n in widths)))
+
+
+def tokenized(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """``rows`` with _marked, _typed and _windows (hashes by width and position) of ``text``."""
     out = rows.withColumn("_marked", marked_text(text_of())).withColumn("_typed", F.split(typed_text(F.col("_marked")), " ", -1))
-    return out.withColumn("_windows", let(F.col("_typed"), lambda t: _windows(t, width)))
+    return out.withColumn("_windows", let(F.col("_typed"), lambda t: _windows(t, widths)))
 
 
 def raw_tokens() -> Column:
@@ -73,30 +78,30 @@ def raw_tokens() -> Column:
 
 
 def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
-    """(hash, item_id, at, item_windows, item_slots, typed): the usable windows of each item."""
-    items = tokenized(benchmark.select("item_id", "text"), width)
-    each = items.select("item_id", raw_tokens().alias("_raw"), "_typed", F.posexplode("_windows").alias("at", "hash"))
+    """(hash, item_id, at, width, typed, item_raw, item_windows): the usable windows of each item."""
+    items = tokenized(benchmark.select("item_id", "text"), [width])
+    each = items.select("item_id", raw_tokens().alias("_raw"), "_typed", F.lit(width).alias("width"), F.posexplode(F.get("_windows", F.lit(0))).alias("at", "hash"))
     typed = F.slice("_typed", F.col("at") + 1, width)
     holes = F.size(F.filter(typed, lambda w: w.isin(NUMBER, NAME, UNIT)))
-    index = each.select("hash", "item_id", "at", typed.alias("typed"), F.slice("_raw", F.col("at") + 1, width).alias("item_raw")).where(2 * holes <= width)
+    index = each.select("hash", "item_id", "at", "width", typed.alias("typed"), F.slice("_raw", F.col("at") + 1, width).alias("item_raw")).where(2 * holes <= width)
     sizes = index.groupBy(F.col("item_id").alias("_i")).agg(F.countDistinct("at").alias("item_windows"))
     return index.join(sizes, F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
-def window_matches(docs: DataFrame, benchmark: DataFrame, width: int, most_windows: int) -> DataFrame:
-    """(doc_id, item_id, item_windows, shift, at, slots) of every window that a document shares with an item."""
-    index = maybe_broadcast(materialize(benchmark_index(benchmark, width), f"benchmark-windows-{width}"), most_windows)
+def window_matches(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, item_id, item_windows, shift, at, slots) of every window of one of ``widths`` that a document shares with an item."""
     # First only hashes become rows; the tokens of documents are carried along for the windows that match.
-    hashes = tokenized(docs.select("doc_id", "text"), width).select("doc_id", F.posexplode("_windows").alias("pos", "_hash"))
-    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some")).agg(F.collect_set("pos").alias("_at"))
-    some = maybe_broadcast(materialize(some, "suspects"), 100_000)
+    by_width = tokenized(docs.select("doc_id", "text"), widths).select("doc_id", F.posexplode("_windows").alias("k", "_of"))
+    hashes = by_width.select("doc_id", "k", F.posexplode("_of").alias("pos", "_hash"))
+    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some"))
+    some = maybe_broadcast(materialize(some.agg(F.collect_set(F.struct("k", "pos")).alias("_at")), "suspects"), 100_000)
     suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")))
-    read = tokenized(suspects, width)
-    each = read.select("doc_id", raw_tokens().alias("_raw"), "_typed", "_windows", F.explode("_at").alias("pos")).withColumn("_hash", F.get("_windows", F.col("pos")))
-    met = each.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", F.col("pos") + 1, width) == F.col("typed"))
+    each = tokenized(suspects, widths).select("doc_id", raw_tokens().alias("_raw"), "_typed", "_windows", F.inline("_at"))
+    each = each.withColumn("_hash", F.get(F.get("_windows", F.col("k")), F.col("pos")))
+    met = each.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", F.col("pos") + 1, F.col("width")) == F.col("typed"))
     plain = lambda w: F.lower(F.translate(w, FIRST, ""))
     slots = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.get(F.col("typed"), k).isin(NUMBER, NAME, UNIT)),
+        F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get(F.col("typed"), k).isin(NUMBER, NAME, UNIT)),
         lambda k: F.struct(
             F.get(F.col("typed"), k).alias("type"), plain(F.get(F.col("item_raw"), k)).alias("item"), plain(F.get(F.col("_raw"), F.col("pos") + k)).alias("doc")
         ),
@@ -118,9 +123,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
     """(doc_id, item_id, windows, item_windows): every document and item of which consistent windows cover enough."""
     items = materialize(benchmark.select("item_id", "text", F.size(F.split(typed_text(marked_text(text_of())), " ", -1)).alias("_n")), "items")
     short = sorted(r[0] for r in items.where(F.col("_n").between(least, width - 1)).select("_n").distinct().collect())  # fewer than ``width``
-    met = window_matches(docs, items, width, most_windows)
-    for n in short:  # documents are read again for each length of short items; a benchmark without them costs nothing
-        met = met.unionByName(window_matches(docs, items.where(F.col("_n") == n), n, most_windows))
+    index = benchmark_index(items, width)
+    for n in short:
+        index = index.unionByName(benchmark_index(items.where(F.col("_n") == n), n))
+    met = window_matches(docs, maybe_broadcast(materialize(index, "benchmark-windows"), most_windows), [width, *short])
     covered = F.countDistinct("at").alias("windows")
     found = consistent_windows(met).groupBy("doc_id", "item_id", "item_windows").agg(covered)
     enough = (F.col("windows") >= F.least(F.lit(2), F.col("item_windows"))) & (F.col("windows") >= coverage * F.col("item_windows"))

@@ -241,7 +241,7 @@ def test_decontamination(spark):
     assert by_shuffle == set(got)
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()} == {2, 3, 5, 6, 7}
     assert decontaminate.decontaminate(df, bench.limit(0)).count() == len(docs) and decontaminate.contaminated(df.limit(0), bench).count() == 0
-    slots = decontaminate.window_matches(spark.createDataFrame([(1, clash)], "doc_id long, text string"), bench, 8, 1000)
+    slots = decontaminate.window_matches(spark.createDataFrame([(1, clash)], "doc_id long, text string"), decontaminate.benchmark_index(bench, 8), [8])
     assert slots.count() > 0
 
 
