@@ -83,7 +83,7 @@ def run_cells(a: argparse.Namespace, cells: list[experiment.Cell]) -> int:
     counts = sweep.sweep(cells, loader(spark, a.root), a.store, spark, version, prior, a.screening, a.force)
     rows = runs_store.read_runs(spark, a.store).where("error = ''")
     mine = {c.config_id: c for c in cells}
-    found = [r for r in rows.collect() if r["config_id"] in mine]  # one grid's verdicts
+    found = rows.where(rows["config_id"].isin(list(mine))).collect()  # one grid's verdicts
     if a.journal:
         family = [experiment.canonical({"strategy": c.experiment.strategy, "params": c.experiment.params, "symbol": c.symbol, "timeframe": c.experiment.timeframe}) for c in cells]
         records = []
