@@ -40,7 +40,7 @@ def small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ledger(small(spark, sf_dir), KEYS, ledger.Costs(), capital=1e6)
+    return ledger.ledger(small(spark, sf_dir), KEYS, ledger.Costs(), capital=1e6, max_participation=0.1)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ def harvest_book(spark, sf_dir):
     found = align.attach_funding(tables.event_bars(spark, sf_dir), tables.funding_events(spark, sf_dir), KEYS, HOUR, on_grid=True, event_keys=[])
     strategy = strategies.make("funding_harvest", {"window": 8, "threshold_rate": 0.0, "weight": 0.5})
     run = strategies.run_segmented(strategy, bars.with_segments(found, KEYS, HOUR), KEYS)
-    done = ledger.ledger(run, KEYS, legs=True, capital=10.0)
+    done = ledger.ledger(run, KEYS, legs=True, capital=10.0, max_participation=0.1)
     return rounded(ledger.totals(done, KEYS).join(ledger.is_delta_neutral(done, KEYS), KEYS), 7)
 
 
@@ -329,6 +329,23 @@ def symbols_complete(spark, sf_dir):
     return complete_symbols(found, "1995-01", "2000-12")
 
 
+@query
+def symbol_coverage(spark, sf_dir):
+    """Months of orders as bars and months of urgent shipments as funding events."""
+    from .sources.lake import coverage
+
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("month")
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), month("o_orderdate"), "o_orderkey")
+    shipped = tables.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey", month("l_shipdate"))
+    funded = shipped.join(orders.drop("month"), F.col("l_orderkey") == F.col("o_orderkey")).select("symbol", "month")
+    return coverage(orders.drop("o_orderkey"), funded, "1992-01", "1998-12")
+
+
+@query
+def funnel_thresholds(spark, sf_dir):
+    return funnel.threshold_summary(tables.runs(spark, sf_dir), ["timeframe"])
+
+
 @query
 def deflated_sharpe(spark, sf_dir):
     """Needs the normal distribution, which SQL lacks: held against numpy in tests."""
@@ -348,14 +365,15 @@ def mean_reversion_run(spark, sf_dir):
     found = bars.with_tradable(bars.with_segments(tables.smooth_bars(spark, sf_dir), KEYS, DAY), KEYS)
     strategy = strategies.make("mean_reversion_filtered", {"k": 1.5, "max_bars": 20, "squeeze_ratio": 1.2, "squeeze_window": 30})
     run = strategies.mask_targets(strategies.run_segmented(strategy, found, KEYS), strategy).withColumn("target", F.col("target") * WEIGHT)
-    return ledger.totals(ledger.ledger(run, KEYS), KEYS)
+    return rounded(ledger.totals(ledger.ledger(run, KEYS), KEYS))
 
 
 @query
 def bracket_trade_list(spark, sf_dir):
     found = bars.with_segments(tables.smooth_bars(spark, sf_dir), KEYS, DAY)
     strategy = strategies.make("mean_reversion", {"k": 1.5, "max_bars": 20})
-    return kernels.bracket_trades(strategies.run_segmented(strategy, found, KEYS), [*KEYS, "segment"], 2.0, 3.0, 20)
+    trades = kernels.bracket_trades(strategies.run_segmented(strategy, found, KEYS), [*KEYS, "segment"], 2.0, 3.0, 20)
+    return rounded(trades.withColumn("r", F.nanvl("r", F.lit(None).cast("double"))))
 
 
 class NextBar(strategies.Parametrised):

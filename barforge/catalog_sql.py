@@ -57,7 +57,7 @@ zs AS (
 )
 
 
-def book(source: str = "targets", capital: float = 1e6) -> str:
+def book(source: str = "targets", capital: float = 1e6, share: float = 0.1) -> str:
     return f""",
 b1 AS (
   SELECT *, coalesce(close / lag(close) OVER s - 1, 0.0) AS price_return, lag(target, 1, 0.0) OVER s AS held FROM {source} WINDOW s AS (PARTITION BY symbol ORDER BY ts)
@@ -65,7 +65,7 @@ b1 AS (
 b3 AS (
   SELECT *, held * price_return AS gross_return, turnover * 5.0 * 1e-4 AS fee,
     turnover * (0.5 + 1e4 * 0.1 * least(turnover * {capital} / quote_volume, 1.0)) * 1e-4 AS slippage, turnover * {capital} / quote_volume AS participation,
-    turnover * {capital} > 0.1 * quote_volume AS cap_hit FROM b2
+    turnover * {capital} > {share} * quote_volume AS cap_hit FROM b2
 ), b4 AS (SELECT *, gross_return - fee - slippage AS returns FROM b3),
 b5 AS (SELECT *, product(1 + returns) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM b4),
 book AS (SELECT *, equity / max(equity) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM b5)"""
@@ -125,6 +125,31 @@ tr AS (
 )"""
 )
 
+def reversion(allowed: str = "true") -> str:
+    """walk: mean reversion at 1.5 deviations with stops of 2, takes of 3 average ranges and 20 bars at most, each bar with its position ``pos`` and the bar of entry ``since``."""
+    return f"""{SMOOTH + segments('smooth', 'seg', 86400)}, tr AS (
+      SELECT *, row_number() OVER w AS n, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0.0), coalesce(abs(low - lag(close) OVER w), 0.0)) AS tr
+      FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts)){wilder('tr', 'tr', 'a')}, sg AS (
+      SELECT *, CASE WHEN count(close) OVER w = 20 THEN stddev_pop(close) OVER w END AS sigma, avg(close) OVER w AS mean FROM tr WINDOW w AS {W20}), sq AS (
+      SELECT *, coalesce(count(sigma) OVER w = 30 AND sigma < avg(sigma) OVER w * 1.2, false) AS squeezed FROM sg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 29 PRECEDING)), en AS (
+      SELECT sq.*, a.v AS atr, CAST(CASE WHEN sq.n < 20 OR a.v IS NULL OR NOT {allowed} OR coalesce(sigma, 0) <= 1e-12 THEN 0 WHEN (close - mean) / sigma >= 1.5 THEN -1 WHEN (close - mean) / sigma <= -1.5 THEN 1 ELSE 0 END AS DOUBLE) AS side
+      FROM sq LEFT JOIN a ON a.symbol = sq.symbol AND a.segment = sq.segment AND a.n = sq.n), st AS (
+      SELECT symbol, segment, 0::BIGINT AS n, 0.0::DOUBLE AS pos, 0::BIGINT AS since, 0.0::DOUBLE AS sl, 0.0::DOUBLE AS tp FROM (SELECT DISTINCT symbol, segment FROM seg)
+      UNION ALL
+      SELECT symbol, segment, n, CASE WHEN d > 0 AND (low <= sl OR high >= tp OR n - since >= 20) THEN 0.0 WHEN d < 0 AND (high >= sl OR low <= tp OR n - since >= 20) THEN 0.0 ELSE d END, since, sl, tp FROM (
+        SELECT en.symbol, en.segment, en.n, en.high, en.low, CASE WHEN st.pos <> 0 THEN st.pos ELSE en.side END AS d, CASE WHEN st.pos <> 0 THEN st.since ELSE en.n END AS since,
+          CASE WHEN st.pos <> 0 THEN st.sl ELSE coalesce(en.close - en.side * en.atr * 2.0, 0.0) END AS sl, CASE WHEN st.pos <> 0 THEN st.tp ELSE coalesce(en.close + en.side * en.atr * 3.0, 0.0) END AS tp
+        FROM st JOIN en ON en.symbol = st.symbol AND en.segment = st.segment AND en.n = st.n + 1)), walk AS (
+      SELECT en.*, st.pos, st.since FROM st JOIN en ON en.symbol = st.symbol AND en.segment = st.segment AND en.n = st.n)"""
+
+
+def book_totals(digits: int = 6) -> str:
+    """Cost totals, capacity and the end of the curve of each symbol's book."""
+    return f"""SELECT symbol, count(*) AS bars, {R('sum(fee)', digits, 'fee')}, {R('sum(slippage)', digits, 'slippage')}, 0.0::DOUBLE AS funding, {R('sum(turnover)', digits, 'turnover')},
+      count(*) FILTER (cap_hit) AS cap_hits, {R('max(participation)', digits, 'max_participation_observed')}, count(*) FILTER (cap_hit) > 0 AS over_capacity,
+      {R('last(equity ORDER BY ts)', digits, 'equity_end')}, {R('min(drawdown)', digits, 'max_drawdown')} FROM book GROUP BY symbol"""
+
+
 #: Returns of eight lagged rules on each symbol, long: x (symbol, ts, c, v).
 MATRIX = f"""p AS (
       SELECT symbol, ts, coalesce(close / lag(close) OVER w - 1, 0.0) AS r, {', '.join(f"coalesce(sign(lag(close, 1) OVER w - lag(close, {k}) OVER w), 0) AS s{k}" for k in range(2, 10))} FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -186,9 +211,17 @@ SQL: dict[str, str] = {
         FROM st JOIN s ON s.symbol = st.symbol AND s.n = st.n + 1))
       SELECT s.symbol, s.ts, st.pos + 0.0 AS target FROM st JOIN s ON s.symbol = st.symbol AND s.n = st.n""",
     "ledger_bars": f"WITH {BOOK} SELECT symbol, ts, {', '.join(R(c, 7) for c in ('held', 'price_return', 'turnover', 'gross_return', 'fee', 'slippage', 'returns', 'drawdown'))}, {R('equity', 5)} FROM book",
-    "ledger_totals": f"""WITH {BOOK} SELECT symbol, count(*) AS bars, {R('sum(fee)', 6, 'fee')}, {R('sum(slippage)', 6, 'slippage')}, 0.0::DOUBLE AS funding, {R('sum(turnover)', 6, 'turnover')},
-      count(*) FILTER (cap_hit) AS cap_hits, {R('max(participation)', 6, 'max_participation_observed')}, count(*) FILTER (cap_hit) > 0 AS over_capacity,
-      {R('last(equity ORDER BY ts)', 6, 'equity_end')}, {R('min(drawdown)', 6, 'max_drawdown')} FROM book GROUP BY symbol""",
+    "ledger_totals": f"WITH {BOOK} {book_totals()}",
+    "mean_reversion_run": f"""WITH RECURSIVE {reversion('squeezed')}, targets AS (
+      SELECT *, CASE WHEN before_gap OR NOT (volume > 0 AND low > 0) THEN 0.0 ELSE pos * 0.01 END AS target FROM walk){book(capital=1e4, share=0.01)} {book_totals()}""",
+    "bracket_trade_list": f"""WITH RECURSIVE {reversion()}, o AS (
+      SELECT *, lag(pos, 1, 0.0) OVER w AS was, lead(n) OVER w IS NULL AS final FROM walk WINDOW w AS (PARTITION BY symbol, segment ORDER BY n)), x AS (
+      SELECT symbol, segment, n, ts, since, pos <> 0 AS still, high, low, close FROM o WHERE (pos = 0 AND was <> 0) OR (pos <> 0 AND final)), t AS (
+      SELECT x.symbol, x.segment, e.ts AS entry_ts, x.ts AS exit_ts, e.side, x.n - e.n AS bars, x.still, x.high, x.low, x.close AS leaving, e.close AS entered, 2.0 * e.atr AS risk,
+        e.close - e.side * e.atr * 2.0 AS sl, e.close + e.side * e.atr * 3.0 AS tp FROM x JOIN en e ON e.symbol = x.symbol AND e.segment = x.segment AND e.n = x.since), r AS (
+      SELECT *, CASE WHEN still THEN 'open' WHEN (side > 0 AND low <= sl) OR (side < 0 AND high >= sl) THEN 'stop' WHEN bars >= 20 THEN 'time'
+        WHEN (side > 0 AND high >= tp) OR (side < 0 AND low <= tp) THEN 'take' ELSE 'signal' END AS reason FROM t)
+      SELECT symbol, segment, entry_ts, exit_ts, CAST(side AS INT) AS side, {LONG('bars', 'bars')}, reason, {R("side * (CASE reason WHEN 'stop' THEN sl WHEN 'take' THEN tp ELSE leaving END - entered) / CASE WHEN risk > 0 THEN risk END", 6, 'r')} FROM r""",
     "trade_returns": f"WITH {TRADES} SELECT symbol, {LONG('trade_id', 'trade_id')}, {R('trade_return', 7)} FROM trades",
     "position_episodes": f"""WITH {BOOK}, e1 AS (SELECT *, held <> 0 AS active, coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY ts), 0.0) <> 0 AS was FROM book),
       e2 AS (SELECT *, sum(CAST(active AND NOT was AS INT)) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS episode FROM e1)
@@ -258,6 +291,11 @@ SQL: dict[str, str] = {
     "query_runs": f"WITH {RUNS} SELECT config_id, {R('dsr')}, trades FROM (SELECT *, row_number() OVER (ORDER BY dsr DESC NULLS LAST, k) AS r FROM runs WHERE NOT failed AND symbol = '1-URGENT') WHERE r <= 20",
     "pending_cells": "SELECT 'c' || o_orderkey AS config_id, o_orderdate FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0",
     "results_upsert": f"""WITH {RUNS} SELECT symbol, count(*) AS n, CAST(sum(trades + CASE WHEN k % 4 = 0 THEN 1000 ELSE 0 END) AS BIGINT) AS trades, max(k + CASE WHEN k % 4 = 0 THEN 10000000 ELSE 0 END) AS last_seq FROM runs GROUP BY 1""",
+    "symbol_coverage": """WITH b AS (SELECT o_orderpriority AS symbol, count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (year(o_orderdate) BETWEEN 1992 AND 1998) AS n FROM orders GROUP BY 1),
+      f AS (SELECT o_orderpriority AS symbol, count(DISTINCT strftime(l_shipdate, '%Y-%m')) FILTER (year(l_shipdate) BETWEEN 1992 AND 1998) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 49 GROUP BY 1)
+      SELECT symbol, 84 - b.n AS missing_bar_months, 84 - coalesce(f.n, 0) AS missing_funding_months, b.n = 84 AND coalesce(f.n, 0) = 84 AS complete FROM b LEFT JOIN f USING (symbol)""",
+    "funnel_thresholds": f"""WITH {RUNS} SELECT timeframe, {', '.join(f'CASE WHEN min(t{i}) = max(t{i}) THEN CAST(min(t{i}) AS DOUBLE) END AS {k}' for i, k in enumerate(('min_trades', 'min_dsr', 'max_p_value', 'max_pbo'), 1))},
+      {' OR '.join(f'min(t{i}) <> max(t{i})' for i in (1, 2, 3, 4))} AS mixed FROM runs WHERE NOT failed GROUP BY 1""",
     "symbols_complete": """SELECT o_orderpriority AS symbol, count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderdate < TIMESTAMP '2001-01-01') AS months,
       count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderdate < TIMESTAMP '2001-01-01') = 72 AS complete FROM orders GROUP BY 1""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import finite
+from ..sources.runs_store import is_error
 from .verdict import THRESHOLDS
 
 GATES = ("trades", "dsr", "p_value", "pbo")
@@ -15,10 +16,6 @@ KEYS = ("min_trades", "min_dsr", "max_p_value", "max_pbo")
 SORTABLE = ("sharpe", "dsr", "total_return", "trades")
 
 
-def is_error() -> Column:
-    return F.trim(F.coalesce(F.col("error"), F.lit(""))) != ""
-
-
 def with_thresholds(runs: DataFrame) -> DataFrame:
     """``runs`` with each row's own gates and thresholds_known; a record that is missing, broken or partial counts as unknown."""
     raw = F.from_json("thresholds_json", ", ".join(f"{k} double" for k in KEYS), {"mode": "PERMISSIVE"})
@@ -40,6 +37,34 @@ def with_gates(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"pass_trades": trades, "pass_dsr": dsr, "pass_p_value": p, "pass_pbo": pbo, "survives": pbo & F.coalesce("alive", no)})
 
 
+def threshold_summary(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, one column for each gate, mixed): the threshold that all rows share, null where they differ, the default where there are no rows.
+
+    Each row is judged by its own; mixed says that shares of rows can't be compared with one another.
+    """
+    rows = with_thresholds(runs.where(~is_error()))
+    ends = rows.groupBy(*(keys or [])).agg(F.count("*").alias("_n"), *(f(k).alias(f"_{f.__name__}_{k}") for k in KEYS for f in (F.min, F.max)))
+    one = {k: F.when(F.col("_n") == 0, float(THRESHOLDS[k])).when(F.col(f"_min_{k}") == F.col(f"_max_{k}"), F.col(f"_min_{k}")) for k in KEYS}
+    out = ends.select(*(keys or []), *(v.alias(k) for k, v in one.items()))
+    unlike = F.lit(False)
+    for k in KEYS:
+        unlike = unlike | F.col(k).isNull()
+    return out.withColumn("mixed", unlike)
+
+
+def warnings(full: dict, coarse: dict) -> list[str]:
+    """What a reader of the funnel must know, from its two blocks."""
+    out = []
+    if full["n"] and coarse["n"]:
+        out.append(f"mixed grades: {full['n']} full and {coarse['n']} screening verdicts are counted apart; only full ones can be alive")
+    for name, block in (("full", full), ("screening", coarse)):
+        if block["thresholds"]["mixed"]:
+            out.append(f"mixed thresholds among the {name} verdicts: each row is judged by its own")
+        if block["thresholds_unknown"]:
+            out.append(f"{block['thresholds_unknown']} {name} verdicts have no thresholds of their own and are judged by the defaults")
+    return out
+
+
 def funnel(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts of one cohort for each key: n, the four gates, alive, and alive flags that fail some gate. One aggregation."""
     gated = with_gates(with_thresholds(runs.where(~is_error())))
@@ -83,12 +108,13 @@ def payload(runs: DataFrame, sort: str = "sharpe", top: int = 10, order: str = "
 
     def block(part: DataFrame) -> dict:
         row = funnel(part).first().asDict()
+        thresholds = threshold_summary(part).first().asDict()
         n, before, steps = row["n"], row["n"], []
-        for g in GATES:
-            steps.append({"key": g, "n": row[f"n_{g}"], "fraction_of_total": _share(row[f"n_{g}"], n), "fraction_of_previous": _share(row[f"n_{g}"], before)})
+        for g, k in zip(GATES, KEYS, strict=True):
+            steps.append({"key": g, "n": row[f"n_{g}"], "threshold": thresholds[k], "fraction_of_total": _share(row[f"n_{g}"], n), "fraction_of_previous": _share(row[f"n_{g}"], before)})
             before = row[f"n_{g}"]
         alive = {"n": row["n_alive"], "fraction_of_total": _share(row["n_alive"], n), "fraction_of_previous": _share(row["n_alive"], before)}
-        return {"n": n, "steps": steps if n else [], "alive": alive, "alive_without_pbo": row["alive_without_pbo"], "thresholds_unknown": row["thresholds_unknown"]}
+        return {"n": n, "steps": steps if n else [], "alive": alive, "alive_without_pbo": row["alive_without_pbo"], "thresholds_unknown": row["thresholds_unknown"], "thresholds": thresholds}
 
     screened = F.coalesce("screening", F.lit(False))
     full, coarse = block(runs.where(~screened)), block(runs.where(screened))
@@ -98,7 +124,7 @@ def payload(runs: DataFrame, sort: str = "sharpe", top: int = 10, order: str = "
     coarse["alive"] = {"n": 0, "fraction_of_total": 0.0, "fraction_of_previous": 0.0}
     best = [r.asDict() for r in survivors(runs, sort, top, order).select("config_id", "symbol", "timeframe", sort).collect()] if full["alive"]["n"] else None
     return {
-        "version": 1, "funnel": full, "screening": coarse if coarse["n"] else None, "errors": runs.where(is_error()).count(),
+        "version": 1, "funnel": full, "screening": coarse if coarse["n"] else None, "warnings": warnings(full, coarse), "errors": runs.where(is_error()).count(),
         "by_symbol": [r.asDict() for r in breakdown(runs, "symbol").collect()], "by_timeframe": [r.asDict() for r in breakdown(runs, "timeframe").collect()], "survivors": best,
     }
 

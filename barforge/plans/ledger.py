@@ -54,20 +54,30 @@ def held(target: str, keys: list[str]) -> Column:
     return F.lag(F.coalesce(F.col(target), F.lit(0.0)), 1, 0.0).over(by_time(keys))
 
 
+def _finite_leg(name: str) -> Column:
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < float("inf"), value).otherwise(F.raise_error(F.lit(f"{name} is not finite")).cast("double"))
+
+
 def price_return(keys: list[str]) -> Column:
     return F.coalesce(ratio(F.col("close"), F.lag("close").over(by_time(keys))) - 1, F.lit(0.0))
 
 
-def ledger(bars: DataFrame, keys: list[str], costs: Costs = Costs(), capital: float = 10_000.0, max_participation: float = 0.1, initial: float = 1.0, legs: bool = False) -> DataFrame:  # noqa: B008
+def ledger(bars: DataFrame, keys: list[str], costs: Costs = Costs(), capital: float = 10_000.0, max_participation: float = 0.01, initial: float = 1.0, legs: bool = False) -> DataFrame:  # noqa: B008
     """``bars`` with the ledger's columns. ``bars`` has target, or with ``legs`` net, gross and carry; funding_rate if it is charged.
 
     Funding is paid by a long position at a positive rate. Turnover follows the signed position, or gross with ``legs``.
+    A series of fewer than two bars raises, as does a gross or carry leg that is not finite.
     """
     if not (max_participation > 0 and max_participation < float("inf")):
         raise ValueError("max_participation must be positive and finite")
     net, gross, carry = ("net", "gross", "carry") if legs else ("target", "target", "target")
     at = by_time(keys)
-    out = bars.withColumns({"price_return": price_return(keys), "held": held(net, keys), "_basis": held(gross, keys), "_carry": held(carry, keys)})
+    if legs:
+        bars = bars.withColumns({c: _finite_leg(c) for c in ("gross", "carry")})
+    lone = F.lag("ts").over(at).isNull() & F.lead("ts").over(at).isNull()
+    moved = F.when(lone, F.raise_error(F.lit("a series has fewer than two bars")).cast("double")).otherwise(price_return(keys))
+    out = bars.withColumns({"price_return": moved, "held": held(net, keys), "_basis": held(gross, keys), "_carry": held(carry, keys)})
     out = out.withColumn("turnover", F.coalesce(F.abs(F.col("_basis") - F.lag("_basis").over(at)), F.lit(0.0)))
     notional = F.col("turnover") * capital
     rate = F.coalesce("funding_rate", F.lit(0.0)) if costs.charge_funding and "funding_rate" in bars.columns else F.lit(0.0)

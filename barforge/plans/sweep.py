@@ -45,6 +45,8 @@ def targets(prepared: DataFrame, cell: Cell) -> DataFrame:
         own = own.withColumn("funding_rate", F.lit(0.0))
     run = strategies.mask_targets(strategies.run_segmented(strategy, own, ["symbol"]), strategy)
     legs = ("net", "gross", "carry") if strategy.legs else ("target",) * 3
+    if not strategy.legs:
+        run = run.withColumn("target", F.coalesce("target", F.lit(0.0)))
     kept = ["symbol", "ts", "close", "quote_volume", "funding_rate", *(F.col(c).alias(n) for c, n in zip(legs, ("net", "gross", "carry"), strict=True))]
     return run.select(F.lit(cell.config_id).alias("config_id"), *kept, F.lit(strategy.legs).alias("two_legs"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import random
+import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bodies larger than this are fetched in ranges.
+#: Bytes of the first request; what is larger is fetched in ranges.
 RANGED_FROM = 16 << 10
 RETRIED = frozenset({429, 500, 502, 503, 504})
 
@@ -50,7 +52,7 @@ def wait_seconds(attempt: int, reply: Reply | None, rng: random.Random, base: fl
     return min(base * 2**attempt, most) * (0.5 + rng.random() / 2)
 
 
-def get(fetch: Fetch, url: str, headers: dict | None = None, tries: int = 5, sleep: Callable[[float], None] = lambda s: None, seed: int = 0) -> Reply:
+def get(fetch: Fetch, url: str, headers: dict | None = None, tries: int = 5, sleep: Callable[[float], None] = time.sleep, seed: int = 0) -> Reply:
     """A reply that is not worth another try; raises when all were in vain."""
     rng, failure = random.Random(seed), None
     for attempt in range(tries):
@@ -66,22 +68,36 @@ def get(fetch: Fetch, url: str, headers: dict | None = None, tries: int = 5, sle
 
 
 def download(fetch: Fetch, url: str, size: int | None = None, threads: int = 8, **options) -> bytes | None:
-    """An archive's bytes, in ranges put together by place when it is large; None when there is none."""
-    if not size or size <= RANGED_FROM:
+    """An archive's bytes, in ranges put together by place when it is large; None when there is none.
+
+    Where the size isn't known, the first range's reply tells it; a server that has no ranges sends the whole.
+    """
+    head = b""
+    if not size:
+        reply = get(fetch, url, {"Range": f"bytes=0-{RANGED_FROM - 1}"}, **options)
+        total = re.search(r"/(\d+)\s*$", next((str(v) for k, v in (reply.headers or {}).items() if k.lower() == "content-range"), ""))
+        if reply.status == 206 and total:
+            head, size = reply.body, int(total[1])
+            if len(head) != min(RANGED_FROM, size):
+                raise OSError(f"{url}: the first bytes came back wrong")
+        elif reply.status in (206, 416):
+            reply = get(fetch, url, **options)
+    elif size <= RANGED_FROM:
         reply = get(fetch, url, **options)
+    if not head and (not size or size <= RANGED_FROM):
         if reply.status == 404:
             return None
         if reply.status != 200:
             raise OSError(f"{url}: status {reply.status}")
         return reply.body
-    step = -(-size // threads)
-    spans = [(a, min(a + step, size) - 1) for a in range(0, size, step)]
+    step = max(1, -(-(size - len(head)) // threads))
+    spans = [(a, min(a + step, size) - 1) for a in range(len(head), size, step)]
     with ThreadPoolExecutor(threads) as pool:
         replies = list(pool.map(lambda s: get(fetch, url, {"Range": f"bytes={s[0]}-{s[1]}"}, **options), spans))
     for (a, b), reply in zip(spans, replies, strict=True):
         if reply.status != 206 or len(reply.body) != b - a + 1:
             raise OSError(f"{url}: bytes {a} to {b} came back wrong")
-    return b"".join(r.body for r in replies)
+    return head + b"".join(r.body for r in replies)
 
 
 def members(data: bytes) -> Iterator[tuple[str, bytes]]:

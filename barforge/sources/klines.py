@@ -16,6 +16,9 @@ from ..schema import PRICES, finite, keep_last
 #: Columns of a raw kline file, in order (fixed values).
 KLINE = "open_time open high low close volume close_time quote_volume count taker_buy_volume taker_buy_quote_volume ignore".split()
 
+#: Columns of a raw funding file, in order (fixed values).
+FUNDING = "calc_time funding_interval_hours last_funding_rate".split()
+
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of plain and zipped CSV files."""
@@ -58,8 +61,18 @@ def parse_klines(lines: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_funding(lines: DataFrame, symbol: str) -> DataFrame:
-    """(symbol, ts, rate, interval_hours) from calc_time, interval, rate; a missing interval is eight hours."""
-    rows = _fields(lines).select("file", "line_no", *(F.trim(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(("t", "hours", "rate"))))
+    """(symbol, ts, rate, interval_hours); a missing interval is eight hours.
+
+    Columns go by a file's header line and, without one, by FUNDING's order. A header that lacks the time or the rate raises.
+    """
+    names = F.transform(F.split("line", ",", -1), lambda c: F.lower(F.trim(c)))
+    first = lines.where(F.col("line_no") == 0).select(F.col("file").alias("_file"), names.alias("_names"))
+    headed = first.where(F.get("_names", F.lit(0)).try_cast("double").isNull())
+    place = lambda c: F.when(F.col("_names").isNull(), F.lit(FUNDING.index(c) + 1)).otherwise(F.array_position("_names", c)).cast("int")
+    needed = lambda c: F.when(place(c) > 0, place(c)).otherwise(F.raise_error(F.concat(F.lit(f"no column {c} in "), F.col("file"))).cast("int"))
+    at = {"t": needed("calc_time"), "hours": place("funding_interval_hours"), "rate": needed("last_funding_rate")}
+    rows = _fields(lines).join(headed, F.col("file") == F.col("_file"), "left")
+    rows = rows.select("file", "line_no", *(F.trim(F.get("f", i - 1)).alias(c) for c, i in at.items()))
     typed = rows.select(
         F.struct("file", "line_no").alias("_seq"), F.timestamp_millis(F.col("t").try_cast("double").cast("long")).alias("ts"), finite(F.col("rate").try_cast("double")).alias("rate"),
         F.coalesce(F.col("hours").try_cast("double").cast("long"), F.lit(8).cast("long")).alias("interval_hours"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,19 @@ from ..operators.resample import resample as to_timeframe
 from ..schema import BAR_COLUMNS, keep_last, normalize_bars, step_seconds
 
 
+def _utc(at: datetime) -> datetime:
+    """``at`` without a zone; one with an offset is moved to UTC first."""
+    return at.astimezone(UTC).replace(tzinfo=None) if at.tzinfo else at
+
+
 def _instant(value: str | date | datetime) -> tuple[datetime, bool]:
-    """The instant, and whether only a day was given."""
+    """The instant in UTC, and whether only a day was given."""
     if isinstance(value, datetime):
-        return value, False
+        return _utc(value), False
     if isinstance(value, date):
         return datetime(value.year, value.month, value.day), True
-    return datetime.fromisoformat(value.replace("Z", "+00:00")).replace(tzinfo=None), re.fullmatch(r"\d{4}-\d{2}-\d{2}", value.strip()) is not None
+    text = value.strip()
+    return _utc(datetime.fromisoformat(text.replace("Z", "+00:00"))), re.fullmatch(r"\d{4}-\d{2}-\d{2}", text) is not None
 
 
 def _literal(ts: datetime, zoned: bool) -> Column:
@@ -54,6 +60,12 @@ def load_bars(spark: SparkSession, root: str, symbol: str, freq: str, start=None
     return to_timeframe(found, ["symbol"], freq, resample) if resample else found
 
 
+def read_bars(spark: SparkSession, root: str, symbol: str, freq: str, start=None, end=None) -> DataFrame:
+    """Bars of one symbol with every rule of the lake applied again, for files that another program may have written."""
+    found = load_bars(spark, root, symbol, freq, start, end)
+    return normalize_bars(found.withColumn("_order", F.monotonically_increasing_id()), ["symbol"], "_order")
+
+
 def write_bars(bars: DataFrame, root: str, freq: str, sequence: str | None = None) -> None:
     """Bars with symbol, normalised; the months that occur are replaced, others stay."""
     step_seconds(freq)
@@ -88,6 +100,31 @@ def complete_symbols(rows: DataFrame, first: str, last: str) -> DataFrame:
     return rows.select("symbol").distinct().join(counts, "symbol", "left").select("symbol", F.coalesce("months", F.lit(0)).alias("months"), (F.coalesce("months", F.lit(0)) == n).alias("complete"))
 
 
+def coverage(bar_months: DataFrame, funding_months: DataFrame, first: str, last: str) -> DataFrame:
+    """(symbol, missing_bar_months, missing_funding_months, complete) of each symbol with bars, from tables of (symbol, month)."""
+    wanted = month_table(bar_months.sparkSession, first, last)
+    n = wanted.count()
+
+    def have(rows: DataFrame, name: str) -> DataFrame:
+        inside = rows.select("symbol", "month").distinct().join(F.broadcast(wanted), "month", "left_semi")  # n rows
+        return inside.groupBy("symbol").agg(F.count("*").alias(name))
+
+    out = bar_months.select("symbol").distinct().join(have(bar_months, "_b"), "symbol", "left").join(have(funding_months, "_f"), "symbol", "left")
+    out = out.select("symbol", *((F.lit(n) - F.coalesce(c, F.lit(0))).cast("long").alias(f"missing_{kind}_months") for c, kind in (("_b", "bar"), ("_f", "funding"))))
+    return out.withColumn("complete", (F.col("missing_bar_months") == 0) & (F.col("missing_funding_months") == 0))
+
+
+def discover_symbols(spark: SparkSession, root: str, freq: str, first: str, last: str) -> DataFrame:
+    """coverage() of a lake: a month counts when it has bars and, for funding, an event."""
+    try:
+        events = spark.read.parquet(f"{root}/funding").select("symbol", F.date_format("ts", "yyyy-MM").alias("month"))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        events = spark.createDataFrame([], "symbol string, month string")
+    return coverage(finished_months(spark, root, freq), events, first, last)
+
+
 def truncated_history(rows: DataFrame, now: datetime) -> DataFrame:
     """(symbol, last_ts, missing_months, ends_early, truncated): finished months missing after the last, or a last month that stops over a day early."""
     last = rows.groupBy("symbol").agg(F.max("ts").alias("last_ts"))

@@ -1,9 +1,12 @@
-"""The results store: one typed row for each configuration, upserted by id."""
+"""The results store: one typed row for each configuration, upserted by id.
+
+A store is a folder of generations and a pointer file that names the current one and its version. A write adds a
+generation and then replaces the pointer in one rename, so a crash at any point leaves the old store or the new one.
+Everything goes through Hadoop's file systems.
+"""
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,36 +50,73 @@ def upsert(old: DataFrame, new: DataFrame, key: str, sequence: str) -> DataFrame
     return old.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
-def _meta(path: str) -> str:
-    return os.path.join(path, "_version")
+class _Folder:
+    """The store's folder in its own file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.hadoop, self.conf, self.gateway = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+        self.root = self.hadoop.fs.Path(path)
+        self.files = self.root.getFileSystem(self.conf)
+        if self.files.getScheme() == "file":
+            self.files = self.files.getRawFileSystem()  # no checksum file that a renamed pointer could disagree with
+
+    def at(self, name: str):
+        return self.hadoop.fs.Path(self.root, name)
+
+    def current(self) -> tuple[str, str] | None:
+        """(version, generation) as the pointer says."""
+        if not self.files.exists(self.at(POINTER)):
+            return None
+        stream = self.files.open(self.at(POINTER))
+        try:
+            version, _, name = bytes(stream.readAllBytes()).decode().strip().partition("\n")
+        finally:
+            stream.close()
+        return version, name
+
+    def point_to(self, name: str) -> None:
+        beside = self.at(f"{POINTER}.{uuid.uuid4().hex}")
+        stream = self.files.create(beside, False)
+        try:
+            stream.write(f"{RUNS_VERSION}\n{name}\n".encode())
+        finally:
+            stream.close()
+        replace = self.gateway.new_array(self.hadoop.fs.Options.Rename, 1)
+        replace[0] = self.hadoop.fs.Options.Rename.OVERWRITE
+        self.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.conf).rename(beside, self.at(POINTER), replace)
+
+    def remove_others(self, *kept: str) -> None:
+        for status in self.files.listStatus(self.root):
+            name = status.getPath().getName()
+            if name.startswith("generation-") and name not in kept:
+                self.files.delete(status.getPath(), True)
+
+
+#: The file that names a store's version and its current generation.
+POINTER = "_version"
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Rows with their write order ``seq``; an absent store is empty, one of another major version is refused."""
-    if not os.path.isdir(path):
+    found = _Folder(spark, path).current()
+    if found is None:
         return spark.createDataFrame([], RUNS).withColumn("seq", F.lit(0).cast("long"))
-    with open(_meta(path), encoding="utf-8") as f:
-        version = f.read().strip()
+    version, name = found
     if version.split(".")[0] != RUNS_VERSION.split(".")[0]:
         raise ValueError(f"store version {version!r}, expected {RUNS_VERSION}")
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def write_runs(rows: DataFrame, path: str) -> None:
-    """Upsert into a store on a file system that renames atomically: written beside it, then put in its place."""
-    spark = rows.sparkSession
-    old = read_runs(spark, path)
+    """Upsert for one writer at a time. The generation before stays for those who still read it; older ones go."""
+    spark, folder = rows.sparkSession, _Folder(rows.sparkSession, path)
+    old, before = read_runs(spark, path), folder.current()
     start = old.agg(F.max("seq")).first()[0]
     new = normalize_runs(rows).withColumn("seq", F.monotonically_increasing_id() + (0 if start is None else start + 1))
-    beside = f"{path}.{uuid.uuid4().hex}"
-    upsert(old, new, "config_id", "seq").write.parquet(beside)
-    with open(_meta(beside), "w", encoding="utf-8") as f:
-        f.write(RUNS_VERSION)
-    gone = f"{beside}.old"
-    if os.path.isdir(path):
-        os.replace(path, gone)
-    os.replace(beside, path)
-    shutil.rmtree(gone, ignore_errors=True)
+    name = f"generation-{uuid.uuid4().hex}"
+    upsert(old, new, "config_id", "seq").write.parquet(f"{path}/{name}")
+    folder.point_to(name)
+    folder.remove_others(name, *(before or ())[1:])
 
 
 def completed_ids(runs: DataFrame, data_version: str, screening: bool) -> DataFrame:

@@ -211,6 +211,23 @@ def test_funnel_counts(spark):
     assert funnel.payload(df.where("not alive"))["survivors"] is None
     broken = df.withColumn("thresholds_json", F.lit('{"min_trades": 1}'))
     assert funnel.funnel(broken).first()["thresholds_unknown"] == 12
+    assert d["funnel"]["thresholds"] == {"min_trades": 100, "min_dsr": 0.95, "max_p_value": 0.05, "max_pbo": 0.5, "mixed": False} and d["warnings"] == []
+    other = df.withColumn("thresholds_json", F.when(F.col("seq") == 3, gate.replace("100", "50")).otherwise(F.col("thresholds_json"))).withColumn("screening", F.col("seq").isin(1, 2))
+    m = funnel.payload(other)
+    assert m["funnel"]["thresholds"]["mixed"] and m["funnel"]["steps"][0]["threshold"] is None and m["funnel"]["steps"][1]["threshold"] == 0.95
+    assert [w.split(":")[0] for w in m["warnings"]] == ["mixed grades", "mixed thresholds among the full verdicts"]
+    assert funnel.payload(df.where("false"))["funnel"]["thresholds"]["min_trades"] == 100
+
+
+def test_ledger_refuses_what_it_cannot_judge(spark):
+    with pytest.raises(Exception, match="fewer than two bars"):
+        ledger.totals(ledger.ledger(with_target(spark, [100], [1]), K), K).collect()
+    assert ledger.ledger(with_target(spark, [100, 100], [1, 1]), K).count() == 2
+    legs = with_target(spark, [100, 101, 102], [1, 1, 1]).withColumns({"net": F.lit(0.0), "gross": F.lit(1.0), "carry": F.lit(-1.0)})
+    for leg in ("gross", "carry"):
+        for bad in (None, float("nan"), float("inf")):
+            with pytest.raises(Exception, match=f"{leg} is not finite"):
+                ledger.ledger(legs.withColumn(leg, F.lit(bad).cast("double")).withColumn("funding_rate", F.lit(0.001)), K, legs=True).collect()
 
 
 def test_portfolio(spark):

@@ -2,7 +2,7 @@ import io
 import json
 import random
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ def test_day_and_instant_bounds(spark, tmp_path):
     lake.write_bars(minutes.withColumn("ts", F.col("ts").cast("timestamp")), str(tmp_path), "1m")
     n = lambda end: lake.load_bars(spark, str(tmp_path), "A", "1m", "2024-01-01", end).count()
     assert (n("2024-01-01"), n("2024-01-01T00:30"), n("2024-01-01T00:00")) == (1440, 31, 1)
+    east = datetime(2024, 1, 1, 2, 30, tzinfo=timezone(timedelta(hours=2)))
+    assert (n("2024-01-01T02:30+02:00"), n(east), n("2023-12-31T22:00-02:00"), n("2024-01-01T00:30Z")) == (31, 31, 1, 31)
+    assert lake.load_bars(spark, str(tmp_path), "A", "1m", "2024-01-02T01:00+01:00").count() == 1440
     with pytest.raises(FileNotFoundError):
         lake.load_bars(spark, str(tmp_path), "B", "1m")
     with pytest.raises(FileNotFoundError):
@@ -39,6 +42,27 @@ def test_a_month_is_replaced_and_others_stay(spark, tmp_path):
     assert cut["missing_months"] == 1 and cut["ends_early"] and cut["truncated"]
 
 
+def test_foreign_files_are_normalised_when_read(spark, tmp_path):
+    rows = helpers.bars(spark, [10, 11, 12], step=86400).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.unionByName(rows).withColumn("close", F.when(F.dayofmonth("ts") < 3, F.col("close")).otherwise(float("nan"))).withColumns({"freq": F.lit("1d"), "month": F.date_format("ts", "yyyy-MM")})
+    rows.write.partitionBy("symbol", "freq", "month").parquet(f"{tmp_path}/bars")
+    assert lake.load_bars(spark, str(tmp_path), "A", "1d").count() == 6
+    assert sorted(r["close"] for r in lake.read_bars(spark, str(tmp_path), "A", "1d").collect()) == [10, 11]
+
+
+def test_symbols_need_bars_and_funding_in_every_month(spark, tmp_path):
+    root = str(tmp_path)
+    for s, last in (("A", 60), ("B", 30), ("C", 60)):
+        lake.write_bars(helpers.bars(spark, [10] * last, symbol=s, step=86400).withColumn("ts", F.col("ts").cast("timestamp")), root, "1d")
+    found = lambda: {r["symbol"]: tuple(r)[1:] for r in lake.discover_symbols(spark, root, "1d", "2024-01", "2024-02").collect()}
+    assert found() == {"A": (0, 2, False), "B": (1, 2, False), "C": (0, 2, False)}
+    day = lambda s, m, rate: (s, datetime(2024, m, 5), rate, 8)
+    events = spark.createDataFrame([day("A", 1, 0.1), day("A", 1, 0.2), day("A", 2, 0.3), day("C", 1, 0.1), day("D", 1, 0.1)], "symbol string, ts timestamp, rate double, interval_hours long")
+    lake.write_funding(events.coalesce(1), root)
+    assert found() == {"A": (0, 0, True), "B": (1, 2, False), "C": (0, 1, False)}
+    assert sorted(r["rate"] for r in lake.load_funding(spark, root, "A").collect()) == [0.2, 0.3]
+
+
 def test_kline_files(spark, tmp_path):
     head = ",".join(klines.KLINE)
     row = lambda t, c: f"{t},1,2,0.5,{c},10,0,100,5,6,60,0"
@@ -52,6 +76,12 @@ def test_kline_files(spark, tmp_path):
     (tmp_path / "f" / "x.csv").write_text("calc_time,funding_interval_hours,last_funding_rate\n1704067200000,,0.0001\n1704067200000,4,0.0002\n1704070800000,8,\n")
     got = klines.parse_funding(klines.csv_lines(spark, f"{tmp_path}/f/*"), "A").collect()
     assert [(r["rate"], r["interval_hours"]) for r in got] == [(0.0002, 4)]
+    for name, text in (("1.csv", "last_funding_rate,calc_time\n0.5,1704067200000\n"), ("2.csv", "1704070800000,4,0.25\n"), ("3.csv", "calc_time,rate\n1704070800000,1\n")):
+        (tmp_path / "f" / name).write_text(text)
+    got = klines.parse_funding(klines.csv_lines(spark, f"{tmp_path}/f/[12].csv"), "A").orderBy("ts").collect()
+    assert [(r["rate"], r["interval_hours"]) for r in got] == [(0.5, 8), (0.25, 4)]
+    with pytest.raises(Exception, match="no column last_funding_rate"):
+        klines.parse_funding(klines.csv_lines(spark, f"{tmp_path}/f/3.csv"), "A").collect()
 
 
 def test_archive_retries_and_ranges():
@@ -74,6 +104,19 @@ def test_archive_retries_and_ranges():
         return archive.Reply(206, body[a : b + 1])
 
     assert archive.download(ranged, "u", len(body)) == body
+    asked = []
+
+    def telling(url, headers):
+        if "Range" not in headers:
+            return archive.Reply(200, body)
+        asked.append(headers["Range"])
+        a, b = map(int, headers["Range"][6:].split("-"))
+        return archive.Reply(206, body[a : b + 1], {"content-range": f"bytes {a}-{min(b, len(body) - 1)}/{len(body)}"})
+
+    assert archive.download(telling, "u") == body and len(asked) == 9
+    body = body[:100]
+    assert archive.download(telling, "u") == body and len(asked) == 10
+    assert archive.download(lambda u, h: archive.Reply(416) if h else archive.Reply(200, b""), "u") == b""
     assert archive.months("2023-11", "2024-02") == ["2023-11", "2023-12", "2024-01", "2024-02"]
     assert archive.archive_url("http://h/", "A", "klines", "2024-01", "1m") == "http://h/monthly/klines/A/1m/A-1m-2024-01.zip"
     assert archive.wait_seconds(9, None, random.Random(0)) <= 30
@@ -127,6 +170,13 @@ def test_results_store(spark, tmp_path):
         runs_store.normalize_runs(spark.createDataFrame([("a", 1)], "config_id string, typo int"))
     with pytest.raises(Exception, match="config_id"):
         runs_store.normalize_runs(spark.createDataFrame([(" ",)], "config_id string")).collect()
+    before = sorted(p.name for p in (tmp_path / "runs").iterdir())
+    assert len(before) == 3 and before[0] == "_version"
+    (tmp_path / "runs" / "generation-half").mkdir()  # what a crash before the pointer's rename leaves
+    assert runs_store.read_runs(spark, path).count() == 3
+    runs_store.write_runs(spark.createDataFrame([("d",)], "config_id string"), path)
+    after = sorted(p.name for p in (tmp_path / "runs").iterdir())
+    assert runs_store.read_runs(spark, path).count() == 4 and len(after) == 3 and "generation-half" not in after
     (tmp_path / "runs" / "_version").write_text("9.0")
     with pytest.raises(ValueError, match="version"):
         runs_store.read_runs(spark, path)
