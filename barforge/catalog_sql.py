@@ -127,11 +127,11 @@ tr AS (
 
 def reversion(allowed: str = "true") -> str:
     """walk: mean reversion at 1.5 deviations with stops of 2, takes of 3 average ranges and 20 bars at most, each bar with its position ``pos`` and the bar of entry ``since``."""
-    return f"""{SMOOTH + segments('smooth', 'seg', 86400)}, tr AS (
+    return f"""{SMOOTH + segments('smooth', 'seg', 86400)}, tr AS MATERIALIZED (
       SELECT *, row_number() OVER w AS n, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0.0), coalesce(abs(low - lag(close) OVER w), 0.0)) AS tr
       FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts)){wilder('tr', 'tr', 'a')}, sg AS (
       SELECT *, CASE WHEN count(close) OVER w = 20 THEN stddev_pop(close) OVER w END AS sigma, avg(close) OVER w AS mean FROM tr WINDOW w AS {W20}), sq AS (
-      SELECT *, coalesce(count(sigma) OVER w = 30 AND sigma < avg(sigma) OVER w * 1.2, false) AS squeezed FROM sg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 29 PRECEDING)), en AS (
+      SELECT *, coalesce(count(sigma) OVER w = 30 AND sigma < avg(sigma) OVER w * 1.2, false) AS squeezed FROM sg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 29 PRECEDING)), en AS MATERIALIZED (
       SELECT sq.*, a.v AS atr, CAST(CASE WHEN sq.n < 20 OR a.v IS NULL OR NOT {allowed} OR coalesce(sigma, 0) <= 1e-12 THEN 0 WHEN (close - mean) / sigma >= 1.5 THEN -1 WHEN (close - mean) / sigma <= -1.5 THEN 1 ELSE 0 END AS DOUBLE) AS side
       FROM sq LEFT JOIN a ON a.symbol = sq.symbol AND a.segment = sq.segment AND a.n = sq.n), st AS (
       SELECT symbol, segment, 0::BIGINT AS n, 0.0::DOUBLE AS pos, 0::BIGINT AS since, 0.0::DOUBLE AS sl, 0.0::DOUBLE AS tp FROM (SELECT DISTINCT symbol, segment FROM seg)
