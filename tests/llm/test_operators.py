@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from barforge.llm._common import maybe_broadcast
@@ -84,6 +86,24 @@ def test_sharding(spark):
     assert one[0][0] == zlib.crc32("é€".encode()) and [r[1] for r in one] == [21, 16]
 
 
+def plain_shard(key, shards, seed=20240229):
+    """The shard of greatest weight; a weight chains the hashes of seed, key and shard, and a null key leaves the hash as it is."""
+
+    def weight(s):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", s), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    return max(range(shards), key=weight)
+
+
+def test_shards_against_plain_hashes(spark):
+    docs, _ = documents(spark)
+    out = sharding.external_shuffle(docs, shards=40).collect()
+    assert all((r["_shard"], r["grown_shard"]) == (plain_shard(r["doc_id"], 40), plain_shard(r["doc_id"], 41)) for r in out)
+
+
 def test_slots_depend_on_seed_and_data_alone(spark):
     docs, _ = documents(spark)
     key = lambda r: (str(r["doc_id"]), str(r["text"]), r["_shard"], r["slot"], r["grown_shard"])
@@ -308,6 +328,17 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>One <b>two</b>three\n four &lt;x&gt;.<br>five<p>{}</article><footer>&copy; site words</footer>'
 
 
+def test_the_linear_scan_finds_what_all_regions_give():
+    """Of regions with the greatest sum the one that ends first, without leading words that add nothing; none where no sum is above zero."""
+    rng = random.Random(5)
+    for n in (0, 1, 2, 9, 40):
+        for _ in range(60):
+            scores = [float(rng.randrange(-4, 4)) for _ in range(n)]
+            every = [(sum(scores[a:b]), -b, a) for b in range(1, n + 1) for a in range(b)]
+            best = max(every, default=(0.0, 0, 0))
+            assert html_text.best_region(scores) == ((best[2], -best[1]) if best[0] > 0 else (0, 0))
+
+
 def test_main_text(spark):
     pages = [PAGE.format(f"Body {i} " * 30) for i in range(20)]
     weights = html_text.fit(pages)

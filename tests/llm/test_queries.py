@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barforge.llm import queries
 
+from .test_operators import plain_components, plain_shard
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
@@ -34,6 +36,22 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_stages_against_plain_versions(spark):
+    """Rules as their SQL has them, one document of each group that all pairs give, copies within the mix's bound, shards from plain hashes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    good = corpus_pipeline.keep_good(spark, docs, SF).collect()
+    assert ids(good) == sorted(r[0] for r in c.sql(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op10_quality_rules']}) WHERE kept").fetchall())
+    single = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(good, docs.schema), SF).collect()
+    assert ids(single) == sorted(set(plain_components([(r["doc_id"], r["text"]) for r in good], 5, 80).values()))
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(single, docs.schema), SF).collect()
+    assert {r["doc_id"] for r in mixed} <= set(ids(single)) and max(ids(mixed).count(i) for i in set(ids(mixed))) <= 2
+    dealt = corpus_pipeline.to_shards(spark, spark.createDataFrame(mixed, docs.schema), SF).collect()
+    assert ids(dealt) == ids(mixed) and all(r["shard"] == plain_shard(r["doc_id"], 40) for r in dealt)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
