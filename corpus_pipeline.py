@@ -86,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Seeded permutations and hashes have no counterpart in SQL. Each stage's operator has tests of its own; the
-#: pipeline's test checks every stage's columns and texts, and that run() has as many rows as the stages in turn.
+#: Seeded permutations and hashes have no counterpart in SQL. Tests hold the rules against their SQL, near duplicates against
+#: all pairs and shards against plain hashes; of decontamination and the mix they check planted cases and bounds, no plain version.
 ORACLE_SQL = None
