@@ -95,4 +95,41 @@ FROM (
 )
 """
 
-ORACLE_SQL = {"op6_jaccard_join": OP6, "op9_warc": OP9, "op10_quality_rules": OP10}
+#: CRC-32 is spelled out by its table, which comes from the polynomial.
+OP13 = r"""
+WITH tab AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+), texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT kind, r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts
+), f AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), n AS (
+  SELECT kind, r, f, count(*) AS n FROM f GROUP BY ALL
+), bytes AS (
+  SELECT f, list_transform(range(0, octet_length(encode(f))), lambda i: (instr('0123456789ABCDEF', substr(hex(encode(f)), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode(f)), 2 * i + 2, 1)) - 1) AS b
+  FROM (SELECT DISTINCT f FROM n)
+), h AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, tab
+), each AS (
+  SELECT kind, r, bucket, sum(n) AS n FROM n JOIN h USING (f) GROUP BY ALL
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 't'), 0) AS t FROM each GROUP BY bucket
+), total AS (
+  SELECT sum(s) AS alls, sum(t) AS allt FROM counts
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(alls + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(allt + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts, total
+), weight AS (
+  SELECT r, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features FROM each JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN weight USING (r) WHERE kind = 'd'
+), placed AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_words, n_features, weight) END AS place, count(*) FILTER (n_words >= 20) OVER () AS eligible FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * eligible // 100 THEN place END AS rank FROM placed
+"""
+
+ORACLE_SQL = {"op6_jaccard_join": OP6, "op9_warc": OP9, "op10_quality_rules": OP10, "op13_importance_resampling": OP13}

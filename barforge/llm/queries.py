@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, mixing, pii, quality, sharding, tokens, urls, warc
+from . import decontaminate, html_text, importance, jaccard, mixing, neighbours, pii, quality, sharding, tokens, urls, warc, whitening
 from ._common import materialize, read
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -95,4 +95,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_main_text, op4_external_shuffle, op5_url_filter, op6_jaccard_join, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules)}
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 50."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), every=50)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, towards the features of the benchmark."""
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least_words=20, percent=25)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OPERATORS = (
+    op1_decontamination, op2_pii, op3_main_text, op4_external_shuffle, op5_url_filter, op6_jaccard_join, op7_token_counts, op8_source_mix, op9_warc, op10_quality_rules,
+    op11_nearest_neighbours, op12_whitening, op13_importance_resampling,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}

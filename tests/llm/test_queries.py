@@ -18,8 +18,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs_over_its_whole_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    table, key = ("pages", "page_id") if "page_id" in out.columns else ("documents", "doc_id")
+    table, key = ("pages", "page_id") if "page_id" in out.columns else ("embeddings", "vec_id") if "vec_id" in out.columns else ("documents", "doc_id")
     rows = spark.read.parquet(f"{SF}/{table}.parquet")
+    if name.startswith(("op11_", "op12_")):  # several rows for each
+        each, rows = (out.select(F.col("query_id").alias(key)), rows.where("vec_id % 50 = 0")) if "query_id" in out.columns else (out, rows)
+        out = each.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == (5 if name.startswith("op11_") else 16))
     if name.startswith("op1_"):
         assert out.join(rows, key, "left_semi").count() == out.count() > 0
     else:
@@ -29,7 +32,7 @@ def test_query_runs_over_its_whole_table(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     out = queries.QUERIES[name](spark, SF)
     want = c.sql(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
