@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog_sql import SQL
 from .functions import metrics, significance
-from .operators import align, bars, features, kernels, resample
+from .operators import align, bars, chunks, features, kernels, paths, resample
 from .plans import causality, funnel, ledger, portfolio, strategies, verdict
 from .schema import by_time, finite, keep_last
 from .sources import runs_store, tables
@@ -115,7 +115,7 @@ def rolling_features(spark, sf_dir):
 def rolling_quantiles(spark, sf_dir):
     w = [*KEYS, "segment"]
     found = bars.with_segments(tables.daily_bars(spark, sf_dir), KEYS, DAY)
-    return rounded(found.select("symbol", "ts", *(features.rolling_quantile(F.col("close"), w, 50, q).alias(f"q{int(q * 100)}") for q in (0.05, 0.95))), 4)
+    return rounded(paths.rolling_quantiles(found.select("symbol", "ts", "segment", "close"), w, F.col("close"), 50, {"q5": 0.05, "q95": 0.95}).select("symbol", "ts", "q5", "q95"), 4)
 
 
 @query
@@ -158,6 +158,15 @@ def funding_join(spark, sf_dir):
     return rounded(grid.select("symbol", "ts", "general", "funding_rate"), 10)
 
 
+@query
+def funding_join_median(spark, sf_dir):
+    """Without a step each series' median interval is its bars' length: four-hourly bars of one symbol, daily of another, hourly of the rest."""
+    hours = F.when(F.col("symbol") == "click", 4).when(F.col("symbol") == "view", 24).otherwise(1)
+    found = tables.event_bars(spark, sf_dir).where(F.pmod(F.hour("ts"), hours) == 0)
+    out = align.attach_funding(found, tables.funding_events(spark, sf_dir), KEYS, None, event_keys=[])
+    return rounded(out.select("symbol", "ts", "funding_rate"), 10)
+
+
 @query
 def funding_matched(spark, sf_dir):
     return align.matched_events(tables.event_bars(spark, sf_dir), tables.funding_events(spark, sf_dir), KEYS, HOUR, event_keys=[])
@@ -405,3 +414,102 @@ def hurst_exponent(spark, sf_dir):
 @query
 def series_statistics(spark, sf_dir):
     return kernels.series_statistics(tables.smooth_bars(spark, sf_dir), KEYS)
+
+
+#: How the long queries cut their series: several chunks for each at every scale.
+LONG_DAYS, LONG_HOURS = chunks.Long(rows=500, step=DAY), chunks.Long(rows=200, step=HOUR)
+
+
+def long_days(spark: SparkSession, sf_dir: str, source=tables.daily_bars) -> DataFrame:
+    """Daily bars, numbered, with their segments."""
+    return bars.with_segments(source(spark, sf_dir), KEYS, DAY, LONG_DAYS)
+
+
+def long_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book() without a window or group over a whole series."""
+    found = bars.with_tradable(long_days(spark, sf_dir, tables.smooth_bars), KEYS, long=LONG_DAYS)
+    strategy = strategies.make("threshold", {"window": 20, "k": 1.0})
+    out = strategies.mask_targets(strategies.run_segmented(strategy, found, KEYS, LONG_DAYS), strategy).withColumn("target", F.col("target") * WEIGHT)
+    return ledger.ledger(out, KEYS, ledger.Costs(), capital=1e6, max_participation=0.1, long=LONG_DAYS)
+
+
+@query
+def gap_segments_long(spark, sf_dir):
+    found = bars.with_tradable(bars.with_segments(tables.event_bars(spark, sf_dir), KEYS, HOUR, LONG_HOURS), KEYS, long=LONG_HOURS)
+    return found.select("symbol", "ts", "gap_start", "segment", "tradable")
+
+
+@query
+def rolling_features_long(spark, sf_dir):
+    def each(d: DataFrame, w: list[str]) -> DataFrame:
+        c, (up, down) = F.col("close"), features.directional_moves(w)
+        return d.withColumns({
+            "sigma": features.rolling_sigma(c, w, 20), "z": features.zscore(c, w, 20), "tr": features.true_range(w), "plus_dm": up, "minus_dm": down,
+            "regime": features.regime(features.sigma_zscore(c, w, 20)).cast("int"),
+        })
+
+    out = chunks.apply_with_halo(long_days(spark, sf_dir), KEYS, LONG_DAYS, 19, each)
+    return rounded(out.select("symbol", "ts", "sigma", "z", "tr", "plus_dm", "minus_dm", "regime"), 4)
+
+
+@query
+def half_life_filter_long(spark, sf_dir):
+    ok = lambda d, w: features.half_life_ok(d, w, 50, 0.6, 0.75)
+    return chunks.apply_with_halo(long_days(spark, sf_dir, tables.smooth_bars), KEYS, LONG_DAYS, 50, ok).select("symbol", "ts", "hl_ok")
+
+
+@query
+def squeeze_filter_long(spark, sf_dir):
+    calm = lambda d, w: features.squeeze(F.col("close"), d, w, 20, 30, 0.8)
+    return chunks.apply_with_halo(long_days(spark, sf_dir, tables.smooth_bars), KEYS, LONG_DAYS, 48, calm).select("symbol", "ts", "squeezed")
+
+
+@query
+def rolling_quantiles_long(spark, sf_dir):
+    """A window of 400 bars: its order is kept as it moves, so its length hardly counts."""
+    each = lambda d, w: paths.rolling_quantiles(d, w, F.col("close"), 400, {"q5": 0.05, "q50": 0.5, "q95": 0.95})
+    found = long_days(spark, sf_dir).select("symbol", "ts", "segment", "close", chunks.POS, chunks.LENGTH)
+    return rounded(chunks.apply_with_halo(found, KEYS, LONG_DAYS, 399, each).select("symbol", "ts", "q5", "q50", "q95"), 4)
+
+
+@query
+def wilder_atr_long(spark, sf_dir):
+    return rounded(paths.ranges(long_days(spark, sf_dir), KEYS, LONG_DAYS, 14).select("symbol", "ts", "atr"), 3)
+
+
+@query
+def adx_long(spark, sf_dir):
+    return rounded(paths.ranges(long_days(spark, sf_dir), KEYS, LONG_DAYS, 14, 14).select("symbol", "ts", "adx"), 4)
+
+
+@query
+def bracket_exits_long(spark, sf_dir):
+    found = chunks.numbered(tables.smooth_bars(spark, sf_dir), KEYS, LONG_DAYS).withColumn("n", F.col(chunks.POS) + 1)
+    side = F.when(F.col("n") % 11 == 0, 1.0).when(F.col("n") % 7 == 0, -1.0).otherwise(0.0)
+    found = found.withColumn("entry", side).withColumns({"stop_price": F.col("close") * (1 - 0.08 * F.col("entry")), "take_price": F.col("close") * (1 + 0.1 * F.col("entry"))})
+    return paths.brackets(found, KEYS, 5, LONG_DAYS).select("symbol", "ts", "target")
+
+
+@query
+def ledger_bars_long(spark, sf_dir):
+    out = long_book(spark, sf_dir).select("symbol", "ts", "held", "price_return", "turnover", "gross_return", "fee", "slippage", "returns", "equity", "drawdown")
+    return rounded(out, 7, equity=5)
+
+
+@query
+def trade_returns_long(spark, sf_dir):
+    return rounded(ledger.trade_returns(long_book(spark, sf_dir), KEYS, LONG_DAYS), 7)
+
+
+@query
+def position_episodes_long(spark, sf_dir):
+    return rounded(ledger.episodes(long_book(spark, sf_dir), KEYS, LONG_DAYS), 7)
+
+
+@query
+def mean_reversion_run_long(spark, sf_dir):
+    """The full strategy on cut series: smoothing, brackets, ledger, all from chunks."""
+    found = bars.with_tradable(long_days(spark, sf_dir, tables.smooth_bars), KEYS, long=LONG_DAYS)
+    strategy = strategies.make("mean_reversion_filtered", {"k": 1.5, "max_bars": 20, "squeeze_ratio": 1.2, "squeeze_window": 30})
+    run = strategies.mask_targets(strategies.run_segmented(strategy, found, KEYS, LONG_DAYS), strategy).withColumn("target", F.col("target") * WEIGHT)
+    return rounded(ledger.totals(ledger.ledger(run, KEYS, long=LONG_DAYS), KEYS))

@@ -268,7 +268,7 @@ SQL: dict[str, str] = {
       SELECT symbol, {R('h', 6, 'hurst')} FROM (SELECT DISTINCT symbol FROM n) LEFT JOIN h USING (symbol)""",
     "causality_honest": "SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS INT) AS cut, CAST(NULL AS TIMESTAMP) AS first_ts, CAST(NULL AS INT) AS n_cuts WHERE false",
     "causality_leaks": f"""WITH {SMOOTH}, n AS (SELECT symbol, ts, close, row_number() OVER w AS i, lead(close) OVER w AS following, count(*) OVER (PARTITION BY symbol) AS n FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-      c AS (SELECT symbol, list_distinct(CASE WHEN n <= 600 THEN range(1, n) ELSE list_concat(range(1, n, n // 200), [n // 4, n // 2, 3 * n // 4]) END) AS cuts FROM (SELECT DISTINCT symbol, n FROM n))
+      c AS (SELECT symbol, list_distinct(CASE WHEN n <= 600 THEN range(2, n) ELSE list_concat(range(2, n, n // 200), [n // 4, n // 2, 3 * n // 4, n - 1]) END) AS cuts FROM (SELECT DISTINCT symbol, n FROM n))
       SELECT symbol, CAST(i AS INT) AS cut, ts AS first_ts, CAST(len(cuts) AS INT) AS n_cuts FROM n JOIN c USING (symbol) WHERE list_contains(cuts, i) AND following <> close""",
     "overfitting_probability": f"""WITH {SMOOTH}, {MATRIX},
       n AS (SELECT *, row_number() OVER (PARTITION BY symbol, c ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, c) // 6 AS size FROM x),
@@ -299,3 +299,9 @@ SQL: dict[str, str] = {
     "symbols_complete": """SELECT o_orderpriority AS symbol, count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderdate < TIMESTAMP '2001-01-01') AS months,
       count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderdate < TIMESTAMP '2001-01-01') = 72 AS complete FROM orders GROUP BY 1""",
 }
+#: Queries over cut series say the same as those over whole ones.
+LONG = "gap_segments rolling_features half_life_filter squeeze_filter wilder_atr adx bracket_exits ledger_bars trade_returns position_episodes mean_reversion_run"
+SQL |= {f"{name}_long": SQL[name] for name in LONG.split()}
+SQL["rolling_quantiles_long"] = f"""WITH {DAILY + segments('daily', 'seg', 86400)} SELECT symbol, ts,
+  {', '.join(f"CASE WHEN count(close) OVER w = 400 THEN round(quantile_cont(close, {q}) OVER w, 4) END AS q{int(q * 100)}" for q in (0.05, 0.5, 0.95))}
+  FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 399 PRECEDING)"""

@@ -14,26 +14,49 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def containing_bar(bars: DataFrame, events: DataFrame, keys: list[str], step: int | None, event_keys: list[str] | None = None) -> DataFrame:
+def series_width(bars: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """(keys, _step): the median positive interval between bars of each series in microseconds, without ordering a series as a whole.
+
+    Intervals inside a stretch of ``span`` microseconds come from its own window, those between stretches from a row for each stretch.
+    """
+    rows = bars.select(*keys, _micros(F.col("ts")).alias("_m")).withColumn("_t", F.floor(F.col("_m") / span))
+    inside = rows.select(*keys, (F.col("_m") - F.lag("_m").over(Window.partitionBy(*keys, "_t").orderBy("_m"))).alias("_g"))
+    ends = rows.groupBy(*keys, "_t").agg(F.min("_m").alias("_a"), F.max("_m").alias("_z"))
+    across = ends.select(*keys, (F.col("_a") - F.lag("_z").over(Window.partitionBy(*keys).orderBy("_t"))).alias("_g"))
+    counted = inside.unionByName(across).where(F.col("_g") > 0).groupBy(*keys, "_g").agg(F.count("*").alias("_n"))
+    return counted.groupBy(*keys).agg(F.percentile("_g", F.lit(0.5), F.col("_n")).alias("_step"))
+
+
+def containing_bar(bars: DataFrame, events: DataFrame, keys: list[str], step: int | None, event_keys: list[str] | None = None, rows: int = 10_000) -> DataFrame:
     """Events with ``bar_ts``, the last bar at or before them, where they lie inside that bar; the others are dropped.
 
-    Bars and events are put into one sorted sequence, so each event is read once and no range is joined. Without ``step``
-    the median interval of the series is its length. Events without the series' keys are given to each series.
+    Time is cut into buckets of ``rows`` bars' length. Bars and events of a series and bucket are one sorted sequence, which
+    begins with the series' last bar of the bucket before: no bar reaches further, as none is longer than a bucket. So a hot
+    series is many tasks, each event is read once for each series that has bars near it, and no range is joined. Without ``step``
+    the median interval of a series is its bars' length. Events without the series' keys meet a series by bucket.
     """
     on = keys if event_keys is None else event_keys
-    if set(on) != set(keys):
-        events = events.join(bars.select(*keys).distinct(), on) if on else events.crossJoin(F.broadcast(bars.select(*keys).distinct()))  # series names only
-    b = bars.select(*keys, "ts", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("rate"))
-    e = events.select(*keys, "ts", F.lit(1).alias("_kind"), F.col("rate"))
-    at = Window.partitionBy(*keys).orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = b.unionByName(e).withColumn("bar_ts", F.last(F.when(F.col("_kind") == 0, F.col("ts")), ignorenulls=True).over(at))
     if step is None:
-        gaps = bars.withColumn("_g", _micros(F.col("ts")) - _micros(F.lag("ts").over(by_time(keys))))
-        width = gaps.where(F.col("_g") > 0).groupBy(*keys).agg(F.percentile("_g", F.lit(0.5)).alias("_step"))
-        both = both.join(width, keys, "left").withColumn("_step", F.coalesce("_step", F.lit(1.0)))  # a lone bar holds its own instant
+        width = series_width(bars, keys, 86_400_000_000 * 30)
+        longest = width.agg(F.max("_step")).first()[0] or 1.0
+    else:
+        width, longest = None, step * 1e6
+    bucket_of = lambda c: F.floor(_micros(c) / (float(longest) * rows))
+    b = bars.select(*keys, "ts", bucket_of(F.col("ts")).alias("_t"))
+    before = b.groupBy(*keys, "_t").agg(F.max("ts").alias("ts")).select(*keys, "ts", (F.col("_t") + 1).alias("_t"))
+    b = b.unionByName(before)
+    e = events.select(*on, F.col("ts").alias("_at"), F.col("rate"), bucket_of(F.col("ts")).alias("_t"))
+    if set(on) != set(keys):
+        e = e.join(b.select(*keys, "_t").distinct(), [*on, "_t"])
+    marked = b.select(*keys, "_t", "ts", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("rate"))
+    both = marked.unionByName(e.select(*keys, "_t", F.col("_at").alias("ts"), F.lit(1).alias("_kind"), F.col("rate").cast("double").alias("rate")))
+    at = Window.partitionBy(*keys, "_t").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("bar_ts", F.last(F.when(F.col("_kind") == 0, F.col("ts")), ignorenulls=True).over(at)).where(F.col("_kind") == 1)
+    if width is None:
+        both = both.withColumn("_step", F.lit(longest))
     else:
-        both = both.withColumn("_step", F.lit(step * 1e6))
-    inside = (F.col("_kind") == 1) & (_micros(F.col("ts")) < _micros(F.col("bar_ts")) + F.col("_step"))
+        both = both.join(width, keys, "left").withColumn("_step", F.coalesce("_step", F.lit(1.0)))  # a lone bar holds its own instant
+    inside = _micros(F.col("ts")) < _micros(F.col("bar_ts")) + F.col("_step")
     return both.where(inside).select(*keys, "ts", "rate", "bar_ts")
 
 

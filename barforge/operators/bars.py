@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import PRICES, by_time
+from . import chunks
+from .chunks import Long
 
 
 def no_volume() -> Column:
@@ -39,8 +41,12 @@ def with_gaps(bars: DataFrame, keys: list[str], step: int) -> DataFrame:
     return bars.withColumn("gap_start", F.coalesce(interval(keys) > step, F.lit(False)))
 
 
-def with_segments(bars: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """``bars`` with gap_start and segment, the number of the gap-free run."""
+def with_segments(bars: DataFrame, keys: list[str], step: int, long: Long | None = None) -> DataFrame:
+    """``bars`` with gap_start and segment, the number of the gap-free run. With ``long`` the series are cut, numbered, and stay so."""
+    if long:
+        rows = chunks.numbered(bars, keys, long)
+        marked = chunks.apply_with_halo(rows, keys, long, 1, lambda d, within: with_gaps(d, within, step))
+        return chunks.running(marked, keys, long, sums={"segment": F.col("gap_start").cast("int")}).withColumn("segment", F.col("segment").cast("int"))
     upto = by_time(keys).rowsBetween(Window.unboundedPreceding, 0)
     return with_gaps(bars, keys, step).withColumn("segment", F.sum(F.col("gap_start").cast("int")).over(upto).cast("int"))
 
@@ -62,7 +68,10 @@ def gap_mask(keys: list[str], lookback: int = 1, lookahead: int = 0) -> Column:
     return F.coalesce(F.max("gap_start").over(near), F.lit(False))
 
 
-def with_tradable(bars: DataFrame, keys: list[str], lookback: int = 1, lookahead: int = 0) -> DataFrame:
+def with_tradable(bars: DataFrame, keys: list[str], lookback: int = 1, lookahead: int = 0, long: Long | None = None) -> DataFrame:
+    if long:
+        marked = lambda d, within: d.withColumn("tradable", clean() & ~gap_mask([*keys, chunks.CHUNK], lookback, lookahead))  # noqa: E731  across segments
+        return chunks.apply_with_halo(chunks.numbered(bars, keys, long), keys, long, max(lookahead - 1, 0), marked, after=max(lookback, 0))
     return bars.withColumn("tradable", clean() & ~gap_mask(keys, lookback, lookahead))
 
 

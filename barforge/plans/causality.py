@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,39 +14,88 @@ from ..schema import by_time
 from .strategies import Strategy
 
 
+SKIPPED = "look-ahead not checked: the causality harness was switched off"
+
+
+class CausalityError(ValueError):
+    """A strategy whose targets depend on bars after them."""
+
+
 def cuts(n: int, dense: int = 600, sampled: int = 200) -> list[int]:
-    """Every length up to ``dense`` bars; beyond that every (n // sampled)-th and the quartiles."""
+    """Lengths at which a series of ``n`` bars is cut: all from 2 up to ``dense`` bars; beyond that one in n // sampled, the quartiles and the last."""
     if n <= dense:
-        return list(range(1, n))
-    return sorted({*range(1, n, n // sampled), n // 4, n // 2, 3 * n // 4} - {0})
+        return list(range(2, n))
+    return sorted({*range(2, n, n // sampled), n // 4, n // 2, 3 * n // 4, n - 1})
 
 
 def cuts_of(n: Column, dense: int = 600, sampled: int = 200) -> Column:
     """cuts() of each series by its own length."""
-    every = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int"))
-    quarters = F.array(F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(3 * n / 4).cast("int"))
-    strided = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int"), F.greatest(F.floor(n / sampled), F.lit(1)).cast("int"))
-    some = F.array_sort(F.array_distinct(F.concat(strided, quarters)))
-    return F.when(n < 2, F.array().cast("array<int>")).when(n <= dense, every).otherwise(some)
+    last = (n - 1).cast("int")
+    every = F.sequence(F.lit(2), F.greatest(last, F.lit(2)))
+    marks = F.array(F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(3 * n / 4).cast("int"), last)
+    strided = F.sequence(F.lit(2), F.greatest(last, F.lit(2)), F.greatest(F.floor(n / sampled), F.lit(1)).cast("int"))
+    some = F.array_sort(F.array_distinct(F.concat(strided, marks)))
+    return F.when(n < 3, F.array().cast("array<int>")).when(n <= dense, every).otherwise(some)
 
 
-def leaks(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
-    """(keys, cut, first_ts, n_cuts): the cuts at which some target differs, none for a causal strategy.
+def legs_of(strategy: Strategy) -> tuple[str, ...]:
+    return ("net", "gross", "carry") if strategy.legs else ("target",)
+
 
-    All cuts run as one plan: bars are repeated for each cut that holds them and the cut joins the strategy's partitioning.
+def compared(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """(keys, ts, cut, n_bars, same): each target on a shortened history beside that on the whole.
+
+    All cuts run as one plan: bars are repeated for each cut that needs them and the cut joins the strategy's partitioning.
+    The targets on the whole go with the bars, so the two are compared in a row. A recursive strategy is given whole
+    prefixes. One whose target depends on its last ``history`` bars alone is given twice as many, and the later half is compared:
+    rows then grow with its memory, not with the series, and a memory that is longer than it says shows as a difference.
     """
-    within = within or keys
-    legs = ("net", "gross", "carry") if strategy.legs else ("target",)
-    numbered = bars.withColumns({"_row": F.row_number().over(by_time(keys)), "_bars": F.count("*").over(Window.partitionBy(*keys))})
-    at = F.filter(cuts_of(F.col("_bars")), lambda k: k >= F.col("_row"))
+    within, legs = within or keys, legs_of(strategy)
+    whole = strategy.generate(bars, within).select(*bars.columns, *(F.col(c).alias(f"_{c}") for c in legs))
+    numbered = whole.withColumns({"_row": F.row_number().over(by_time(keys)), "_bars": F.count("*").over(Window.partitionBy(*keys))})
+    # How many bars before a cut are read and compared; a series' first bar is never cut off, as every history begins with it.
+    memory = None if strategy.recursive else max(1, int(strategy.history))
+    near = (lambda k: F.lit(True)) if memory is None else (lambda k: k < F.col("_row") + 2 * memory)
+    at = F.filter(cuts_of(F.col("_bars")), lambda k: (k >= F.col("_row")) & near(k))
     short = strategy.generate(numbered.withColumn("_cut", F.explode(at)), [*within, "_cut"])
-    whole = strategy.generate(bars, within).select(*keys, "ts", *(F.col(c).alias(f"_{c}") for c in legs))
-    both = short.select(*keys, "ts", "_cut", "_bars", *legs).join(whole, [*keys, "ts"])
+    if memory is not None:
+        short = short.where((F.col("_cut") < F.col("_row") + memory) | (F.col("_cut") <= 2 * memory))
     same = F.lit(True)
     for c in legs:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = both.where(~same).groupBy(*keys, F.col("_cut").alias("cut")).agg(F.min("ts").alias("first_ts"), F.first("_bars").alias("_bars"))
-    return found.select(*keys, "cut", "first_ts", F.size(cuts_of(F.col("_bars"))).alias("n_cuts"))
+    return short.select(*keys, "ts", F.col("_cut").alias("cut"), F.col("_bars").alias("n_bars"), same.alias("same"))
+
+
+def leaks(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+    """(keys, cut, first_ts, n_cuts): the cuts at which some target differs, none for a causal strategy."""
+    found = compared(strategy, bars, keys, within).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.first("n_bars").alias("_n"))
+    return found.select(*keys, "cut", "first_ts", F.size(cuts_of(F.col("_n"))).alias("n_cuts"))
+
+
+def audit(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str]) -> DataFrame:
+    """(config_id, keys, n_cuts, cut, first_ts, differing): a row for each strategy and series; the last three are null where no cut differs.
+
+    ``strategies`` by config_id; all of them, all series and all cuts are one plan. ``cut`` is the shortest that differs,
+    ``first_ts`` the first time that differs under it, ``differing`` how many do.
+    """
+    series = bars.groupBy(*keys).agg(F.size(cuts_of(F.count("*"))).alias("n_cuts"))
+    out = []
+    for config_id, strategy in strategies.items():
+        worse = compared(strategy, bars, keys).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.count("*").alias("differing"))
+        first = worse.groupBy(*keys).agg(F.min(F.struct("cut", "first_ts", "differing")).alias("_w"))
+        out.append(series.join(first, keys, "left").select(F.lit(config_id).alias("config_id"), *keys, "n_cuts", "_w.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def failures(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str]) -> dict[str, str]:
+    """Why a strategy of ``strategies`` isn't causal on some series of ``bars``, by config_id; nothing for those that are."""
+    rows = audit(strategies, bars, keys).where("n_cuts = 0 or cut is not null").orderBy("config_id", *keys).collect()  # at most a row for each strategy and series
+    said: dict[str, str] = {}
+    for r in rows:
+        what = f"{strategies[r['config_id']].name} on {', '.join(str(r[k]) for k in keys)}: "
+        what += "too few bars to tell" if r["cut"] is None else f"not causal: of {r['cut']} bars {r['differing']} get another target than in the whole series, first at {r['first_ts']}"
+        said.setdefault(r["config_id"], what)
+    return said
 
 
 def looks_ahead(df: DataFrame) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import chunks
+from ..operators.chunks import Long
 from ..schema import by_time, ratio
 
 BPS = 1e-4
@@ -63,14 +65,8 @@ def price_return(keys: list[str]) -> Column:
     return F.coalesce(ratio(F.col("close"), F.lag("close").over(by_time(keys))) - 1, F.lit(0.0))
 
 
-def ledger(bars: DataFrame, keys: list[str], costs: Costs = Costs(), capital: float = 10_000.0, max_participation: float = 0.01, initial: float = 1.0, legs: bool = False) -> DataFrame:  # noqa: B008
-    """``bars`` with the ledger's columns. ``bars`` has target, or with ``legs`` net, gross and carry; funding_rate if it is charged.
-
-    Funding is paid by a long position at a positive rate. Turnover follows the signed position, or gross with ``legs``.
-    A series of fewer than two bars raises, as does a gross or carry leg that is not finite.
-    """
-    if not (max_participation > 0 and max_participation < float("inf")):
-        raise ValueError("max_participation must be positive and finite")
+def _flows(bars: DataFrame, keys: list[str], costs: Costs, capital: float, max_participation: float, legs: bool) -> DataFrame:
+    """``bars`` with all columns of the ledger that look back two bars at most: positions, profit and costs."""
     net, gross, carry = ("net", "gross", "carry") if legs else ("target", "target", "target")
     at = by_time(keys)
     if legs:
@@ -92,11 +88,31 @@ def ledger(bars: DataFrame, keys: list[str], costs: Costs = Costs(), capital: fl
             "participation": F.coalesce(F.when(notional > 0, notional / F.when(F.col("quote_volume") > 0, F.col("quote_volume"))), F.lit(0.0)),
         }
     )
-    out = out.withColumn("returns", F.col("gross_return") - F.col("fee") - F.col("slippage") - F.col("funding"))
-    upto = at.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("equity", initial * F.product(1 + F.col("returns")).over(upto))
-    out = out.withColumn("peak", F.max("equity").over(upto))
-    return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1).drop("_basis", "_carry")
+    return out.withColumn("returns", F.col("gross_return") - F.col("fee") - F.col("slippage") - F.col("funding")).drop("_basis", "_carry")
+
+
+def ledger(
+    bars: DataFrame, keys: list[str], costs: Costs = Costs(), capital: float = 10_000.0, max_participation: float = 0.01, initial: float = 1.0, legs: bool = False, long: Long | None = None,  # noqa: B008
+) -> DataFrame:
+    """``bars`` with the ledger's columns. ``bars`` has target, or with ``legs`` net, gross and carry; funding_rate if it is charged.
+
+    Funding is paid by a long position at a positive rate. Turnover follows the signed position, or gross with ``legs``.
+    A series of fewer than two bars raises, as does a gross or carry leg that is not finite. With ``long`` the series are cut: the
+    flows come from chunks with a halo, equity and its peak from scans of the chunks' folds.
+    """
+    if not (max_participation > 0 and max_participation < float("inf")):
+        raise ValueError("max_participation must be positive and finite")
+    flows = lambda d, within: _flows(d, within, costs, capital, max_participation, legs)
+    if long:
+        series = [*keys, chunks.CHUNK]  # a position is held across segments
+        out = chunks.apply_with_halo(chunks.numbered(bars, keys, long), keys, long, 2, lambda d, _: flows(d, series), after=1)
+        out = chunks.running(out, keys, long, products={"equity": 1 + F.col("returns")}).withColumn("equity", initial * F.col("equity"))
+        out = chunks.running(out, keys, long, maxima={"peak": F.col("equity")})
+    else:
+        upto = by_time(keys).rowsBetween(Window.unboundedPreceding, 0)
+        out = flows(bars, keys).withColumn("equity", initial * F.product(1 + F.col("returns")).over(upto))
+        out = out.withColumn("peak", F.max("equity").over(upto))
+    return out.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 
 def totals(book: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,12 +124,23 @@ def totals(book: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def trade_amounts(book: DataFrame, keys: list[str]) -> DataFrame:
+def _scanned(book: DataFrame, keys: list[str], long: Long | None, mark: Callable[[DataFrame, list[str]], DataFrame], **sums: str) -> DataFrame:
+    """``mark(book, keys)``, which looks one bar back, with running sums of columns it makes."""
+    if long:
+        marked = chunks.apply_with_halo(chunks.numbered(book, keys, long), keys, long, 1, lambda d, _: mark(d, [*keys, chunks.CHUNK]))
+        return chunks.running(marked, keys, long, sums={name: F.col(c) for name, c in sums.items()})
+    upto = by_time(keys).rowsBetween(Window.unboundedPreceding, 0)
+    return mark(book, keys).withColumns({name: F.sum(c).over(upto) for name, c in sums.items()})
+
+
+def trade_amounts(book: DataFrame, keys: list[str], long: Long | None = None) -> DataFrame:
     """(keys, trade_id, ts, amount): what each bar adds to which trade; a bar on which a trade ends or turns adds to two."""
-    at = by_time(keys)
-    side, before = F.signum("held"), F.coalesce(F.lag("held").over(at), F.lit(0.0))
-    rows = book.withColumns({"_side": side, "_was": before, "_starts": ((side != 0) & (side != F.signum(before))).cast("int")})
-    rows = rows.withColumn("_id", F.sum("_starts").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def mark(d: DataFrame, within: list[str]) -> DataFrame:
+        side, before = F.signum("held"), F.coalesce(F.lag("held").over(by_time(within)), F.lit(0.0))
+        return d.withColumns({"_side": side, "_was": before, "_starts": ((side != 0) & (side != F.signum(before))).cast("int")})
+
+    rows = _scanned(book, keys, long, mark, _id="_starts")
     cost, own = F.col("fee") + F.col("slippage"), F.col("gross_return") - F.col("funding")
     ends = (F.signum("_was") != 0) & (F.signum("_was") != F.col("_side"))
     closing = F.when(~ends, 0.0).when(F.col("_side") == 0, 1.0).otherwise(F.abs("_was") / (F.abs("_was") + F.abs("held")))
@@ -122,18 +149,20 @@ def trade_amounts(book: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "ts", F.explode(F.array_compact(F.array(now, then))).alias("e")).select(*keys, "e.trade_id", "ts", "e.amount")
 
 
-def trade_returns(book: DataFrame, keys: list[str]) -> DataFrame:
+def trade_returns(book: DataFrame, keys: list[str], long: Long | None = None) -> DataFrame:
     """(keys, trade_id, trade_return); nothing for books without direction. Sums to the returns of directional books."""
-    return trade_amounts(book, keys).groupBy(*keys, "trade_id").agg(F.sum("amount").alias("trade_return"))
+    return trade_amounts(book, keys, long).groupBy(*keys, "trade_id").agg(F.sum("amount").alias("trade_return"))
 
 
-def episodes(book: DataFrame, keys: list[str]) -> DataFrame:
+def episodes(book: DataFrame, keys: list[str], long: Long | None = None) -> DataFrame:
     """One row for each stretch with an open book, the bar on which it closes included."""
-    at = by_time(keys)
-    active = F.col("gross_held") > 0
-    was = F.coalesce(F.lag(active).over(at), F.lit(False))
-    rows = book.withColumns({"_on": active | was, "_new": (active & ~was).cast("int")})
-    rows = rows.withColumn("episode", F.sum("_new").over(at.rowsBetween(Window.unboundedPreceding, 0)) - 1).where("_on")
+
+    def mark(d: DataFrame, within: list[str]) -> DataFrame:
+        active = F.col("gross_held") > 0
+        was = F.coalesce(F.lag(active).over(by_time(within)), F.lit(False))
+        return d.withColumns({"_on": active | was, "_new": (active & ~was).cast("int")})
+
+    rows = _scanned(book, keys, long, mark, episode="_new").withColumn("episode", F.col("episode") - 1).where("_on")
     return rows.groupBy(*keys, "episode").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"), F.sum("gross_return").alias("price_pnl"), (-F.sum("funding")).alias("funding_income"),
         F.sum("fee").alias("fee"), F.sum("slippage").alias("slippage"), F.sum("returns").alias("net_return"),

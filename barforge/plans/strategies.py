@@ -11,16 +11,19 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, kernels
+from ..operators import chunks, features, kernels, paths
+from ..operators.chunks import Long
 from ..schema import by_time
 
 
 class Strategy(Protocol):
-    """``generate`` adds ``target``; with ``legs`` it adds net, gross and carry instead. ``history`` is its memory in bars."""
+    """``generate`` adds ``target``; with ``legs`` it adds net, gross and carry instead. ``history`` is its memory in bars;
+    a strategy that is not ``recursive`` reads nothing before it."""
 
     name: str
     legs: bool
     needs_funding: bool
+    recursive: bool
 
     def generate(self, bars: DataFrame, within: list[str]) -> DataFrame: ...
 
@@ -48,6 +51,7 @@ class Parametrised:
     defaults: Mapping = {}
     legs = False
     needs_funding = False
+    recursive = True
 
     def __init__(self, params: Mapping | None = None):
         unknown = set(params or {}) - set(self.defaults)
@@ -67,6 +71,7 @@ class Threshold(Parametrised):
     """Long below -k, short above +k deviations; no exits but the signal's end. All window expressions."""
 
     name = "threshold"
+    recursive = False
     defaults = {"window": 20, "k": 1.0}
 
     @property
@@ -78,6 +83,10 @@ class Threshold(Parametrised):
         return bars.withColumn("z", z).withColumn("target", F.when(F.col("z") <= -self.k, 1.0).when(F.col("z") >= self.k, -1.0).otherwise(0.0))
 
 
+#: What a run of MeanReversion adds to its bars beside the target.
+EXTRA = ("atr", "z", "entry", "stop_price", "take_price")
+
+
 @register
 class MeanReversion(Parametrised):
     """Entries at a distance from the mean, exits by stop, take or time."""
@@ -103,19 +112,33 @@ class MeanReversion(Parametrised):
             return bars, F.lit(True)
         return features.half_life_ok(bars, within, int(self.hl_window), float(self.hl_min), float(self.hl_max)), F.col("hl_ok")
 
-    def generate(self, bars: DataFrame, within: list[str]) -> DataFrame:
-        own, n = bars.columns, int(self.window)
-        wide = kernels.with_ranges(bars, within, int(self.atr_len), self.adx_length)
-        wide = wide.withColumn("atr", F.nanvl("atr", F.lit(None))).withColumns({"z": features.zscore(F.col("close"), within, n), "_row": F.row_number().over(by_time(within))})
+    def entries(self, wide: DataFrame, within: list[str]) -> DataFrame:
+        """``wide`` (with atr) with z, entry and the prices of its brackets; reads ``self.lookback`` bars at most."""
+        n = int(self.window)
+        wide = wide.withColumns({"z": features.zscore(F.col("close"), within, n), "_row": F.row_number().over(by_time(within))})
         wide, allowed = self.allowed(self.thresholds(wide, within), within)
         ready = F.col("_row") >= max(n, int(self.atr_len))
         safe = F.col("atr").isNotNull() & F.col("close").isNotNull()
         side = F.when(F.col("z") >= F.col("_high"), -1.0).when(F.col("z") <= F.col("_low"), 1.0)
         entry = F.coalesce(F.when(ready & safe & allowed, side), F.lit(0.0))
         reach = lambda m: F.col("entry") * F.col("atr") * m
-        wide = wide.withColumn("entry", entry).withColumns({"stop_price": F.col("close") - reach(float(self.sl_atr)), "take_price": F.col("close") + reach(float(self.tp_atr))})
-        extra = ["atr", "z", "entry", "stop_price", "take_price"]
-        return kernels.with_brackets(wide.select(*own, *(c for c in extra if c not in own)), within, int(self.max_bars))
+        return wide.withColumn("entry", entry).withColumns({"stop_price": F.col("close") - reach(float(self.sl_atr)), "take_price": F.col("close") + reach(float(self.tp_atr))})
+
+    @property
+    def lookback(self) -> int:
+        """The bars before one that entries() reads, average ranges left out."""
+        return max(int(self.window), int(self.atr_len), int(self.hl_window) + 1 if self.use_hl_filter else 0)
+
+    def generate(self, bars: DataFrame, within: list[str]) -> DataFrame:
+        wide = kernels.with_ranges(bars, within, int(self.atr_len), self.adx_length)
+        wide = self.entries(wide.withColumn("atr", F.nanvl("atr", F.lit(None))), within)
+        return kernels.with_brackets(wide.select(*bars.columns, *(c for c in EXTRA if c not in bars.columns)), within, int(self.max_bars))
+
+    def generate_long(self, bars: DataFrame, keys: list[str], long: Long) -> DataFrame:
+        """The same on numbered series that are cut into chunks."""
+        wide = paths.ranges(bars, keys, long, int(self.atr_len), self.adx_length)
+        wide = chunks.apply_with_halo(wide, keys, long, self.lookback, self.entries)
+        return paths.brackets(wide.select(*bars.columns, *(c for c in EXTRA if c not in bars.columns)), keys, int(self.max_bars), long)
 
 
 @register
@@ -140,13 +163,18 @@ class FilteredMeanReversion(MeanReversion):
         more += [n + int(self.squeeze_window) - 1] if self.squeeze_ratio is not None else []
         return max(super().history, *more, 1)
 
+    @property
+    def lookback(self) -> int:
+        n = int(self.window)
+        more = [n + int(self.quantile_window)] if self.quantile_window > 0 else []
+        return max(super().lookback, *more, n + int(self.squeeze_window) if self.squeeze_ratio is not None else 0)
+
     def thresholds(self, bars: DataFrame, within: list[str]) -> DataFrame:
         if self.quantile_window <= 0:
             return super().thresholds(bars, within)
         tail, n = (1 - float(self.coverage) / 100) / 2, int(self.quantile_window)
         real = bars.withColumn("_z", F.when(F.col("_row") >= int(self.window), F.col("z")))
-        at = lambda q: features.rolling_quantile(F.col("_z"), within, n, q)
-        return real.withColumns({"_low": at(tail), "_high": at(1 - tail)})
+        return paths.rolling_quantiles(real, within, F.col("_z"), n, {"_low": tail, "_high": 1 - tail})
 
     def allowed(self, bars: DataFrame, within: list[str]) -> tuple[DataFrame, Column]:
         bars, ok = super().allowed(bars, within)
@@ -173,6 +201,7 @@ class FundingHarvest(Parametrised):
     name = "funding_harvest"
     legs = True
     needs_funding = True
+    recursive = False
     defaults = {"window": 24, "threshold_rate": 0.0, "weight": 1.0}
 
     @property
@@ -193,9 +222,20 @@ class FundingHarvest(Parametrised):
         return wide.withColumns({"net": F.lit(0.0), "gross": F.when(F.col("_on"), 2 * w).otherwise(0.0), "carry": F.when(F.col("_on"), -w).otherwise(0.0)}).drop("_on")
 
 
-def run_segmented(strategy: Strategy, bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Targets from each gap-free segment by itself; needs ``segment``."""
-    return strategy.generate(bars, [*keys, "segment"])
+def run_segmented(strategy: Strategy, bars: DataFrame, keys: list[str], long: Long | None = None) -> DataFrame:
+    """Targets from each gap-free segment by itself; needs ``segment``.
+
+    With ``long`` the series are cut: one that is not recursive runs on chunks with its history as halo, a recursive one has to bring
+    its own ``generate_long(bars, keys, long)``.
+    """
+    if not long:
+        return strategy.generate(bars, [*keys, "segment"])
+    rows = chunks.numbered(bars, keys, long)
+    if not strategy.recursive:
+        return chunks.apply_with_halo(rows, keys, long, int(strategy.history), strategy.generate)
+    if not hasattr(strategy, "generate_long"):
+        raise ValueError(f"{strategy.name} can't run on cut series")
+    return strategy.generate_long(rows, keys, long)
 
 
 def mask_targets(bars: DataFrame, strategy: Strategy) -> DataFrame:

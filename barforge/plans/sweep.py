@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from ..schema import periods_per_year, step_seconds
 from ..sources import runs_store
 from ..sources.experiment import Cell, canonical
 from . import ledger as books_module
-from . import strategies, verdict
+from . import causality, strategies, verdict
 
 KEYS = ["config_id", "symbol"]
 BATCH = 16
@@ -40,10 +40,7 @@ def prepare(minutes: DataFrame, source: str, target: str, funding: DataFrame | N
 def targets(prepared: DataFrame, cell: Cell) -> DataFrame:
     """One configuration's bars with net, gross and carry."""
     strategy = strategies.make(cell.experiment.strategy, cell.experiment.params)
-    own = prepared.where(F.col("symbol") == cell.symbol)
-    if not strategy.needs_funding and "funding_rate" not in own.columns:
-        own = own.withColumn("funding_rate", F.lit(0.0))
-    run = strategies.mask_targets(strategies.run_segmented(strategy, own, ["symbol"]), strategy)
+    run = strategies.mask_targets(strategies.run_segmented(strategy, signal_bars(prepared, cell, strategy), ["symbol"]), strategy)
     legs = ("net", "gross", "carry") if strategy.legs else ("target",) * 3
     if not strategy.legs:
         run = run.withColumn("target", F.coalesce("target", F.lit(0.0)))
@@ -61,6 +58,18 @@ def ledgers(prepared: DataFrame, cells: list[Cell]) -> DataFrame:
     return books_module.ledger(rows, KEYS, costs, legs=True)
 
 
+def signal_bars(prepared: DataFrame, cell: Cell, strategy: strategies.Strategy) -> DataFrame:
+    """The bars of a cell's symbol as its strategy sees them."""
+    own = prepared.where(F.col("symbol") == cell.symbol)
+    return own if strategy.needs_funding or "funding_rate" in own.columns else own.withColumn("funding_rate", F.lit(0.0))
+
+
+def not_causal(prepared: DataFrame, cells: list[Cell]) -> dict[str, str]:
+    """What the causality harness has against cells of one symbol, by config_id: one job for all of them."""
+    made = {c.config_id: strategies.make(c.experiment.strategy, c.experiment.params) for c in cells}
+    return causality.failures(made, prepared.where(F.col("symbol") == cells[0].symbol), ["symbol"])
+
+
 def _groups(cells: list[Cell]) -> list[list[list[Cell]]]:
     """Cells that share a symbol's bars, each group cut into batches of equal costs and gates: a batch is a matter of execution only."""
     by: dict[str, dict[str, list[Cell]]] = {}
@@ -112,12 +121,13 @@ def _failed(spark, cell: Cell, data_version: str, error: Exception) -> DataFrame
 
 
 def sweep(
-    cells: list[Cell], load: Callable[[str, str, str, str | None], DataFrame], store: str, spark, data_version: str, prior_trials: int = 0, screening: bool = False, force: bool = False,
+    cells: list[Cell], load: Callable[[str, str, str, str | None], DataFrame], store: str, spark, data_version: str, prior_trials: int = 0, screening: bool = False, force: bool = False, causal: bool = True, notes: Sequence[str] = (),
 ) -> dict[str, int]:
     """Run what the store lacks. ``load`` gives prepared bars for (symbol, timeframe, start, end).
 
     A group's ledgers are written first, batch by batch; overfitting is then judged once over all that succeeded, and the
-    group's rows are stored together. A group's matrix holds the configurations that this call runs, not those of earlier calls.
+    group's rows are stored together. With ``causal`` every configuration first passes the causality harness, a batch at a
+    time; one that looks ahead becomes an error row and has no ledger. A group's matrix holds the configurations that this call runs, not those of earlier calls.
     """
     todo = cells
     if not force:
@@ -131,26 +141,31 @@ def sweep(
         counts["failed"] += 1
         return runs_store.normalize_runs(_failed(spark, cell, data_version, error))
 
-    def written(batch: list[Cell]) -> DataFrame:
+    def written(batch: list[Cell], failed: list[DataFrame]) -> tuple[list[Cell], DataFrame | None]:
+        """The causal cells of a batch and their ledgers."""
         e = batch[0].experiment
-        path = f"{scratch}/{uuid.uuid4().hex}"
-        ledgers(load(batch[0].symbol, e.timeframe, e.start, e.end), batch).write.parquet(path)
-        return spark.read.parquet(path)
+        prepared, path = load(batch[0].symbol, e.timeframe, e.start, e.end), f"{scratch}/{uuid.uuid4().hex}"
+        wrong = not_causal(prepared, batch) if causal else {}
+        good = [c for c in batch if c.config_id not in wrong]
+        if good:
+            ledgers(prepared, good).write.parquet(path)
+        failed += [fail(c, causality.CausalityError(wrong[c.config_id])) for c in batch if c.config_id in wrong]
+        return good, spark.read.parquet(path) if good else None
 
     def books_of(batches: list[list[Cell]], failed: list[DataFrame]) -> list[tuple[list[Cell], DataFrame, float]]:
         out = []
         for batch in batches:
             start = time.time()
             try:
-                out.append((batch, written(batch), (time.time() - start) / len(batch)))
+                out.append((*written(batch, failed), (time.time() - start) / len(batch)))
             except Exception:
                 for cell in batch:
                     start = time.time()
                     try:
-                        out.append(([cell], written([cell]), time.time() - start))
+                        out.append((*written([cell], failed), time.time() - start))
                     except Exception as error:
                         failed.append(fail(cell, error))
-        return out
+        return [(good, book, seconds) for good, book, seconds in out if good]
 
     try:
         for batches in _groups(todo):
@@ -159,7 +174,7 @@ def sweep(
             pbo, unjudged = group_overfitting([b for _, b, _ in books], sum(len(c) for c, _, _ in books)) if books else (None, None)
             for batch, book, seconds in books:
                 e = batch[0].experiment
-                found = verdict.verdicts(book, books_module.trade_returns(book, KEYS), KEYS, n_trials, float(periods_per_year(e.timeframe)), pbo, e.validation, screening, unjudged)
+                found = verdict.verdicts(book, books_module.trade_returns(book, KEYS), KEYS, n_trials, float(periods_per_year(e.timeframe)), pbo, e.validation, screening, unjudged, notes)
                 rows.append(runs_store.normalize_runs(_rows(found, batch, data_version, seconds)))
             if rows:
                 runs_store.write_runs(reduce(DataFrame.unionByName, rows), store)

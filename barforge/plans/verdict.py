@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,12 @@ NO_DIRECTION = "min_trades not applicable: no directional trades"
 
 def verdicts(
     book: DataFrame, trades: DataFrame, keys: list[str], n_trials: int, periods: float, pbo: DataFrame | None = None,
-    thresholds: Mapping | None = None, screening: bool = False, unjudged: str | None = None,
+    thresholds: Mapping | None = None, screening: bool = False, unjudged: str | None = None, notes: Sequence[str] = (),
 ) -> DataFrame:
     """A row for each run. ``book``: its ledger; ``trades``: its trade returns; ``pbo``: one row (pbo) of the sweep's matrix, or a row for each of some keys.
 
     reasons say why a run fails, warnings what was not judged, inapplicable which gates mean nothing for its book. A run is
-    alive without reasons and inapplicable gates, unless it is only screened. ``unjudged``: why there is no ``pbo``.
+    alive without reasons and inapplicable gates, unless it is only screened. ``unjudged``: why there is no ``pbo``. ``notes``: further warnings.
     """
     if not 0 < periods < float("inf"):
         raise ValueError("periods must be positive and finite")
@@ -48,7 +48,7 @@ def verdicts(
         fit = F.lit(None).cast("string")
     else:
         fit = F.when(F.col("pbo").isNull(), "PBO can't be computed").when(F.col("pbo") >= t["max_pbo"], F.concat(F.lit("PBO "), number("pbo"), F.lit(f" >= {t['max_pbo']}")))
-    warnings = ([SCREENING] if screening else []) + ([unjudged or NO_PBO] if pbo is None else [])
+    warnings = ([SCREENING] if screening else []) + ([unjudged or NO_PBO] if pbo is None else []) + list(notes)
     rows = rows.withColumns(
         {
             "reasons": F.array_compact(F.array(few, dsr, p, fit)),

@@ -10,8 +10,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from http.client import HTTPException
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 #: Bytes of the first request; what is larger is fetched in ranges.
 RANGED_FROM = 16 << 10
@@ -44,22 +45,37 @@ def months(first: str, last: str) -> list[str]:
     return out
 
 
+def header(reply: Reply, name: str) -> str | None:
+    return next((str(v).strip() for k, v in (reply.headers or {}).items() if k.lower() == name.lower()), None)
+
+
+def cut_short(reply: Reply) -> bool:
+    """Fewer bytes than the reply said it had."""
+    said = header(reply, "Content-Length")
+    return reply.status in (200, 206) and said is not None and said.isdigit() and len(reply.body) < int(said)
+
+
 def wait_seconds(attempt: int, reply: Reply | None, rng: random.Random, base: float = 0.5, most: float = 30.0) -> float:
     """Exponential with jitter; a server's Retry-After is kept up to ``most``."""
-    asked = (reply.headers or {}).get("Retry-After") if reply else None
-    if asked is not None and str(asked).strip().isdigit():
-        return min(float(asked), most)
+    try:
+        asked = float(header(reply, "Retry-After") or "nan") if reply else float("nan")
+    except ValueError:  # a date
+        asked = float("nan")
+    if asked == asked:
+        return max(0.0, min(asked, most))
     return min(base * 2**attempt, most) * (0.5 + rng.random() / 2)
 
 
 def get(fetch: Fetch, url: str, headers: dict | None = None, tries: int = 5, sleep: Callable[[float], None] = time.sleep, seed: int = 0) -> Reply:
-    """A reply that is not worth another try; raises when all were in vain."""
+    """A reply that is not worth another try; raises when all were in vain. No reply, one cut short and one of RETRIED are tried again."""
     rng, failure = random.Random(seed), None
     for attempt in range(tries):
         try:
             reply = fetch(url, headers or {})
-        except OSError as e:
+        except (OSError, HTTPException) as e:
             reply, failure = None, e
+        if reply is not None and cut_short(reply):
+            reply, failure = None, OSError(f"{url}: {len(reply.body)} bytes of {header(reply, 'Content-Length')}")
         if reply is not None and reply.status not in RETRIED:
             return reply
         if attempt + 1 < tries:
@@ -75,7 +91,7 @@ def download(fetch: Fetch, url: str, size: int | None = None, threads: int = 8,
     head = b""
     if not size:
         reply = get(fetch, url, {"Range": f"bytes=0-{RANGED_FROM - 1}"}, **options)
-        total = re.search(r"/(\d+)\s*$", next((str(v) for k, v in (reply.headers or {}).items() if k.lower() == "content-range"), ""))
+        total = re.search(r"/(\d+)$", header(reply, "Content-Range") or "")
         if reply.status == 206 and total:
             head, size = reply.body, int(total[1])
             if len(head) != min(RANGED_FROM, size):
@@ -101,12 +117,17 @@ def download(fetch: Fetch, url: str, size: int | None = None, threads: int = 8,
 
 
 def members(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files of a zip archive whose checksums hold."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if (bad := z.testzip()) is not None:
-            raise OSError(f"damaged member {bad}")
-        for name in z.namelist():
-            yield name, z.read(name)
+    """Files of a zip archive whose checksums hold; one that is damaged or has no files raises."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if not z.namelist():
+                raise OSError("an archive without files")
+            if (bad := z.testzip()) is not None:
+                raise OSError(f"damaged member {bad}")
+            for name in z.namelist():
+                yield name, z.read(name)
+    except zipfile.BadZipFile as e:
+        raise OSError(f"no archive: {e}") from e
 
 
 def http_fetch(url: str, headers: dict) -> Reply:
@@ -128,7 +149,8 @@ class _Month(InputPartition):
 class ArchiveSource(DataSource):
     """``spark.read.format("bar_archive")``: lines of monthly archives, a partition for each symbol and month.
 
-    Options: base, symbols (comma-joined), first, last, kind, freq.
+    Options: base, symbols (comma-joined), first, last, kind, freq. With pushdown=true, which needs
+    spark.sql.python.filterPushdown.enabled, equalities and lists on symbol and month decide what is asked of the server.
     """
 
     fetch: Fetch = staticmethod(http_fetch)
@@ -141,20 +163,37 @@ class ArchiveSource(DataSource):
         return "symbol string, month string, file string, line_no long, line string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options), type(self).fetch)
+        chosen = _FilteredReader if self.options.get("pushdown") == "true" else _Reader
+        return chosen(dict(self.options), type(self).fetch)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch):
         self.options, self.fetch = options, fetch
+        self.wanted: dict[str, set | None] = {"symbol": None, "month": None}
 
     def partitions(self) -> list[InputPartition]:
-        return [_Month(s, m) for s in self.options["symbols"].split(",") for m in months(self.options["first"], self.options["last"])]
+        inside = lambda column, value: self.wanted[column] is None or value in self.wanted[column]
+        named = [s for s in self.options["symbols"].split(",") if inside("symbol", s)]
+        return [_Month(s, m) for s in named for m in months(self.options["first"], self.options["last"]) if inside("month", m)] or [_Month("", "")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         symbol, month = partition.value
+        if not symbol:
+            return
         url = archive_url(self.options["base"], symbol, self.options.get("kind", "klines"), month, self.options.get("freq"))
         data = download(self.fetch, url)
-        for name, content in members(data) if data else ():
+        for name, content in members(data) if data is not None else ():
             for i, line in enumerate(content.decode("utf-8", "replace").splitlines()):
                 yield symbol, month, name, i, line
+
+
+class _FilteredReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if column not in self.wanted:
+                yield f
+                continue
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.wanted[column] = values if self.wanted[column] is None else self.wanted[column] & values

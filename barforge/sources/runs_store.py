@@ -1,12 +1,18 @@
 """The results store: one typed row for each configuration, upserted by id.
 
-A store is a folder of generations and a pointer file that names the current one and its version. A write adds a
-generation and then replaces the pointer in one rename, so a crash at any point leaves the old store or the new one.
-Everything goes through Hadoop's file systems.
+A store is a folder of tables that are only added, and a log of numbered commits that say which of them count. A write adds
+its own rows as a delta and commits it, so its cost follows the new rows, not the store. Readers merge: of equal ids the row of
+the latest commit counts. When deltas pile up, compact() merges them into one table and commits that in their place.
+
+A commit is a folder that is renamed to the next number of the log: of two writers that want the same number one succeeds, and
+the other looks at the log again and takes the next. A crash before the rename leaves the store as it was. Everything goes
+through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,73 +56,160 @@ def upsert(old: DataFrame, new: DataFrame, key: str, sequence: str) -> DataFrame
     return old.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
+#: Deltas beyond which a write compacts the store.
+COMPACT_AFTER = 16
+#: Numbers of rows inside a delta lie below this; a row's place in the store is its commit's number times this and its own.
+ROWS = 1 << 42
+#: Partitions of a delta, so that monotonically_increasing_id() stays below ROWS.
+PARTS = 256
+#: Seconds after which a table that no commit names is taken for the rest of a crash.
+FORGOTTEN = 86_400
+LOG = "_log"
+
+
 class _Folder:
     """The store's folder in its own file system."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.hadoop, self.conf, self.gateway = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
-        self.root = self.hadoop.fs.Path(path)
+        self.path, self.root = path, spark._jvm.org.apache.hadoop.fs.Path(path)
         self.files = self.root.getFileSystem(self.conf)
         if self.files.getScheme() == "file":
-            self.files = self.files.getRawFileSystem()  # no checksum file that a renamed pointer could disagree with
+            self.files = self.files.getRawFileSystem()  # no checksum files beside those of the log
+
+    def at(self, *names: str):
+        out = self.root
+        for name in names:
+            out = self.hadoop.fs.Path(out, name)
+        return out
 
-    def at(self, name: str):
-        return self.hadoop.fs.Path(self.root, name)
+    def names(self, *below: str) -> list:
+        return list(self.files.listStatus(self.at(*below))) if self.files.exists(self.at(*below)) else []
 
-    def current(self) -> tuple[str, str] | None:
-        """(version, generation) as the pointer says."""
-        if not self.files.exists(self.at(POINTER)):
-            return None
-        stream = self.files.open(self.at(POINTER))
+    def text(self, path) -> str:
+        stream = self.files.open(path)
         try:
-            version, _, name = bytes(stream.readAllBytes()).decode().strip().partition("\n")
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return version, name
 
-    def point_to(self, name: str) -> None:
-        beside = self.at(f"{POINTER}.{uuid.uuid4().hex}")
-        stream = self.files.create(beside, False)
+    def commits(self) -> dict[int, dict]:
+        """The log: each commit by its number."""
+        out = {}
+        for status in self.names(LOG):
+            number = status.getPath().getName()
+            if number.isdigit():
+                entry = next(iter(x for x in self.files.listStatus(status.getPath()) if x.isFile() and x.getPath().getName().endswith(".json")), None)
+                if entry is not None:
+                    out[int(number)] = json.loads(self.text(entry.getPath()))
+        return dict(sorted(out.items()))
+
+    def commit(self, number: int, entry: dict) -> bool:
+        """Make ``entry`` the commit of that number; False if there is one already."""
+        token = uuid.uuid4().hex
+        beside = self.at(LOG, f"new-{token}")
+        stream = self.files.create(self.hadoop.fs.Path(beside, f"{token}.json"), False)
         try:
-            stream.write(f"{RUNS_VERSION}\n{name}\n".encode())
+            stream.write(json.dumps(entry | {"version": RUNS_VERSION}).encode())
         finally:
             stream.close()
-        replace = self.gateway.new_array(self.hadoop.fs.Options.Rename, 1)
-        replace[0] = self.hadoop.fs.Options.Rename.OVERWRITE
-        self.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.conf).rename(beside, self.at(POINTER), replace)
-
-    def remove_others(self, *kept: str) -> None:
-        for status in self.files.listStatus(self.root):
-            name = status.getPath().getName()
-            if name.startswith("generation-") and name not in kept:
-                self.files.delete(status.getPath(), True)
-
-
-#: The file that names a store's version and its current generation.
-POINTER = "_version"
+        to = self.at(LOG, f"{number:012d}")
+        try:
+            # A rename onto a folder that isn't empty fails, or where a file system puts the source inside, our file isn't at its place.
+            self.hadoop.fs.FileContext.getFileContext(self.files.getUri(), self.conf).rename(beside, to, self.gateway.new_array(self.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            if not self.files.exists(to):
+                raise OSError(f"the store's log can't be written: {e}") from e
+        done = self.files.exists(self.hadoop.fs.Path(to, f"{token}.json"))
+        for left in (beside, self.hadoop.fs.Path(to, f"new-{token}")):
+            if not done and self.files.exists(left):
+                self.files.delete(left, True)
+        return done
+
+    def drop(self, *names: str) -> None:
+        self.files.delete(self.at(*names), True)
+
+
+def tables_of(commits: dict[int, dict]) -> dict[str, int]:
+    """The tables that count after ``commits``, with the number that goes before their rows' own: 0 for compacted ones, whose rows have theirs."""
+    out: dict[str, int] = {}
+    for number, entry in commits.items():
+        for name in entry.get("remove", []):
+            out.pop(name, None)
+        out |= {name: number for name in entry.get("add", [])} | {name: 0 for name in entry.get("merged", [])}
+    return out
+
+
+def _log(folder: _Folder) -> dict[int, dict]:
+    commits = folder.commits()
+    for entry in commits.values():
+        if entry["version"].split(".")[0] != RUNS_VERSION.split(".")[0]:
+            raise ValueError(f"store version {entry['version']!r}, expected {RUNS_VERSION}")
+    return commits
+
+
+def _merged(spark: SparkSession, path: str, tables: dict[str, int]) -> DataFrame:
+    """Of equal ids in ``tables`` the latest row, with its place ``seq``."""
+    rows = spark.read.parquet(*(f"{path}/{name}" for name in tables))
+    of = F.regexp_extract(F.col("_metadata.file_path"), r"/((?:delta|merged)-[0-9a-f]{32})/[^/]*$", 1)
+    numbers = F.create_map(*(F.lit(x) for name, n in tables.items() for x in (name, n)))
+    placed = rows.select(*COLUMNS, (F.element_at(numbers, of) * F.lit(ROWS) + F.col("_row")).alias("seq"))
+    return keep_last(placed, ["config_id"], "seq").select(*COLUMNS, "seq")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Rows with their write order ``seq``; an absent store is empty, one of another major version is refused."""
-    found = _Folder(spark, path).current()
-    if found is None:
+    tables = tables_of(_log(_Folder(spark, path)))
+    if not tables:
         return spark.createDataFrame([], RUNS).withColumn("seq", F.lit(0).cast("long"))
-    version, name = found
-    if version.split(".")[0] != RUNS_VERSION.split(".")[0]:
-        raise ValueError(f"store version {version!r}, expected {RUNS_VERSION}")
-    return spark.read.parquet(f"{path}/{name}")
+    return _merged(spark, path, tables)
 
 
 def write_runs(rows: DataFrame, path: str) -> None:
-    """Upsert for one writer at a time. The generation before stays for those who still read it; older ones go."""
-    spark, folder = rows.sparkSession, _Folder(rows.sparkSession, path)
-    old, before = read_runs(spark, path), folder.current()
-    start = old.agg(F.max("seq")).first()[0]
-    new = normalize_runs(rows).withColumn("seq", F.monotonically_increasing_id() + (0 if start is None else start + 1))
-    name = f"generation-{uuid.uuid4().hex}"
-    upsert(old, new, "config_id", "seq").write.parquet(f"{path}/{name}")
-    folder.point_to(name)
-    folder.remove_others(name, *(before or ())[1:])
+    """Upsert; any number of writers may do so at once, and the one whose commit is later wins an id. Reads and writes only its own rows."""
+    spark, folder, name = rows.sparkSession, _Folder(rows.sparkSession, path), f"delta-{uuid.uuid4().hex}"
+    commits = _log(folder)
+    normalize_runs(rows).coalesce(PARTS).withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{path}/{name}")
+    number = max(commits, default=0) + 1
+    while not folder.commit(number, {"add": [name]}):
+        number = max(folder.commits(), default=number) + 1
+    if len(tables_of(folder.commits())) > COMPACT_AFTER:
+        compact(spark, path)
+
+
+def compact(spark: SparkSession, path: str) -> bool:
+    """Merge the store's tables into one; False if another did so meanwhile. Tables that the compaction before took the place of are
+    deleted now, so whoever reads through one compaction still finds what they read."""
+    folder = _Folder(spark, path)
+    tables, name = tables_of(_log(folder)), f"merged-{uuid.uuid4().hex}"
+    if not tables:
+        return False
+    _merged(spark, path, tables).withColumnRenamed("seq", "_row").write.parquet(f"{path}/{name}")
+    while True:
+        commits = folder.commits()
+        if not set(tables) <= set(tables_of(commits)):
+            folder.drop(name)
+            return False
+        if folder.commit(max(commits) + 1, {"merged": [name], "remove": sorted(tables)}):
+            break
+    _clean(folder, commits)
+    return True
+
+
+def _clean(folder: _Folder, before: dict[int, dict]) -> None:
+    """Delete what commits up to the compaction before the last have removed, tables that no commit ever named, and commits that say nothing any more."""
+    now = folder.commits()
+    live = tables_of(now)
+    gone = {name for entry in before.values() for name in entry.get("remove", [])}
+    named = {name for entry in now.values() for name in (*entry.get("add", []), *entry.get("merged", []))}
+    for status in folder.names():
+        name, age = status.getPath().getName(), time.time() - status.getModificationTime() / 1000
+        if name in gone or (name.startswith(("delta-", "merged-")) and name not in named and age > FORGOTTEN):
+            folder.drop(name)
+    compactions = [n for n, entry in before.items() if entry.get("merged")]
+    for n, entry in before.items():
+        if n < max(compactions, default=0) and not any(name in live or name not in gone for name in (*entry.get("add", []), *entry.get("merged", []))):
+            folder.drop(LOG, f"{n:012d}")
 
 
 def completed_ids(runs: DataFrame, data_version: str, screening: bool) -> DataFrame:

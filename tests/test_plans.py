@@ -168,7 +168,63 @@ def test_causality(spark):
         assert causality.leaks(honest, df, K).count() == 0
     assert causality.leaks(Peeks(), df, K).count() > 50
     assert causality.looks_ahead(Peeks().generate(df, K)) and not causality.looks_ahead(strategies.make("threshold").generate(df, K))
-    assert causality.cuts(5) == [1, 2, 3, 4] and len(causality.cuts(35064)) < 220
+    assert causality.cuts(5) == [2, 3, 4] and causality.cuts(2) == [] and len(causality.cuts(35064)) < 220 and causality.cuts(35064)[-1] == 35063
+    for n in (2, 3, 5, 600, 601, 1207, 35064):
+        got = spark.range(1).select(causality.cuts_of(F.lit(n)).alias("c")).first()["c"]
+        assert got == causality.cuts(n)
+
+
+class LastOnly(strategies.Parametrised):
+    """Looks ahead on the bar before the last alone: only the cut at n - 1 shows it."""
+
+    name = "last_only"
+
+    def generate(self, bars, within):
+        following = F.lead("close").over(by_time(within))
+        return bars.withColumn("target", F.when(F.lead("close", 2).over(by_time(within)).isNull() & (following > 0), 1.0).otherwise(0.0))
+
+
+class FarAhead(strategies.Parametrised):
+    """A window strategy by its own word, with a look far beyond its memory."""
+
+    name = "far_ahead"
+    recursive = False
+    history = 3
+
+    def generate(self, bars, within):
+        return bars.withColumn("target", F.when(F.lead("close", 40).over(by_time(within)) > 100, 1.0).otherwise(0.0))
+
+
+class Forgetful(strategies.Parametrised):
+    """Reads nine bars and says three."""
+
+    name = "forgetful"
+    recursive = False
+    history = 3
+
+    def generate(self, bars, within):
+        return bars.withColumn("target", F.when(F.sum("close").over(by_time(within).rowsBetween(-8, 0)) > 900, 1.0).otherwise(0.0))
+
+
+def test_audit_of_window_and_recursive_strategies(spark):
+    """All strategies in one plan over long and short series; what is cut to its memory judges as whole prefixes do."""
+    df = helpers.bars(spark, helpers.ou(1300, theta=0.2)).unionByName(helpers.bars(spark, [100, 101], symbol="short")).withColumn("funding_rate", F.lit(0.001))
+    tried = {
+        "threshold": strategies.make("threshold", {"window": 7}), "harvest": strategies.make("funding_harvest", {"window": 5}),
+        "peeks": Peeks(), "last": LastOnly(), "far": FarAhead(), "forgetful": Forgetful(),
+    }
+    rows = {(r["config_id"], r["symbol"]): r for r in causality.audit(tried, df, K).collect()}
+    assert len(rows) == 12 and all(rows[c, "short"]["n_cuts"] == 0 for c in tried) and rows["peeks", "A"]["n_cuts"] == len(causality.cuts(1300))
+    assert {c for c in tried if rows[c, "A"]["cut"] is not None} == {"peeks", "last", "far", "forgetful"}
+    said = causality.failures(tried, df.where("symbol = 'A'"), K)
+    assert set(said) == {"peeks", "last", "far", "forgetful"} and "not causal" in said["last"]
+    assert "too few bars" in causality.failures({"t": tried["threshold"]}, df.where("symbol = 'short'"), K)["t"]
+
+
+def test_rows_of_the_harness_follow_the_memory(spark):
+    df = helpers.bars(spark, helpers.ou(1300, theta=0.2))
+    n = {w: causality.compared(strategies.make("threshold", {"window": w}), df, K).count() for w in (5, 10)}
+    assert n[5] <= len(causality.cuts(1300)) * 10 and n[10] <= len(causality.cuts(1300)) * 20
 
 
 @pytest.mark.parametrize(("theta", "alive"), [(0.02, True), (0.002, False)])

@@ -2,13 +2,14 @@ import io
 import json
 import random
 import zipfile
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from barforge import cli
-from barforge.plans import sweep
+from barforge.plans import strategies, sweep
 from barforge.sources import archive, experiment, journal, klines, lake, runs_store
 
 from . import helpers
@@ -122,6 +123,29 @@ def test_archive_retries_and_ranges():
     assert archive.wait_seconds(9, None, random.Random(0)) <= 30
 
 
+def test_replies_that_are_tried_again():
+    """One cut short, by an exception or by its length; waits that aren't whole seconds; archives that are none."""
+    from http.client import IncompleteRead
+
+    replies, waits = [IncompleteRead(b"o"), archive.Reply(200, b"o", {"content-length": "2"}), archive.Reply(429, headers={"Retry-After": "1.5"}), archive.Reply(200, b"ok", {"Content-Length": "2"})], []
+
+    def fetch(url, headers):
+        reply = replies.pop(0)
+        if isinstance(reply, Exception):
+            raise reply
+        return reply
+
+    assert archive.get(fetch, "u", sleep=waits.append).body == b"ok" and waits[2] == 1.5
+    with pytest.raises(OSError, match="no usable reply"):
+        archive.get(lambda u, h: archive.Reply(200, b"o", {"Content-Length": "2"}), "u", tries=2, sleep=waits.append)
+    assert archive.wait_seconds(0, archive.Reply(503, headers={"Retry-After": "Wed, 21 Oct 2026 07:28:00 GMT"}), random.Random(0)) <= 0.5
+    empty = io.BytesIO()
+    zipfile.ZipFile(empty, "w").close()
+    for bad in (empty.getvalue(), b"", b"PK\x03\x04nothing"):
+        with pytest.raises(OSError):
+            list(archive.members(bad))
+
+
 class FakeArchive(archive.ArchiveSource):
     @classmethod
     def name(cls):
@@ -170,18 +194,66 @@ def test_results_store(spark, tmp_path):
         runs_store.normalize_runs(spark.createDataFrame([("a", 1)], "config_id string, typo int"))
     with pytest.raises(Exception, match="config_id"):
         runs_store.normalize_runs(spark.createDataFrame([(" ",)], "config_id string")).collect()
-    before = sorted(p.name for p in (tmp_path / "runs").iterdir())
-    assert len(before) == 3 and before[0] == "_version"
-    (tmp_path / "runs" / "generation-half").mkdir()  # what a crash before the pointer's rename leaves
+    names = lambda: sorted(p.name for p in (tmp_path / "runs").iterdir())
+    assert [n.split("-")[0] for n in names()] == ["_log", "delta", "delta"]
+    (tmp_path / "runs" / f"delta-{'0' * 32}").mkdir()  # what a crash before the commit leaves
     assert runs_store.read_runs(spark, path).count() == 3
-    runs_store.write_runs(spark.createDataFrame([("d",)], "config_id string"), path)
-    after = sorted(p.name for p in (tmp_path / "runs").iterdir())
-    assert runs_store.read_runs(spark, path).count() == 4 and len(after) == 3 and "generation-half" not in after
-    (tmp_path / "runs" / "_version").write_text("9.0")
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "runs").rglob("*.parquet"))
+    before = size()
+    runs_store.write_runs(spark.createDataFrame([("d",)], "config_id string").coalesce(1), path)
+    first = size() - before
+    assert runs_store.read_runs(spark, path).count() == 4 and first > 0
+    log = next((tmp_path / "runs" / "_log" / f"{1:012d}").iterdir())
+    log.write_text(log.read_text().replace(runs_store.RUNS_VERSION, "9.0"))
     with pytest.raises(ValueError, match="version"):
         runs_store.read_runs(spark, path)
 
 
+def test_store_grows_by_what_is_written_and_compacts(spark, tmp_path, monkeypatch):
+    path, folder = str(tmp_path / "runs"), tmp_path / "runs"
+    monkeypatch.setattr(runs_store, "COMPACT_AFTER", 4)
+    write = lambda ids, trades: runs_store.write_runs(spark.createDataFrame([(i, trades) for i in ids], "config_id string, trades int").coalesce(1), path)
+    write([f"c{i}" for i in range(2000)], 0)
+    large = sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    for k in range(1, 4):
+        before = {p for p in folder.rglob("*.parquet")}
+        write([f"c{k}", f"new{k}"], k)
+        assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before) < large / 2
+    rows = lambda: {r["config_id"]: (r["trades"], r["seq"]) for r in runs_store.read_runs(spark, path).collect()}
+    seen = rows()
+    assert len(seen) == 2003 and [seen[f"c{k}"][0] for k in (1, 2, 3, 4)] == [1, 2, 3, 0] and seen["c1"][1] > seen["c1999"][1]
+    write(["c1"], 9)  # the fifth table: merged into one, with the order of writes kept
+    tables = runs_store.tables_of(runs_store._Folder(spark, path).commits())
+    assert [n.split("-")[0] for n in tables] == ["merged"] and rows()["c1"][0] == 9 and {k: v for k, v in rows().items() if k != "c1"} == {k: v for k, v in seen.items() if k != "c1"}
+    for k in range(12):
+        write(["c5"], 100 + k)
+    assert rows()["c5"][0] == 111 and len(rows()) == 2003
+    assert len([p for p in folder.iterdir() if p.name != "_log"]) < 12 and len(list((folder / "_log").iterdir())) < 17
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    monkeypatch.setattr(runs_store, "COMPACT_AFTER", 5)
+    path = str(tmp_path / "runs")
+
+    def write(w):
+        for k in range(4):
+            runs_store.write_runs(spark.createDataFrame([(f"w{w}-{k}", w), ("both", 10 * k + w)], "config_id string, trades int").coalesce(1), path)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    rows = {r["config_id"]: r["trades"] for r in runs_store.read_runs(spark, path).collect()}
+    assert set(rows) == {"both", *(f"w{w}-{k}" for w in range(3) for k in range(4))} and rows["both"] in (30, 31, 32)
+
+
+def test_a_commit_has_one_winner(spark, tmp_path):
+    folder = runs_store._Folder(spark, str(tmp_path / "runs"))
+    assert folder.commit(1, {"add": ["a"]}) and not folder.commit(1, {"add": ["b"]}) and folder.commit(2, {"add": ["c"]})
+    assert {n: e["add"] for n, e in folder.commits().items()} == {1: ["a"], 2: ["c"]}
+    assert sorted(p.name for p in (tmp_path / "runs" / "_log").iterdir()) == [f"{1:012d}", f"{2:012d}"]
+
+
 GRID = """
 experiment: {name: g, strategy: mean_reversion, timeframe: 1h, start: "2024-01-01", end: "2024-02-01", params: {k: 1.5}, validation: {n_permutations: 20}}
 axes: {symbols: [A, B], timeframes: [1h], params: {window: [10, 20], tp_atr: [2.0, 3.0]}}
@@ -250,6 +322,140 @@ def test_a_group_is_judged_as_one_matrix(spark, tmp_path):
     assert not [p for p in tmp_path.iterdir() if "scratch" in p.name]
 
 
+class LooksAhead(strategies.Parametrised):
+    name = "looks_ahead"
+    defaults = {"k": 1}
+
+    def generate(self, bars, within):
+        from barforge.schema import by_time
+
+        return bars.withColumn("target", F.coalesce(F.signum(F.lead("close", int(self.k)).over(by_time(within)) - F.col("close")), F.lit(0.0)))
+
+
+@pytest.fixture
+def looks_ahead():
+    strategies.register(LooksAhead)
+    yield
+    del strategies.REGISTRY["looks_ahead"]
+
+
+def test_sweep_makes_an_error_row_of_what_looks_ahead(spark, tmp_path, looks_ahead):
+    prepared = sweep.prepare(helpers.bars(spark, helpers.ou(300, theta=0.1)), "1h", "1h").persist()
+    honest = experiment.Experiment("h", "threshold", {"window": 10}, "1h", "2024-01-01", validation={"n_permutations": 20})
+    cells = experiment.expand(honest, ["A"], ["1h"], {"window": [10, 20]}) + experiment.expand(replace(honest, strategy="looks_ahead", params={}), ["A"], ["1h"], {"k": [1, 2]})
+    run = lambda name, **o: (sweep.sweep(cells, lambda *_: prepared, str(tmp_path / name), spark, "v1", **o), {r["config_id"]: r for r in runs_store.read_runs(spark, str(tmp_path / name)).collect()})
+    counts, rows = run("runs")
+    assert counts == {"cells": 4, "run": 4, "failed": 2} and len(rows) == 4
+    assert all("CausalityError" in rows[c.config_id]["error"] and "not causal" in rows[c.config_id]["error"] and not rows[c.config_id]["alive"] for c in cells[2:])
+    assert all(not rows[c.config_id]["error"] and rows[c.config_id]["pbo"] is not None for c in cells[:2])
+    counts, rows = run("unchecked", causal=False, notes=["not checked"])
+    assert counts["failed"] == 0 and all("not checked" in r["warnings"] for r in rows.values())
+
+
+def test_validate_stops_at_what_looks_ahead(spark, tmp_path, capsys, looks_ahead):
+    root, store, out = str(tmp_path / "lake"), str(tmp_path / "runs"), tmp_path / "report"
+    lake.write_bars(helpers.bars(spark, helpers.ou(300, theta=0.1)).withColumn("ts", F.col("ts").cast("timestamp")), root, "1m")
+    (tmp_path / "good.yaml").write_text("name: good\nstrategy: threshold\ntimeframe: 1h\nstart: '2024-01-01'\nvalidation: {n_permutations: 20}\n")
+    (tmp_path / "bad.yaml").write_text("name: bad\nstrategy: looks_ahead\ntimeframe: 1h\nstart: '2024-01-01'\nvalidation: {n_permutations: 20}\n")
+    (tmp_path / "m.txt").write_text("good.yaml\nbad.yaml\n")
+    run = ["validate", "--configs", str(tmp_path / "m.txt"), "--symbol", "A", "--root", root, "--store", store, "--journal", str(tmp_path / "j"), "--out", str(out)]
+    assert cli.main(run) == 1
+    assert "bad: looks_ahead on A: not causal" in capsys.readouterr().err and not out.exists() and not (tmp_path / "j").exists()
+    assert runs_store.read_runs(spark, store).count() == 0
+    assert cli.main([*run, "--skip-causality"]) == 0
+    assert "not checked" in capsys.readouterr().err
+    document = json.loads((out / "report.json").read_text())
+    assert document["extra"]["causality_checked"] is False and "not checked" in document["run"]["warnings"] and len((tmp_path / "j").read_text().splitlines()) == 2
+    assert cli.main(["validate", "--config", str(tmp_path / "good.yaml"), *run[3:], "--force"]) == 0
+    document = json.loads((out / "report.json").read_text())
+    assert document["extra"]["causality_checked"] is True and document["run"]["strategy"] == "threshold" and "not checked" not in document["run"]["warnings"]
+    assert len(document["ts"]) == 300 == len(document["equity"]) == len(document["funding"]) and document["equity"][0] == 1.0
+    assert (out / "report.js").read_text() == "window.REPORT = " + (out / "report.json").read_text() + ";\n"
+
+
+@pytest.fixture
+def server():
+    """Archives of A and B from 2024-01 to 2024-03 and two months of funding; each request is noted."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked, broken = [], set()
+
+    class Archives(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, symbol, month = self.path.split("/")[2], self.path.split("/")[3], self.path[-11:-4]
+            asked.append((kind, symbol, month))
+            start = datetime(int(month[:4]), int(month[5:]), 1, tzinfo=timezone.utc)
+            ms = [int((start + timedelta(hours=8 * i)).timestamp() * 1000) for i in range(84)]
+            out, name = io.BytesIO(), f"{symbol}-{month}.csv"
+            with zipfile.ZipFile(out, "w") as z:
+                if kind == "klines":
+                    z.writestr(name, "\n".join(f"{t},100,101,99,100.5,10,0,1000,5,6,60,0" for t in ms))
+                else:
+                    z.writestr(name, "calc_time,funding_interval_hours,last_funding_rate\n" + "\n".join(f"{t},8,0.0001" for t in ms))
+            known = symbol in "AB" and "2024-01" <= month <= ("2024-03" if kind == "klines" else "2024-02")
+            body = b"no zip" if (symbol, month) in broken else out.getvalue() if known else b""
+            self.send_response(200 if known else 404)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Archives)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", asked, broken
+    http.shutdown()
+
+
+def test_ingest_downloads_what_the_lake_lacks(spark, tmp_path, server, capsys):
+    base, asked, broken = server
+    root, universe = str(tmp_path / "lake"), tmp_path / "u.yaml"
+    universe.write_text("market: m\nstart: 2024-01-01\nend: 2024-02-28\nsymbols: [A]\n")
+    run = ["ingest", "--base", base, "--universe", str(universe), "--root", root, "--freq", "1m"]
+    assert cli.main(run) == 0
+    assert sorted(asked) == [(k, "A", m) for k in ("fundingRate", "klines") for m in ("2024-01", "2024-02")]
+    asked.clear()
+    universe.write_text("market: m\nstart: 2024-01-01\nend: 2024-04-30\nsymbols: [A, B, Z]\n")
+    broken.add(("B", "2024-02"))
+    assert cli.main(run) == 1  # B has a damaged archive; A and Z are none the worse
+    bars = [(s, m) for k, s, m in asked if k == "klines"]
+    assert [m for s, m in sorted(bars) if s == "A"] == ["2024-03", "2024-04"] and {m for s, m in bars if s == "Z"} == {f"2024-0{i}" for i in range(1, 5)}
+    assert [m for k, s, m in sorted(asked) if (k, s) == ("fundingRate", "A")] == ["2024-03", "2024-04"]
+    said = capsys.readouterr()
+    assert "B klines: " in said.err and "A klines: fetched 1, skipped 2, absent 1" in said.out and "Z klines: fetched 0, skipped 0, absent 4" in said.out
+    assert lake.load_bars(spark, root, "A", "1m").count() == 3 * 84 and lake.load_funding(spark, root, "A").count() == 2 * 84
+    broken.clear()
+    asked.clear()
+    assert cli.main(run) == 0 and lake.load_bars(spark, root, "B", "1m").count() == 3 * 84
+    assert not [p for p in (tmp_path / "lake").iterdir() if "staging" in p.name]
+    asked.clear()
+    assert cli.main([*run, "--force"]) == 0 and ("klines", "A", "2024-01") in asked
+
+
+def test_filters_go_down_to_the_archive_source():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    reader = archive._FilteredReader({"base": "b", "symbols": "A,B", "first": "2024-01", "last": "2024-04"}, None)
+    assert len(reader.partitions()) == 8
+    left = list(reader.pushFilters([EqualTo(("symbol",), "B"), In(("month",), ("2024-02", "2024-09")), GreaterThan(("line_no",), 3)]))
+    assert left == [GreaterThan(("line_no",), 3)] and [p.value for p in reader.partitions()] == [("B", "2024-02")]
+    list(reader.pushFilters([EqualTo(("month",), "2024-03")]))
+    assert [p.value for p in reader.partitions()] == [("", "")] and list(reader.read(reader.partitions()[0])) == []
+
+
+def test_symbols_whose_history_ends_early_can_be_left_out(spark, tmp_path, server):
+    from barforge.sources import ingest
+
+    base, _, _ = server
+    run = lambda root, **o: ingest.ingest_symbols(spark, str(tmp_path / root), base, ["A"], "1m", "2024-01", "2024-08", datetime(2024, 9, 3), **o)
+    (bars,) = run("without", include_delisted=False)
+    assert bars.truncated and bars.excluded and bars.absent == 5 and not (tmp_path / "without" / "bars").exists()
+    bars, funding = run("with")
+    assert bars.truncated and not bars.excluded and lake.load_bars(spark, str(tmp_path / "with"), "A", "1m").count() == 252 and funding.fetched == 2
+
+
 def test_command_line(spark, tmp_path, capsys):
     rows = ["{},{},{},{},{},10,0,100000000,5,6,60,0".format(1704067200000 + 3600000 * i, c, c + 1, c - 1, c) for i, c in enumerate(helpers.ou(400, theta=0.1))]
     (tmp_path / "in").mkdir()
