@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog_sql import SQL
 from .functions import metrics, significance
-from .operators import align, bars, chunks, features, kernels, paths, resample
+from .operators import align, bars, chunks, features, kernels, paths, resample, unitroot
 from .plans import causality, funnel, ledger, portfolio, strategies, verdict
 from .schema import by_time, finite, keep_last
 from .sources import runs_store, tables
@@ -17,6 +17,8 @@ from .sources import runs_store, tables
 KEYS = ["symbol"]
 HOUR, DAY = 3600, 86400
 WEIGHT = 0.01
+#: How the long queries cut their series: several chunks for each at every scale.
+LONG_DAYS, LONG_HOURS = chunks.Long(rows=500, step=DAY), chunks.Long(rows=200, step=HOUR)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = SQL
 
@@ -413,11 +415,16 @@ def hurst_exponent(spark, sf_dir):
 
 @query
 def series_statistics(spark, sf_dir):
-    return kernels.series_statistics(tables.smooth_bars(spark, sf_dir), KEYS)
+    """Orders by AIC, which SQL can't choose: held against a regression for each order in tests."""
+    found = tables.smooth_bars(spark, sf_dir)
+    tested = unitroot.dickey_fuller(found, KEYS, LONG_DAYS).select(*KEYS, F.col("p_value").alias("adf_p"))
+    return kernels.hurst_exponent(found, KEYS).join(tested, KEYS)
 
 
-#: How the long queries cut their series: several chunks for each at every scale.
-LONG_DAYS, LONG_HOURS = chunks.Long(rows=500, step=DAY), chunks.Long(rows=200, step=HOUR)
+@query
+def unit_root_one_lag(spark, sf_dir):
+    """The statistic at a given order."""
+    return rounded(unitroot.dickey_fuller(tables.smooth_bars(spark, sf_dir), KEYS, chunks.Long(rows=300, step=DAY), lags=1).select("symbol", "n", "lags", "tau"), 5)
 
 
 def long_days(spark: SparkSession, sf_dir: str, source=tables.daily_bars) -> DataFrame:

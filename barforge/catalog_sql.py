@@ -194,6 +194,12 @@ SQL: dict[str, str] = {
       dx AS (SELECT *, 100 * abs(dip - dim) / CASE WHEN dip + dim = 0 THEN 1 ELSE dip + dim END AS dx FROM di){wilder('dx', 'dx', 'x')}
       SELECT symbol, ts, {R('x.v', 4, 'adx')} FROM dx LEFT JOIN x USING (symbol, segment, n)""",
     "funding_join": f"WITH {HOURLY + FUNDING} SELECT symbol, ts, {R('funding_rate', 10, 'general')}, {R('funding_rate', 10)} FROM funded",
+    "funding_join_median": f"""WITH {HOURLY + FUNDING}, b AS (
+      SELECT symbol, ts, lead(ts) OVER w AS following, epoch(ts) - epoch(lag(ts) OVER w) AS gap FROM hourly
+      WHERE hour(ts) % CASE symbol WHEN 'click' THEN 4 WHEN 'view' THEN 24 ELSE 1 END = 0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+      m AS (SELECT symbol, coalesce(median(gap) FILTER (gap > 0), 1e-6) AS step FROM b GROUP BY 1)
+      SELECT b.symbol, b.ts, {R('coalesce(sum(r.rate), 0.0)', 10, 'funding_rate')} FROM b JOIN m USING (symbol)
+      LEFT JOIN rates r ON r.ts >= b.ts AND epoch(r.ts) < epoch(b.ts) + m.step AND (b.following IS NULL OR r.ts < b.following) GROUP BY b.symbol, b.ts""",
     "funding_matched": f"WITH {HOURLY + FUNDING} SELECT b.symbol, count(r.ts) AS matched FROM hourly b LEFT JOIN rates r ON r.ts >= b.ts AND r.ts < b.ts + INTERVAL 1 HOUR GROUP BY 1",
     "funding_features": f"""WITH {HOURLY + FUNDING}, f AS (SELECT symbol, ts, round(funding_rate * 1e6, 3) AS x FROM funded)
       SELECT symbol, ts, round(avg(x) OVER (PARTITION BY symbol ORDER BY ts ROWS 7 PRECEDING), 5) + 0.0 AS ma,
@@ -305,3 +311,9 @@ SQL |= {f"{name}_long": SQL[name] for name in LONG.split()}
 SQL["rolling_quantiles_long"] = f"""WITH {DAILY + segments('daily', 'seg', 86400)} SELECT symbol, ts,
   {', '.join(f"CASE WHEN count(close) OVER w = 400 THEN round(quantile_cont(close, {q}) OVER w, 4) END AS q{int(q * 100)}" for q in (0.05, 0.5, 0.95))}
   FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY ts ROWS 399 PRECEDING)"""
+#: Least squares on a level, one step before and a constant, by taking the step out of both sides.
+SQL["unit_root_one_lag"] = f"""WITH {SMOOTH}, s AS (SELECT symbol, ts, close, close - lag(close) OVER w AS d, lag(close) OVER w AS x FROM smooth WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  r AS (SELECT symbol, d AS y, x, lag(d) OVER (PARTITION BY symbol ORDER BY ts) AS z FROM s),
+  c AS (SELECT symbol, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_syy(y, x) AS yy, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_sxy(z, x) AS xz FROM r WHERE z IS NOT NULL GROUP BY symbol),
+  p AS (SELECT symbol, n, xx - xz * xz / zz AS xx, xy - xz * zy / zz AS xy, yy - zy * zy / zz AS yy FROM c)
+  SELECT symbol, n + 2 AS n, 1::INT AS lags, {R('xy / xx / sqrt((yy - xy * xy / xx) / (n - 3) / xx)', 5, 'tau')} FROM p"""

@@ -22,7 +22,7 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("barforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def loader(spark: SparkSession, root: str, freq: str = "1m"):
+def loader(spark: SparkSession, root: str, freq: str = "1m", rows: int | None = None):
     """Prepared bars by (symbol, timeframe, start, end), each made once."""
     made: dict[tuple, DataFrame] = {}
 
@@ -31,7 +31,7 @@ def loader(spark: SparkSession, root: str, freq: str = "1m"):
         if key not in made:
             minutes = lake.load_bars(spark, root, symbol, freq, start, end)
             funding = lake.load_funding(spark, root, symbol) if os.path.isdir(os.path.join(root, "funding", f"symbol={symbol}")) else None
-            made[key] = sweep.prepare(minutes, freq, timeframe, funding).persist()
+            made[key] = sweep.prepare(minutes, freq, timeframe, funding, rows).persist()
         return made[key]
 
     return load
@@ -44,10 +44,6 @@ def _revision() -> str:
         return "unknown"
 
 
-def _version(root: str) -> str:
-    return experiment.data_version(glob.glob(os.path.join(root, "**", "*.parquet"), recursive=True))
-
-
 def _outside(universe: str | None, symbols: set[str]) -> None:
     if universe and (extra := symbols - set(experiment.load_universe(universe).symbols)):
         raise ValueError(f"not in the universe: {', '.join(sorted(extra))}")
@@ -104,7 +100,7 @@ def run_cells(a: argparse.Namespace, cells: list[experiment.Cell], spark: SparkS
     notes = [causality.SKIPPED] if a.skip_causality else []
     for note in notes:
         print(f"warning: {note}", file=sys.stderr)
-    counts = sweep.sweep(cells, load, a.store, spark, version, prior, a.screening, a.force, causal, notes)
+    counts = sweep.sweep(cells, load, a.store, spark, version, prior, a.screening, a.force, causal, notes, a.cut)
     rows = runs_store.read_runs(spark, a.store).where("error = ''")
     found = {r["config_id"]: r.asDict() for r in rows.where(rows["config_id"].isin([c.config_id for c in cells])).collect()}  # one grid's verdicts
     for r in found.values():
@@ -134,11 +130,12 @@ def validate(a: argparse.Namespace) -> int:
     experiment.check_sweep(found)
     _outside(a.universe, {a.symbol})
     cells = [experiment.Cell(i, experiment.config_id(e, a.symbol), a.symbol, e) for i, e in enumerate(found)]
-    spark, version, e = session(), _version(a.root), found[0]
-    load = loader(spark, a.root)
+    spark, e = session(), found[0]
+    version = lake.content_version(spark, a.root)
+    load = loader(spark, a.root, rows=a.cut)
     prepared = load(a.symbol, e.timeframe, e.start, e.end)
     if not a.skip_causality:
-        wrong = sweep.not_causal(prepared, cells)
+        wrong = sweep.not_causal(prepared, cells, a.cut)
         if wrong:
             for c in cells:
                 if c.config_id in wrong:
@@ -147,7 +144,7 @@ def validate(a: argparse.Namespace) -> int:
     rows = run_cells(a, cells, spark, load, version, causal=False)
     if a.out and cells[0].config_id in rows:
         # The ledger of the first experiment once more: the sweep keeps verdicts, not curves.
-        book = sweep.ledgers(prepared, cells[:1])
+        book = sweep.ledgers(prepared, cells[:1], a.cut)
         extra = {"data_version": version, "causality_checked": not a.skip_causality, "configs": [{"name": c.experiment.name, "config_id": c.config_id, "params": c.experiment.params} for c in cells]}
         print("report:", *report_plan.write_report(report_plan.report(book, rows[cells[0].config_id], extra), a.out))
     _record(a, cells, rows, version)
@@ -158,8 +155,9 @@ def grid(a: argparse.Namespace) -> int:
     """Verdicts of a grid; a cell that fails or looks ahead becomes an error row."""
     cells = experiment.load_grid(a.grid)
     _outside(a.universe, {c.symbol for c in cells})
-    spark, version = session(), _version(a.root)
-    _record(a, cells, run_cells(a, cells, spark, loader(spark, a.root), version, causal=not a.skip_causality), version)
+    spark = session()
+    version = lake.content_version(spark, a.root)
+    _record(a, cells, run_cells(a, cells, spark, loader(spark, a.root, rows=a.cut), version, causal=not a.skip_causality), version)
     return 0
 
 
@@ -202,6 +200,7 @@ def parser() -> argparse.ArgumentParser:
             x.add_argument(option, required=True)
         for option in ("--journal", "--universe"):
             x.add_argument(option)
+        x.add_argument("--cut", type=int, help="bars in a chunk, for series that are too long for a task")
         for option in ("--screening", "--force", "--ignore-journal", "--skip-causality"):
             x.add_argument(option, action="store_true")
     x = sub.add_parser("report", help="the funnel of a results store")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,11 +132,12 @@ def atr_memory(length: int, tolerance: float = 1e-3) -> int:
 
 
 def adx_memory(length: int, tolerance: float = 1e-3) -> int:
-    """The same for two smoothings in turn: the least m with (1 + m / L) (1 - 1 / L) ** m <= tolerance."""
-    m = 1
-    while length > 1 and (1 + m / length) * (1 - 1 / length) ** m > tolerance:
-        m += 1
-    return m
+    """The same for two smoothings in turn, whose weight after m bars, (1 + m / L) (1 - 1 / L) ** m, only ever falls."""
+    if length <= 1:
+        return 1
+    weight = lambda m: (1 + m / length) * (1 - 1 / length) ** m
+    beyond = next(2**k for k in itertools.count() if weight(2**k) <= tolerance)
+    return bisect_left(range(beyond), True, lo=1, key=lambda m: weight(m) <= tolerance)
 
 
 def clean_number(x: str) -> Column:

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import settled
+from ..operators import chunks
+from ..operators.chunks import Long
 from ..schema import by_time
-from .strategies import Strategy
+from .strategies import Strategy, run_segmented
 
 
 SKIPPED = "look-ahead not checked: the causality harness was switched off"
@@ -42,22 +45,36 @@ def legs_of(strategy: Strategy) -> tuple[str, ...]:
     return ("net", "gross", "carry") if strategy.legs else ("target",)
 
 
-def compared(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+def compared(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None, long: Long | None = None) -> DataFrame:
     """(keys, ts, cut, n_bars, same): each target on a shortened history beside that on the whole.
 
     All cuts run as one plan: bars are repeated for each cut that needs them and the cut joins the strategy's partitioning.
     The targets on the whole go with the bars, so the two are compared in a row. A recursive strategy is given whole
     prefixes. One whose target depends on its last ``history`` bars alone is given twice as many, and the later half is compared:
     rows then grow with its memory, not with the series, and a memory that is longer than it says shows as a difference.
+    With ``long`` the series and the prefixes are cut into chunks, so no task holds one of them.
     """
     within, legs = within or keys, legs_of(strategy)
-    whole = strategy.generate(bars, within).select(*bars.columns, *(F.col(c).alias(f"_{c}") for c in legs))
-    numbered = whole.withColumns({"_row": F.row_number().over(by_time(keys)), "_bars": F.count("*").over(Window.partitionBy(*keys))})
+    if long:
+        bars = settled(chunks.numbered(bars.drop("segment", "gap_start"), keys, long))
+        whole = run_segmented(strategy, bars, keys, long)
+    else:
+        whole = strategy.generate(bars, within)
+    whole = whole.select(*bars.columns, *(F.col(c).alias(f"_{c}") for c in legs))
+    if long:
+        numbered = settled(whole.withColumns({"_row": F.col(chunks.POS) + 1, "_bars": F.col(chunks.LENGTH)}))
+    else:
+        numbered = whole.withColumns({"_row": F.row_number().over(by_time(keys)), "_bars": F.count("*").over(Window.partitionBy(*keys))})
     # How many bars before a cut are read and compared; a series' first bar is never cut off, as every history begins with it.
     memory = None if strategy.recursive else max(1, int(strategy.history))
     near = (lambda k: F.lit(True)) if memory is None else (lambda k: k < F.col("_row") + 2 * memory)
     at = F.filter(cuts_of(F.col("_bars")), lambda k: (k >= F.col("_row")) & near(k))
-    short = strategy.generate(numbered.withColumn("_cut", F.explode(at)), [*within, "_cut"])
+    prefixes = numbered.withColumn("_cut", F.explode(at))
+    if long and memory is None:
+        # A prefix's rows keep their numbers; it is as long as its cut.
+        short = run_segmented(strategy, prefixes.withColumn(chunks.LENGTH, F.col("_cut").cast("long")), [*keys, "_cut"], long)
+    else:
+        short = strategy.generate(prefixes, [*within, "_cut"])
     if memory is not None:
         short = short.where((F.col("_cut") < F.col("_row") + memory) | (F.col("_cut") <= 2 * memory))
     same = F.lit(True)
@@ -66,13 +83,13 @@ def compared(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[
     return short.select(*keys, "ts", F.col("_cut").alias("cut"), F.col("_bars").alias("n_bars"), same.alias("same"))
 
 
-def leaks(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
+def leaks(strategy: Strategy, bars: DataFrame, keys: list[str], within: list[str] | None = None, long: Long | None = None) -> DataFrame:
     """(keys, cut, first_ts, n_cuts): the cuts at which some target differs, none for a causal strategy."""
-    found = compared(strategy, bars, keys, within).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.first("n_bars").alias("_n"))
+    found = compared(strategy, bars, keys, within, long).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.first("n_bars").alias("_n"))
     return found.select(*keys, "cut", "first_ts", F.size(cuts_of(F.col("_n"))).alias("n_cuts"))
 
 
-def audit(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str]) -> DataFrame:
+def audit(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str], long: Long | None = None) -> DataFrame:
     """(config_id, keys, n_cuts, cut, first_ts, differing): a row for each strategy and series; the last three are null where no cut differs.
 
     ``strategies`` by config_id; all of them, all series and all cuts are one plan. ``cut`` is the shortest that differs,
@@ -81,15 +98,15 @@ def audit(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str])
     series = bars.groupBy(*keys).agg(F.size(cuts_of(F.count("*"))).alias("n_cuts"))
     out = []
     for config_id, strategy in strategies.items():
-        worse = compared(strategy, bars, keys).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.count("*").alias("differing"))
+        worse = compared(strategy, bars, keys, long=long).where("not same").groupBy(*keys, "cut").agg(F.min("ts").alias("first_ts"), F.count("*").alias("differing"))
         first = worse.groupBy(*keys).agg(F.min(F.struct("cut", "first_ts", "differing")).alias("_w"))
         out.append(series.join(first, keys, "left").select(F.lit(config_id).alias("config_id"), *keys, "n_cuts", "_w.*"))
     return reduce(DataFrame.unionByName, out)
 
 
-def failures(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str]) -> dict[str, str]:
+def failures(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str], long: Long | None = None) -> dict[str, str]:
     """Why a strategy of ``strategies`` isn't causal on some series of ``bars``, by config_id; nothing for those that are."""
-    rows = audit(strategies, bars, keys).where("n_cuts = 0 or cut is not null").orderBy("config_id", *keys).collect()  # at most a row for each strategy and series
+    rows = audit(strategies, bars, keys, long).where("n_cuts = 0 or cut is not null").orderBy("config_id", *keys).collect()  # at most a row for each strategy and series
     said: dict[str, str] = {}
     for r in rows:
         what = f"{strategies[r['config_id']].name} on {', '.join(str(r[k]) for k in keys)}: "

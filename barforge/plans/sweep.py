@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import significance
-from ..operators import align, bars
+from ..operators import align, bars, chunks
+from ..operators.chunks import Long
 from ..operators.resample import resample
 from ..schema import periods_per_year, step_seconds
 from ..sources import runs_store
@@ -28,34 +29,38 @@ KEYS = ["config_id", "symbol"]
 BATCH = 16
 
 
-def prepare(minutes: DataFrame, source: str, target: str, funding: DataFrame | None = None) -> DataFrame:
-    """Bars of ``target`` with funding_rate, segment and tradable, partitioned by symbol for all that follows."""
+def cut_of(timeframe: str, rows: int | None) -> Long | None:
+    """How series of a time frame are cut; None leaves a series to a task."""
+    return Long(rows, step_seconds(timeframe)) if rows else None
+
+
+def prepare(minutes: DataFrame, source: str, target: str, funding: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """Bars of ``target`` with funding_rate, segment and tradable, partitioned by symbol for all that follows, or numbered and cut into chunks of ``rows``."""
     step = step_seconds(target)
     found = resample(minutes, ["symbol"], source, target)
     if funding is not None:
         found = align.attach_funding(found, funding, ["symbol"], step, on_grid=True)
-    return bars.with_tradable(bars.with_segments(found, ["symbol"], step), ["symbol"])
+    long = cut_of(target, rows)
+    return bars.with_tradable(bars.with_segments(found, ["symbol"], step, long), ["symbol"], long=long)
 
 
-def targets(prepared: DataFrame, cell: Cell) -> DataFrame:
+def targets(prepared: DataFrame, cell: Cell, long: Long | None = None) -> DataFrame:
     """One configuration's bars with net, gross and carry."""
     strategy = strategies.make(cell.experiment.strategy, cell.experiment.params)
-    run = strategies.mask_targets(strategies.run_segmented(strategy, signal_bars(prepared, cell, strategy), ["symbol"]), strategy)
+    run = strategies.mask_targets(strategies.run_segmented(strategy, signal_bars(prepared, cell, strategy), ["symbol"], long), strategy)
     legs = ("net", "gross", "carry") if strategy.legs else ("target",) * 3
     if not strategy.legs:
         run = run.withColumn("target", F.coalesce("target", F.lit(0.0)))
     kept = ["symbol", "ts", "close", "quote_volume", "funding_rate", *(F.col(c).alias(n) for c, n in zip(legs, ("net", "gross", "carry"), strict=True))]
+    kept += [c for c in (chunks.POS, chunks.LENGTH) if c in run.columns]
     return run.select(F.lit(cell.config_id).alias("config_id"), *kept, F.lit(strategy.legs).alias("two_legs"))
 
 
-def ledgers(prepared: DataFrame, cells: list[Cell]) -> DataFrame:
+def ledgers(prepared: DataFrame, cells: list[Cell], rows: int | None = None) -> DataFrame:
     """The ledgers of cells with equal costs as one plan. A single leg trades its signed position, two legs their gross."""
-    costs = books_module.Costs.from_config(cells[0].experiment.costs)
-    every = [targets(prepared, c) for c in cells]
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.unionByName(more)
-    return books_module.ledger(rows, KEYS, costs, legs=True)
+    costs, long = books_module.Costs.from_config(cells[0].experiment.costs), cut_of(cells[0].experiment.timeframe, rows)
+    every = [targets(prepared, c, long) for c in cells]
+    return books_module.ledger(reduce(DataFrame.unionByName, every), KEYS, costs, legs=True, long=long)
 
 
 def signal_bars(prepared: DataFrame, cell: Cell, strategy: strategies.Strategy) -> DataFrame:
@@ -64,10 +69,10 @@ def signal_bars(prepared: DataFrame, cell: Cell, strategy: strategies.Strategy)
     return own if strategy.needs_funding or "funding_rate" in own.columns else own.withColumn("funding_rate", F.lit(0.0))
 
 
-def not_causal(prepared: DataFrame, cells: list[Cell]) -> dict[str, str]:
+def not_causal(prepared: DataFrame, cells: list[Cell], rows: int | None = None) -> dict[str, str]:
     """What the causality harness has against cells of one symbol, by config_id: one job for all of them."""
     made = {c.config_id: strategies.make(c.experiment.strategy, c.experiment.params) for c in cells}
-    return causality.failures(made, prepared.where(F.col("symbol") == cells[0].symbol), ["symbol"])
+    return causality.failures(made, prepared.where(F.col("symbol") == cells[0].symbol), ["symbol"], cut_of(cells[0].experiment.timeframe, rows))
 
 
 def _groups(cells: list[Cell]) -> list[list[list[Cell]]]:
@@ -121,13 +126,13 @@ def _failed(spark, cell: Cell, data_version: str, error: Exception) -> DataFrame
 
 
 def sweep(
-    cells: list[Cell], load: Callable[[str, str, str, str | None], DataFrame], store: str, spark, data_version: str, prior_trials: int = 0, screening: bool = False, force: bool = False, causal: bool = True, notes: Sequence[str] = (),
+    cells: list[Cell], load: Callable[[str, str, str, str | None], DataFrame], store: str, spark, data_version: str, prior_trials: int = 0, screening: bool = False, force: bool = False, causal: bool = True, notes: Sequence[str] = (), rows: int | None = None,
 ) -> dict[str, int]:
     """Run what the store lacks. ``load`` gives prepared bars for (symbol, timeframe, start, end).
 
     A group's ledgers are written first, batch by batch; overfitting is then judged once over all that succeeded, and the
     group's rows are stored together. With ``causal`` every configuration first passes the causality harness, a batch at a
-    time; one that looks ahead becomes an error row and has no ledger. A group's matrix holds the configurations that this call runs, not those of earlier calls.
+    time; one that looks ahead becomes an error row and has no ledger. With ``rows`` series are cut into chunks of as many bars. A group's matrix holds the configurations that this call runs, not those of earlier calls.
     """
     todo = cells
     if not force:
@@ -145,10 +150,10 @@ def sweep(
         """The causal cells of a batch and their ledgers."""
         e = batch[0].experiment
         prepared, path = load(batch[0].symbol, e.timeframe, e.start, e.end), f"{scratch}/{uuid.uuid4().hex}"
-        wrong = not_causal(prepared, batch) if causal else {}
+        wrong = not_causal(prepared, batch, rows) if causal else {}
         good = [c for c in batch if c.config_id not in wrong]
         if good:
-            ledgers(prepared, good).write.parquet(path)
+            chunks.bare(ledgers(prepared, good, rows)).write.parquet(path)
         failed += [fail(c, causality.CausalityError(wrong[c.config_id])) for c in batch if c.config_id in wrong]
         return good, spark.read.parquet(path) if good else None
 
@@ -169,15 +174,15 @@ def sweep(
 
     try:
         for batches in _groups(todo):
-            rows: list[DataFrame] = []
-            books = books_of(batches, rows)
+            found_rows: list[DataFrame] = []
+            books = books_of(batches, found_rows)
             pbo, unjudged = group_overfitting([b for _, b, _ in books], sum(len(c) for c, _, _ in books)) if books else (None, None)
             for batch, book, seconds in books:
                 e = batch[0].experiment
-                found = verdict.verdicts(book, books_module.trade_returns(book, KEYS), KEYS, n_trials, float(periods_per_year(e.timeframe)), pbo, e.validation, screening, unjudged, notes)
-                rows.append(runs_store.normalize_runs(_rows(found, batch, data_version, seconds)))
-            if rows:
-                runs_store.write_runs(reduce(DataFrame.unionByName, rows), store)
+                found = verdict.verdicts(book, books_module.trade_returns(book, KEYS, cut_of(e.timeframe, rows)), KEYS, n_trials, float(periods_per_year(e.timeframe)), pbo, e.validation, screening, unjudged, notes)
+                found_rows.append(runs_store.normalize_runs(_rows(found, batch, data_version, seconds)))
+            if found_rows:
+                runs_store.write_runs(reduce(DataFrame.unionByName, found_rows), store)
     finally:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

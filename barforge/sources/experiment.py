@@ -66,15 +66,6 @@ def experiment_id(e: Experiment, data_version: str, revision: str) -> str:
     return short_hash(f"{canonical(e.__dict__)}|{data_version}|{revision}")
 
 
-def data_version(paths: list[str]) -> str:
-    """From path, size and time of change of each file: a stamp of the files, not of what is in them."""
-    lines = []
-    for p in sorted(paths):
-        s = os.stat(p)
-        lines.append(f"{p}|{s.st_size}|{s.st_mtime_ns}")
-    return short_hash("\n".join(lines))
-
-
 def _strict(path: str) -> dict:
     """A mapping from a YAML file in which no key occurs twice."""
     if yaml is None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from datetime import UTC, date, datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,3 +155,69 @@ def months_to_fetch(spark: SparkSession, root: str, freq: str, symbols: list[str
     names = spark.createDataFrame([(s,) for s in symbols], "symbol string")
     cells = month_table(spark, first, last).withColumn("symbol", F.explode(F.array(*map(F.lit, symbols)))) if symbols else names.withColumn("month", F.lit(""))
     return cells.join(finished_months(spark, root, freq), ["symbol", "month"], "left_anti").select("symbol", "month")
+
+
+#: Where a lake keeps what its files' contents came to, by path, size and time of change.
+VERSIONS = "_content.json"
+
+
+def _row_hash(df: DataFrame, seed: int) -> Column:
+    """A hash of a whole row in which a missing value counts, whatever the order of columns in the file."""
+    parts = [x for c in sorted(df.columns) for x in (F.lit(c), F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")
+
+
+def _files(spark: SparkSession, root: str) -> tuple:
+    """The lake's file system, and (size, time of change) of its Parquet files by path below ``root``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = files.getRawFileSystem() if files.getScheme() == "file" else files  # without checksum files beside VERSIONS
+    found: dict[str, tuple[int, int]] = {}
+    if files.exists(top):
+        base, each = files.makeQualified(top).toUri().getPath().rstrip("/"), files.listFiles(top, True)
+        while each.hasNext():
+            status = each.next()
+            name = status.getPath().toUri().getPath()[len(base) + 1 :]
+            if name.endswith(".parquet") and name.split("/")[0] in ("bars", "funding"):
+                found[name] = (status.getLen(), status.getModificationTime())
+    return files, found
+
+
+def content_version(spark: SparkSession, root: str, keep: bool = True) -> str:
+    """An id of what is in a lake: the same for a copy and for the same rows in other files or another order, another one once a value changes.
+
+    The rows of a file come to their number and two sums of hashes, and files to the sums of these, so any order and any grouping of
+    files gives the same. What files came to is kept in VERSIONS (with ``keep``), and only new or changed files are read again.
+    """
+    files, found = _files(spark, root)
+    if not found:
+        return "empty"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root, VERSIONS)
+    known: dict[str, list] = {}
+    if files.exists(at):
+        stream = files.open(at)
+        try:
+            known = json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            known = {}  # cut off by a crash: all is read again
+        finally:
+            stream.close()
+    known = {name: v for name, v in known.items() if name in found and tuple(v[:2]) == found[name]}
+    for table in ("bars", "funding"):
+        new = [name for name in found if name not in known and name.split("/")[0] == table]
+        if not new:
+            continue
+        rows = spark.read.option("basePath", f"{root}/{table}").parquet(*(f"{root}/{name}" for name in new))
+        sums = rows.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("n"), *(F.sum(_row_hash(rows, seed)).alias(f"h{seed}") for seed in (1, 2)))
+        read = {unquote(r["_file"]): [int(r[c]) for c in ("n", "h1", "h2")] for r in sums.collect()}  # a row for each file that is new
+        for name in new:
+            known[name] = [*found[name], *next((v for file, v in read.items() if file.endswith(f"/{name}")), [0, 0, 0])]
+    if keep:
+        stream = files.create(at, True)
+        try:
+            stream.write(json.dumps(known).encode())
+        finally:
+            stream.close()
+    total = {t: [sum(v[i] for name, v in known.items() if name.split("/")[0] == t) for i in (2, 3, 4)] for t in ("bars", "funding")}
+    return hashlib.sha256(json.dumps(total, sort_keys=True).encode()).hexdigest()[:16]

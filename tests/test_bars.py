@@ -94,3 +94,29 @@ def test_matrix_faults(spark):
 def test_means_over_a_union_of_times(spark):
     df = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 3.0), ("A", 2, 5.0)], "symbol string, ts int, x double")
     assert [tuple(r) for r in align.union_of_times(df, "symbol", ["x"]).orderBy("ts").collect()] == [(1, 2, 2.0), (2, 1, None)]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+@pytest.mark.parametrize("step", [3600, None])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_events_find_their_bars_in_any_buckets(spark, rows, step, keyed):
+    """Bars with holes, events on bounds, before, between and after them, a lone bar, one symbol with most of the rows."""
+    import bisect
+    import random
+    import statistics
+
+    rng, t0 = random.Random(4), datetime(2024, 1, 1)
+    times = {"A": [t0 + timedelta(hours=i) for i in range(60) if i % 11], "B": [t0 + timedelta(hours=6 * i) for i in range(9)], "C": [t0 + timedelta(hours=7)]}
+    df = spark.createDataFrame([(s, t) for s, ts in times.items() for t in ts], "symbol string, ts timestamp_ntz")
+    events = [(rng.choice("AAAABC"), t0 + timedelta(minutes=rng.choice([0, 30, 1]) + 60 * rng.randrange(-3, 66)), float(i)) for i in range(150)]
+    given = spark.createDataFrame(events, "symbol string, ts timestamp_ntz, rate double")
+    want = []
+    for s, ts in times.items():
+        gaps = [(b - a).total_seconds() for a, b in zip(ts, ts[1:])]
+        width = timedelta(seconds=step or (statistics.median(gaps) if gaps else 1e-6))
+        for own, at, rate in events:
+            k = bisect.bisect_right(ts, at) - 1
+            if (own == s or not keyed) and k >= 0 and at < ts[k] + width:
+                want.append((s, at, rate, ts[k]))
+    found = align.containing_bar(df, given if keyed else given.drop("symbol"), ["symbol"], step, None if keyed else [], rows=rows)
+    assert sorted(map(tuple, found.collect())) == sorted(want)

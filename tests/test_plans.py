@@ -323,3 +323,46 @@ def test_curve(spark):
     df = with_target(spark, [100, 110, 121], [1, 1, 1], step=86400, start=datetime(2024, 1, 1))
     row = metrics.curve(ledger.ledger(df, K, ledger.FREE), K, 365).first()
     assert row["total_return"] == pytest.approx(0.21) and row["cagr"] == pytest.approx(1.21 ** (365.25 / 2) - 1)
+
+
+def test_candidates_move_and_never_come_again():
+    axes = {"a": [1, 2, 3, 4], "b": [10, 20, 30], "c": ["x"]}
+    here = {"a": 1, "b": 20, "c": "x"}
+    assert sorted((p["a"], p["b"]) for p in search.around(here, axes)) == [(1, 10), (1, 30), (2, 10), (2, 20), (2, 30)]
+    taken, met = set(), []
+    for epoch in range(5):
+        found = search.candidates(epoch, here, axes, 3, 4, taken)
+        assert found == search.candidates(epoch, here, axes, 3, 4, taken) and (found[0] == here)
+        new = [search.key(p) for p in found[1:]]
+        assert not set(new) & (taken | {search.key(here)}) and len(set(new)) == len(new)
+        taken |= set(new)
+        met += new
+    assert len(met) == 11 and search.candidates(9, here, axes, 3, 4, taken) == [here]  # the grid is exhausted
+
+
+def test_panel_mean_and_recovery_threshold(spark):
+    rows = spark.createDataFrame([("p", "A", 1.0, 1.21, 4), ("p", "B", 3.0, 0.0, 4), ("q", "A", 0.5, 1.0, 4)], "params_json string, symbol string, sharpe double, equity_end double, n int")
+    assert strategies.recovery_threshold(5.0, 1.0, 8) == pytest.approx(4 * 6e-4 / 8)
+    from barforge.functions import metrics
+
+    found = {r["params_json"]: r for r in metrics.panel_mean(rows, ["params_json"], 2.0).collect()}
+    assert found["p"]["mean_sharpe"] == 2.0 and found["p"]["mean_annual"] == pytest.approx((0.1 - 1) / 2) and found["q"]["mean_annual"] == 0.0
+
+
+def test_preview_and_report(spark, tmp_path):
+    import json
+
+    from barforge.operators import kernels
+    from barforge.plans import report
+
+    df = helpers.bars(spark, helpers.ou(300, theta=0.2))
+    run = strategies.make("mean_reversion", {"window": 8, "atr_len": 4, "k": 1.0, "max_bars": 9}).generate(df, K)
+    trades = kernels.bracket_trades(run, K, 2.0, 3.0, 9)
+    found = report.preview(run, trades, 50)
+    assert len(found["bars"]) == 50 and [b["ts"] for b in found["bars"]] == sorted(b["ts"] for b in found["bars"])
+    assert found["trades"] and all(t["exit_ts"] >= found["bars"][0]["ts"] for t in found["trades"])
+    book = ledger.ledger(run.withColumn("target", F.when(F.col("target") > 0, F.col("target")).otherwise(0.0)), K)
+    document = report.report(book, {"sharpe": float("nan"), "alive": False, "reasons": ["x", float("inf")]}, {"n": {"a": -float("inf")}})
+    assert document["run"] == {"sharpe": None, "alive": False, "reasons": ["x", None]} and document["extra"] == {"n": {"a": None}} and len(document["equity"]) == 300
+    paths = report.write_report(document, str(tmp_path / "out"))
+    assert json.loads(open(paths[0]).read())["ts"] == document["ts"]

@@ -456,6 +456,31 @@ def test_symbols_whose_history_ends_early_can_be_left_out(spark, tmp_path, serve
     assert bars.truncated and not bars.excluded and lake.load_bars(spark, str(tmp_path / "with"), "A", "1m").count() == 252 and funding.fetched == 2
 
 
+def test_content_version_follows_the_rows(spark, tmp_path):
+    import shutil
+
+    from barforge.sources.experiment import Experiment, experiment_id
+
+    root = str(tmp_path / "lake")
+    assert lake.content_version(spark, root) == "empty"
+    df = helpers.bars(spark, range(100, 200), step=86400).withColumn("ts", F.col("ts").cast("timestamp"))
+    lake.write_bars(df, root, "1d")
+    lake.write_funding(df.select("symbol", "ts", F.lit(0.001).alias("rate"), F.lit(8).cast("long").alias("interval_hours")), root)
+    first = lake.content_version(spark, root)
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("_content*"))
+    assert lake.content_version(spark, str(tmp_path / "copy")) == first == lake.content_version(spark, root)
+    lake.write_bars(df.where("month(ts) = 2").repartition(3), root, "1d")  # the same rows in another file
+    kept = json.loads((tmp_path / "lake" / "_content.json").read_text())
+    assert lake.content_version(spark, root) == first and set(json.loads((tmp_path / "lake" / "_content.json").read_text())) != set(kept)
+    lake.write_bars(df.where("month(ts) = 2").withColumn("volume", F.when(F.col("close") == 140, F.lit(None)).otherwise(F.col("volume"))), root, "1d")
+    changed = lake.content_version(spark, root)
+    assert changed != first and lake.content_version(spark, root, keep=False) == changed
+    (tmp_path / "lake" / "_content.json").write_text("{cut off")
+    assert lake.content_version(spark, root) == changed
+    e = Experiment("e", "threshold", {"k": 1}, "1d", "2024-01-01")
+    assert experiment_id(e, first, "r") == experiment_id(replace(e), first, "r") and len({experiment_id(e, first, "r"), experiment_id(e, changed, "r"), experiment_id(e, first, "s"), experiment_id(replace(e, name="f"), first, "r")}) == 4
+
+
 def test_command_line(spark, tmp_path, capsys):
     rows = ["{},{},{},{},{},10,0,100000000,5,6,60,0".format(1704067200000 + 3600000 * i, c, c + 1, c - 1, c) for i, c in enumerate(helpers.ou(400, theta=0.1))]
     (tmp_path / "in").mkdir()
