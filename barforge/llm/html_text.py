@@ -4,7 +4,8 @@ A page becomes a sequence of words and tags. Words score above zero; a tag's sco
 pages, the smoothed log-odds that this tag stands inside rather than outside the main content. One linear scan finds the
 contiguous region with the greatest sum. Within that region, elements that never belong to an article (menus, adverts,
 forms, comment threads and the like) are passed over, character references are decoded, and blocks are joined. Inline
-elements and headings are never passed over for their names; an aside that is never closed ends with the element around it.
+elements and headings are never passed over for their names; an aside that is never closed ends with the element around it. Words of
+formulas (``math``) and of an ``object``'s fallback are text; annotations of formulas, which no page shows, are not.
 
 Labels: pages that mark their content with ``<article>`` or ``<main>`` label themselves. Weights are fitted on at most
 ``sample`` such pages of at most ``sample_bytes`` bytes each, those with the smallest hash; every page is then read whole.
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Elements whose content is never text (fixed values).
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|math|object"
+RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|annotation-xml|annotation"
 #: Elements that don't break a line of text (fixed values).
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mspace mpadded mphantom semantics".split()
+)
 #: Elements without an end tag (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and the names in class, id or role that never belong to an article (fixed values).
@@ -62,6 +66,13 @@ class Token(NamedTuple):
     aside: bool = False
 
 
+def aside_names(tag: str) -> set[str]:
+    """The ASIDE_NAMES by which a tag is called: a name as a whole or its last part says what an element is (ad, site-nav), an
+    earlier part what it is about (related-work, search-page-content)."""
+    names = (x for g in _NAMES.findall(tag) for x in "".join(g).lower().split())
+    return {parts[-1] for x in names if (parts := re.findall(r"[a-z0-9]+", x))} & ASIDE_NAMES
+
+
 def tokens(page: str) -> Iterator[Token]:
     for m in _TOKEN.finditer(page):
         raw = m[0]
@@ -72,8 +83,8 @@ def tokens(page: str) -> Iterator[Token]:
             yield Token(raw)
             continue
         tag, end = name[1].lower(), raw.startswith("</")
-        called = {x for g in _NAMES.findall(raw) for x in re.split(r"[^a-z0-9]+", "".join(g).lower()) if x} if not end else set()
-        yield Token("", tag, f"/{tag}" if end else ".".join([tag, *sorted(called & ASIDE_NAMES)]), end, tag in ASIDE or (tag not in NEVER_ASIDE and bool(called & ASIDE_NAMES)))
+        called = aside_names(raw) if not end else set()
+        yield Token("", tag, f"/{tag}" if end else ".".join([tag, *sorted(called)]), end, tag in ASIDE or (tag not in NEVER_ASIDE and bool(called)))
 
 
 def inside(found: list[Token]) -> list[bool]:
