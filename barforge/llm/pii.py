@@ -152,25 +152,33 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, smooth: float, generalis
         F.first(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("terms"),
     )  # rows of equal texts are equal
     each = materialize(each, "holders")
-    held = materialize(each.select(F.explode("entities").alias("_e")).groupBy("_e").agg(F.count("*").alias("texts")), "held")
+    # Entities of the same texts meet every term equally often: they are one group, known by two sums of its texts' hashes. Most
+    # entities have one text, so a text of many entities and terms has few groups to pair with its terms.
+    where = each.select("_key", F.explode("entities").alias("_e"))
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "_key").cast("decimal(38,0)"))
+    signed = where.groupBy("_e").agg(F.count("*").alias("texts"), F.xxhash64(total(1), total(2)).alias("_s1"), F.xxhash64(total(3), total(4)).alias("_s2"))
+    signed = signed.select("_e", F.struct("texts", "_s1", "_s2").alias("group"))
+    groups = where.join(signed, "_e").groupBy(F.col("_key").alias("_k")).agg(F.collect_set("group").alias("groups"))
+    each = materialize(each.select("_key", "terms").join(groups, F.col("_key") == F.col("_k")).drop("_k"), "groups")
     # A text of n copies adds 1 / n for each of them: sums are numbers of distinct texts.
     hashed = docs.select(text_of().alias("t")).select("t", F.xxhash64("t").alias("_a"), F.xxhash64(F.lit(7), "t").alias("_b"))
     weighed = hashed.join(repeated, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left").select("t", (1 / F.coalesce("_n", F.lit(1))).alias("w"))
     seen = weighed.select(F.explode(letters_runs(F.col("t"))).alias("_w"), "w").where(F.length("_w") >= 3)
     seen = seen.groupBy("_w").agg(F.round(F.sum("w")).cast("long").alias("with_term"))
-    rows = F.broadcast(materialize(whole.join(held.agg(F.max("texts").alias("most")), F.lit(True)), "rows"))  # a single row
+    rows = F.broadcast(materialize(whole.join(each.agg(F.max(F.array_max(F.transform("groups", lambda g: g["texts"]))).alias("most")), F.lit(True)), "rows"))  # a single row
     # both <= texts, so a term of more texts than this is below ``generalise`` for every entity; one more against rounding.
     can = F.pow("most", F.lit(generalise)) * F.pow(F.greatest(F.col("rows"), F.col("most") + 1), F.lit(1.0 - generalise)) + 1
     seen = maybe_broadcast(materialize(seen.join(rows, F.col("with_term") <= can).select("_w", "with_term"), "terms"), most_terms)
-    met = each.select("_key", "entities", F.explode("terms").alias("term")).join(seen, F.col("term") == F.col("_w"))
-    met = materialize(met.select("_key", "term", "with_term", F.explode("entities").alias("entity")), "met")
-    joint = met.groupBy("entity", "term", "with_term").agg(F.count("*").alias("both"))
-    all_ = joint.join(held, F.col("entity") == F.col("_e")).join(rows, F.lit(True))
-    prior = F.col("texts") / F.greatest(F.col("rows"), F.col("texts") + 1)
+    met = each.select("_key", "groups", F.explode("terms").alias("term")).join(seen, F.col("term") == F.col("_w"))
+    met = materialize(met.select("_key", "term", "with_term", F.explode("groups").alias("group")), "met")
+    joint = met.groupBy("group", "term", "with_term").agg(F.count("*").alias("both"))
+    all_ = joint.join(rows, F.lit(True))
+    texts = F.col("group.texts")
+    prior = texts / F.greatest(F.col("rows"), texts + 1)
     given = F.least((F.col("both") + smooth * prior) / (F.col("with_term") + smooth), F.lit(1.0))
     measured = all_.withColumn("disclosure", F.log(given / prior) / -F.log(prior)).where(F.col("disclosure") >= generalise)
-    strong = measured.select(F.col("entity").alias("_e"), F.col("term").alias("_t"), "disclosure")
-    hit = met.join(strong, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t")))
+    strong = measured.select(F.col("group").alias("_g"), F.col("term").alias("_t"), "disclosure")
+    hit = met.join(strong, (F.col("group") == F.col("_g")) & (F.col("term") == F.col("_t")))
     return hit.groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 

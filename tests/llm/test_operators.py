@@ -325,6 +325,65 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
         assert not {"the", "and", "apple", "house"} & (terms[0] | terms[1] | terms[2]) and not any(out[i] for i in out if i >= 10)
 
 
+def plain_terms(texts, smooth=1.0, least=0.8):
+    """{text: {(start, stop): disclosure}} of the terms that reveal an entity of their text, pair by pair."""
+    import math
+
+    import regex
+
+    distinct = sorted({t or "" for t in texts})
+    runs = {t: {w for w in regex.findall(r"\p{L}+", t.lower()) if len(w) >= 3} for t in distinct}
+    entities, terms = {}, {}
+    for t in distinct:
+        spans = plain_spans(t)
+        entities[t] = {(k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])) for a, k, b in spans}
+        outside = list(t)
+        for a, k, b in spans:
+            if k == 0:
+                outside[a:b] = "0" * (b - a)
+        terms[t] = [(m[0].lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}{3,}", "".join(outside))]
+    out = {}
+    for t in distinct:
+        best = {}
+        for e in entities[t]:
+            texts_of = [u for u in distinct if e in entities[u]]
+            prior = len(texts_of) / max(len(distinct), len(texts_of) + 1)
+            for w in {w for w, _, _ in terms[t]}:
+                both, with_term = sum(w in {x for x, _, _ in terms[u]} for u in texts_of), sum(w in runs[u] for u in distinct)
+                given = min((both + smooth * prior) / (with_term + smooth), 1.0)
+                best[w] = max(best.get(w, -9.0), math.log(given / prior) / -math.log(prior))
+        out[t] = {(a, b): best[w] for w, a, b in terms[t] if best.get(w, -9.0) >= least}
+    return out
+
+
+def test_disclosure_against_plain_pairs(spark):
+    """Entities of one text, of the same texts, of overlapping texts; copies; terms inside and outside of emails."""
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    people = [f"{chr(97 + i)}{chr(97 + i)}.mail{i}@host.org" for i in range(9)] + ["+49 151 5550 1234", "10.0.0.7"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 30))) for _ in range(150)]
+    for k in range(40):
+        inside = rng.sample(people, rng.randrange(1, 5)) if k % 4 else people[:3]  # three that are always together
+        texts.append(" ".join(rng.sample(words, 12) + inside + ([f"secret{chr(97 + people.index(inside[0]))}"] if k % 3 else ["Geheim"])))
+    texts += texts[-6:] + [None, ""]
+    want = plain_terms(texts)
+    for most_terms in (0, 1000):
+        got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_terms=most_terms).collect()
+        for r in got:
+            found = {(s["start"], s["stop"]): s["disclosure"] for s in r["spans"] if s["kind"] == "term"}
+            assert found.keys() == want[r["text"] or ""].keys() and all(abs(v - want[r["text"]][k]) < 1e-9 for k, v in found.items())
+    assert sum(map(len, want.values())) > 20
+
+
+def test_many_entities_and_terms_in_one_text(spark):
+    """Rows follow their number, not its square."""
+    letters = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    text = " ".join(f"u{i}@h{i}.org {letters(i)}" for i in range(3000))
+    rows = [(0, text)] + [(i, f"the {letters(90_000 + i)} of it") for i in range(1, 40)]
+    (r,) = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect()
+    assert len(r["base_spans"]) == 3000 and sum(s["kind"] == "term" for s in r["spans"]) == 3000
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p>One <b>two</b>three\n four &lt;x&gt;.<br>five<p>{}</article><footer>&copy; site words</footer>'
 
 
@@ -362,6 +421,18 @@ def test_main_text(spark):
         assert sum(scores[i:j]) == max(best, 0) and (best > 0) == (j > i)
 
 
+def test_names_and_formulas_of_articles():
+    """A name says what an element is when it is whole or last; formulas and fallbacks are words of the article."""
+    text = lambda body: html_text.extract(f"<article>{body}</article>", html_text.Weights(1.0, {}, 0.01))
+    assert text('<section class="related-work"><p>We discuss</p></section>') == "We discuss"
+    assert text('<div class="search-page-content"><p>hello all</p></div>') == "hello all"
+    for name in ("ad", "site-nav", "box post__share", "Related", "x_comments"):
+        assert text(f'<p>one</p><div class="{name}"><p>buy</p></div><p>two</p>') == "one two", name
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == "Let x=2 be"
+    assert text("<p>a</p><object data='f'><p>no film</p></object><p>b</p>") == "a no film b"
+    assert text("<p><math><semantics><mi>y</mi><annotation encoding='t'>\\y</annotation></semantics></math></p>") == "y"
+
+
 def test_urls(spark):
     rules = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow")]
     rows = [(1, "http://A.example.NET/en/1?x"), (2, "https://b.net/q#f"), (3, "http://b.net"), (4, None), (5, "nohost/x"), (6, "http://h.org/a//b/c/d?z"), (6, "http://h.org/a//b/c/d?z"), (None, "x://y?://z/w")]
