@@ -85,8 +85,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    found = warc.read_archives(spark, path, payload=False).where(F.col("reason").isNull())
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    found = warc.read_archives(spark, path, payload=False)
+    # What was written comes back whole: a gap is an error, not a row to leave out.
+    whole = F.when(F.col("reason").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("a gap in an archive: "), F.col("reason"))).cast("long"))
+    return found.withColumn("page_id", whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
