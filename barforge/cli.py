@@ -23,15 +23,19 @@ def session() -> SparkSession:
 
 
 def loader(spark: SparkSession, root: str, freq: str = "1m", rows: int | None = None):
-    """Prepared bars by (symbol, timeframe, start, end), each made once."""
+    """Prepared bars by (symbols, timeframe, start, end). Those made last are kept, and let go when others are asked for."""
     made: dict[tuple, DataFrame] = {}
 
-    def load(symbol: str, timeframe: str, start: str, end: str | None) -> DataFrame:
-        key = (symbol, timeframe, start, end)
+    def load(symbols: list[str], timeframe: str, start: str, end: str | None) -> DataFrame:
+        key = (*symbols, timeframe, start, end)
         if key not in made:
-            minutes = lake.load_bars(spark, root, symbol, freq, start, end)
-            funding = lake.load_funding(spark, root, symbol) if os.path.isdir(os.path.join(root, "funding", f"symbol={symbol}")) else None
-            made[key] = sweep.prepare(minutes, freq, timeframe, funding, rows).persist()
+            for old in made.values():
+                old.unpersist()
+            made.clear()
+            minutes = lake.load_bars(spark, root, symbols, freq, start, end)
+            funded = [s for s in symbols if os.path.isdir(os.path.join(root, "funding", f"symbol={s}"))]
+            funding = lake.load_funding(spark, root, funded) if funded else None
+            made[key] = sweep.prepare(minutes, freq, timeframe, funding, rows, funded).persist()
         return made[key]
 
     return load
@@ -133,9 +137,9 @@ def validate(a: argparse.Namespace) -> int:
     spark, e = session(), found[0]
     version = lake.content_version(spark, a.root)
     load = loader(spark, a.root, rows=a.cut)
-    prepared = load(a.symbol, e.timeframe, e.start, e.end)
+    prepared = load([a.symbol], e.timeframe, e.start, e.end)
     if not a.skip_causality:
-        wrong = sweep.not_causal(prepared, cells, a.cut)
+        wrong = sweep.not_causal(prepared, sweep.hypotheses(cells), a.cut)
         if wrong:
             for c in cells:
                 if c.config_id in wrong:
@@ -144,7 +148,7 @@ def validate(a: argparse.Namespace) -> int:
     rows = run_cells(a, cells, spark, load, version, causal=False)
     if a.out and cells[0].config_id in rows:
         # The ledger of the first experiment once more: the sweep keeps verdicts, not curves.
-        book = sweep.ledgers(prepared, cells[:1], a.cut)
+        book = sweep.ledgers(prepared, sweep.hypotheses(cells[:1]), a.cut)
         extra = {"data_version": version, "causality_checked": not a.skip_causality, "configs": [{"name": c.experiment.name, "config_id": c.config_id, "params": c.experiment.params} for c in cells]}
         print("report:", *report_plan.write_report(report_plan.report(book, rows[cells[0].config_id], extra), a.out))
     _record(a, cells, rows, version)

@@ -218,7 +218,7 @@ def walk_steps(at: np.ndarray, free: np.ndarray, stop: int) -> tuple[list[int],
 class Sliding:
     """The values of a sliding window in order, in blocks of bounded size: adding, removing and the k-th smallest touch one block each."""
 
-    def __init__(self, block: int = 512):
+    def __init__(self, block: int):
         self.block, self.parts, self.size = block, [[]], 0
 
     def _part(self, x: float) -> int:
@@ -263,9 +263,9 @@ class Sliding:
         return a if low == at else (low + 1 - at) * a + (at - low) * self[low + 1]
 
 
-def sliding_quantiles(values: np.ndarray, n: int, qs: list[float]) -> Iterator[list[float]]:
+def sliding_quantiles(values: np.ndarray, n: int, qs: list[float], block: int = 4096) -> Iterator[list[float]]:
     """For each value the quantiles of the last ``n`` values, missing until there are as many known ones in them."""
-    window, missing = Sliding(), [float("nan")] * len(qs)
+    window, missing = Sliding(block), [float("nan")] * len(qs)
     known = values.tolist()
     for i, x in enumerate(known):
         if x == x:

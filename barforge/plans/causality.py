@@ -104,14 +104,13 @@ def audit(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str],
     return reduce(DataFrame.unionByName, out)
 
 
-def failures(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str], long: Long | None = None) -> dict[str, str]:
-    """Why a strategy of ``strategies`` isn't causal on some series of ``bars``, by config_id; nothing for those that are."""
-    rows = audit(strategies, bars, keys, long).where("n_cuts = 0 or cut is not null").orderBy("config_id", *keys).collect()  # at most a row for each strategy and series
-    said: dict[str, str] = {}
-    for r in rows:
+def failures(strategies: Mapping[str, Strategy], bars: DataFrame, keys: list[str], long: Long | None = None) -> dict[tuple, str]:
+    """Why a strategy of ``strategies`` isn't causal on a series of ``bars``, by (config_id, *keys); nothing for those that are."""
+    said: dict[tuple, str] = {}
+    for r in audit(strategies, bars, keys, long).where("n_cuts = 0 or cut is not null").collect():  # at most a row for each strategy and series
         what = f"{strategies[r['config_id']].name} on {', '.join(str(r[k]) for k in keys)}: "
         what += "too few bars to tell" if r["cut"] is None else f"not causal: of {r['cut']} bars {r['differing']} get another target than in the whole series, first at {r['first_ts']}"
-        said.setdefault(r["config_id"], what)
+        said[r["config_id"], *(r[k] for k in keys)] = what
     return said
 
 

@@ -45,10 +45,10 @@ def between(column: str, start=None, end=None, zoned: bool = False) -> Column:
     return ok
 
 
-def load_bars(spark: SparkSession, root: str, symbol: str, freq: str, start=None, end=None, resample: str | None = None) -> DataFrame:
-    """Bars of one symbol; partitions outside the range are not read. Raises FileNotFoundError when there are none."""
+def load_bars(spark: SparkSession, root: str, symbol: str | list[str], freq: str, start=None, end=None, resample: str | None = None) -> DataFrame:
+    """Bars of one symbol or several; partitions outside the range are not read. Raises FileNotFoundError when there are none."""
     try:
-        found = spark.read.parquet(f"{root}/bars").where((F.col("symbol") == symbol) & (F.col("freq") == freq))
+        found = spark.read.parquet(f"{root}/bars").where(F.col("symbol").isin(symbol) & (F.col("freq") == freq))
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no bars below {root}") from e
@@ -78,8 +78,8 @@ def write_bars(bars: DataFrame, root: str, freq: str, sequence: str | None = Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("symbol", "freq", "month").parquet(f"{root}/bars")
 
 
-def load_funding(spark: SparkSession, root: str, symbol: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/funding").where(F.col("symbol") == symbol).select("symbol", "ts", "rate", "interval_hours")
+def load_funding(spark: SparkSession, root: str, symbol: str | list[str]) -> DataFrame:
+    return spark.read.parquet(f"{root}/funding").where(F.col("symbol").isin(symbol)).select("symbol", "ts", "rate", "interval_hours")
 
 
 def write_funding(events: DataFrame, root: str, sequence: str | None = None) -> None:

@@ -162,7 +162,8 @@ def test_sliding_window_keeps_its_order():
     x = np.round(rng.standard_normal(3000), 1)  # many ties
     x[rng.integers(0, 3000, 20)] = np.nan
     for n in (1, 2, 37, 1500):
-        got = np.array(list(paths.sliding_quantiles(x, n, [0.0, 0.3, 1.0])))
+        got = np.array(list(paths.sliding_quantiles(x, n, [0.0, 0.3, 1.0], block=16)))
+        assert np.array_equal(got, np.array(list(paths.sliding_quantiles(x, n, [0.0, 0.3, 1.0]))), equal_nan=True)
         for i in rng.integers(0, 3000, 60):
             part = x[max(0, i - n + 1) : i + 1]
             full = len(part) == n and not np.isnan(part).any()

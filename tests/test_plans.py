@@ -217,8 +217,8 @@ def test_audit_of_window_and_recursive_strategies(spark):
     assert len(rows) == 12 and all(rows[c, "short"]["n_cuts"] == 0 for c in tried) and rows["peeks", "A"]["n_cuts"] == len(causality.cuts(1300))
     assert {c for c in tried if rows[c, "A"]["cut"] is not None} == {"peeks", "last", "far", "forgetful"}
     said = causality.failures(tried, df.where("symbol = 'A'"), K)
-    assert set(said) == {"peeks", "last", "far", "forgetful"} and "not causal" in said["last"]
-    assert "too few bars" in causality.failures({"t": tried["threshold"]}, df.where("symbol = 'short'"), K)["t"]
+    assert set(said) == {(c, "A") for c in ("peeks", "last", "far", "forgetful")} and "not causal" in said["last", "A"]
+    assert "too few bars" in causality.failures({"t": tried["threshold"]}, df.where("symbol = 'short'"), K)["t", "short"]
 
 
 def test_rows_of_the_harness_follow_the_memory(spark):

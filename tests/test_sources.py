@@ -292,7 +292,7 @@ def test_sweep_resumes_and_isolates_faults(spark, tmp_path):
     cells = experiment.load_grid(str(tmp_path / "g.yaml"))
     bad = experiment.expand(cells[0].experiment, ["A"], ["1h"], {"typo": [1]})
     store = str(tmp_path / "runs")
-    load = lambda symbol, *_: prepared[symbol]
+    load = lambda symbols, *_: prepared["A"].unionByName(prepared["B"]).where(F.col("symbol").isin(symbols))
     assert sweep.sweep(cells + bad, load, store, spark, "v1") == {"cells": 5, "run": 5, "failed": 1}
     rows = {r["config_id"]: r for r in runs_store.read_runs(spark, store).collect()}
     assert len(rows) == 5 and "typo" in rows[bad[0].config_id]["error"] and all(rows[c.config_id]["n_trials"] == 5 and rows[c.config_id]["trades"] > 0 for c in cells)
@@ -315,13 +315,38 @@ def test_a_group_is_judged_as_one_matrix(spark, tmp_path):
         sweep.sweep(twins, lambda *_: prepared, str(tmp_path / "twins"), spark, "v1")
     finally:
         sweep.BATCH = before
-    want = significance.overfitting(sweep.group_matrix([sweep.ledgers(prepared, cells)])).first()["pbo"]
+    want = significance.overfitting(sweep.group_matrix([sweep.ledgers(prepared, sweep.hypotheses(cells))]).drop("symbol")).first()["pbo"]
     rows = [r for r in runs_store.read_runs(spark, str(tmp_path / "runs")).collect() if not r["error"]]
     assert len(rows) == 19 and want is not None and all(r["pbo"] == pytest.approx(want) for r in rows)
     assert all(r["pbo"] is None and "equal to another" in r["warnings"] for r in runs_store.read_runs(spark, str(tmp_path / "twins")).collect())
     assert not [p for p in tmp_path.iterdir() if "scratch" in p.name]
 
 
+def test_symbols_of_a_group_are_one_plan(spark, tmp_path):
+    """Each symbol has its own overfitting; one without bars or without funding fails alone."""
+    from barforge.functions import significance
+
+    x = {"A": helpers.ou(200, theta=0.1), "B": helpers.ou(200, theta=0.3, seed=5)}
+    minutes = helpers.bars(spark, x["A"]).unionByName(helpers.bars(spark, x["B"], symbol="B"))
+    funding = minutes.where("symbol = 'A'").select("symbol", "ts", (F.pmod(F.hash("ts"), F.lit(7)) / 1000 - 0.003).alias("rate"))
+    prepared = sweep.prepare(minutes, "1h", "1h", funding, funded=["A"]).persist()
+    base = experiment.Experiment("h", "threshold", {"k": 0.5}, "1h", "2024-01-01", validation={"n_permutations": 20})
+    cells = experiment.expand(base, ["A", "B", "C"], ["1h"], {"window": [5, 10, 20]})
+    cells += experiment.expand(replace(base, strategy="funding_harvest", params={}), ["A", "B"], ["1h"], {"window": [4]})
+    assert [len(h.cells) for h in sweep.hypotheses(cells)] == [3, 3, 3, 2]
+    counts = sweep.sweep(cells, lambda symbols, *_: prepared.where(F.col("symbol").isin(symbols)), str(tmp_path / "runs"), spark, "v1")
+    rows = {r["config_id"]: r for r in runs_store.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert counts == {"cells": 11, "run": 11, "failed": 4} and len(rows) == 11
+    for c in cells:
+        r = rows[c.config_id]
+        assert r["symbol"] == c.symbol and bool(r["error"]) == (c.symbol == "C" or (c.experiment.strategy, c.symbol) == ("funding_harvest", "B"))
+        assert c.symbol != "C" or "no bars of C" in r["error"]
+    for symbol in "AB":
+        own = sweep.hypotheses([c for c in cells if c.symbol == symbol and not rows[c.config_id]["error"]])
+        want = significance.overfitting(sweep.group_matrix([sweep.ledgers(prepared, own)]).drop("symbol")).first()["pbo"]
+        assert all(rows[h.key]["pbo"] == pytest.approx(want) for h in own) and len(own) == (4 if symbol == "A" else 3)
+
+
 class LooksAhead(strategies.Parametrised):
     name = "looks_ahead"
     defaults = {"k": 1}
