@@ -15,6 +15,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,17 +94,32 @@ class _Folder:
         finally:
             stream.close()
 
-    def commits(self) -> dict[int, dict]:
-        """The log: each commit by its number."""
-        out = {}
+    def _commits_now(self) -> dict[int, dict] | None:
+        """The log as listed, or None if a commit of the list was cleaned away meanwhile."""
+        out: dict[int, dict] = {}
         for status in self.names(LOG):
             number = status.getPath().getName()
-            if number.isdigit():
-                entry = next(iter(x for x in self.files.listStatus(status.getPath()) if x.isFile() and x.getPath().getName().endswith(".json")), None)
-                if entry is not None:
-                    out[int(number)] = json.loads(self.text(entry.getPath()))
+            if not number.isdigit():
+                continue
+            try:
+                entry = next((x for x in self.files.listStatus(status.getPath()) if x.isFile() and x.getPath().getName().endswith(".json")), None)
+                text = self.text(entry.getPath()) if entry is not None else None
+            except Py4JJavaError:
+                if self.files.exists(status.getPath()):
+                    raise
+                text = None
+            if text is None:
+                return None
+            out[int(number)] = json.loads(text)
         return dict(sorted(out.items()))
 
+    def commits(self) -> dict[int, dict]:
+        """The log: each commit by its number. A commit that goes while the log is read was folded into one that the list may lack, so it is listed again."""
+        for _ in range(100):
+            if (found := self._commits_now()) is not None:
+                return found
+        raise OSError(f"the log of {self.path} does not come to rest")
+
     def commit(self, number: int, entry: dict) -> bool:
         """Make ``entry`` the commit of that number; False if there is one already."""
         token = uuid.uuid4().hex
@@ -184,10 +200,15 @@ def compact(spark: SparkSession, path: str) -> bool:
     tables, name = tables_of(_log(folder)), f"merged-{uuid.uuid4().hex}"
     if not tables:
         return False
-    _merged(spark, path, tables).withColumnRenamed("seq", "_row").write.parquet(f"{path}/{name}")
+    replaced = lambda commits: not set(tables) <= set(tables_of(commits))  # noqa: E731  by another compaction
+    try:
+        _merged(spark, path, tables).withColumnRenamed("seq", "_row").write.parquet(f"{path}/{name}")
+    except Exception:
+        if not replaced(folder.commits()):
+            raise
     while True:
         commits = folder.commits()
-        if not set(tables) <= set(tables_of(commits)):
+        if replaced(commits):
             folder.drop(name)
             return False
         if folder.commit(max(commits) + 1, {"merged": [name], "remove": sorted(tables)}):
