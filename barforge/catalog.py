@@ -359,7 +359,7 @@ def funnel_thresholds(spark, sf_dir):
 
 @query
 def deflated_sharpe(spark, sf_dir):
-    """Needs the normal distribution, which SQL lacks: held against numpy in tests."""
+    """Its SQL has the normal distribution by integration."""
     return rounded(significance.deflated_sharpe(book(spark, sf_dir), KEYS, 10), 6)
 
 

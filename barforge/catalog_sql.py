@@ -317,3 +317,20 @@ SQL["unit_root_one_lag"] = f"""WITH {SMOOTH}, s AS (SELECT symbol, ts, close, cl
   c AS (SELECT symbol, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_syy(y, x) AS yy, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_sxy(z, x) AS xz FROM r WHERE z IS NOT NULL GROUP BY symbol),
   p AS (SELECT symbol, n, xx - xz * xz / zz AS xx, xy - xz * zy / zz AS xy, yy - zy * zy / zz AS yy FROM c)
   SELECT symbol, n + 2 AS n, 1::INT AS lags, {R('xy / xx / sqrt((yy - xy * xy / xx) / (n - 3) / xx)', 5, 'tau')} FROM p"""
+
+
+def normal(z: str) -> str:
+    """The normal distribution at ``z`` by Simpson's rule from 0."""
+    return f"""(0.5 + ({z}) / 1200.0 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401),
+      lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((({z}) * i / 400.0) ** 2) / 2))))"""
+
+
+#: Where the normal distribution reaches 1 - 1 / 10 and 1 - 1 / (10 e), by halving; then each book's Sharpe ratio against the best expected of ten trials.
+SQL["deflated_sharpe"] = f"""WITH RECURSIVE q AS (SELECT unnest([0.9::DOUBLE, 1 - 1 / (10 * exp(1))]) AS p, 0 AS k, -10.0::DOUBLE AS lo, 10.0::DOUBLE AS hi
+    UNION ALL SELECT p, k + 1, CASE WHEN {normal('((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {normal('((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END FROM q WHERE k < 60),
+  best AS (SELECT (1 - 0.5772156649015329) * min(lo) + 0.5772156649015329 * max(lo) AS best FROM q WHERE k = 60), {BOOK.removeprefix('WITH ')},
+  c AS (SELECT symbol, returns, avg(returns) OVER (PARTITION BY symbol) AS m FROM book),
+  k AS (SELECT symbol, count(*) AS n, stddev_samp(returns) AS sd, avg(returns) / stddev_samp(returns) AS sr, avg(pow(returns - m, 3)) / pow(avg(pow(returns - m, 2)), 1.5) AS skew,
+    avg(pow(returns - m, 4)) / pow(avg(pow(returns - m, 2)), 2) AS kurt FROM c GROUP BY 1),
+  z AS (SELECT symbol, coalesce(n < 3 OR sd < 1e-12, true) AS flat, (sr - sqrt((1 + 0.5 * sr * sr) / n) * best) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS z FROM k, best)
+  SELECT symbol, CASE WHEN flat THEN 0.0 ELSE round({normal('z')}, 6) + 0.0 END AS dsr FROM z"""
