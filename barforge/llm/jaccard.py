@@ -13,8 +13,13 @@ Verifying. First every member of a cell is compared with the cell's first member
 points allow a link are verified on the full sets, and linked nodes get a common label. What may be left are links
 between members of different labels: there the points of a cell are packed into an R-tree whose boxes keep coordinate
 maxima. A box is passed over when the summed minima of query and box fall short of the overlap that a link needs, or
-when all of its points have the query's label. Surviving pairs are verified on the full sets. Many small cells share a
-task; cells with more members than ``block`` are joined block by block, so no task holds an unbounded group.
+when all of its points have the query's label. Pairs that survive are held against finer counts, a byte for each
+shingle: many near copies that are just not linked differ too little for the short vectors, and there are as many pairs
+of them as the square of their number. A task hands on a forest, only pairs that join labels which it hasn't joined yet:
+fewer than it has nodes. They are verified on the full sets; where all prove to be links, what the forest left out is
+joined by them. A bucket with one that isn't is searched again, then for every pair whose labels still differ. Cells
+with one first member have much the same members, so they share a bucket; one bucket holds many small cells, and cells
+with more members than ``block`` are joined block by block, so no task holds an unbounded group.
 
 Components come from contraction rounds over the links (each node to its smallest neighbour, pointers doubled); links
 and components stay distributed, and every round is written to the shared folder.
@@ -113,6 +118,22 @@ def count_vector(found: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
+def codes(found: np.ndarray) -> np.ndarray:
+    """The sorted 15-bit codes of a set's shingles; the upper 7 bits are the group."""
+    return np.sort((mix(found, 23) >> U(49)).astype(np.uint16))
+
+
+def fine_counts(found: np.ndarray) -> bytes:
+    """The lower byte of each of the codes(), which follow from it and the count vector."""
+    return codes(found).astype(np.uint8).tobytes()
+
+
+def codes_of(counts: np.ndarray, fine: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a set, and how many equal ones stand before each."""
+    each = np.repeat(np.arange(GROUPS), counts) << 8 | np.frombuffer(fine, dtype=np.uint8)
+    return each.astype(np.uint16), (np.arange(len(each)) - np.searchsorted(each, each)).astype(np.int32)
+
+
 def counts_of(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype=np.uint8 if len(packed) == GROUPS else "<u4").astype(np.int64)
 
@@ -203,7 +224,7 @@ def frequent_order(counted: DataFrame, most: int = 1 << 19) -> Order:
 
 
 def meeting_points(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """(node, counts, inner, cells) of every row with words: its count vector and its rarest shingles, of which ``inner`` meet larger sets as well."""
+    """(node, counts, fine, inner, cells) of every row with words: its counts and its rarest shingles, of which ``inner`` meet larger sets as well."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,18 +237,19 @@ def meeting_points(docs: DataFrame, width: int, percent: int, order: Order) -> D
                     found = shingle_set(text.as_py(), width)
                     if len(found):
                         outer, inner = prefix_lengths(len(found), percent)
-                        rows.append((ids[at + i].as_py(), count_vector(found), inner))
+                        rows.append((ids[at + i].as_py(), count_vector(found), fine_counts(found), inner))
                         kept.append(known.rarest(found, outer))
                 if not rows:
                     continue
-                nodes, counts, inner = zip(*rows, strict=True)
+                nodes, counts, fine, inner = zip(*rows, strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in kept])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(inner, pa.int32()), lists], names=["node", "counts", "inner", "cells"]
+                    [pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.array(inner, pa.int32()), lists],
+                    names=["node", "counts", "fine", "inner", "cells"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, counts binary, inner int, cells array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, counts binary, fine binary, inner int, cells array<bigint>")
 
 
 def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -296,13 +318,14 @@ class CountTree:
         return self.levels[0][0][at]
 
 
-def tree_join(cell: pd.DataFrame, points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def tree_join(cell: pd.DataFrame, points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs across two parts of a cell with different labels that the bound lets through, one of them ``inner``."""
     labels, inner = cell["label"].to_numpy(), cell["inner"].to_numpy()
     tree = CountTree(points[right], labels[right])
     for k in left:
         at = right[tree.search(points[k], labels[k], percent)]
-        yield from ((k, other) for other in (at if inner[k] else at[inner[at]]))
+        at = at if inner[k] else at[inner[at]]
+        yield np.full(len(at), k), at
 
 
 def leaf_join(rows: pd.DataFrame, points: np.ndarray, starts: np.ndarray, size: int, percent: int, held: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -318,28 +341,69 @@ def leaf_join(rows: pd.DataFrame, points: np.ndarray, starts: np.ndarray, size:
         yield a[open_], b[open_]
 
 
-def bucket_join(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs (a < b) of all cells among ``rows``; none with a cell's first member, which is done."""
-    rows = rows[rows["node"] != rows["first"]].sort_values("cell", ignore_index=True)
-    if not len(rows):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    points, nodes, cell = np.stack([counts_of(c) for c in rows["counts"]]), rows["node"].to_numpy(), rows["cell"].to_numpy()
+def cell_pairs(rows: pd.DataFrame, points: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs inside the cells of ``rows`` (sorted by cell) that the count vectors let through."""
+    cell, i, j, own = (rows[c].to_numpy() for c in ("cell", "i", "j", "own"))
     start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.concatenate([start, [len(rows)]]))
-    whole = rows["i"].to_numpy()[start] < 0
-    found = []
-    for n in np.unique(size[(size <= FANOUT) & whole]):
-        found += leaf_join(rows, points, start[(size == n) & whole], int(n), percent)
-    for first, n in zip(start[~((size <= FANOUT) & whole)], size[~((size <= FANOUT) & whole)], strict=True):
+    leaf = (size <= FANOUT) & (i[start] < 0)
+    for n in np.unique(size[leaf]):
+        yield from leaf_join(rows, points, start[(size == n) & leaf], int(n), percent)
+    for first, n in zip(start[~leaf], size[~leaf], strict=True):
         all_ = np.arange(first, first + n)
-        i, j, own = (rows[c].to_numpy() for c in ("i", "j", "own"))
         left, right = (all_, all_) if i[first] < 0 else (all_[own[all_] == i[first]], all_[own[all_] == j[first]])
         if len(left) and len(right):
-            found += (np.array(p)[:, None] for p in tree_join(rows, points, left, right, percent))
-    pairs = np.concatenate([np.stack(p, axis=1).reshape(-1, 2) if isinstance(p, tuple) else p.reshape(1, 2) for p in found]) if found else np.zeros((0, 2), int)
-    a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
-    out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]}).astype("int64")
+            yield from tree_join(rows, points, left, right, percent)
+
+
+def distinct_pairs(pairs: Iterator[tuple[np.ndarray, np.ndarray]], held: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The pairs as sorted rows of two; each once among about ``held`` that came together."""
+    some, n = [], 0
+    for pair in pairs:
+        some.append(np.sort(np.stack(pair, axis=1), axis=1))
+        n += len(some[-1])
+        if n >= held:
+            yield np.unique(np.concatenate(some), axis=0)
+            some, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(some), axis=0)
+
+
+def bucket_join(rows: pd.DataFrame, sketches: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
+    """Pairs (a < b) of all cells among ``rows`` that the finer counts of ``sketches`` let through; none with a cell's first member, which is done.
+
+    With ``forest`` only those that join two labels which the pairs before have not joined: fewer than there are nodes.
+    """
+    out, bucket = set(), int(rows["bucket"].iloc[0])
+    at = pd.DataFrame({"node": sketches["node"], "point": np.arange(len(sketches))})  # an id with several texts has several points
+    rows = rows[rows["node"] != rows["first"]].merge(at, on="node").sort_values("cell", ignore_index=True)
+    if len(rows):
+        counts, point, node = np.stack([counts_of(c) for c in sketches["counts"]]), rows["point"].to_numpy(), sketches["node"].to_numpy()
+        total, fine = counts.sum(axis=1), sketches["fine"].to_numpy()
+        label = np.zeros(len(sketches), np.int64)
+        label[point] = rows["label"].to_numpy()
+        label, root = label.tolist(), {x: x for x in label.tolist()}
+        known = lru_cache(maxsize=1024)(lambda k: codes_of(counts[k], fine[k]))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for pairs in distinct_pairs((point[a], point[b]) for a, b in cell_pairs(rows, counts[point], percent)):
+            last, table = -1, None
+            for p, q in pairs.tolist():
+                if node[p] == node[q] or (forest and top(label[p]) == top(label[q])):
+                    continue
+                if p != last:
+                    last, table = p, np.bincount(known(p)[0], minlength=GROUPS << 8)
+                each, before = known(q)
+                if np.count_nonzero(table[each] > before) >= need(percent, int(total[p] + total[q])):
+                    out.add((min(node[p], node[q]), max(node[p], node[q])))
+                    if forest:
+                        root[top(label[p])] = top(label[q])
+    a, b = zip(*sorted(out), strict=True) if out else ((), ())
+    return pd.DataFrame({"bucket": np.full(len(a), bucket), "a": a, "b": b}).astype("int64")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -391,28 +455,38 @@ def shared_cells(points: DataFrame) -> DataFrame:
     return each.withColumns(marked).where("low <> high and first is not null").select("cell", "node", "inner", "first")
 
 
-def residual_pairs(cells: DataFrame, labels: DataFrame, points: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs inside cells whose members have different labels that the tree's bound lets through; none with a cell's first member."""
+def residual_rows(cells: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Members of the cells in which two others than the first member have different labels, dealt to buckets."""
     label = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
     named = cells.join(label, F.col("node") == F.col("_n"), "left").select("cell", "node", "inner", "first", F.coalesce("_r", "node").alias("label"))
     other = F.col("node") != F.col("first")
     marks = named.groupBy("cell").agg(
         F.min(F.when(other, F.col("label"))).alias("low"), F.max(F.when(other, F.col("label"))).alias("high"), F.max(other & F.col("inner")).alias("any"),
-        F.count("*").alias("size"), F.sum(F.xxhash64("node", "inner").cast("decimal(38,0)")).alias("content"),
+        F.count("*").alias("size"), F.sum(F.xxhash64("node", "inner").cast("decimal(38,0)")).alias("content"), F.min("first").alias("_first"),
     )
-    marks = marks.where("low <> high and any").groupBy("size", "content").agg(F.min("cell").alias("_cell"))  # cells with the same members are joined once
+    marks = marks.where("low <> high and any").groupBy("size", "content").agg(F.min("cell").alias("_cell"), F.min("_first").alias("_first"))  # cells with the same members are joined once
+    # Cells of up to ``block`` members stay whole and near others of their first member, as many as make up ``block`` rows; of larger ones every two parts meet.
     parts = F.when(F.col("size") > block, F.ceil(F.col("size") / block).cast("int")).otherwise(0)
-    rows = named.join(marks.select("_cell", parts.alias("parts")), F.col("cell") == F.col("_cell"))
-    rows = rows.join(points.select(F.col("node").alias("_n"), "counts"), F.col("node") == F.col("_n"))
-    # Cells of up to ``block`` members are dealt whole to buckets; of larger ones every two parts meet in a bucket of their own.
+    before = F.sum("size").over(Window.partitionBy("_first").orderBy("_cell")) - F.col("size")
+    marks = marks.select("_cell", parts.alias("parts"), F.floor(before / block).alias("chunk"))
+    rows = named.join(marks, F.col("cell") == F.col("_cell"))
     own = F.when(F.col("parts") > 0, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(-1).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     pairs = F.when(F.col("parts") > 0, both).otherwise(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))))
-    rows = rows.select("cell", "first", "node", "inner", "label", "counts", own.alias("own"), F.explode(pairs).alias("p"))
-    rows = materialize(rows.select("cell", "first", "node", "inner", "label", "counts", "own", F.col("p.i").alias("i"), F.col("p.j").alias("j")), "residual")
+    columns = ("cell", "first", "node", "inner", "label", "chunk")
+    rows = rows.select(*columns, own.alias("own"), F.explode(pairs).alias("p"))
+    rows = materialize(rows.select(*columns, "own", F.col("p.i").alias("i"), F.col("p.j").alias("j")), "residual")
     buckets = rows.count() // block + 1
-    bucket = F.when(F.col("i") < 0, F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "i", "j"))
-    return rows.groupBy(bucket.alias("bucket")).applyInPandas(lambda group: bucket_join(group, percent), "a long, b long").distinct()
+    bucket = F.when(F.col("i") < 0, F.pmod(F.xxhash64("first", "chunk"), F.lit(buckets))).otherwise(F.xxhash64("cell", "i", "j"))
+    return rows.withColumn("bucket", bucket).drop("chunk")
+
+
+def residual_pairs(rows: DataFrame, points: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(bucket, a, b): pairs inside cells whose members have different labels that the bounds let through, of each bucket all or a forest."""
+    nodes = rows.select(F.col("bucket").alias("_b"), F.col("node").alias("_n")).distinct()
+    sketches = nodes.join(points, F.col("node") == F.col("_n")).select("_b", F.col("_n").alias("node"), "counts", "fine")
+    join = lambda group, held: bucket_join(group, held, percent, forest)
+    return rows.groupBy("bucket").cogroup(sketches.groupBy("_b")).applyInPandas(join, "bucket long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
@@ -437,17 +511,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     points = materialize(meeting_points(once(own, repeated), width, percent, order), "points")
     cells = materialize(shared_cells(points), "cells")
-    points = points.select("node", "counts")
+    points = points.select("node", "counts", "fine")
     stars = materialize(cells.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(plausible(stars, points, percent), docs, repeated, width, percent)
     if joined is not None:
         links = links.unionByName(joined)
     labels = components(links)
     star = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = residual_pairs(cells, labels, points, percent, block).join(star, ["a", "b"], "left_anti")
-    more = verified(rest, docs, repeated, width, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    rows = residual_rows(cells, labels, block)
+    forest = materialize(residual_pairs(rows, points, percent, forest=True), "forest")
+    found = verified(forest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), docs, repeated, width, percent)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = components(links)
+    unsure = materialize(forest.join(found, ["a", "b"], "left_anti").select("bucket").distinct(), "unsure")
+    if not unsure.isEmpty():  # a forest with a pair that is no link may have left out one that is
+        root = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        again = rows.join(unsure, "bucket", "left_semi").join(root, F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_r", "node")).drop("_n", "_r")
+        rest = residual_pairs(again, points, percent, forest=False).select("a", "b").distinct()
+        found = verified(rest.join(star.unionByName(forest.select("a", "b")), ["a", "b"], "left_anti"), docs, repeated, width, percent)
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     ids = classes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     ids = ids.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("root", "node").alias("_c"))
     out = sketch.join(ids, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n") > 0), "left")

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -221,6 +222,72 @@ def test_hot_passages_of_many_documents(spark):
     assert 1 < len(set(want.values())) < 150
 
 
+def edited(base, words, name):
+    """``base`` with ``words`` words replaced, far from each other and from both ends."""
+    copy = list(base)
+    for k in range(words):
+        copy[10 + k * (len(base) // words) + name % 7] = f"{name}x{k}"
+    return copy
+
+
+def test_copies_that_are_just_not_linked_make_few_pairs(spark, monkeypatch):
+    """Pairs of near copies below the threshold, and pairs of copies that a few links join: not as many as the square of their number."""
+    tried, verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(edited(base, 5, k))) for k in range(40)] + [(100 + k, " ".join(edited(base, 1, 100 + k))) for k in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+    assert sum(tried[1:]) < len(rows)
+
+
+@pytest.mark.parametrize("block", [4096, 9])
+def test_a_forest_with_a_pair_that_is_no_link_is_searched_again(spark, monkeypatch, block):
+    """Were every forest one pair that is no link, all that the stars left out would still be found."""
+    found, pairs = [], jaccard.residual_pairs
+
+    def wrong(rows, points, percent, forest):
+        if forest:
+            return rows.select("bucket").distinct().select("bucket", F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+        return found.append(pairs(rows, points, percent, forest)) or found[-1]
+
+    monkeypatch.setattr(jaccard, "residual_pairs", wrong)
+    shared = [f"p{i}" for i in range(100)]  # a document for each of its shingles comes first in that cell, so no star links the others
+    rows = [(k, " ".join(shared[k : k + 3])) for k in range(98)] + [(100 + k, " ".join(shared + [f"q{k}_{i}" for i in range(3)])) for k in range(22)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, block=block).collect()}
+    assert got == plain_components(rows, 3, 90) and got[121] == 100 and found
+
+
+def test_a_bucket_hands_on_a_forest():
+    rng = np.random.default_rng(4)
+    common = rng.integers(1, 2**63, size=300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 2**63, size=10, dtype=np.uint64)])) for _ in range(30)]
+    sets += [np.unique(np.concatenate([common[:255], rng.integers(1, 2**63, size=55, dtype=np.uint64)])) for _ in range(30)]
+    sketches = pd.DataFrame({"node": range(60), "counts": [jaccard.count_vector(x) for x in sets], "fine": [jaccard.fine_counts(x) for x in sets]})
+    rows = pd.DataFrame({"bucket": 7, "cell": 1, "node": range(60), "first": -1, "inner": True, "label": range(60), "own": -1, "i": -1, "j": -1})
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 9 * len(np.union1d(sets[a], sets[b]))}
+    everything = set(jaccard.bucket_join(rows, sketches, 90, forest=False)[["a", "b"]].itertuples(index=False, name=None))
+    some = set(jaccard.bucket_join(rows, sketches, 90, forest=True)[["a", "b"]].itertuples(index=False, name=None))
+    assert len(want) == 435 and want == everything and some < want and len(some) == 29
+
+
+def test_finer_counts_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 3000, 40000):
+        common = rng.integers(1, 2**63, size=n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(1, 2**63, size=n // 5, dtype=np.uint64)])) for _ in range(2))
+        p, q = (jaccard.counts_of(jaccard.count_vector(x)) for x in (a, b))
+        (each, before), (other, _) = (jaccard.codes_of(c, jaccard.fine_counts(x)) for c, x in ((p, a), (q, b)))
+        assert (each == jaccard.codes(a)).all()
+        bound = np.count_nonzero(np.bincount(other, minlength=1 << 15)[each] > before)
+        assert n <= bound <= np.minimum(p, q).sum() and bound == np.minimum(*(np.bincount(x, minlength=1 << 15) for x in (each, other))).sum()
+
+
 def test_a_word_appended_to_sixteen_links(spark):
     words = [f"w{i}" for i in range(18)]
     rows = [(2 * n + k, f"t{n} " + " ".join(words[: n - 1 + k])) for n in range(12, 18) for k in (0, 1)]
