@@ -9,11 +9,15 @@ of its rarest shingles, as many as it takes for any two linked sets to have one
 rare follows from counts over all texts, so a passage that many documents share brings none of them together unless
 their sets consist of little else. No linked pair is missed whatever the counts are, and nothing is capped.
 
-Verifying. First every member of a cell is compared with the cell's first member: as many pairs as rows; those whose
-points allow a link are verified on the full sets, and linked nodes get a common label. What may be left are links
-between members of different labels: there the points of a cell are packed into an R-tree whose boxes keep coordinate
+Verifying. First every member of a cell is compared with the cell's first member, if their sizes allow a link: at most as
+many pairs as rows; those whose points allow one too are verified on the full sets, and linked nodes get a common label.
+What may be left are links between other members of different labels. Their sizes are near: the members of a cell in order
+of size are cut wherever the next is too large for a link with the one before, and each run is a cell of its own from then
+on. Its points are packed into an R-tree whose boxes keep coordinate
 maxima. A box is passed over when the summed minima of query and box fall short of the overlap that a link needs, or
-when all of its points have the query's label. Pairs that survive are held against finer counts, a byte for each
+when all of its points have the query's label. In a large corpus most cells hold texts that share a few rare shingles by
+chance, more of them than the corpus grows; so the tree goes over the cells twice. First it gets the short vectors alone
+and leaves the rows that have a partner; only these go on, with finer counts, a byte for each
 shingle: many near copies that are just not linked differ too little for the short vectors, and there are as many pairs
 of them as the square of their number. A task hands on a forest, only pairs that join labels which it hasn't joined yet:
 fewer than it has nodes. They are verified on the full sets; where all prove to be links, what the forest left out is
@@ -224,7 +228,7 @@ def frequent_order(counted: DataFrame, most: int = 1 << 19) -> Order:
 
 
 def meeting_points(docs: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """(node, counts, fine, inner, cells) of every row with words: its counts and its rarest shingles, of which ``inner`` meet larger sets as well."""
+    """(node, n, counts, fine, inner, cells) of every row with words: size, counts and rarest shingles, of which ``inner`` meet larger sets as well."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +241,19 @@ def meeting_points(docs: DataFrame, width: int, percent: int, order: Order) -> D
                     found = shingle_set(text.as_py(), width)
                     if len(found):
                         outer, inner = prefix_lengths(len(found), percent)
-                        rows.append((ids[at + i].as_py(), count_vector(found), fine_counts(found), inner))
+                        rows.append((ids[at + i].as_py(), len(found), count_vector(found), fine_counts(found), inner))
                         kept.append(known.rarest(found, outer))
                 if not rows:
                     continue
-                nodes, counts, fine, inner = zip(*rows, strict=True)
+                nodes, sizes, counts, fine, inner = zip(*rows, strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in kept])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.array(inner, pa.int32()), lists],
-                    names=["node", "counts", "fine", "inner", "cells"],
+                    [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.array(inner, pa.int32()), lists],
+                    names=["node", "n", "counts", "fine", "inner", "cells"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, counts binary, fine binary, inner int, cells array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, n long, counts binary, fine binary, inner int, cells array<bigint>")
 
 
 def plausible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -369,14 +373,29 @@ def distinct_pairs(pairs: Iterator[tuple[np.ndarray, np.ndarray]], held: int = 1
         yield np.unique(np.concatenate(some), axis=0)
 
 
+def placed(rows: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
+    """``rows`` in order of their cells, without first members, each with its point's position among ``sketches``."""
+    at = pd.DataFrame({"node": sketches["node"], "point": np.arange(len(sketches))})  # an id with several texts has several points
+    return rows[rows["node"] != rows["first"]].merge(at, on="node").sort_values("cell", ignore_index=True)
+
+
+def bucket_open(rows: pd.DataFrame, sketches: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Those of ``rows`` that have a partner in their cell by the count vectors alone."""
+    met, keep = placed(rows.assign(row=np.arange(len(rows))), sketches), np.zeros(len(rows), dtype=bool)
+    if len(met):
+        row, counts = met["row"].to_numpy(), np.stack([counts_of(c) for c in sketches["counts"]])
+        for a, b in cell_pairs(met, counts[met["point"].to_numpy()], percent):
+            keep[row[a]] = keep[row[b]] = True
+    return rows[keep]
+
+
 def bucket_join(rows: pd.DataFrame, sketches: pd.DataFrame, percent: int, forest: bool) -> pd.DataFrame:
     """Pairs (a < b) of all cells among ``rows`` that the finer counts of ``sketches`` let through; none with a cell's first member, which is done.
 
     With ``forest`` only those that join two labels which the pairs before have not joined: fewer than there are nodes.
     """
     out, bucket = set(), int(rows["bucket"].iloc[0])
-    at = pd.DataFrame({"node": sketches["node"], "point": np.arange(len(sketches))})  # an id with several texts has several points
-    rows = rows[rows["node"] != rows["first"]].merge(at, on="node").sort_values("cell", ignore_index=True)
+    rows = placed(rows, sketches)
     if len(rows):
         counts, point, node = np.stack([counts_of(c) for c in sketches["counts"]]), rows["point"].to_numpy(), sketches["node"].to_numpy()
         total, fine = counts.sum(axis=1), sketches["fine"].to_numpy()
@@ -447,21 +466,34 @@ def class_sets(docs: DataFrame, nodes: DataFrame, repeated: DataFrame | None, wi
     return once(some.select(F.col("doc_id").cast("long"), "text"), repeated).mapInArrow(run, "node long, found binary")
 
 
-def shared_cells(points: DataFrame) -> DataFrame:
-    """(cell, node, inner, first) of every cell with two nodes or more, one of them inner; ``first`` is the smallest inner one."""
-    each = points.select("node", "inner", F.posexplode("cells").alias("at", "cell")).select("cell", "node", (F.col("at") < F.col("inner")).alias("inner"))
+def shared_cells(points: DataFrame, percent: int) -> DataFrame:
+    """(cell, node, inner, first, near, run): members of every cell with two nodes or more, one of them inner, that may have a link in it.
+
+    ``first`` is the smallest inner node, not listed itself; ``near`` says whether the sizes allow a link with it. Of the others
+    in order of size, those between two steps too large for a link have the same ``run``; null for one that is alone.
+    """
+    each = points.select("node", "n", "inner", F.posexplode("cells").alias("at", "cell")).select("cell", "node", "n", (F.col("at") < F.col("inner")).alias("inner"))
     whole = Window.partitionBy("cell")
     marked = {"first": F.min(F.when(F.col("inner"), F.col("node"))).over(whole), "low": F.min("node").over(whole), "high": F.max("node").over(whole)}
-    return each.withColumns(marked).where("low <> high and first is not null").select("cell", "node", "inner", "first")
+    shared = each.withColumns(marked).where("low <> high and first is not null").select("cell", "node", "n", "inner", "first")
+    other, sized = F.col("node") != F.col("first"), whole.orderBy(F.col("node") == F.col("first"), "n")  # first's rows come last
+    its = F.when(~other, F.col("n"))  # of an id with several texts the first may have several sizes
+    gap = lambda small, large: small.isNull() | large.isNull() | (100 * small < percent * large)
+    of_others = F.when(other, F.col("n"))
+    sizes = {"least": F.min(its).over(whole), "most": F.max(its).over(whole), "opens": gap(F.lag(of_others).over(sized), F.col("n")), "closes": gap(F.col("n"), F.lead(of_others).over(sized))}
+    near = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
+    run = F.when(~(F.col("opens") & F.col("closes")), F.sum(F.col("opens").cast("int")).over(sized.rowsBetween(Window.unboundedPreceding, 0)))
+    found = shared.withColumns(sizes).withColumns({"near": near, "run": run}).where(other & (F.col("near") | F.col("run").isNotNull()))
+    return found.select("cell", "node", "inner", "first", "near", "run")
 
 
 def residual_rows(cells: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """Members of the cells in which two others than the first member have different labels, dealt to buckets."""
+    """Members of the runs in which two have different labels, dealt to buckets. A run is a cell from here on."""
     label = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    named = cells.join(label, F.col("node") == F.col("_n"), "left").select("cell", "node", "inner", "first", F.coalesce("_r", "node").alias("label"))
-    other = F.col("node") != F.col("first")
+    runs = cells.where("run is not null").select(F.xxhash64("cell", "run").alias("cell"), "node", "inner", "first")
+    named = runs.join(label, F.col("node") == F.col("_n"), "left").select("cell", "node", "inner", "first", F.coalesce("_r", "node").alias("label"))
     marks = named.groupBy("cell").agg(
-        F.min(F.when(other, F.col("label"))).alias("low"), F.max(F.when(other, F.col("label"))).alias("high"), F.max(other & F.col("inner")).alias("any"),
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("inner").alias("any"),
         F.count("*").alias("size"), F.sum(F.xxhash64("node", "inner").cast("decimal(38,0)")).alias("content"), F.min("first").alias("_first"),
     )
     marks = marks.where("low <> high and any").groupBy("size", "content").agg(F.min("cell").alias("_cell"), F.min("_first").alias("_first"))  # cells with the same members are joined once
@@ -481,12 +513,21 @@ def residual_rows(cells: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("bucket", bucket).drop("chunk")
 
 
+def with_points(rows: DataFrame, points: DataFrame):
+    """The rows of each bucket beside the points of its nodes, ready for a cogrouped map."""
+    nodes = materialize(rows.select(F.col("bucket").alias("_b"), F.col("node").alias("_n")).distinct(), "members")
+    sketches = maybe_broadcast(nodes, 500_000).join(points, F.col("node") == F.col("_n")).drop("_n")
+    return rows.groupBy("bucket").cogroup(sketches.groupBy("_b"))
+
+
+def open_rows(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a partner with another label in their cell as far as the count vectors tell."""
+    return with_points(rows, points.select("node", "counts")).applyInPandas(lambda group, held: bucket_open(group, held, percent), rows.schema)
+
+
 def residual_pairs(rows: DataFrame, points: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(bucket, a, b): pairs inside cells whose members have different labels that the bounds let through, of each bucket all or a forest."""
-    nodes = rows.select(F.col("bucket").alias("_b"), F.col("node").alias("_n")).distinct()
-    sketches = nodes.join(points, F.col("node") == F.col("_n")).select("_b", F.col("_n").alias("node"), "counts", "fine")
-    join = lambda group, held: bucket_join(group, held, percent, forest)
-    return rows.groupBy("bucket").cogroup(sketches.groupBy("_b")).applyInPandas(join, "bucket long, a long, b long")
+    return with_points(rows, points).applyInPandas(lambda group, held: bucket_join(group, held, percent, forest), "bucket long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
@@ -510,15 +551,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     copies = maybe_broadcast(materialize(copies.select(F.col("doc_id").alias("_copy")), "copies"), 500_000)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
     points = materialize(meeting_points(once(own, repeated), width, percent, order), "points")
-    cells = materialize(shared_cells(points), "cells")
+    cells = materialize(shared_cells(points, percent), "cells")
     points = points.select("node", "counts", "fine")
-    stars = materialize(cells.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = materialize(cells.where("near").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(plausible(stars, points, percent), docs, repeated, width, percent)
     if joined is not None:
         links = links.unionByName(joined)
     labels = components(links)
     star = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = residual_rows(cells, labels, block)
+    rows = materialize(open_rows(residual_rows(cells, labels, block), points, percent), "open")
     forest = materialize(residual_pairs(rows, points, percent, forest=True), "forest")
     found = verified(forest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), docs, repeated, width, percent)
     if not found.isEmpty():

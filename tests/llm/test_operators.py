@@ -276,6 +276,34 @@ def test_a_bucket_hands_on_a_forest():
     assert len(want) == 435 and want == everything and some < want and len(some) == 29
 
 
+def test_texts_that_share_some_passage_are_not_dealt_with_finer_counts(spark, monkeypatch):
+    """All pairs of ten passages: each text meets many others in its cells and is linked with its own copies only."""
+    dealt, pairs = [], jaccard.residual_pairs
+
+    def counted(rows, *rest, **named):
+        dealt.append(rows.count())
+        return pairs(rows, *rest, **named)
+
+    monkeypatch.setattr(jaccard, "residual_pairs", counted)
+    passages = [" ".join(f"p{k}_{i}" for i in range(60)) for k in range(10)]
+    rows = [(100 * i + 10 * j, f"{passages[i]} {passages[j]}") for i in range(10) for j in range(i)]
+    rows += [(k + 1, f"{text} more words") for k, text in rows[::3]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90) and len(set(got.values())) == 45
+    assert dealt[0] < len(rows)
+
+
+def test_members_of_a_cell_are_cut_where_sizes_allow_no_link(spark):
+    points = [(1, 100), (2, 110), (3, 120), (4, 134), (5, 300), (6, 270), (7, 299), (8, 90), (8, 1000), (9, 1112), (9, 10)]
+    df = spark.createDataFrame([(k, n, 1, [77]) for k, n in points] + [(20, 50, 1, [78]), (21, 50, 0, [79]), (22, 50, 0, [79])], "node long, n long, inner int, cells array<bigint>")
+    got = {(r["node"], r["near"], r["run"] is not None) for r in jaccard.shared_cells(df, 90).collect()}
+    assert got == {(2, True, True), (3, False, True), (5, False, True), (6, False, True), (7, False, True), (8, True, False)}
+    runs = {r["node"]: r["run"] for r in jaccard.shared_cells(df, 90).collect()}
+    assert runs[2] == runs[3] and runs[5] == runs[6] == runs[7] != runs[2]
+    df = spark.createDataFrame([(1, 100, 1, [77]), (1, 500, 1, [77]), (2, 450, 1, [77]), (3, 112, 1, [77])], "node long, n long, inner int, cells array<bigint>")
+    assert {r["node"] for r in jaccard.shared_cells(df, 90).where("near").collect()} >= {2}
+
+
 def test_finer_counts_bound_the_overlap():
     rng = np.random.default_rng(5)
     for n in (1, 40, 3000, 40000):
