@@ -10,8 +10,9 @@ in which it stands for another are dropped. Verbatim copies, re-parameterised qu
 enough windows; chance meetings of templates don't. A document is contaminated by an item when its consistent windows
 cover at least ``coverage`` of the item's windows and at least two of them (all of an item that has no more).
 
-The index holds the benchmark's windows only; it is broadcast when it has at most ``most_windows`` rows and joined by
-shuffle otherwise. A first pass joins bare hashes; aligning starts from the documents that it finds. Documents are read whole; nothing of them is shuffled but matching windows.
+The index holds the benchmark's windows only; it is broadcast when it has at most ``most_windows`` rows: documents are then
+read once and whole, and nothing of them is held or shuffled but matching windows. It is joined by shuffle otherwise: a first
+pass joins bare hashes, and aligning starts from the documents that it finds.
 
 Defined results: null texts have no tokens; items with fewer than ``least`` tokens have no window and match nothing;
 documents with the same id count as one; an empty table on either side gives an empty result.
@@ -88,22 +89,35 @@ def benchmark_index(benchmark: DataFrame, width: int) -> DataFrame:
     return index.join(sizes, F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
-def window_matches(docs: DataFrame, index: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc_id, item_id, item_windows, shift, at, slots) of every window of one of ``widths`` that a document shares with an item."""
-    # First only hashes become rows; the tokens of documents are carried along for the windows that match.
-    by_width = tokenized(docs.select("doc_id", "text"), widths).select("doc_id", F.posexplode("_windows").alias("k", "_of"))
-    hashes = by_width.select("doc_id", "k", F.posexplode("_of").alias("pos", "_hash"))
-    some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some"))
-    some = maybe_broadcast(materialize(some.agg(F.collect_set(F.struct("k", "pos")).alias("_at")), "suspects"), 100_000)
-    suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")))
-    each = tokenized(suspects, widths).select("doc_id", raw_tokens().alias("_raw"), "_typed", "_windows", F.inline("_at"))
-    each = each.withColumn("_hash", F.get(F.get("_windows", F.col("k")), F.col("pos")))
-    met = each.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", F.col("pos") + 1, F.col("width")) == F.col("typed"))
+def window_matches(docs: DataFrame, index: DataFrame, widths: list[int], held: bool = False) -> DataFrame:
+    """(doc_id, item_id, item_windows, shift, at, slots) of every window of one of ``widths`` that a document shares with an item.
+
+    ``held``: the index is broadcast. Documents are then read once, and nothing that grows with them is held or joined back.
+    """
+    rows = tokenized(docs.select("doc_id", "text"), widths)
+    of_width = F.posexplode(F.slice("_windows", 1, len(widths))).alias("k", "_of")  # of a bare column Spark would filter by size first, and make all tokens for that as well
+    if held:
+        # No operator between the tokens and the join copies a row, so tokens are carried along for all windows.
+        by_width = rows.withColumn("_raw", raw_tokens()).select("doc_id", "_raw", "_typed", of_width)
+        each = by_width.select("doc_id", "_raw", "_typed", "k", F.posexplode("_of").alias("pos", "_hash")).join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi")
+    else:
+        # First only hashes become rows; the tokens of documents are carried along for the windows that match.
+        hashes = rows.select("doc_id", of_width).select("doc_id", "k", F.posexplode("_of").alias("pos", "_hash"))
+        some = hashes.join(index.select("hash"), F.col("_hash") == F.col("hash"), "left_semi").groupBy(F.col("doc_id").alias("_some"))
+        some = maybe_broadcast(materialize(some.agg(F.collect_set(F.struct("k", "pos")).alias("_at")), "suspects"), 100_000)
+        suspects = docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("_some")))
+        each = tokenized(suspects, widths).select("doc_id", raw_tokens().alias("_raw"), "_typed", "_windows", F.inline("_at"))
+        each = each.withColumn("_hash", F.get(F.get("_windows", F.col("k")), F.col("pos")))
+    # From here on a row has the tokens of its window, not those of its document.
+    own = lambda tokens: F.slice(tokens, F.col("pos") + 1, F.get(F.array(*map(F.lit, widths)), F.col("k"))).alias(tokens)
+    near = each.select("doc_id", "pos", "_hash", own("_typed"), own("_raw"))
+    # Neither a key of the join nor a test for null, which Spark would make for every window: only those that meet are compared.
+    met = near.join(index, F.col("_hash") == F.col("hash")).where(F.slice("_typed", 1, F.col("width")).eqNullSafe(F.col("typed")))
     plain = lambda w: F.lower(F.translate(w, FIRST, ""))
     slots = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get(F.col("typed"), k).isin(NUMBER, NAME, UNIT)),
         lambda k: F.struct(
-            F.get(F.col("typed"), k).alias("type"), plain(F.get(F.col("item_raw"), k)).alias("item"), plain(F.get(F.col("_raw"), F.col("pos") + k)).alias("doc")
+            F.get(F.col("typed"), k).alias("type"), plain(F.get(F.col("item_raw"), k)).alias("item"), plain(F.get(F.col("_raw"), k)).alias("doc")
         ),
     )
     return met.select("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("at")).alias("shift"), "at", slots.alias("slots"))
@@ -126,7 +140,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, coverage
     index = benchmark_index(items, width)
     for n in short:
         index = index.unionByName(benchmark_index(items.where(F.col("_n") == n), n))
-    met = window_matches(docs, maybe_broadcast(materialize(index, "benchmark-windows"), most_windows), [width, *short])
+    index = materialize(index, "benchmark-windows")
+    table = maybe_broadcast(index, most_windows)
+    met = window_matches(docs, table, [width, *short], held=table is not index)
     covered = F.countDistinct("at").alias("windows")
     found = consistent_windows(met).groupBy("doc_id", "item_id", "item_windows").agg(covered)
     enough = (F.col("windows") >= F.least(F.lit(2), F.col("item_windows"))) & (F.col("windows") >= coverage * F.col("item_windows"))

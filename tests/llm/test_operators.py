@@ -372,6 +372,22 @@ def test_slots_of_a_copy_and_of_another_text(spark):
     assert got == {1: [1], 3: [2], 4: [3], 8: [1]}
 
 
+def test_documents_are_tokenized_once_and_not_joined_back(spark, monkeypatch):
+    """With a broadcast index no table grows with the documents but that of matching windows; the join by shuffle finds the same."""
+    rng, tables = random.Random(7), []
+    kept = decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: tables.append(name) or kept(df, name))
+    items = [prose(rng, 20), "The bus to Oslo took 35 minutes and 12 people got off", "What is 3 plus 4?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(k, f"{prose(rng, 30)}. {items[k % 3]} {prose(rng, 30)}" if k % 2 else prose(rng, 60)) for k in range(40)] + [(1, items[0]), (None, items[2]), (99, None), (3, f"{items[1]}. {items[1]}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = decontaminate.contaminated(df, bench)
+    assert tables == ["items", "benchmark-windows"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(r"\p{Lu}[^ ]*+") == 1
+    by_shuffle = decontaminate.contaminated(df, bench, most_windows=0)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, by_shuffle.collect())) and {k for k in range(40) if k % 2} | {None} <= {r["doc_id"] for r in out.collect()}
+
+
 def plain_spans(t):
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
